@@ -202,11 +202,13 @@ def before_images(stamped: DataFrame, base: DataFrame, chunk_width: int = 1 << 1
         *[F.when(first, F.col("base_" + c)).otherwise(F.col("prev_" + c)).alias(c) for c in cols])
 
 
-def current_snapshot(stamped: DataFrame, base: DataFrame) -> DataFrame:
-    """V7: latest row per document (partial ``max_by``, no per-key sort)."""
+def current_snapshot(stamped: DataFrame, base: DataFrame | None) -> DataFrame:
+    """V7: latest row per document (partial ``max_by``, no per-key sort);
+    documents without an applied write keep their base row."""
     cols = IMAGE_COLS
-    rows = stamped.select("doc_id", "seq", *cols).unionByName(
-        base.select("doc_id", F.lit(-1).cast("bigint").alias("seq"), *cols))
+    rows = stamped.select("doc_id", "seq", *cols)
+    if base is not None:
+        rows = rows.unionByName(base.select("doc_id", F.lit(-1).cast("bigint").alias("seq"), *cols))
     packed = F.struct(*[F.col(c) for c in cols])
     out = rows.groupBy("doc_id").agg(F.max_by(packed, F.col("seq")).alias("_r"))
     return out.select("doc_id", *[F.col("_r")[c].alias(c) for c in cols])

@@ -15,13 +15,13 @@ CN = """cn AS (
          END AS email
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
-PROFILES = CN + """,
-profiles AS (
+PROFILES_ONLY = """profiles AS (
   SELECT c_custkey AS id, c_name AS nome,
          CASE WHEN c_mktsegment = 'FURNITURE' THEN 'leitor' ELSE 'editor' END AS papel,
          CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE email END AS email,
          false AS senha_provisoria
   FROM cn WHERE c_acctbal >= 0)"""
+PROFILES = CN + ",\n" + PROFILES_ONLY
 
 USERS = CN + """,
 act AS (SELECT user_id AS id, min(ts) AS created_at, max(ts) AS last_sign_in_at FROM events GROUP BY user_id),
@@ -101,3 +101,462 @@ SELECT doc_id, version, updated_at, updated_by, n_deals AS deals FROM history"""
 
 ORACLE["v5_resolve_conflicts"] = with_ctes(RESOLVED, """
 SELECT doc_id, seq, actor, expected_version, eligible, outcome, version FROM resolved""", recursive=True)
+
+# Current rows after the log: last applied write per document, else base.
+CURRENT = """,
+docs0 AS (SELECT DISTINCT doc_id FROM writes),
+cur AS (
+  SELECT d.doc_id,
+         coalesce(s.version, 1) AS version,
+         coalesce(s.n_deals, CAST(0 AS BIGINT)) AS n_deals,
+         s.updated_at,
+         coalesce(s.updated_by, 'carga inicial') AS updated_by
+  FROM docs0 d LEFT JOIN (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rk FROM stamped) WHERE rk = 1
+  ) s ON d.doc_id = s.doc_id)"""
+
+ORACLE["v2_before_images"] = with_ctes(RESOLVED, """
+SELECT hist_id, doc_id, version, n_deals AS deals, updated_at, updated_by FROM history""", recursive=True)
+
+ORACLE["v3_stamp_author_time"] = with_ctes(RESOLVED, """
+SELECT doc_id, seq, version, updated_at, updated_by FROM stamped""", recursive=True)
+
+ORACLE["v7_current_snapshot"] = with_ctes(RESOLVED + CURRENT, """
+SELECT doc_id, version, n_deals AS deals, updated_at, updated_by FROM cur""", recursive=True)
+
+ORACLE["v8_noop_write_report"] = with_ctes(RESOLVED, """
+SELECT s.doc_id, s.version, coalesce(s.kind = h.kind, false) AS unchanged
+FROM stamped s JOIN history h ON h.hist_id = s.seq""", recursive=True)
+
+ORACLE["v4_claims_overridden"] = with_ctes(RESOLVED, """
+SELECT w.doc_id, w.seq, w.claimed_version, w.claimed_author,
+       s.version AS stamped_version, s.updated_by AS stamped_author
+FROM writes w JOIN stamped s ON w.seq = s.seq
+WHERE w.claimed_version IS NOT NULL OR w.claimed_author IS NOT NULL""", recursive=True)
+
+ORACLE["v1_stamp_versions"] = with_ctes(GATED, """
+SELECT doc_id, seq, CAST(1 + row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INTEGER) AS version
+FROM gated WHERE eligible""")
+
+ORACLE["j2_author_name"] = with_ctes(GATED, """
+SELECT doc_id, seq, actor, author FROM gated""")
+
+ORACLE["j3_write_gate"] = with_ctes(GATED, """
+SELECT doc_id, seq, actor, eligible FROM gated""")
+
+ORACLE["p8_status_lines"] = with_ctes(RESOLVED + CURRENT, """
+SELECT doc_id, 'versao ' || CAST(version AS VARCHAR) || ', autor ' || coalesce(updated_by, '?')
+       || ', negocios ' || CAST(n_deals AS VARCHAR) AS line
+FROM cur""", recursive=True)
+
+ORACLE["l1_sort_by_version"] = """
+SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS version, role AS updated_by,
+       CAST(length(text) AS BIGINT) AS chars
+FROM conversations"""
+
+ORACLE["v7_conversation_snapshot"] = """
+SELECT doc_id, version, updated_by, chars FROM (
+  SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS version, role AS updated_by,
+         CAST(length(text) AS BIGINT) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk
+  FROM conversations) WHERE rk = 1"""
+
+ORACLE["v9_provisional_flag"] = with_ctes(PROFILES, """,
+fe AS (
+  SELECT user_id, CASE WHEN event_type IN ('signup', 'error') THEN true ELSE false END AS flag,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk
+  FROM events WHERE event_type IN ('signup', 'error', 'view'))
+SELECT p.id, coalesce(fe.flag, p.senha_provisoria, false) AS provisional
+FROM profiles p LEFT JOIN fe ON p.id = fe.user_id AND fe.rk = 1""")
+
+ORACLE["a4_last_wins_by_key"] = """
+SELECT user_id, event_id, event_type FROM (
+  SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rk
+  FROM events) WHERE rk = 1"""
+
+# ------------------------------------------------------------------ documents
+DOC_DEALS = """sup AS (SELECT l_orderkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey),
+deals AS (
+  SELECT o.o_custkey AS doc_id, o.o_orderkey AS pk, 'N-' || CAST(o.o_orderkey AS VARCHAR) AS id,
+         o.o_orderpriority AS frente,
+         CASE o.o_orderstatus WHEN 'F' THEN '9' WHEN 'O' THEN '2' ELSE 'perdido' END AS etapa,
+         CASE WHEN o.o_orderpriority = '5-LOW' THEN ''
+              ELSE CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR) END AS valor,
+         'C-' || CAST(o.o_custkey AS VARCHAR) AS cliente_id,
+         'P-' || CAST(sup.s AS VARCHAR) AS parceiro_id,
+         substr(o.o_orderpriority, 3) AS responsavel,
+         strftime(o.o_orderdate, '%Y-%m-%d') AS prazo,
+         CASE WHEN o.o_orderstatus = 'F' THEN strftime(o.o_orderdate, '%Y-%m-%d') END AS fechado_em
+  FROM orders o LEFT JOIN sup ON o.o_orderkey = sup.l_orderkey),
+items AS (
+  SELECT o.o_custkey AS doc_id, 'N-' || CAST(l.l_orderkey AS VARCHAR) AS deal_id,
+         CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+              l.l_shipdate, l.l_returnflag, l.l_linestatus) - 1 AS BIGINT) AS pos,
+         CAST(l.l_linenumber AS VARCHAR) AS id, 'part ' || CAST(l.l_partkey AS VARCHAR) AS texto,
+         'supplier-' || CAST(l.l_suppkey AS VARCHAR) AS responsavel,
+         strftime(l.l_shipdate, '%Y-%m-%d') AS prazo,
+         l.l_returnflag = 'R' AS bloqueante, l.l_linestatus = 'F' AS resolvida
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+who AS (
+  SELECT l_orderkey, first('supplier-' || CAST(l_suppkey AS VARCHAR) ORDER BY l_shipdate, l_suppkey, l_linestatus) AS who
+  FROM lineitem GROUP BY l_orderkey),
+item_counts AS (
+  SELECT doc_id, deal_id, count(*) AS items, count_if(bloqueante) AS blocking FROM items GROUP BY doc_id, deal_id),
+partner_counts AS (
+  SELECT o.o_custkey AS doc_id, count(DISTINCT l.l_suppkey) AS partners
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  GROUP BY o.o_custkey),
+deal_counts AS (SELECT o_custkey AS doc_id, count(*) AS deals FROM orders GROUP BY o_custkey)"""
+
+KNOWN = "doc_id IN (SELECT c_custkey FROM customer)"
+
+ORACLE["p1_flatten_deals"] = with_ctes(DOC_DEALS, f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pk) - 1 AS BIGINT) AS pos, id, etapa, valor,
+       cliente_id, parceiro_id, prazo, fechado_em
+FROM deals WHERE {KNOWN}""")
+
+ORACLE["p1_flatten_items"] = with_ctes(DOC_DEALS, f"""
+SELECT doc_id, deal_id, pos, id, texto, responsavel, prazo, bloqueante, resolvida FROM items WHERE {KNOWN}""")
+
+ORACLE["p2_element_lookup"] = with_ctes(DOC_DEALS, """
+SELECT doc_id, id, etapa, valor, frente FROM deals WHERE frente = '1-URGENT'""")
+
+ORACLE["p3_documents_with"] = """
+SELECT c_custkey AS doc_id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS has_lost_deal
+FROM customer"""
+
+ORACLE["p3_documents_without"] = """
+SELECT c_custkey AS doc_id FROM customer
+WHERE c_custkey NOT IN (SELECT o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+                        WHERE l.l_returnflag = 'R')"""
+
+ORACLE["p6_blank_label"] = with_ctes(DOC_DEALS, """
+SELECT doc_id, id, coalesce(nullif(valor, ''), '(vazio)') AS valor FROM deals""")
+
+ORACLE["p7_first_transition_author"] = with_ctes(DOC_DEALS, f"""
+SELECT d.doc_id, d.id AS deal_id, who.who FROM deals d LEFT JOIN who ON d.pk = who.l_orderkey WHERE {KNOWN}""")
+
+ENTITY_COUNTS = """
+SELECT c.c_custkey AS doc_id, coalesce(pc.partners, 0) AS partners, CAST(1 AS BIGINT) AS customers,
+       coalesce(dc.deals, 0) AS deals, 1 AS version, 'carga inicial' AS updated_by
+FROM customer c LEFT JOIN partner_counts pc ON c.c_custkey = pc.doc_id
+     LEFT JOIN deal_counts dc ON c.c_custkey = dc.doc_id"""
+
+ORACLE["a2_entity_counts"] = with_ctes(DOC_DEALS, ENTITY_COUNTS)
+ORACLE["a2_entity_counts_nested"] = ORACLE["a2_entity_counts"]
+
+ORACLE["a3_blocking_items"] = with_ctes(DOC_DEALS, """
+SELECT d.doc_id, d.id AS deal_id, coalesce(ic.items, 0) AS items, coalesce(ic.blocking, 0) AS blocking
+FROM deals d LEFT JOIN item_counts ic ON d.doc_id = ic.doc_id AND d.id = ic.deal_id""")
+
+ORACLE["a3_blocking_items_nested"] = with_ctes(DOC_DEALS, f"""
+SELECT d.doc_id, d.id AS deal_id, coalesce(ic.items, 0) AS items, coalesce(ic.blocking, 0) AS blocking
+FROM deals d LEFT JOIN item_counts ic ON d.doc_id = ic.doc_id AND d.id = ic.deal_id WHERE d.{KNOWN}""")
+
+ORACLE["j4_deal_customers"] = with_ctes(DOC_DEALS, """
+SELECT d.doc_id, 'C-' || CAST(c.c_custkey AS VARCHAR) AS cliente_id, c.c_name AS cliente, c.c_mktsegment AS setor,
+       d.id AS negocio_id, d.frente, d.etapa, CAST(NULL AS VARCHAR) AS publico, d.responsavel,
+       coalesce(nullif(d.valor, ''), '(vazio)') AS valor,
+       coalesce(ic.items, 0) AS pendencias, coalesce(ic.blocking, 0) AS bloqueantes, who.who AS criado_por
+FROM deals d JOIN customer c ON d.doc_id = c.c_custkey
+     LEFT JOIN item_counts ic ON d.doc_id = ic.doc_id AND d.id = ic.deal_id
+     LEFT JOIN who ON d.pk = who.l_orderkey""")
+
+LABEL_PATCHES = """fo AS (SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey),
+lp AS (
+  SELECT l.doc_id, l.quality, l.toxic, fo.first_order,
+         (l.quality = 1 OR fo.first_order IS NULL) AS appended
+  FROM labels l LEFT JOIN fo ON l.doc_id = fo.o_custkey)"""
+
+M1 = with_ctes(DOC_DEALS + ",\n" + LABEL_PATCHES, """
+SELECT lp.doc_id, lp.appended, CAST(1 + CAST(lp.appended AS INTEGER) AS BIGINT) AS customers,
+       CAST(coalesce(dc.deals, 0) + CAST(lp.appended AS INTEGER) AS BIGINT) AS deals
+FROM lp JOIN customer c ON lp.doc_id = c.c_custkey LEFT JOIN deal_counts dc ON lp.doc_id = dc.doc_id""")
+ORACLE["m1_append_if_absent"] = M1
+ORACLE["m1_append_if_absent_nested"] = M1
+
+ORACLE["m2_patch_elements"] = with_ctes(DOC_DEALS + ",\n" + LABEL_PATCHES, """
+SELECT d.doc_id, d.id,
+       CASE WHEN d.pk = lp.first_order THEN (CASE WHEN lp.toxic = 1 THEN 'revisar'
+                                                  ELSE 'owner-' || CAST(lp.doc_id AS VARCHAR) END)
+            ELSE d.responsavel END AS responsavel,
+       CASE WHEN d.pk = lp.first_order AND lp.toxic = 1 THEN NULL ELSE '' END AS notas
+FROM deals d JOIN lp ON d.doc_id = lp.doc_id WHERE lp.first_order IS NOT NULL""")
+
+ORACLE["m3_set_path"] = """
+SELECT c.c_custkey AS doc_id, CAST(count(o.o_orderkey) AS BIGINT) AS deals
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus <> 'P'
+GROUP BY c.c_custkey"""
+
+ORACLE["m4_rebuild_arrays"] = """
+SELECT o_custkey AS doc_id, CAST(count(*) AS BIGINT) AS n, 'N-' || CAST(min(o_orderkey) AS VARCHAR) AS first_id,
+       'N-' || CAST(max(o_orderkey) AS VARCHAR) AS last_id
+FROM orders GROUP BY o_custkey"""
+
+ORACLE["m5_full_replace"] = with_ctes(RESOLVED + CURRENT + ",\n" + DOC_DEALS, """
+SELECT c.c_custkey AS doc_id, 'kept' AS source, coalesce(dc.deals, 0) AS deals
+FROM customer c LEFT JOIN deal_counts dc ON c.c_custkey = dc.doc_id
+WHERE c.c_custkey NOT IN (SELECT doc_id FROM cur)
+UNION ALL
+SELECT doc_id, 'incoming' AS source, n_deals AS deals FROM cur""", recursive=True)
+
+ORACLE["q2_expected_counts"] = with_ctes(DOC_DEALS, """,
+ec AS (""" + ENTITY_COUNTS + """)
+SELECT doc_id, kind, actual, actual AS expected, true AS match FROM (
+  SELECT doc_id, 'partners' AS kind, CAST(partners AS BIGINT) AS actual FROM ec
+  UNION ALL SELECT doc_id, 'customers', customers FROM ec
+  UNION ALL SELECT doc_id, 'deals', CAST(deals AS BIGINT) FROM ec)""")
+
+ORACLE["q3_reference_check"] = with_ctes(DOC_DEALS, """
+SELECT d.doc_id, 'customer' AS ref_kind, count(*) AS refs,
+       count_if(d.doc_id NOT IN (SELECT c_custkey FROM customer)) AS missing
+FROM deals d GROUP BY d.doc_id
+UNION ALL
+SELECT d.doc_id, 'partner', count(*),
+       count_if(sup.s NOT IN (SELECT s_suppkey FROM supplier))
+FROM deals d JOIN sup ON d.pk = sup.l_orderkey GROUP BY d.doc_id""")
+
+# ------------------------------------------------------------------ sources / sinks
+ORACLE["s1_load_documents"] = with_ctes(DOC_DEALS, """
+SELECT 'export' AS source, c.c_custkey AS id, CAST(NULL AS VARCHAR) AS reason, coalesce(dc.deals, 0) AS deals
+FROM customer c LEFT JOIN deal_counts dc ON c.c_custkey = dc.doc_id
+UNION ALL
+SELECT 'documents', doc_id,
+       CASE WHEN NOT json_valid(text) THEN 'not_json'
+            WHEN json_type(CAST(text AS JSON)) <> 'OBJECT' THEN 'not_object' END,
+       CAST(NULL AS BIGINT)
+FROM documents""")
+
+ORACLE["s2_replace_load"] = with_ctes(RESOLVED + CURRENT + ",\n" + DOC_DEALS, """
+SELECT doc_id, version, updated_by, n_deals AS deals FROM cur
+WHERE doc_id NOT IN (SELECT l.doc_id FROM labels l JOIN customer c ON l.doc_id = c.c_custkey WHERE l.quality = 1)
+UNION ALL
+SELECT c.c_custkey, 1, 'carga inicial', coalesce(dc.deals, 0)
+FROM customer c JOIN labels l ON l.doc_id = c.c_custkey LEFT JOIN deal_counts dc ON c.c_custkey = dc.doc_id
+WHERE l.quality = 1""", recursive=True)
+
+ORACLE["s3_ensure_documents"] = with_ctes(RESOLVED + CURRENT, """
+SELECT doc_id, version, n_deals AS deals, updated_by FROM cur
+UNION ALL
+SELECT c_custkey, 1, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM customer
+WHERE c_custkey NOT IN (SELECT doc_id FROM cur)""", recursive=True)
+
+ORACLE["s4_export_roundtrip"] = with_ctes(DOC_DEALS, """,
+ec AS (""" + ENTITY_COUNTS + """)
+SELECT doc_id, version, updated_by, CAST(partners AS BIGINT) AS partners, customers, CAST(deals AS BIGINT) AS deals
+FROM ec""")
+
+ORACLE["s5_read_envelope"] = with_ctes(USERS, """
+SELECT CAST(floor(id / 200) AS BIGINT) AS page, CASE WHEN email IS NULL THEN 'object' ELSE 'array' END AS form,
+       id, email
+FROM users""")
+
+ORACLE["s6_scan_columns"] = with_ctes(PROFILES, """
+SELECT id, nome, papel, email, senha_provisoria FROM profiles""")
+
+# ------------------------------------------------------------------ people
+JS_SPACE = r"[\s\x{00A0}\x{FEFF}\p{Z}]"
+EMAIL_RE = r"^[^@\s]+@[^@\s.]+\.[^@\s]+$"
+
+
+def js_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{JS_SPACE}+|{JS_SPACE}+$', '', 'g')"
+
+
+def email_ok(x: str) -> str:
+    return f"coalesce(regexp_matches({js_trim(x)}, '{EMAIL_RE}'), false)"
+
+
+def pg_initcap(x: str) -> str:
+    return (r"array_to_string(list_transform(regexp_extract_all(lower(" + x +
+            r"), '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)', 1), lambda p: upper(p[1]) || p[2:]), '')")
+
+
+def meta(*keys: str) -> str:
+    return "coalesce(" + ", ".join(f"json_extract_string(raw_user_meta_data, '$.{k}')" for k in keys) + ")"
+
+
+DERIVED = USERS + """,
+derived AS (
+  SELECT id,
+         coalesce(nullif(trim(coalesce(""" + meta("nome", "name") + """, '')), ''),
+                  """ + pg_initcap("split_part(coalesce(email, 'pessoa'), '@', 1)") + """) AS nome,
+         CASE WHEN lower(trim(coalesce(""" + meta("papel", "role") + """, ''))) = 'leitor' THEN 'leitor'
+              ELSE 'editor' END AS papel,
+         email, true AS senha_provisoria
+  FROM users)"""
+
+ORACLE["u1_derive_profiles"] = with_ctes(DERIVED, """
+SELECT id, nome, papel, email, senha_provisoria FROM derived""")
+
+ORACLE["j6_insert_if_absent"] = with_ctes(DERIVED + ",\n" + PROFILES_ONLY, """
+SELECT id, nome, papel, email, senha_provisoria FROM profiles
+UNION ALL
+SELECT id, nome, papel, email, senha_provisoria FROM derived WHERE id NOT IN (SELECT id FROM profiles)""")
+
+USERS_PROFILES = USERS + ",\n" + PROFILES_ONLY
+
+ORACLE["j1_backfill_email"] = with_ctes(USERS_PROFILES, """
+SELECT p.id, p.nome, p.papel,
+       CASE WHEN u.id IS NOT NULL AND p.email IS DISTINCT FROM u.email THEN u.email ELSE p.email END AS email,
+       p.senha_provisoria,
+       (u.id IS NOT NULL AND p.email IS DISTINCT FROM u.email) AS changed
+FROM profiles p LEFT JOIN users u ON p.id = u.id""")
+
+LISTING = """
+SELECT u.id, u.email, coalesce(nullif(p.nome, ''), '') AS name, coalesce(nullif(p.papel, ''), '') AS role,
+       coalesce(p.senha_provisoria, false) AS provisional, p.id IS NULL AS no_profile,
+       u.last_sign_in_at AS last_seen, u.created_at AS created,
+       (u.email_confirmed_at IS NOT NULL OR u.confirmed_at IS NOT NULL) AS confirmed
+FROM users u LEFT JOIN profiles p ON u.id = p.id"""
+
+ORACLE["j5_people_listing"] = with_ctes(USERS_PROFILES, LISTING)
+ORACLE["l2_locale_sort"] = ORACLE["j5_people_listing"]
+ORACLE["l3_first_page"] = with_ctes(USERS_PROFILES, LISTING + """
+WHERE u.id IN (SELECT id FROM users ORDER BY id LIMIT 200)""")
+
+CREATE_REQ = """,
+req AS (
+  SELECT id, email, json_extract_string(raw_user_meta_data, '$.nome') AS nome,
+         json_extract_string(raw_user_meta_data, '$.papel') AS papel
+  FROM users WHERE """ + email_ok("email") + """)"""
+
+ORACLE["j7_repair_missing_profiles"] = with_ctes(USERS_PROFILES + CREATE_REQ, """
+SELECT id, nome, papel, email, CASE WHEN id IN (SELECT id FROM req) THEN true ELSE senha_provisoria END AS senha_provisoria
+FROM profiles
+UNION ALL
+SELECT id, coalesce(nullif(""" + js_trim("coalesce(nome, '')") + """, ''), split_part(email, '@', 1)),
+       CASE WHEN papel IN ('editor', 'leitor') THEN papel ELSE 'editor' END, email, true
+FROM req WHERE id NOT IN (SELECT id FROM profiles)""")
+
+ORACLE["j8_insert_from_users"] = with_ctes(USERS_PROFILES, """
+SELECT id, nome, papel, email, senha_provisoria FROM profiles
+UNION ALL
+SELECT u.id, c.c_name, 'editor', u.email, false
+FROM customer c JOIN users u ON c.c_custkey = u.id
+WHERE c.c_acctbal < 0 AND u.email IS NOT NULL AND u.id NOT IN (SELECT id FROM profiles)""")
+
+REMOVALS = """,
+rr AS (
+  SELECT doc_id AS request_id, doc_id AS target,
+         CAST(CASE WHEN quality = 0 THEN doc_id ELSE -1 END AS BIGINT) AS actor
+  FROM labels WHERE toxic = 1),
+ro AS (
+  SELECT request_id, target, actor,
+         CASE WHEN target IS NULL THEN 'sem-id' WHEN target = actor THEN 'nao-remove-a-si'
+              WHEN target NOT IN (SELECT id FROM users) THEN 'remover-falhou' ELSE 'removido' END AS outcome
+  FROM rr)"""
+
+ORACLE["j9_remove_people"] = with_ctes(USERS + REMOVALS, """
+SELECT request_id, target, actor, outcome FROM ro""")
+
+ORACLE["j10_orphan_profiles"] = with_ctes(USERS_PROFILES + REMOVALS, """
+SELECT id, nome FROM profiles WHERE id IN (SELECT target FROM ro WHERE outcome = 'removido')""")
+
+ORACLE["q1_constraint_report"] = with_ctes(USERS_PROFILES + REMOVALS, """
+SELECT 'perfil' AS tbl, rule, violations FROM (
+  SELECT 'id_not_null' AS rule, CAST(count_if(id IS NULL) AS BIGINT) AS violations FROM profiles
+  UNION ALL SELECT 'nome_not_null', count_if(nome IS NULL) FROM profiles
+  UNION ALL SELECT 'papel_not_null', count_if(papel IS NULL) FROM profiles
+  UNION ALL SELECT 'papel_in_list', count_if(papel NOT IN ('editor', 'leitor')) FROM profiles
+  UNION ALL SELECT 'senha_not_null', count_if(senha_provisoria IS NULL) FROM profiles
+  UNION ALL SELECT 'id_unique', CAST(count(*) - count(DISTINCT id) AS BIGINT) FROM profiles
+  UNION ALL SELECT 'id_in_users', count(*) FROM profiles
+            WHERE id IN (SELECT target FROM ro WHERE outcome = 'removido'))""")
+
+ORACLE["u2_validate_people_commands"] = """
+WITH c AS (
+  SELECT doc_id AS id, regexp_extract(text, '\\S+@\\S+', 0) AS email,
+         CASE WHEN lang = 'en' THEN '  ' || source || ' ' ELSE '   ' END AS nome,
+         CASE lang WHEN 'en' THEN 'editor' WHEN 'fr' THEN 'leitor' WHEN 'de' THEN 'Leitor' END AS papel
+  FROM documents)
+SELECT id, """ + js_trim("email") + """ AS email, """ + js_trim("coalesce(nome, '')") + """ AS nome,
+       CASE WHEN papel IN ('editor', 'leitor') THEN papel ELSE 'editor' END AS papel,
+       CASE WHEN NOT """ + email_ok("email") + """ THEN 'email-invalido' END AS reason,
+       CASE WHEN NOT """ + email_ok("email") + """ THEN 400 ELSE 200 END AS status
+FROM c"""
+
+CHANGES = """,
+ch AS (
+  SELECT doc_id AS cmd_id, CASE WHEN quality = 0 AND toxic = 1 THEN NULL ELSE doc_id END AS id,
+         CASE WHEN quality = 1 THEN 'Pessoa ' || CAST(doc_id AS VARCHAR) END AS new_nome,
+         CASE WHEN toxic = 1 THEN 'leitor' END AS new_papel
+  FROM labels),
+cho AS (
+  SELECT cmd_id, id,
+         CASE WHEN id IS NULL THEN 'sem-id' WHEN new_nome IS NULL AND new_papel IS NULL THEN 'nada-para-salvar' END AS reason,
+         new_nome, new_papel
+  FROM ch)"""
+
+ORACLE["u3_partial_profile_update"] = with_ctes(PROFILES + CHANGES, """
+SELECT p.id, coalesce(c.new_nome, p.nome) AS nome, coalesce(c.new_papel, p.papel) AS papel, p.email, p.senha_provisoria
+FROM profiles p LEFT JOIN (SELECT * FROM cho WHERE reason IS NULL) c ON p.id = c.id""")
+
+ORACLE["u3_update_outcomes"] = with_ctes(PROFILES + CHANGES, """
+SELECT cmd_id, id, reason, CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status FROM cho""")
+
+ORACLE["u4_update_by_name"] = with_ctes(DERIVED, """,
+cmd AS (
+  SELECT d.nome, l.doc_id AS seq, CASE WHEN l.toxic = 1 THEN 'leitor' ELSE 'editor' END AS papel
+  FROM labels l JOIN derived d ON l.doc_id = d.id),
+lastcmd AS (
+  SELECT nome, papel FROM (SELECT *, row_number() OVER (PARTITION BY nome ORDER BY seq DESC) AS rk FROM cmd) WHERE rk = 1)
+SELECT d.id, d.nome, coalesce(c.papel, d.papel) AS papel
+FROM derived d LEFT JOIN lastcmd c ON d.nome IS NOT DISTINCT FROM c.nome""")
+
+ORACLE["u5_normalise_email"] = with_ctes(USERS, """
+SELECT id, lower(""" + js_trim("email") + """) AS email FROM users""")
+
+ORACLE["p4_changed_rows"] = with_ctes(DERIVED + ",\n" + PROFILES_ONLY, """
+SELECT o.id, o.nome AS old_nome, o.papel AS old_papel, n.nome AS new_nome, n.papel AS new_papel
+FROM profiles o JOIN derived n ON o.id = n.id
+WHERE o.nome IS DISTINCT FROM n.nome OR o.papel IS DISTINCT FROM n.papel""")
+
+ORACLE["p5_role_check"] = with_ctes(USERS, """
+SELECT id, """ + meta("papel", "role") + """ AS role,
+       coalesce(""" + meta("papel", "role") + """ IN ('editor', 'leitor'), false) AS valid
+FROM users""")
+
+# ------------------------------------------------------------------ access
+REQUESTS = """,
+rq AS (
+  SELECT event_id AS request_id,
+         CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS actor,
+         CASE event_type WHEN 'view' THEN 'select' WHEN 'click' THEN 'update' WHEN 'signup' THEN 'insert'
+                         WHEN 'purchase' THEN 'delete' ELSE 'select' END AS verb,
+         CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 34 THEN 'perfil'
+              WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 67 THEN 'pipeline'
+              ELSE 'pipeline_historico' END AS tbl
+  FROM events),
+ao AS (
+  SELECT rq.*,
+         CASE WHEN rq.actor IS NULL THEN 'denied'
+              WHEN rq.verb = 'select' THEN 'allowed'
+              WHEN rq.verb = 'update' AND rq.tbl = 'pipeline' THEN
+                   CASE WHEN p.papel = 'editor' THEN 'allowed' ELSE 'no_rows' END
+              ELSE 'denied' END AS outcome
+  FROM rq LEFT JOIN profiles p ON rq.actor = p.id)"""
+
+ORACLE["x2_access_outcomes"] = with_ctes(PROFILES + REQUESTS, """
+SELECT request_id, actor, verb, tbl, outcome FROM ao""")
+
+ORACLE["x4_history_immutability"] = with_ctes(PROFILES + REQUESTS, """
+SELECT verb, count(*) AS requests, count_if(outcome = 'allowed') AS allowed
+FROM ao WHERE tbl = 'pipeline_historico' AND verb IN ('insert', 'delete') GROUP BY verb""")
+
+SIZES = """,
+sizes AS (
+  SELECT 'perfil' AS tbl, CAST((SELECT count(*) FROM profiles) AS BIGINT) AS n
+  UNION ALL SELECT 'pipeline', (SELECT count(*) FROM cur)
+  UNION ALL SELECT 'pipeline_historico', (SELECT count(*) FROM history))"""
+
+ORACLE["x1_visible_rows"] = with_ctes(RESOLVED + CURRENT + SIZES + REQUESTS.replace("FROM rq LEFT JOIN profiles p", "FROM rq LEFT JOIN profiles p"), """
+SELECT a.actor, s.tbl, CASE WHEN a.actor IS NULL THEN CAST(0 AS BIGINT) ELSE s.n END AS visible_rows
+FROM (SELECT DISTINCT actor FROM rq) a, sizes s""", recursive=True)
+
+ORACLE["a1_row_counts"] = with_ctes(RESOLVED + CURRENT + SIZES + REQUESTS, """,
+kinds AS (
+  SELECT DISTINCT CASE WHEN rq.actor IS NULL THEN 'anon' WHEN p.papel IS NULL THEN 'sem_perfil' ELSE p.papel END AS actor_kind
+  FROM rq LEFT JOIN profiles p ON rq.actor = p.id)
+SELECT k.actor_kind, s.tbl, CASE WHEN k.actor_kind = 'anon' THEN CAST(0 AS BIGINT) ELSE s.n END AS n
+FROM kinds k, sizes s""", recursive=True)

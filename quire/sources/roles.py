@@ -159,3 +159,36 @@ def history_log(t: Tables) -> DataFrame:
     c = t.conversations.select("conv_id", "turn", "role", "text")
     return c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("version"),
                     F.col("role").alias("updated_by"), F.col("text").alias("doc"))
+
+
+def flag_events(t: Tables) -> DataFrame:
+    """Provisional-flag events: sign-up = created by the admin (true), error =
+    password set by the admin (true), view = the person changed it (false)."""
+    e = t.events.select("event_id", "ts", "user_id", "event_type")
+    flag = (F.when(F.col("event_type").isin("signup", "error"), F.lit(True))
+            .when(F.col("event_type") == "view", F.lit(False)))
+    return e.select("event_id", "ts", "user_id", flag.alias("flag")).where(F.col("flag").isNotNull())
+
+
+def removal_requests(t: Tables) -> DataFrame:
+    """Removal requests from toxic labels: the admin (actor -1) removes the
+    labelled person; low-quality rows were filed by the person themself."""
+    l = t.labels.where(F.col("toxic") == 1).select("doc_id", "quality")
+    return l.select(F.col("doc_id").alias("request_id"), F.col("doc_id").alias("target"),
+                    F.when(F.col("quality") == 0, F.col("doc_id")).otherwise(F.lit(-1)).cast("bigint").alias("actor"))
+
+
+def first_order_per_customer(t: Tables) -> DataFrame:
+    return t.orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.min("o_orderkey").alias("first_order"))
+
+
+def label_patches(t: Tables) -> DataFrame:
+    """Per labelled document: the deal id its change script targets. Good
+    labels bring a new deal; the others re-send the document's first order
+    (which exists, so the guarded append must skip it)."""
+    l = t.labels.select("doc_id", "quality", "toxic")
+    j = l.join(first_order_per_customer(t), "doc_id", "left")
+    new_id = F.when((F.col("quality") == 1) | F.col("first_order").isNull(),
+                    F.concat(F.lit("N-L"), F.col("doc_id").cast("string"))) \
+              .otherwise(F.concat(F.lit("N-"), F.col("first_order").cast("string")))
+    return j.select("doc_id", "quality", "toxic", "first_order", new_id.alias("deal_id"))
