@@ -553,3 +553,40 @@ def x4_history_immutability(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return X.history_immutability(X.access_outcomes(roles.requests(t), roles.profiles(t)))
 
+
+
+# ============================================================ streaming
+STREAM_PARTS = 4
+
+
+@query("t1_stream_versioned_writes")
+def t1_stream_versioned_writes(spark, sf_dir):
+    """The write log replayed as 4 micro-batches through per-document
+    state; must equal the batch fold (v5)."""
+    from quire.streaming.writes import run_versioned_writes, stage_log
+    t = Tables(spark, sf_dir)
+    w = roles.writes(t).select("doc_id", "seq", "actor", "expected_version")
+    return run_versioned_writes(spark, stage_log(w, STREAM_PARTS), roles.profiles(t))
+
+
+@query("t2_stream_profiles")
+def t2_stream_profiles(spark, sf_dir):
+    """Users arrive in 4 batches; profiles are derived and inserted when
+    absent - the table afterwards equals j6."""
+    from quire.streaming.profiles import run_profiles
+    from quire.streaming.writes import stage_log
+    t = Tables(spark, sf_dir)
+    table = D.stage_parquet(roles.profiles(t), "t2-profiles")
+    users = roles.users(t).withColumn("seq", F.col("id"))
+    path = stage_log(users, STREAM_PARTS, "t2-users")
+    return run_profiles(spark, path, table)
+
+
+@query("t3_stream_provisional_flag")
+def t3_stream_provisional_flag(spark, sf_dir):
+    """Flag events in 4 batches; the merged snapshot equals v9."""
+    from quire.streaming.flags import run_flags
+    from quire.streaming.writes import stage_log
+    t = Tables(spark, sf_dir)
+    ev = roles.flag_events(t).withColumn("seq", F.col("event_id"))
+    return run_flags(spark, stage_log(ev, STREAM_PARTS, "t3-events"), roles.profiles(t))

@@ -560,3 +560,8 @@ kinds AS (
   FROM rq LEFT JOIN profiles p ON rq.actor = p.id)
 SELECT k.actor_kind, s.tbl, CASE WHEN k.actor_kind = 'anon' THEN CAST(0 AS BIGINT) ELSE s.n END AS n
 FROM kinds k, sizes s""", recursive=True)
+
+# Streaming forms must equal their batch twins.
+ORACLE["t1_stream_versioned_writes"] = ORACLE["v5_resolve_conflicts"]
+ORACLE["t2_stream_profiles"] = ORACLE["j6_insert_if_absent"]
+ORACLE["t3_stream_provisional_flag"] = ORACLE["v9_provisional_flag"]
