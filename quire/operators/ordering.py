@@ -24,7 +24,12 @@ def _keys(key) -> list[str]:
 
 
 def with_chunk(df: DataFrame, order: str, chunk_width: int) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
+    """Adds the chunk number floor(order / chunk_width), in exact integer
+    arithmetic (``div`` truncates toward zero, so negatives are shifted)."""
+    w = int(chunk_width)
+    chunk = F.when(F.col(order) >= 0, F.expr(f"`{order}` div {w}")) \
+             .otherwise(F.expr(f"-((-`{order}` - 1) div {w}) - 1"))
+    return df.withColumn(CHUNK, chunk.cast("bigint"))
 
 
 def _join_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:

@@ -61,23 +61,35 @@ def write_gate(w: DataFrame, profiles: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- V5
 # A write applies iff the document's version equals its expected version at
-# that point of the log; the version then grows by one. That is a fold over
-# each document's log. To keep a hot document parallel the log is cut into
-# seq chunks; each chunk is summarised as a map  entering version -> leaving
-# version  (only entering versions that some write expects can change), maps
-# of neighbouring chunks are composed pairwise (log2(#chunks) levels of
-# equi-joins), the entering version of every chunk follows by binary lifting,
-# and each chunk is finally replayed from its known entering version.
-
-_MAP_SCHEMA = "doc_id long, blk long, s_in int, s_out int"
+# that point of the log (a write without one always applies); the version
+# then grows by one. That is a fold over each document's log. To keep a hot
+# document parallel the log is cut into seq chunks and each chunk is
+# summarised as a function  entering version -> leaving version:
+#   * ``u`` = number of unconditional writes in the chunk, and
+#   * a map on the few "special" entering versions that meet some
+#     conditional write; every other entering version v leaves as v + u.
+# Summaries of neighbouring chunks are composed pairwise (log2(#chunks)
+# levels of equi-joins on (doc, block, version)), the entering version of
+# every chunk follows by binary lifting, and each chunk is finally replayed
+# from its known entering version. Every group handed to Python is one chunk.
+
+_SUMMARY_SCHEMA = "doc_id long, blk long, s_in int, s_out int, u int"
 _FOLD_SCHEMA = "doc_id long, seq long, applied boolean, version int"
 
 
-def _chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    exps = pdf["expected_version"].to_numpy(dtype=np.int64)
-    origins = np.unique(exps)
-    parent = {int(s): int(s) for s in origins}
+def _summarise(exps: list) -> tuple[dict, int]:
+    """Transfer function of one chunk: ({special entering -> leaving}, u).
+
+    States are tracked relative to the number of unconditional writes seen
+    so far; groups of entering versions that meet merge (union-find)."""
+    origins, off = [], 0
+    for e in exps:
+        if e is None:
+            off += 1
+        else:
+            origins.append(e - off)
+    origins = sorted(set(origins))
+    parent = {o: o for o in origins}
 
     def find(g):
         while parent[g] != g:
@@ -85,30 +97,46 @@ def _chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
             g = parent[g]
         return g
 
-    at = {int(s): int(s) for s in origins}          # state -> group
+    at = {o: o for o in origins}            # relative state -> group
+    off = 0
     for e in exps:
-        g = at.pop(int(e), None)
+        if e is None:
+            off += 1
+            continue
+        g = at.pop(e - off, None)
         if g is None:
             continue
-        nxt = int(e) + 1
+        nxt = e - off + 1
         if nxt in at:
             parent[find(g)] = find(at[nxt])
         else:
             at[nxt] = g
-    state_of = {find(g): s for s, g in at.items()}
+    final = {find(g): r + off for r, g in at.items()}
+    return {o: final[find(o)] for o in origins}, off
+
+
+def _expected_list(pdf: pd.DataFrame) -> list:
+    return [None if pd.isna(x) else int(x) for x in pdf["expected_version"].tolist()]
+
+
+def _chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("seq")
+    m, u = _summarise(_expected_list(pdf))
+    n = len(m) + 1
     return pd.DataFrame({
-        "doc_id": np.int64(pdf["doc_id"].iloc[0]),
-        "blk": np.int64(pdf[CHUNK].iloc[0]),
-        "s_in": origins.astype(np.int32),
-        "s_out": np.array([state_of[find(int(s))] for s in origins], dtype=np.int32)})
+        "doc_id": np.full(n, np.int64(pdf["doc_id"].iloc[0])),
+        "blk": np.full(n, np.int64(pdf[CHUNK].iloc[0])),
+        "s_in": pd.array(list(m.keys()) + [None], dtype="Int32"),
+        "s_out": pd.array(list(m.values()) + [None], dtype="Int32"),
+        "u": np.full(n, np.int32(u))})
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq")
     state = int(pdf["_s0"].iloc[0])
     applied, version = [], []
-    for e in pdf["expected_version"].to_numpy(dtype=np.int64):
-        if e == state:
+    for e in _expected_list(pdf):
+        if e is None or e == state:
             state += 1
             applied.append(True)
             version.append(state)
@@ -122,47 +150,64 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _compose(m: DataFrame) -> DataFrame:
-    m = m.withColumn("_par", F.shiftright("blk", 1)).withColumn("_odd", F.col("blk").bitwiseAND(F.lit(1)))
-    left = m.where(F.col("_odd") == 0).alias("l")
-    right = m.where(F.col("_odd") == 1).alias("r")
-    on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l._par") == F.col("r._par"))
-    through = left.join(right, on & (F.col("l.s_out") == F.col("r.s_in")), "left").select(
-        F.col("l.doc_id").alias("doc_id"), F.col("l._par").alias("blk"), F.col("l.s_in").alias("s_in"),
-        F.coalesce(F.col("r.s_out"), F.col("l.s_out")).alias("s_out"))
-    only_right = right.join(left, on & (F.col("l.s_in") == F.col("r.s_in")), "left_anti").select(
-        F.col("doc_id"), F.col("_par").alias("blk"), F.col("s_in"), F.col("s_out"))
-    return through.unionByName(only_right)
+    """Summaries of blocks 2p and 2p+1 -> summary of block p."""
+    m = m.withColumn("_p", F.shiftright("blk", 1)).withColumn("_odd", F.col("blk").bitwiseAND(F.lit(1)) == 1)
+    spec = m.where(F.col("s_in").isNotNull())
+    dflt = m.where(F.col("s_in").isNull())
+    ls = spec.where(~F.col("_odd")).select("doc_id", "_p", F.col("s_in").alias("a"), F.col("s_out").alias("b"))
+    rs = spec.where(F.col("_odd")).select("doc_id", "_p", F.col("s_in").alias("c"), F.col("s_out").alias("d"))
+    lu = dflt.where(~F.col("_odd")).select("doc_id", "_p", F.col("u").alias("ul"))
+    ru = dflt.where(F.col("_odd")).select("doc_id", "_p", F.col("u").alias("ur"))
+    # left specials: a -> b, then through the right block
+    through = ls.join(rs.withColumnRenamed("c", "b"), ["doc_id", "_p", "b"], "left") \
+                .join(ru, ["doc_id", "_p"], "left") \
+                .select("doc_id", "_p", F.col("a").alias("s_in"),
+                        F.coalesce(F.col("d"), F.col("b") + F.coalesce(F.col("ur"), F.lit(0))).alias("s_out"))
+    # right specials reached by versions the left block only shifts
+    shifted = rs.join(lu, ["doc_id", "_p"], "left") \
+                .select("doc_id", "_p", (F.col("c") - F.coalesce(F.col("ul"), F.lit(0))).alias("s_in"),
+                        F.col("d").alias("s_out"))
+    shifted = shifted.join(ls.withColumnRenamed("a", "s_in"), ["doc_id", "_p", "s_in"], "left_anti")
+    specials = through.unionByName(shifted).select("doc_id", F.col("_p").alias("blk"), "s_in", "s_out",
+                                                   F.lit(None).cast("int").alias("u"))
+    defaults = lu.join(ru, ["doc_id", "_p"], "full").select(
+        "doc_id", F.col("_p").alias("blk"), F.lit(None).cast("int").alias("s_in"), F.lit(None).cast("int").alias("s_out"),
+        (F.coalesce(F.col("ul"), F.lit(0)) + F.coalesce(F.col("ur"), F.lit(0))).cast("int").alias("u"))
+    return specials.unionByName(defaults)
 
 
 def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
     """V5: per write ``outcome`` (applied / conflict / forbidden) and the new
     ``version`` of applied writes. ``w`` needs doc_id, seq, expected_version
-    and ``eligible`` (J3); ``base`` holds each document's starting version
-    (absent documents start at 1). Access is decided first: a write that is
-    not eligible is 'forbidden' whatever its version."""
-    elig = with_chunk(w.where(F.col("eligible")).select("doc_id", "seq", "expected_version"),
-                      "seq", chunk_width)
-    spark = w.sparkSession
-    maps = [elig.groupBy("doc_id", CHUNK).applyInPandas(_chunk_map, _MAP_SCHEMA)]
+    (NULL = no version predicate) and ``eligible`` (J3); ``base`` holds each
+    document's starting version (absent documents start at 1). Access is
+    decided first: a write that is not eligible is 'forbidden' whatever its
+    version."""
+    # The eligible log (3 narrow columns) is read several times below:
+    # materialise it once in the shared folder.
+    elig = cut_lineage(with_chunk(w.where(F.col("eligible")).select("doc_id", "seq", "expected_version"),
+                                  "seq", chunk_width), "eligible-log")
     top = elig.agg(F.max(CHUNK)).first()[0]
     levels = int(top).bit_length() if top is not None else 0
+    maps = []
     if levels:
-        maps[0] = cut_lineage(maps[0])
+        maps.append(cut_lineage(elig.groupBy("doc_id", CHUNK).applyInPandas(_chunk_map, _SUMMARY_SCHEMA), "fold-maps"))
     for _ in range(1, levels):
-        maps.append(cut_lineage(_compose(maps[-1])))
+        maps.append(cut_lineage(_compose(maps[-1]), "fold-maps"))
     start = base.select("doc_id", F.col("version").alias("_b"))
     q = elig.select("doc_id", CHUNK).distinct().join(start, "doc_id", "left") \
             .withColumn("_s", F.coalesce(F.col("_b"), F.lit(1)).cast("int")).drop("_b")
     for j in reversed(range(levels)):
-        m = maps[j].alias("m")
+        spec = maps[j].where(F.col("s_in").isNotNull()).select("doc_id", F.col("blk").alias("_blk"),
+                                                               F.col("s_in").alias("_s"), "s_out")
+        dflt = maps[j].where(F.col("s_in").isNull()).select("doc_id", F.col("blk").alias("_blk"), "u")
         bit = F.shiftright(F.col(CHUNK), j).bitwiseAND(F.lit(1)) == 1
         q = q.withColumn("_blk", F.when(bit, F.shiftright(F.col(CHUNK), j) - 1))
-        qa = q.alias("q")
-        q = qa.join(m, (F.col("q.doc_id") == F.col("m.doc_id")) & (F.col("q._blk") == F.col("m.blk"))
-                    & (F.col("q._s") == F.col("m.s_in")), "left").select(
-            "q.doc_id", f"q.{CHUNK}", F.coalesce(F.col("m.s_out"), F.col("q._s")).alias("_s"))
+        q = q.join(spec, ["doc_id", "_blk", "_s"], "left").join(dflt, ["doc_id", "_blk"], "left") \
+             .select("doc_id", CHUNK, F.coalesce(F.col("s_out"), F.col("_s") + F.coalesce(F.col("u"), F.lit(0)))
+                     .cast("int").alias("_s"))
     if levels > 2:
-        q = cut_lineage(q)
+        q = cut_lineage(q, "fold-entering")
     entering = elig.join(q.withColumnRenamed("_s", "_s0"), ["doc_id", CHUNK], "inner")
     folded = entering.groupBy("doc_id", CHUNK).applyInPandas(_replay, _FOLD_SCHEMA)
     out = w.join(folded, ["doc_id", "seq"], "left")
@@ -241,7 +286,8 @@ def apply_writes(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width
     Returns (outcomes, history, current)."""
     clean = ignore_claimed_fields(w)
     gated = with_actor_profile(clean, profiles)
-    resolved = resolve_conflicts(gated, base, chunk_width)
+    # Outcomes are the log's durable result; history and current both read them.
+    resolved = cut_lineage(resolve_conflicts(gated, base, chunk_width), "outcomes")
     stamped = resolved.where(F.col("outcome") == APPLIED) \
         .withColumn("updated_at", F.col("ts")).withColumn("updated_by", F.col("author"))
     history = before_images(stamped, base, chunk_width)

@@ -66,10 +66,10 @@ fold AS (
   FROM (SELECT DISTINCT doc_id FROM gated)
   UNION ALL
   SELECT s.doc_id, s.rn,
-         CASE WHEN s.eligible AND s.expected_version = f.ver THEN f.ver + 1 ELSE f.ver END,
+         CASE WHEN s.eligible AND coalesce(s.expected_version = f.ver, true) THEN f.ver + 1 ELSE f.ver END,
          CASE WHEN NOT s.eligible THEN 'forbidden'
-              WHEN s.expected_version = f.ver THEN 'applied' ELSE 'conflict' END,
-         CASE WHEN s.eligible AND s.expected_version = f.ver THEN f.ver + 1 END
+              WHEN coalesce(s.expected_version = f.ver, true) THEN 'applied' ELSE 'conflict' END,
+         CASE WHEN s.eligible AND coalesce(s.expected_version = f.ver, true) THEN f.ver + 1 END
   FROM fold f JOIN seqd s ON s.doc_id = f.doc_id AND s.rn = f.rn + 1),
 resolved AS (
   SELECT s.doc_id, s.seq, s.actor, s.ts, s.kind, s.expected_version, s.n_deals, s.author,

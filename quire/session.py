@@ -70,7 +70,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quire/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (never localCheckpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Materialise ``df`` as a parquet table in the shared folder and read it
+    back: the plan above is computed once, later readers scan the table, and
+    a lost executor re-reads files instead of replaying the lineage (never
+    ``localCheckpoint``, never a machine-local folder)."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
