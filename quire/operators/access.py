@@ -27,10 +27,11 @@ def rules_frame(spark: SparkSession) -> DataFrame:
 
 
 def actor_class(actor_col="actor", service_col=None):
-    c = F.when(F.col(actor_col).isNull(), F.lit("anon"))
-    if service_col is not None:
-        c = c.when(F.col(service_col), F.lit("service"))
-    return c.otherwise(F.lit("authenticated"))
+    """service (key holder, checked first) / anon (no session) / authenticated."""
+    anon = F.when(F.col(actor_col).isNull(), F.lit("anon")).otherwise(F.lit("authenticated"))
+    if service_col is None:
+        return anon
+    return F.when(F.coalesce(F.col(service_col), F.lit(False)), F.lit("service")).otherwise(anon)
 
 
 def access_outcomes(requests: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -90,3 +91,41 @@ def history_immutability(outcomes: DataFrame) -> DataFrame:
     h = outcomes.where((F.col("tbl") == "pipeline_historico") & F.col("verb").isin("insert", "delete"))
     return h.groupBy("verb").agg(F.count(F.lit(1)).alias("requests"),
                                  F.count_if(F.col("outcome") == ALLOWED).alias("allowed"))
+
+
+def scenario_report(steps: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
+    """A scripted sequence of requests against the document table.
+
+    ``steps``: step (order), doc_id, actor (NULL = anonymous), verb, tbl,
+    expected_version (NULL = no version predicate), claimed_version,
+    claimed_author, n_deals (size of the document an update sends).
+    Every step goes through the grants/policies (X2); pipeline updates that
+    pass go through V4 -> V5 -> stamping. Each step reports its outcome and
+    the document as the actor would read it afterwards: version, author,
+    deals, and the history rows so far (NULL where the actor is denied).
+    """
+    from quire.operators.ordering import ordered_last
+    from quire.operators.versions import (APPLIED, author_name, ignore_claimed_fields,
+                                          resolve_conflicts)
+
+    req = steps.withColumnRenamed("step", "request_id")
+    acc = access_outcomes(req, profiles)
+    upd = acc.where((F.col("tbl") == "pipeline") & (F.col("verb") == "update") & (F.col("outcome") == ALLOWED))
+    w = ignore_claimed_fields(upd.select("doc_id", F.col("request_id").alias("seq"), "actor", "expected_version",
+                                         "n_deals", F.lit(True).alias("eligible")))
+    res = author_name(resolve_conflicts(w, base, chunk_width), profiles) \
+        .select("seq", F.col("outcome").alias("_wo"), F.col("version").alias("_wv"), F.col("author").alias("_wa"))
+    j = acc.join(res, acc["request_id"] == res["seq"], "left").drop("seq")
+    j = j.withColumn("outcome", F.coalesce(F.col("_wo"), F.col("outcome"))) \
+         .withColumn("_applied", F.coalesce(F.col("_wo") == APPLIED, F.lit(False)))
+    s = ordered_last(j, "doc_id", "request_id", ["_wv", "_wa", "n_deals"], "_applied", "cur_", chunk_width)
+    b = base.select("doc_id", F.col("version").alias("_bv"), F.col("updated_by").alias("_ba"),
+                    F.col("n_deals").alias("_bd"))
+    s = s.join(b, "doc_id", "left")
+    seen = F.col("actor_class") != "anon"
+    return s.select(
+        F.col("request_id").alias("step"), "actor", "verb", "tbl", "outcome",
+        F.when(seen, F.coalesce("cur__wv", "_bv")).alias("version"),
+        F.when(seen, F.coalesce("cur__wa", "_ba")).alias("author"),
+        F.when(seen, F.coalesce("cur_n_deals", "_bd")).alias("deals"),
+        F.when(seen, F.col("cur_count")).alias("history"))

@@ -84,3 +84,34 @@ def last_wins_by_key(df: DataFrame, key, seq: str) -> DataFrame:
     packed = F.struct(*[F.col(c) for c in rest])
     out = df.groupBy(*keys).agg(F.max_by(packed, F.col(seq)).alias("_q_row"))
     return out.select(*keys, *[F.col("_q_row")[c].alias(c) for c in rest])
+
+
+def ordered_last(df: DataFrame, key, order: str, cols: list[str], flag: str, prefix: str = "last_",
+                 chunk_width: int = 1 << 16) -> DataFrame:
+    """Adds ``prefix+c``: value of ``c`` on the latest row at or before this
+    one (same key, by ``order``) whose ``flag`` is true, plus
+    ``prefix+'count'``: how many flagged rows that is (an as-of lookup and a
+    running count, both chunked like ``ordered_rank``)."""
+    keys = _keys(key)
+    d = with_chunk(df, order, chunk_width)
+    packed = F.when(F.col(flag), F.struct(*[F.col(c) for c in cols]))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_q_in", F.last(packed, ignorenulls=True).over(inside)) \
+         .withColumn("_q_cnt", F.count_if(F.col(flag)).over(inside))
+    # one summary row per (key, chunk), flagged or not, so a chunk without
+    # flagged rows still inherits from the chunks before it
+    per = d.groupBy(*keys, CHUNK).agg(
+        F.max_by(packed, F.when(F.col(flag), F.col(order))).alias("_q_last"),
+        F.count_if(F.col(flag)).alias("_q_n"))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, CHUNK, F.last("_q_last", ignorenulls=True).over(before).alias("_q_prev"),
+                       F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_off"))
+    c = carry.alias("_c")
+    d = d.alias("_d")
+    j = d.join(c, _join_on(d, c, keys + [CHUNK]), "inner").select("_d.*", "_c._q_prev", "_c._q_off")
+    j = j.withColumn("_q_val", F.coalesce(F.col("_q_in"), F.col("_q_prev")))
+    out = j
+    for cname in cols:
+        out = out.withColumn(prefix + cname, F.col("_q_val")[cname])
+    out = out.withColumn(prefix + "count", (F.col("_q_cnt") + F.coalesce(F.col("_q_off"), F.lit(0))).cast("bigint"))
+    return out.drop(CHUNK, "_q_in", "_q_cnt", "_q_prev", "_q_off", "_q_val")
