@@ -590,3 +590,12 @@ def t3_stream_provisional_flag(spark, sf_dir):
     t = Tables(spark, sf_dir)
     ev = roles.flag_events(t).withColumn("seq", F.col("event_id"))
     return run_flags(spark, stage_log(ev, STREAM_PARTS, "t3-events"), roles.profiles(t))
+
+
+@query("x3_scenario_report")
+def x3_scenario_report(spark, sf_dir):
+    """Every event as a scripted step (reads, writes, forged claims,
+    stale versions, reader writes, history deletes) against its document."""
+    t = Tables(spark, sf_dir)
+    w = roles.writes(t)
+    return X.scenario_report(roles.scenario_steps(t, w), roles.profiles(t), roles.base_documents(w))

@@ -565,3 +565,39 @@ FROM kinds k, sizes s""", recursive=True)
 ORACLE["t1_stream_versioned_writes"] = ORACLE["v5_resolve_conflicts"]
 ORACLE["t2_stream_profiles"] = ORACLE["j6_insert_if_absent"]
 ORACLE["t3_stream_provisional_flag"] = ORACLE["v9_provisional_flag"]
+
+ORACLE["x3_scenario_report"] = with_ctes(PROFILES + ",\n" + WRITES + REQUESTS, """,
+steps AS (
+  SELECT ao.request_id AS step, w.doc_id, ao.actor, ao.verb, ao.tbl, ao.outcome AS access,
+         CASE WHEN ao.verb = 'update' THEN w.expected_version END AS expected_version,
+         CASE WHEN ao.verb = 'update' THEN w.n_deals END AS n_deals
+  FROM ao JOIN writes w ON w.seq = ao.request_id),
+upd AS (
+  SELECT s.*, coalesce(p.nome, 'desconhecido') AS author,
+         row_number() OVER (PARTITION BY s.doc_id ORDER BY s.step) AS rn
+  FROM steps s LEFT JOIN profiles p ON s.actor = p.id
+  WHERE s.tbl = 'pipeline' AND s.verb = 'update' AND s.access = 'allowed'),
+fold AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS rn, 1 AS ver, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS INTEGER) AS version
+  FROM (SELECT DISTINCT doc_id FROM writes)
+  UNION ALL
+  SELECT u.doc_id, u.rn,
+         CASE WHEN coalesce(u.expected_version = f.ver, true) THEN f.ver + 1 ELSE f.ver END,
+         CASE WHEN coalesce(u.expected_version = f.ver, true) THEN 'applied' ELSE 'conflict' END,
+         CASE WHEN coalesce(u.expected_version = f.ver, true) THEN f.ver + 1 END
+  FROM fold f JOIN upd u ON u.doc_id = f.doc_id AND u.rn = f.rn + 1),
+res AS (SELECT u.step, f.outcome, f.version, u.author, u.n_deals FROM upd u JOIN fold f ON u.doc_id = f.doc_id AND u.rn = f.rn),
+joined AS (
+  SELECT s.step, s.doc_id, s.actor, s.verb, s.tbl, coalesce(r.outcome, s.access) AS outcome,
+         CASE WHEN r.outcome = 'applied' THEN r.version END AS av,
+         CASE WHEN r.outcome = 'applied' THEN r.author END AS aa,
+         CASE WHEN r.outcome = 'applied' THEN r.n_deals END AS ad,
+         coalesce(r.outcome = 'applied', false) AS is_applied
+  FROM steps s LEFT JOIN res r ON s.step = r.step)
+SELECT step, actor, verb, tbl, outcome,
+       CASE WHEN actor IS NOT NULL THEN coalesce(last_value(av IGNORE NULLS) OVER w, 1) END AS version,
+       CASE WHEN actor IS NOT NULL THEN coalesce(last_value(aa IGNORE NULLS) OVER w, 'carga inicial') END AS author,
+       CASE WHEN actor IS NOT NULL THEN coalesce(last_value(ad IGNORE NULLS) OVER w, CAST(0 AS BIGINT)) END AS deals,
+       CASE WHEN actor IS NOT NULL THEN CAST(count_if(is_applied) OVER w AS BIGINT) END AS history
+FROM joined
+WINDOW w AS (PARTITION BY doc_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", recursive=True)

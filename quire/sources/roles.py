@@ -192,3 +192,18 @@ def label_patches(t: Tables) -> DataFrame:
                     F.concat(F.lit("N-L"), F.col("doc_id").cast("string"))) \
               .otherwise(F.concat(F.lit("N-"), F.col("first_order").cast("string")))
     return j.select("doc_id", "quality", "toxic", "first_order", new_id.alias("deal_id"))
+
+
+def scenario_steps(t: Tables, w: DataFrame) -> DataFrame:
+    """Every request as a scripted step on document ``props.k``: pipeline
+    updates carry the write log's expected version and claims."""
+    r = requests(t)
+    ww = w.select(F.col("seq").alias("request_id"), "doc_id", "expected_version", "claimed_version",
+                  "claimed_author", "n_deals")
+    j = r.join(ww, "request_id", "inner")
+    upd = F.col("verb") == "update"
+    return j.select(F.col("request_id").alias("step"), "doc_id", "actor", "verb", "tbl",
+                    F.when(upd, F.col("expected_version")).alias("expected_version"),
+                    F.when(upd, F.col("claimed_version")).alias("claimed_version"),
+                    F.when(upd, F.col("claimed_author")).alias("claimed_author"),
+                    F.when(upd, F.col("n_deals")).alias("n_deals"))
