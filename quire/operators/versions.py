@@ -280,14 +280,18 @@ def sort_by_version(history: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- chain
-def apply_writes(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = 1 << 16):
+def apply_writes(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = 1 << 16,
+                 materialize: bool = True):
     """E1 end to end: V4 -> J2/J3 -> V5 -> V1/V3 stamps -> V2 history -> V7.
 
-    Returns (outcomes, history, current)."""
+    Returns (outcomes, history, current). With ``materialize`` the outcomes
+    (the log's durable result, read by both history and current) are written
+    once to the shared folder; a caller that uses a single output can skip it."""
     clean = ignore_claimed_fields(w)
     gated = with_actor_profile(clean, profiles)
-    # Outcomes are the log's durable result; history and current both read them.
-    resolved = cut_lineage(resolve_conflicts(gated, base, chunk_width), "outcomes")
+    resolved = resolve_conflicts(gated, base, chunk_width)
+    if materialize:
+        resolved = cut_lineage(resolved, "outcomes")
     stamped = resolved.where(F.col("outcome") == APPLIED) \
         .withColumn("updated_at", F.col("ts")).withColumn("updated_by", F.col("author"))
     history = before_images(stamped, base, chunk_width)

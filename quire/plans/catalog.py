@@ -31,10 +31,10 @@ def query(name: str):
 
 
 # ============================================================ write log (V*)
-def _e1(spark, sf_dir):
+def _e1(spark, sf_dir, materialize=False):
     t = Tables(spark, sf_dir)
     w = roles.writes(t)
-    return V.apply_writes(w, roles.profiles(t), roles.base_documents(w))
+    return V.apply_writes(w, roles.profiles(t), roles.base_documents(w), materialize=materialize)
 
 
 def _stamped(resolved: DataFrame) -> DataFrame:
@@ -527,7 +527,7 @@ def _actor_kinds(t: Tables) -> DataFrame:
 
 def _sizes(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    _, history, current = _e1(spark, sf_dir)
+    _, history, current = _e1(spark, sf_dir, materialize=True)
     return X.table_sizes(roles.profiles(t), current, history)
 
 

@@ -79,3 +79,32 @@ def cut_lineage(df, name: str = "stage"):
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+class conf_override:
+    """Temporarily set session options (e.g. the state partition count a
+    streaming query fixes at start), restoring the previous values."""
+
+    def __init__(self, spark: SparkSession, options: dict):
+        self.spark, self.options, self.saved = spark, options, {}
+
+    def __enter__(self):
+        for k, v in self.options.items():
+            self.saved[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, str(v))
+        return self
+
+    def __exit__(self, *exc):
+        for k, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False
+
+
+def default_state_partitions(spark: SparkSession) -> int:
+    """One state partition per executor core: stateful streaming does not get
+    AQE's partition coalescing, so 200 tiny state stores per batch on a small
+    cluster (or 8 cores) cost more than the state itself."""
+    return max(1, spark.sparkContext.defaultParallelism)

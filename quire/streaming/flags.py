@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import shared_path
+from quire.session import conf_override, default_state_partitions, shared_path
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, flag boolean"
 
@@ -45,12 +45,15 @@ def _latest_epoch(spark: SparkSession, root: str, below: int | None = None) -> s
     return f"{root}/{names[-1]}" if names else None
 
 
-def run_flags(spark: SparkSession, events_path: str, profiles: DataFrame, files_per_trigger: int = 1) -> DataFrame:
+def run_flags(spark: SparkSession, events_path: str, profiles: DataFrame, files_per_trigger: int = 1,
+              state_partitions: int | None = None) -> DataFrame:
     root = shared_path(spark, "t3-flags")
     ckpt = shared_path(spark, "t3-ckpt")
     ev = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
-    q = latest_flags(ev).writeStream.outputMode("update").foreachBatch(snapshot_sink(root)) \
-        .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    n = state_partitions or default_state_partitions(spark)
+    with conf_override(spark, {"spark.sql.shuffle.partitions": n}):
+        q = latest_flags(ev).writeStream.outputMode("update").foreachBatch(snapshot_sink(root)) \
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     last = _latest_epoch(spark, root)
     p = profiles.select("id", "senha_provisoria")

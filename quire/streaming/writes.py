@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.versions import APPLIED, CONFLICT, FORBIDDEN, with_actor_profile
-from quire.session import shared_path
+from quire.session import conf_override, cut_lineage, default_state_partitions, shared_path
 
 OUT_SCHEMA = ("doc_id long, seq long, actor long, expected_version int, eligible boolean, "
               "outcome string, version int")
@@ -63,6 +63,7 @@ def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
     stream replays it as ``parts`` micro-batches in commit order."""
     spark = w.sparkSession
     path = shared_path(spark, name)
+    w = cut_lineage(w, name + "-src")        # derive once, then cut by seq range
     bounds = w.agg(F.min("seq"), F.max("seq")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     step = (hi - lo) // parts + 1
@@ -73,13 +74,16 @@ def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
 
 
 def run_versioned_writes(spark: SparkSession, log_path: str, profiles: DataFrame,
-                         files_per_trigger: int = 1) -> DataFrame:
+                         files_per_trigger: int = 1, state_partitions: int | None = None) -> DataFrame:
     """Drive T1 over a staged log to completion (``availableNow``) into a
-    parquet sink in the shared folder; returns the sink as a batch frame."""
+    parquet sink in the shared folder; returns the sink as a batch frame.
+    ``state_partitions`` is fixed into the checkpoint at the first start."""
     out = shared_path(spark, "t1-out")
     ckpt = shared_path(spark, "t1-ckpt")
     log = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(log_path)
-    q = versioned_writes_stream(log, profiles).writeStream.format("parquet").option("path", out) \
-        .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
+    n = state_partitions or default_state_partitions(spark)
+    with conf_override(spark, {"spark.sql.shuffle.partitions": n}):
+        q = versioned_writes_stream(log, profiles).writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(OUT_SCHEMA).parquet(out)
