@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from quire.functions.text import col
 
@@ -43,16 +44,24 @@ def append_if_absent(arr, new_elements, guard) -> Column:
     return F.when(guard, col(arr)).otherwise(F.concat(col(arr), col(new_elements)))
 
 
-def patch_by_id(arr, id_value, patch: dict[str, Column]) -> Column:
-    """Shallow right-wins merge ``e || patch`` on the element whose id matches.
-
-    ``patch`` maps field name -> new value; keys present in the patch replace
-    the field, even with NULL (a JSON null overrides)."""
-    return F.transform(col(arr), lambda e: F.when(e["id"] == id_value, _with_fields(e, patch)).otherwise(e))
-
-
-def _with_fields(e, patch):
-    out = e
-    for k, v in patch.items():
-        out = out.withField(k, v)
-    return out
+def patch_by_id(arr, id_value, patch, element_type) -> Column:
+    """M2 on one document: shallow right-wins merge ``e || patch`` on the
+    element(s) whose id matches. ``patch`` is a map<string,string> column; a
+    key present replaces the field (cast to its type), even with NULL (a JSON
+    null overrides); absent keys keep the element's value."""
+    fields = [(f.name, f.dataType) for f in element_type.fields if f.name != "id"]
+
+    def value(name, typ):
+        # atomic fields take the text cast to their type; nested ones (arrays,
+        # objects) take the text as JSON
+        if isinstance(typ, (ArrayType, MapType, StructType)):
+            return F.from_json(patch[name], typ)
+        return patch[name].cast(typ)
+
+    def merge(e):
+        out = e
+        for name, typ in fields:
+            hit = F.coalesce(F.map_contains_key(patch, F.lit(name)), F.lit(False))
+            out = out.withField(name, F.when(hit, value(name, typ)).otherwise(e[name]))
+        return out
+    return F.transform(col(arr), lambda e: F.when(e["id"] == id_value, merge(e)).otherwise(e))

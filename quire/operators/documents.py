@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from quire.functions import nested as N
 from quire.functions.text import blank_label
@@ -154,10 +155,17 @@ def patch_elements(ds: DocumentSet, kind: str, patches: DataFrame) -> DocumentSe
     cur = ds.kind(kind)
     p = patches.select("doc_id", "id", F.col("patch").alias("_patch"))
     j = cur.join(p, ["doc_id", "id"], "left")
-    fields = [c for c in cur.columns if c not in ("doc_id", "id", "pos")]
-    out = j.select("doc_id", "pos", "id", *[
-        F.when(F.coalesce(F.map_contains_key("_patch", f), F.lit(False)),
-               F.col("_patch")[f].cast(cur.schema[f].dataType)).otherwise(F.col(f)).alias(f) for f in fields])
+    fields = [c for c in cur.columns if c not in ("doc_id", "id", "pos", "deal_id")]
+    keys = [c for c in ("doc_id", "deal_id", "pos", "id") if c in cur.columns]
+
+    def value(f):
+        typ = cur.schema[f].dataType
+        if isinstance(typ, (ArrayType, MapType, StructType)):
+            return F.from_json(F.col("_patch")[f], typ)
+        return F.col("_patch")[f].cast(typ)
+    out = j.select(*keys, *[
+        F.when(F.coalesce(F.map_contains_key("_patch", f), F.lit(False)), value(f)).otherwise(F.col(f)).alias(f)
+        for f in fields])
     return ds.with_kind(kind, out.select(*cur.columns))
 
 
@@ -197,6 +205,16 @@ def append_if_absent_nested(nested: DataFrame, patches: DataFrame) -> DataFrame:
                     (~guard).alias("appended"))
 
 
+def patch_elements_nested(nested: DataFrame, kind: str, patches: DataFrame) -> DataFrame:
+    """M2 on nested documents: ``patches`` (doc_id, id, patch map) - one
+    patch per document here, joined on doc_id and applied inside the row."""
+    etype = nested.schema["doc"].dataType[kind].dataType.elementType
+    j = nested.join(patches.select("doc_id", F.col("id").alias("_pid"), F.col("patch").alias("_patch")), "doc_id", "left")
+    arr = F.col("doc")[kind]
+    new = F.when(F.col("_pid").isNull(), arr).otherwise(N.patch_by_id(arr, F.col("_pid"), F.col("_patch"), etype))
+    return j.withColumn("doc", F.col("doc").withField(kind, new)).drop("_pid", "_patch")
+
+
 def set_path_nested(nested: DataFrame, kind: str, value: Column) -> DataFrame:
     """M3 on nested documents: replace ``doc.kind`` by ``value``."""
     return nested.withColumn("doc", F.col("doc").withField(kind, value))

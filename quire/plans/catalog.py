@@ -263,17 +263,33 @@ def m1_append_if_absent_nested(spark, sf_dir):
                       F.size("doc.deals").cast("bigint").alias("deals"))
 
 
-@query("m2_patch_elements")
-def m2_patch_elements(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def _deal_patches(t: Tables):
+    """Change-script patches: the first order of each labelled document gets
+    a new owner; toxic ones are sent for review and lose their notes (a key
+    set to JSON null overrides)."""
     p = roles.label_patches(t).where(F.col("first_order").isNotNull())
     patch = F.when(F.col("toxic") == 1,
                    F.create_map(F.lit("responsavel"), F.lit("revisar"), F.lit("notas"), F.lit(None).cast("string"))) \
              .otherwise(F.create_map(F.lit("responsavel"), F.concat(F.lit("owner-"), F.col("doc_id").cast("string"))))
-    patches = p.select("doc_id", F.concat(F.lit("N-"), F.col("first_order").cast("string")).alias("id"),
-                       patch.alias("patch"))
+    return p.select("doc_id", F.concat(F.lit("N-"), F.col("first_order").cast("string")).alias("id"),
+                    patch.alias("patch"))
+
+
+@query("m2_patch_elements")
+def m2_patch_elements(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    patches = _deal_patches(t)
     ds = DO.patch_elements(D.from_tables(t), "deals", patches)
-    return ds.deals.join(p.select("doc_id"), "doc_id", "left_semi").select("doc_id", "id", "responsavel", "notas")
+    return ds.deals.join(patches.select("doc_id"), "doc_id", "left_semi").select("doc_id", "id", "responsavel", "notas")
+
+
+@query("m2_patch_elements_nested")
+def m2_patch_elements_nested(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    patches = _deal_patches(t)
+    nested = D.nest(D.from_tables(t)).join(patches.select("doc_id"), "doc_id", "left_semi")
+    out = DO.patch_elements_nested(nested, "deals", patches)
+    return D.flatten(out, "deals").select("doc_id", "id", "responsavel", "notas")
 
 
 @query("m3_set_path")

@@ -601,3 +601,5 @@ SELECT step, actor, verb, tbl, outcome,
        CASE WHEN actor IS NOT NULL THEN CAST(count_if(is_applied) OVER w AS BIGINT) END AS history
 FROM joined
 WINDOW w AS (PARTITION BY doc_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", recursive=True)
+
+ORACLE["m2_patch_elements_nested"] = ORACLE["m2_patch_elements"] + " AND d.doc_id IN (SELECT c_custkey FROM customer)"
