@@ -201,7 +201,7 @@ who AS (
   SELECT l_orderkey, first('supplier-' || CAST(l_suppkey AS VARCHAR) ORDER BY l_shipdate, l_suppkey, l_linestatus) AS who
   FROM lineitem GROUP BY l_orderkey),
 item_counts AS (
-  SELECT doc_id, deal_id, count(*) AS items, count_if(bloqueante) AS blocking FROM items GROUP BY doc_id, deal_id),
+  SELECT doc_id, deal_id, count(*) AS items, CAST(count_if(bloqueante) AS BIGINT) AS blocking FROM items GROUP BY doc_id, deal_id),
 partner_counts AS (
   SELECT o.o_custkey AS doc_id, count(DISTINCT l.l_suppkey) AS partners
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
@@ -309,11 +309,11 @@ SELECT doc_id, kind, actual, actual AS expected, true AS match FROM (
 
 ORACLE["q3_reference_check"] = with_ctes(DOC_DEALS, """
 SELECT d.doc_id, 'customer' AS ref_kind, count(*) AS refs,
-       count_if(d.doc_id NOT IN (SELECT c_custkey FROM customer)) AS missing
+       CAST(count_if(d.doc_id NOT IN (SELECT c_custkey FROM customer)) AS BIGINT) AS missing
 FROM deals d GROUP BY d.doc_id
 UNION ALL
 SELECT d.doc_id, 'partner', count(*),
-       count_if(sup.s NOT IN (SELECT s_suppkey FROM supplier))
+       CAST(count_if(sup.s NOT IN (SELECT s_suppkey FROM supplier)) AS BIGINT)
 FROM deals d JOIN sup ON d.pk = sup.l_orderkey GROUP BY d.doc_id""")
 
 # ------------------------------------------------------------------ sources / sinks
@@ -456,10 +456,10 @@ SELECT id, nome FROM profiles WHERE id IN (SELECT target FROM ro WHERE outcome =
 ORACLE["q1_constraint_report"] = with_ctes(USERS_PROFILES + REMOVALS, """
 SELECT 'perfil' AS tbl, rule, violations FROM (
   SELECT 'id_not_null' AS rule, CAST(count_if(id IS NULL) AS BIGINT) AS violations FROM profiles
-  UNION ALL SELECT 'nome_not_null', count_if(nome IS NULL) FROM profiles
-  UNION ALL SELECT 'papel_not_null', count_if(papel IS NULL) FROM profiles
-  UNION ALL SELECT 'papel_in_list', count_if(papel NOT IN ('editor', 'leitor')) FROM profiles
-  UNION ALL SELECT 'senha_not_null', count_if(senha_provisoria IS NULL) FROM profiles
+  UNION ALL SELECT 'nome_not_null', CAST(count_if(nome IS NULL) AS BIGINT) FROM profiles
+  UNION ALL SELECT 'papel_not_null', CAST(count_if(papel IS NULL) AS BIGINT) FROM profiles
+  UNION ALL SELECT 'papel_in_list', CAST(count_if(papel NOT IN ('editor', 'leitor')) AS BIGINT) FROM profiles
+  UNION ALL SELECT 'senha_not_null', CAST(count_if(senha_provisoria IS NULL) AS BIGINT) FROM profiles
   UNION ALL SELECT 'id_unique', CAST(count(*) - count(DISTINCT id) AS BIGINT) FROM profiles
   UNION ALL SELECT 'id_in_users', count(*) FROM profiles
             WHERE id IN (SELECT target FROM ro WHERE outcome = 'removido'))""")
@@ -541,7 +541,7 @@ ORACLE["x2_access_outcomes"] = with_ctes(PROFILES + REQUESTS, """
 SELECT request_id, actor, verb, tbl, outcome FROM ao""")
 
 ORACLE["x4_history_immutability"] = with_ctes(PROFILES + REQUESTS, """
-SELECT verb, count(*) AS requests, count_if(outcome = 'allowed') AS allowed
+SELECT verb, count(*) AS requests, CAST(count_if(outcome = 'allowed') AS BIGINT) AS allowed
 FROM ao WHERE tbl = 'pipeline_historico' AND verb IN ('insert', 'delete') GROUP BY verb""")
 
 SIZES = """,
