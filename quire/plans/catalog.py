@@ -354,6 +354,17 @@ def s1_load_documents(spark, sf_dir):
     return both.select("source", "id", "reason", D.variant_array_len(F.col("doc"), "$.doc.deals").alias("deals"))
 
 
+@query("p1_flatten_loaded_deals")
+def p1_flatten_loaded_deals(spark, sf_dir):
+    """P1 on documents loaded from JSON text (VARIANT): fields read as text."""
+    path = D.export_documents(D.nest(_docs(spark, sf_dir)), shared_path(spark, "export"))
+    loaded = D.load_documents(spark, path)
+    f = D.flatten_variant(loaded, "$.doc.deals", ["id", "etapa", "valor", "clienteId", "parceiroId", "prazo",
+                                                 "fechadoEm"])
+    return f.select("doc_id", "pos", "id", "etapa", "valor", F.col("clienteId").alias("cliente_id"),
+                    F.col("parceiroId").alias("parceiro_id"), "prazo", F.col("fechadoEm").alias("fechado_em"))
+
+
 @query("s2_replace_load")
 def s2_replace_load(spark, sf_dir):
     t = Tables(spark, sf_dir)

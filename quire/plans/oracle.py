@@ -603,3 +603,5 @@ FROM joined
 WINDOW w AS (PARTITION BY doc_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", recursive=True)
 
 ORACLE["m2_patch_elements_nested"] = ORACLE["m2_patch_elements"] + " AND d.doc_id IN (SELECT c_custkey FROM customer)"
+
+ORACLE["p1_flatten_loaded_deals"] = ORACLE["p1_flatten_deals"]

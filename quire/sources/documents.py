@@ -216,6 +216,18 @@ def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id") ->
     return d.select(*others, *keyed, "doc", "raw", reason.alias("reason"))
 
 
+def flatten_variant(loaded: DataFrame, path: str, fields: list[str], keys: list[str] | None = None) -> DataFrame:
+    """P1 on loaded (VARIANT) documents: one row per element of the array at
+    ``path`` with its position and the named fields as text (``->>``: a
+    number 2 gives '2', a JSON null gives NULL, a missing key NULL). A
+    missing path or a non-array yields no rows."""
+    keys = keys or ["doc_id"]
+    arr = F.try_variant_get(F.col("doc"), path, "array<variant>")
+    ex = loaded.select(*keys, F.posexplode(arr).alias("pos", "_e"))
+    return ex.select(*keys, F.col("pos").cast("bigint").alias("pos"),
+                     *[F.try_variant_get("_e", f"$.{f}", "string").alias(f) for f in fields])
+
+
 def variant_array_len(doc, path: str):
     """``jsonb_array_length(doc->path)``: NULL when missing or not an array."""
     return F.size(F.try_variant_get(doc, path, "array<variant>")).cast("bigint")
