@@ -133,10 +133,10 @@ def check_bounded(ds: DocumentSet, limit: int = MAX_ELEMENTS) -> None:
 
 
 def _sorted_array(df: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
-    """M4 for one kind: collect elements per key and order them by ``pos``
-    (the comparator only looks at ``pos``)."""
+    """M4 for one kind: collect elements per key and order them by ``pos``."""
     packed = F.struct(F.col("pos").alias("p"), F.struct(*fields).alias("e"))
-    agg = df.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("_a"))
+    # sort_array orders by pos first (ties only between equal positions)
+    agg = df.groupBy(*keys).agg(F.sort_array(F.collect_list(packed)).alias("_a"))
     return agg.select(*keys, F.transform("_a", lambda x: x["e"]).alias(name))
 
 
