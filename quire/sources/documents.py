@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -272,7 +273,7 @@ def scan_columns(spark: SparkSession, path: str, cols: list[str], schema: str) -
     DataFrame with the requested schema."""
     try:
         return spark.read.parquet(path).select(*cols)
-    except Exception:  # noqa: BLE001 - the API answers [] on any failed read
+    except AnalysisException:   # missing path or columns: the API answers []
         return spark.createDataFrame([], schema).select(*cols)
 
 

@@ -1,5 +1,12 @@
 """The provisional flag per person, kept current as flag events arrive
-(V9 as a streaming aggregation: the latest event per person wins)."""
+(V9 as a streaming aggregation: the latest event per person wins).
+
+The streaming aggregate keeps one (flag, ts, event_id) per person in state and
+emits, per micro-batch, only the people it changed (update mode). Each
+batch's changes are appended as one delta folder; the current flags are the
+latest delta row per person (a partial ``max_by`` over the deltas), so no
+batch rewrites the whole table and a replayed batch writes the same rows
+again, which the ``max_by`` absorbs."""
 
 from __future__ import annotations
 
@@ -9,40 +16,27 @@ from pyspark.sql import functions as F
 from quire.session import conf_override, default_state_partitions, shared_path
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, flag boolean"
+DELTA_SCHEMA = "user_id long, flag boolean, ts timestamp_ntz, event_id long, epoch long"
 
 
 def latest_flags(events: DataFrame) -> DataFrame:
-    """Streaming aggregate: state is one (ts, event_id, flag) per person."""
+    """Streaming aggregate: state is one (flag, ts, event_id) per person."""
     return events.groupBy("user_id").agg(
         F.max_by(F.struct("flag", "ts", "event_id"), F.struct("ts", "event_id")).alias("last"))
 
 
-def snapshot_sink(root: str):
-    """Merge each batch's updated keys into a new snapshot folder (parquet has
-    no MERGE: previous snapshot minus updated keys, plus the updates)."""
+def delta_sink(root: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        upd = batch.select("user_id", F.col("last.flag").alias("flag"), F.col("last.ts").alias("ts"),
-                           F.col("last.event_id").alias("event_id"))
-        out = f"{root}/epoch={epoch_id:08d}"
-        prev = _latest_epoch(spark, root, below=epoch_id)
-        if prev is not None:
-            old = spark.read.parquet(prev).join(upd.select("user_id"), "user_id", "left_anti")
-            upd = old.unionByName(upd)
-        upd.write.mode("overwrite").parquet(out)
+        batch.select("user_id", F.col("last.flag").alias("flag"), F.col("last.ts").alias("ts"),
+                     F.col("last.event_id").alias("event_id"), F.lit(epoch_id).cast("bigint").alias("epoch")) \
+             .write.mode("append").parquet(root)
     return write
 
 
-def _latest_epoch(spark: SparkSession, root: str, below: int | None = None) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("epoch="))
-    names = [n for n in names if below is None or int(n.split("=")[1]) < below]
-    return f"{root}/{names[-1]}" if names else None
+def current_flags(spark: SparkSession, root: str) -> DataFrame:
+    """Latest flag per person over all deltas."""
+    d = spark.read.schema(DELTA_SCHEMA).parquet(root)
+    return d.groupBy("user_id").agg(F.max_by("flag", F.struct("ts", "event_id")).alias("flag"))
 
 
 def run_flags(spark: SparkSession, events_path: str, profiles: DataFrame, files_per_trigger: int = 1,
@@ -52,12 +46,11 @@ def run_flags(spark: SparkSession, events_path: str, profiles: DataFrame, files_
     ev = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
     n = state_partitions or default_state_partitions(spark)
     with conf_override(spark, {"spark.sql.shuffle.partitions": n}):
-        q = latest_flags(ev).writeStream.outputMode("update").foreachBatch(snapshot_sink(root)) \
+        q = latest_flags(ev).writeStream.outputMode("update").foreachBatch(delta_sink(root)) \
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = _latest_epoch(spark, root)
+    # an empty stream leaves no delta folder: start from an empty one
+    spark.createDataFrame([], DELTA_SCHEMA).write.mode("append").parquet(root)
+    f = current_flags(spark, root).select(F.col("user_id").alias("id"), "flag")
     p = profiles.select("id", "senha_provisoria")
-    if last is None:
-        return p.select("id", F.coalesce("senha_provisoria", F.lit(False)).alias("provisional"))
-    f = spark.read.parquet(last).select(F.col("user_id").alias("id"), "flag")
     return p.join(f, "id", "left").select("id", F.coalesce("flag", "senha_provisoria", F.lit(False)).alias("provisional"))
