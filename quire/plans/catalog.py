@@ -346,10 +346,10 @@ def q3_reference_check(spark, sf_dir):
 def s1_load_documents(spark, sf_dir):
     t = Tables(spark, sf_dir)
     path = D.export_documents(D.nest(D.from_tables(t)), shared_path(spark, "export"))
-    exported = D.load_documents(spark, path).select(F.lit("export").alias("source"), F.col("doc_id").alias("id"),
-                                                    "reason", "doc")
-    texts = D.parse_documents(t.documents.select(F.col("doc_id").alias("id"), "text"), "text", key=None) \
-        .select(F.lit("documents").alias("source"), "id", "reason", "doc")
+    exported = D.load_documents(spark, path, arrays_at="$.doc").select(
+        F.lit("export").alias("source"), F.col("doc_id").alias("id"), "reason", "doc")
+    texts = D.parse_documents(t.documents.select(F.col("doc_id").alias("id"), "text"), "text", key=None,
+                              arrays_at="$.doc").select(F.lit("documents").alias("source"), "id", "reason", "doc")
     both = exported.unionByName(texts)
     return both.select("source", "id", "reason", D.variant_array_len(F.col("doc"), "$.doc.deals").alias("deals"))
 

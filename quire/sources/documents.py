@@ -195,28 +195,44 @@ def export_documents(nested: DataFrame, path: str) -> str:
     return path
 
 
-def load_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+def load_documents(spark: SparkSession, path: str, key: str = "doc_id", arrays_at: str | None = None) -> DataFrame:
     """JSON text -> VARIANT document, one value per line.
 
-    Returns doc_id, doc (VARIANT, the whole line), raw and ``reason``:
-    NULL for a loaded document, 'not_json' when the line does not parse,
-    'not_object' when it parses to something other than an object."""
+    Returns doc_id, doc (VARIANT, the whole line), raw and ``reason`` (see
+    ``parse_documents``); ``quarantine`` splits off the rejected lines."""
     raw = spark.read.text(path)
-    return parse_documents(raw, "value", key)
+    return parse_documents(raw, "value", key, arrays_at)
 
 
-def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id") -> DataFrame:
+def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id",
+                    arrays_at: str | None = None, arrays=("partners", "customers", "deals")) -> DataFrame:
     """Parse ``text_col`` as one JSON document per row (other columns kept);
-    ``key`` names a top-level field copied out as ``doc_id``."""
+    ``key`` names a top-level field copied out as ``doc_id``.
+
+    ``reason`` is NULL for a loaded document, else 'not_json', 'not_object'
+    or - when ``arrays_at`` is given - 'missing_array' if one of ``arrays``
+    is absent, null or not an array there (an empty array is fine)."""
     others = [c for c in df.columns if c != text_col]
     d = df.select(*others, F.col(text_col).alias("raw"), F.try_parse_json(F.col(text_col)).alias("doc"))
     kind = F.schema_of_variant("doc")
     reason = F.when(F.col("doc").isNull(), F.lit("not_json")) \
               .when(~kind.startswith("OBJECT"), F.lit("not_object"))
+    if arrays_at is not None:
+        missing = None
+        for a in arrays:
+            m = F.try_variant_get("doc", f"{arrays_at}.{a}", "array<variant>").isNull()
+            missing = m if missing is None else (missing | m)
+        reason = reason.when(missing, F.lit("missing_array"))
     keyed = [F.try_variant_get("doc", f"$.{key}", "bigint").alias("doc_id")] if key else []
     return d.select(*others, *keyed, "doc", "raw", reason.alias("reason"))
 
 
+def quarantine(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split S1's output into (documents, quarantined rows with reason)."""
+    return loaded.where(F.col("reason").isNull()), loaded.where(F.col("reason").isNotNull()).select(
+        *[c for c in loaded.columns if c != "doc"])
+
+
 def flatten_variant(loaded: DataFrame, path: str, fields: list[str], keys: list[str] | None = None) -> DataFrame:
     """P1 on loaded (VARIANT) documents: one row per element of the array at
     ``path`` with its position and the named fields as text (``->>``: a

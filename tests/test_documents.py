@@ -127,3 +127,13 @@ def test_nested_append_guard(spark):
 def test_nest_refuses_oversized(ds):
     with pytest.raises(ValueError):
         D.check_bounded(ds, limit=1)
+
+
+def test_missing_array_is_quarantined(spark):
+    df = spark.createDataFrame([("a", '{"partners": [], "customers": [], "deals": []}'),
+                                ("b", '{"partners": [], "customers": []}'),
+                                ("c", '{"partners": [], "customers": [], "deals": null}'),
+                                ("d", '{"partners": [], "customers": [], "deals": 3}')], "k string, t string")
+    good, bad = D.quarantine(D.parse_documents(df, "t", key=None, arrays_at="$"))
+    assert [r["k"] for r in good.collect()] == ["a"]
+    assert rows(bad, "k", "reason") == [("b", "missing_array"), ("c", "missing_array"), ("d", "missing_array")]
