@@ -204,19 +204,68 @@ def load_documents(spark: SparkSession, path: str, key: str = "doc_id", arrays_a
     return parse_documents(raw, "value", key, arrays_at)
 
 
+# Spark's JSON parser stops after the first complete value and ignores what
+# follows ("123 abc" parses as 123); a document must be one whole value. The
+# text is therefore parsed inside a wrapper  [ text , END ]  that only yields
+# a two-element array ending in END when the text is exactly one value. The
+# wrapper can only be fooled by a text that itself contains END; those rare
+# rows are re-checked by Python's strict parser.
+_END = "\\u0000quire-end"          # JSON escape sequence, as it appears in text
+_END_VALUE = "\u0000quire-end"        # the decoded string
+
+
+def _strict_json_valid(texts):
+    """Python's strict parser (no trailing data, no NaN/Infinity)."""
+    import json
+
+    def reject(_):
+        raise ValueError("not a JSON constant")
+
+    def ok(t):
+        if t is None:
+            return None
+        try:
+            json.loads(t, parse_constant=reject)
+            return True
+        except (ValueError, TypeError):
+            return False
+    return texts.map(ok)
+
+
+def parse_json_strict(df: DataFrame, text_col: str, out: str = "doc") -> DataFrame:
+    """Adds ``out``: the text as VARIANT when it is exactly one JSON value,
+    else NULL. One pass: the wrapped parse is a column below the Python
+    step, and only suspect texts (containing the end marker) are sent to it -
+    the others reach Python as NULLs."""
+    t = F.col(text_col)
+    d = df.withColumn("_q_w", F.try_parse_json(F.concat(F.lit("["), t, F.lit(f'\n,"{_END}"]'))))
+    whole = (F.size(F.try_variant_get("_q_w", "$", "array<variant>")) == 2) & \
+            (F.try_variant_get("_q_w", "$[1]", "string") == F.lit(_END_VALUE))
+    d = d.withColumn("_q_whole", F.coalesce(whole, F.lit(False))) \
+         .withColumn("_q_suspect", F.col("_q_whole") & (F.instr(t, _END) > 0))
+    strict = F.pandas_udf(_strict_json_valid, "boolean")
+    d = d.withColumn("_q_strict", strict(F.when(F.col("_q_suspect"), t)))
+    ok = F.col("_q_whole") & (~F.col("_q_suspect") | F.coalesce(F.col("_q_strict"), F.lit(False)))
+    return d.withColumn(out, F.when(ok, F.try_variant_get("_q_w", "$[0]", "variant"))) \
+            .drop("_q_w", "_q_whole", "_q_suspect", "_q_strict")
+
+
 def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id",
                     arrays_at: str | None = None, arrays=("partners", "customers", "deals")) -> DataFrame:
     """Parse ``text_col`` as one JSON document per row (other columns kept);
     ``key`` names a top-level field copied out as ``doc_id``.
 
-    ``reason`` is NULL for a loaded document, else 'not_json', 'not_object'
-    or - when ``arrays_at`` is given - 'missing_array' if one of ``arrays``
-    is absent, null or not an array there (an empty array is fine)."""
+    ``reason`` is NULL for a loaded document, else 'not_json' (not exactly
+    one JSON value), 'not_object', or - when ``arrays_at`` is given -
+    'missing_array' if one of ``arrays`` is absent, null or not an array
+    there (an empty array is fine)."""
     others = [c for c in df.columns if c != text_col]
-    d = df.select(*others, F.col(text_col).alias("raw"), F.try_parse_json(F.col(text_col)).alias("doc"))
-    kind = F.schema_of_variant("doc")
+    d = parse_json_strict(df.select(*others, F.col(text_col).alias("raw")), "raw", "doc")
+    # the text is one valid JSON value here, so it is an object iff its first
+    # non-blank character opens one (no walk over the whole document)
+    is_object = F.col("raw").rlike(r"^[ \t\n\r]*\{")
     reason = F.when(F.col("doc").isNull(), F.lit("not_json")) \
-              .when(~kind.startswith("OBJECT"), F.lit("not_object"))
+              .when(~is_object, F.lit("not_object"))
     if arrays_at is not None:
         missing = None
         for a in arrays:

@@ -137,3 +137,13 @@ def test_missing_array_is_quarantined(spark):
     good, bad = D.quarantine(D.parse_documents(df, "t", key=None, arrays_at="$"))
     assert [r["k"] for r in good.collect()] == ["a"]
     assert rows(bad, "k", "reason") == [("b", "missing_array"), ("c", "missing_array"), ("d", "missing_array")]
+
+
+def test_whole_text_must_be_one_json_value(spark):
+    cases = {"a": ("123 abc", None), "b": ('{"a":1} xyz', None), "c": ('[1,2] 3', None), "d": ('  {"a": 1}\n', "o"),
+             "e": ('5', "s"), "f": ('{"a":1}, {"b":2}', None), "g": ('{"a":1}] x', None),
+             "h": ('{"a":1}\n,"\\u0000quire-end"] junk', None), "i": ('{"x": "\\u0000quire-end"}', "o")}
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k string, t string")
+    got = {r["k"]: r["reason"] for r in D.parse_documents(df, "t", key=None).collect()}
+    want = {k: {None: "not_json", "o": None, "s": "not_object"}[v[1]] for k, v in cases.items()}
+    assert got == want
