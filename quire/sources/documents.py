@@ -324,11 +324,12 @@ def ensure_documents(current: DataFrame, keys: DataFrame, default_doc, default_d
 def read_envelope(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """A response body is either an array of users or ``{users: [...]}``;
     anything else yields no users. One output row per user (id, email)."""
-    v = F.try_parse_json(F.col(text_col))
+    keep = [c for c in raw.columns if c != text_col]
+    parsed = parse_json_strict(raw, text_col, "_q_v")
+    v = F.col("_q_v")
     users = F.coalesce(F.try_variant_get(v, "$.users", "array<variant>"),
                        F.try_variant_get(v, "$", "array<variant>"))
-    keep = [c for c in raw.columns if c != text_col]
-    return raw.select(*keep, F.explode(users).alias("u")).select(
+    return parsed.select(*keep, F.explode(users).alias("u")).select(
         *keep, F.try_variant_get("u", "$.id", "bigint").alias("id"),
         F.try_variant_get("u", "$.email", "string").alias("email"))
 

@@ -70,7 +70,7 @@ def test_parse_reasons(spark):
 
 
 def test_read_envelope_forms(spark):
-    bodies = spark.createDataFrame([(1, '[{"id": 1, "email": "a"}]'), (2, '{"users": [{"id": 2}]}'),
+    bodies = spark.createDataFrame([(1, '[{"id": 1, "email": "a"}]'), (2, '{"users": [{"id": 2}]}'), (6, '[{"id": 6}] x'),
                                     (3, '{"other": 1}'), (4, '7'), (5, 'garbage')], "page long, body string")
     assert rows(D.read_envelope(bodies)) == [(1, 1, "a"), (2, 2, None)]
 
