@@ -22,8 +22,8 @@ def profile_sink(table_path: str):
         spark = batch.sparkSession
         have = spark.read.schema(PROFILE_SCHEMA).parquet(table_path).select("id")
         derived = derive_profiles(batch)
-        firsts = derived.groupBy("id").agg(
-            F.min_by(F.struct(*[c for c in PROFILE_COLS if c != "id"]), F.col("id")).alias("_r")) \
+        packed = F.struct(*[c for c in PROFILE_COLS if c != "id"])
+        firsts = derived.groupBy("id").agg(F.min_by(packed, packed).alias("_r")) \
             .select("id", *[F.col("_r")[c].alias(c) for c in PROFILE_COLS if c != "id"])
         firsts.join(have, "id", "left_anti").select(*PROFILE_COLS).write.mode("append").parquet(table_path)
     return write
