@@ -33,3 +33,16 @@ def test_lag_equals_window(log, width):
 def test_last_wins(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 5, "x")], "id long, seq long, v string")
     assert rows(last_wins_by_key(df, "id", "seq")) == [(1, 3, "c"), (2, 5, "x")]
+
+
+@pytest.mark.parametrize("width", [1, 4, 1 << 20])
+def test_as_of_equals_window(spark, log, width):
+    from quire.operators.ordering import ordered_last
+    df = log.withColumn("f", (F.col("v") % 3) == 0)
+    got = ordered_last(df, "k", "seq", ["v", "seq"], "f", "a_", chunk_width=width)
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("a_v", F.last(F.when(F.col("f"), F.col("v")), ignorenulls=True).over(w)) \
+             .withColumn("a_seq", F.last(F.when(F.col("f"), F.col("seq")), ignorenulls=True).over(w)) \
+             .withColumn("a_count", F.count_if("f").over(w).cast("bigint"))
+    cols = ("k", "seq", "a_v", "a_seq", "a_count")
+    assert rows(got, *cols) == rows(want, *cols)
