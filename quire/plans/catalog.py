@@ -223,11 +223,11 @@ def _new_elements(t: Tables):
     p = roles.label_patches(t)
     cust = p.select("doc_id", F.lit(1).cast("bigint").alias("_k"),
                     F.concat(F.lit("C-L"), F.col("doc_id").cast("string")).alias("id"),
-                    F.concat(F.lit("Gestora "), F.col("doc_id").cast("string")).alias("nome"),
-                    F.lit("PJ").alias("tipo"), F.lit("Fundos de investimento").alias("setor"), F.lit("").alias("uf"),
+                    F.concat(F.lit("Client L"), F.col("doc_id").cast("string")).alias("nome"),
+                    F.lit("PJ").alias("tipo"), F.lit("SERVICES").alias("setor"), F.lit("").alias("uf"),
                     F.lit(0).cast("bigint").alias("receitaRecorrente"), F.lit("B2B").alias("publico"))
     deal = p.select("doc_id", F.lit(1).cast("bigint").alias("_k"), F.col("deal_id").alias("id"),
-                    F.lit("Contas escrow").alias("titulo"), F.lit("payments").alias("frente"),
+                    F.lit("New deal").alias("titulo"), F.lit("3-MEDIUM").alias("frente"),
                     F.concat(F.lit("C-L"), F.col("doc_id").cast("string")).alias("clienteId"),
                     F.lit(None).cast("string").alias("parceiroId"), F.lit("owner").alias("responsavel"),
                     F.lit("").alias("valor"), F.lit("2").alias("etapa"), F.lit("").alias("prazo"),

@@ -10,7 +10,7 @@ EDITOR, READER, NOPROFILE = 11, 22, 33
 
 
 def profiles(spark):
-    return spark.createDataFrame([(EDITOR, "Editora", "editor", None, False), (READER, "Leitora", "leitor", None, False)],
+    return spark.createDataFrame([(EDITOR, "Ana", "editor", None, False), (READER, "Bruna", "leitor", None, False)],
                                  "id long, nome string, papel string, email string, senha_provisoria boolean")
 
 
@@ -55,7 +55,7 @@ def test_scenario(spark):
         (5, 1, EDITOR, "select", "pipeline", None, None, None, None),
         (6, 1, EDITOR, "update", "pipeline", None, None, None, 2),
         (7, 1, EDITOR, "select", "pipeline", None, None, None, None),
-        (8, 1, EDITOR, "update", "pipeline", None, 999, "Fulano", 2),
+        (8, 1, EDITOR, "update", "pipeline", None, 999, "Mallory", 2),
         (9, 1, EDITOR, "update", "pipeline", 1, None, None, 0),
         (10, 1, READER, "select", "pipeline", None, None, None, None),
         (11, 1, READER, "update", "pipeline", None, None, None, 0),
@@ -69,8 +69,8 @@ def test_scenario(spark):
         assert out[s]["outcome"] == "denied" and out[s]["version"] is None
     assert (out[5]["outcome"], out[5]["version"], out[5]["deals"]) == ("allowed", n, 1)
     assert out[6]["outcome"] == "applied"
-    assert (out[7]["version"], out[7]["author"], out[7]["deals"], out[7]["history"]) == (n + 1, "Editora", 2, 1)
-    assert (out[8]["outcome"], out[8]["version"], out[8]["author"]) == ("applied", n + 2, "Editora")
+    assert (out[7]["version"], out[7]["author"], out[7]["deals"], out[7]["history"]) == (n + 1, "Ana", 2, 1)
+    assert (out[8]["outcome"], out[8]["version"], out[8]["author"]) == ("applied", n + 2, "Ana")
     assert (out[9]["outcome"], out[9]["version"]) == ("conflict", n + 2)
     assert out[10]["version"] == n + 2
     assert out[11]["outcome"] == "no_rows" and out[11]["version"] == n + 2
