@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import UNKNOWN_AUTHOR
 from quire.operators.ordering import CHUNK, ordered_lag, ordered_rank, with_chunk
-from quire.session import cut_lineage
+from quire.session import cut_lineage, ship_package
 
 APPLIED, CONFLICT, FORBIDDEN = "applied", "conflict", "forbidden"
 IMAGE_COLS = ["version", "doc", "n_deals", "updated_at", "updated_by"]
@@ -183,6 +183,7 @@ def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = 1 << 16)
     document's starting version (absent documents start at 1). Access is
     decided first: a write that is not eligible is 'forbidden' whatever its
     version."""
+    ship_package(w.sparkSession)
     # The eligible log (3 narrow columns) is read several times below:
     # materialise it once in the shared folder.
     elig = cut_lineage(with_chunk(w.where(F.col("eligible")).select("doc_id", "seq", "expected_version"),

@@ -108,3 +108,41 @@ def default_state_partitions(spark: SparkSession) -> int:
     AQE's partition coalescing, so 200 tiny state stores per batch on a small
     cluster (or 8 cores) cost more than the state itself."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable in the Python workers (what ``--py-files``
+    does at submit time): Python steps such as ``applyInPandas`` unpickle
+    functions by module name. The package is zipped once per application
+    into the shared folder and added with ``addPyFile``. A shared folder on a
+    non-local file system is left alone: there the package is deployed with
+    the job (``--py-files`` / an installed wheel)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import io
+    import zipfile
+
+    import quire
+    folder = shared_path(spark, "pyfiles")
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    if "://" in local:
+        _SHIPPED.add(sc.applicationId)
+        return
+    pkg = os.path.dirname(os.path.abspath(quire.__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    os.makedirs(local, exist_ok=True)
+    target = os.path.join(local, "quire.zip")
+    with open(target, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quire.functions.text import LOAD_LABEL, date_text, iso_text
-from quire.session import shared_path
+from quire.session import ship_package, shared_path
 from quire.sources.tables import Tables
 
 # Largest array a nested document may hold. Documents are bounded objects
@@ -237,6 +237,7 @@ def parse_json_strict(df: DataFrame, text_col: str, out: str = "doc") -> DataFra
     else NULL. One pass: the wrapped parse is a column below the Python
     step, and only suspect texts (containing the end marker) are sent to it -
     the others reach Python as NULLs."""
+    ship_package(df.sparkSession)
     t = F.col(text_col)
     d = df.withColumn("_q_w", F.try_parse_json(F.concat(F.lit("["), t, F.lit(f'\n,"{_END}"]'))))
     whole = (F.size(F.try_variant_get("_q_w", "$", "array<variant>")) == 2) & \

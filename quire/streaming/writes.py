@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.versions import APPLIED, CONFLICT, FORBIDDEN, with_actor_profile
-from quire.session import conf_override, cut_lineage, default_state_partitions, shared_path
+from quire.session import conf_override, cut_lineage, default_state_partitions, ship_package, shared_path
 
 OUT_SCHEMA = ("doc_id long, seq long, actor long, expected_version int, eligible boolean, "
               "outcome string, version int")
@@ -53,6 +53,7 @@ def versioned_writes_stream(log: DataFrame, profiles: DataFrame) -> DataFrame:
     """Streaming DataFrame of write outcomes. ``log`` is a streaming write
     log (doc_id, seq, actor, expected_version); ``profiles`` is static (a
     stream-static join decides the gate)."""
+    ship_package(log.sparkSession)
     gated = with_actor_profile(log, profiles).select("doc_id", "seq", "actor", "expected_version", "eligible")
     return gated.groupBy("doc_id").applyInPandasWithState(
         _replay, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
