@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import DEFAULT_CHUNK
+
 TABLES = ("perfil", "pipeline", "pipeline_historico")
 ALLOWED, NO_ROWS, DENIED = "allowed", "no_rows", "denied"
 
@@ -93,7 +95,7 @@ def history_immutability(outcomes: DataFrame) -> DataFrame:
                                  F.count_if(F.col("outcome") == ALLOWED).alias("allowed"))
 
 
-def scenario_report(steps: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
+def scenario_report(steps: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """A scripted sequence of requests against the document table.
 
     ``steps``: step (order), doc_id, actor (NULL = anonymous), verb, tbl,

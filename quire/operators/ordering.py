@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_q_chunk"
+# Rows of one key per chunk at most (order values per chunk, the order being
+# unique per key): large enough that few keys need more than one chunk,
+# small enough that one chunk is an ordinary task (and, in V5, an ordinary
+# pandas group).
+DEFAULT_CHUNK = 1 << 20
 
 
 def _keys(key) -> list[str]:
@@ -36,7 +41,7 @@ def _join_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-def ordered_rank(df: DataFrame, key, order: str, out: str, chunk_width: int = 1 << 16) -> DataFrame:
+def ordered_rank(df: DataFrame, key, order: str, out: str, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """Adds ``out`` = row_number() over (partition by key order by order).
 
     ``order`` must be unique within a key (ties would make numbers arbitrary).
@@ -54,7 +59,7 @@ def ordered_rank(df: DataFrame, key, order: str, out: str, chunk_width: int = 1
 
 
 def ordered_lag(df: DataFrame, key, order: str, cols: list[str], prefix: str = "prev_",
-                chunk_width: int = 1 << 16) -> DataFrame:
+                chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """Adds ``prefix+c`` = lag(c) over (partition by key order by order) for each c."""
     keys = _keys(key)
     d = with_chunk(df, order, chunk_width)
@@ -87,7 +92,7 @@ def last_wins_by_key(df: DataFrame, key, seq: str) -> DataFrame:
 
 
 def ordered_last(df: DataFrame, key, order: str, cols: list[str], flag: str, prefix: str = "last_",
-                 chunk_width: int = 1 << 16) -> DataFrame:
+                 chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """Adds ``prefix+c``: value of ``c`` on the latest row at or before this
     one (same key, by ``order``) whose ``flag`` is true, plus
     ``prefix+'count'``: how many flagged rows that is (an as-of lookup and a

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import UNKNOWN_AUTHOR
-from quire.operators.ordering import CHUNK, ordered_lag, ordered_rank, with_chunk
+from quire.operators.ordering import CHUNK, DEFAULT_CHUNK, ordered_lag, ordered_rank, with_chunk
 from quire.session import cut_lineage, ship_package
 
 APPLIED, CONFLICT, FORBIDDEN = "applied", "conflict", "forbidden"
@@ -176,7 +176,7 @@ def _compose(m: DataFrame) -> DataFrame:
     return specials.unionByName(defaults)
 
 
-def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
+def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """V5: per write ``outcome`` (applied / conflict / forbidden) and the new
     ``version`` of applied writes. ``w`` needs doc_id, seq, expected_version
     (NULL = no version predicate) and ``eligible`` (J3); ``base`` holds each
@@ -218,7 +218,7 @@ def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = 1 << 16)
 
 
 # ---------------------------------------------------------------- V1 / V3
-def stamp_versions(accepted: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
+def stamp_versions(accepted: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """V1: each accepted write sets version = previous + 1 (no version check:
     every accepted write counts), starting from the document's base version."""
     r = ordered_rank(accepted, "doc_id", "seq", "_rank", chunk_width)
@@ -234,7 +234,7 @@ def stamp_author_time(w: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- V2 / V7 / V8
-def before_images(stamped: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
+def before_images(stamped: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """V2: each applied write archives the image it replaced: the previous
     applied write of the document, or the base row for the first one.
     ``hist_id`` is the archiving write's seq (unique, in commit order)."""
@@ -260,7 +260,7 @@ def current_snapshot(stamped: DataFrame, base: DataFrame | None) -> DataFrame:
     return out.select("doc_id", *[F.col("_r")[c].alias(c) for c in cols])
 
 
-def noop_write_report(stamped: DataFrame, base: DataFrame, chunk_width: int = 1 << 16) -> DataFrame:
+def noop_write_report(stamped: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """V8: applied writes that left the document unchanged still got a new
     version and a history row."""
     h = before_images(stamped, base, chunk_width).select("doc_id", "hist_id", F.col("doc").alias("_old"))
@@ -281,7 +281,7 @@ def sort_by_version(history: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- chain
-def apply_writes(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = 1 << 16,
+def apply_writes(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK,
                  materialize: bool = True):
     """E1 end to end: V4 -> J2/J3 -> V5 -> V1/V3 stamps -> V2 history -> V7.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import LOAD_LABEL
-from quire.operators.ordering import ordered_rank
+from quire.operators.ordering import DEFAULT_CHUNK, ordered_rank
 from quire.sources.tables import Tables
 
 # Fixed values of the derivation (restated in the oracle SQL).
@@ -80,7 +80,7 @@ def document_payload(kind):
     return F.to_json(F.struct(empty.alias("partners"), empty.alias("customers"), deals.alias("deals")))
 
 
-def writes(t: Tables, chunk_width: int = 1 << 16) -> DataFrame:
+def writes(t: Tables, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """Write log: every event is an update of document ``props.k``.
 
     seq = event_id (unique, same order as ts); the expected version a client
