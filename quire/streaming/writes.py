@@ -66,6 +66,9 @@ def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
     path = shared_path(spark, name)
     w = cut_lineage(w, name + "-src")        # derive once, then cut by seq range
     bounds = w.agg(F.min("seq"), F.max("seq")).first()
+    if bounds[0] is None:                    # empty log: one empty commit
+        w.write.mode("append").parquet(path)
+        return path
     lo, hi = int(bounds[0]), int(bounds[1])
     step = (hi - lo) // parts + 1
     for i in range(parts):

@@ -37,3 +37,10 @@ def test_restart_keeps_document_versions(spark):
     want = {r["seq"]: (r["outcome"], r["version"])
             for r in V.resolve_conflicts(gated, spark.createDataFrame([], "doc_id long, version int")).collect()}
     assert len(got) == 200 and got == want
+
+
+def test_empty_log_stages_and_streams(spark):
+    from quire.streaming.writes import run_versioned_writes, stage_log
+    empty = spark.createDataFrame([], LOG_SCHEMA)
+    profiles = spark.createDataFrame([], "id long, nome string, papel string")
+    assert run_versioned_writes(spark, stage_log(empty, 3, "t-empty"), profiles).count() == 0
