@@ -123,3 +123,27 @@ def test_listing_and_locale_sort(spark):
     assert r[1]["provisional"] is False and r[2]["provisional"] is True
     order = [x["id"] for x in U.locale_sort(lst).collect()]
     assert order == [2, 1, 3, 4]    # A, á, a@x, c@x: shorter prefix first; blank name falls back to e-mail
+
+
+def _pg_initcap_reference(s: str) -> str:
+    """Postgres initcap: upper-case after a non-alphanumeric, lower otherwise."""
+    out, prev = [], False
+    for ch in s:
+        out.append(ch.lower() if prev else ch.upper())
+        prev = ch.isalnum()
+    return "".join(out)
+
+
+def test_pg_initcap_property(spark):
+    from hypothesis import given, settings, strategies as st
+    alphabet = st.sampled_from(list("abcXYZ019 .-_@'éÇáõ"))
+    seen = []
+
+    @settings(max_examples=60, deadline=None, database=None)
+    @given(st.text(alphabet=alphabet, max_size=20))
+    def collect(s):
+        seen.append(s)
+    collect()
+    df = spark.createDataFrame([(s,) for s in seen], "x string")
+    got = [r["y"] for r in df.select(T.pg_initcap("x").alias("y")).collect()]
+    assert got == [_pg_initcap_reference(s) for s in seen]
