@@ -13,9 +13,12 @@ UNKNOWN_AUTHOR = "desconhecido"       # author when the actor has no profile
 FALLBACK_LOCAL = "pessoa"             # name source when a user has no e-mail
 BLANK_LABEL = "(vazio)"               # label shown for an empty field
 LOAD_LABEL = "carga inicial"          # author stamped by a full reload
-EMAIL_PATTERN = r"^[^@\s]+@[^@\s.]+\.[^@\s]+$"
-# JavaScript String.prototype.trim strips every white space, SQL trim only ' '.
-JS_SPACE = r"[\s\x{00A0}\x{FEFF}\p{Z}]"
+EMAIL_PATTERN = r"^[^@\s]+@[^@\s.]+\.[^@\s]+$"     # as written for JavaScript
+# JavaScript's \s (and String.prototype.trim) covers every Unicode space; the
+# JVM's \s only ASCII ones, so JS patterns are run with this class instead.
+JS_S = r"\s\p{Z}\x{FEFF}"
+JS_SPACE = rf"[{JS_S}]"
+EMAIL_REGEX = EMAIL_PATTERN.replace(r"\s", JS_S)
 WORD_PIECES = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
 
 
@@ -56,7 +59,7 @@ def normalise_email(c) -> Column:
 
 def email_is_valid(c) -> Column:
     """The admin API's e-mail test on the JS-trimmed value; NULL is invalid."""
-    return F.coalesce(js_trim(c).rlike(EMAIL_PATTERN), F.lit(False))
+    return F.coalesce(js_trim(c).rlike(EMAIL_REGEX), F.lit(False))
 
 
 def local_part(c) -> Column:

@@ -355,8 +355,8 @@ ORACLE["s6_scan_columns"] = with_ctes(PROFILES, """
 SELECT id, nome, papel, email, senha_provisoria FROM profiles""")
 
 # ------------------------------------------------------------------ people
-JS_SPACE = r"[\s\x{00A0}\x{FEFF}\p{Z}]"
-EMAIL_RE = r"^[^@\s]+@[^@\s.]+\.[^@\s]+$"
+JS_SPACE = r"[\s\p{Z}\x{FEFF}]"
+EMAIL_RE = r"^[^@\s\p{Z}\x{FEFF}]+@[^@\s\p{Z}\x{FEFF}.]+\.[^@\s\p{Z}\x{FEFF}]+$"
 
 
 def js_trim(x: str) -> str:

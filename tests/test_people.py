@@ -30,7 +30,7 @@ def test_trims(spark):
 
 def test_email_rule(spark):
     ok = ["a@b.c", " a.b-c_d@x.example.com ", "x@y.z###"]
-    bad = ["", None, "a@b", "a b@c.d", "a@b@c.d", "@b.c", "a@.b.c"]
+    bad = ["", None, "a@b", "a b@c.d", "a@b@c.d", "@b.c", "a@.b.c", "a\u00a0b@c.d", "a@c\u2003.d"]
     for e in ok:
         assert one(spark, T.email_is_valid, e) is True, e
     for e in bad:
