@@ -35,18 +35,21 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-#: Bits of a bitmap: 2 MB, whatever is put in.
-BITS = 1 << 24
+#: Bits of a bitmap: 4 MB, whatever is put in.
+BITS = 1 << 25
 _BUCKET = 32_768
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Packed bits (least bit first) at ``column`` modulo ``BITS`` of every row. A
-    bitmap only ever spares work: what it lets through is joined exactly, so a
-    full one costs time and loses nothing."""
-    at = F.pmod(F.col(column), F.lit(BITS))
-    rows = keys.groupBy(F.shiftright(at, 15).alias("b")).agg(
-        F.bitmap_construct_agg(F.pmod(at, F.lit(_BUCKET))).alias("bits")).collect()
+    """Packed bits (least bit first) of the int64 ``column`` of every row: two of
+    each key, its low bits and the next ones, in halves of their own. A bitmap
+    only ever spares work: what it lets through is joined exactly, so a full one
+    costs time and loses nothing."""
+    half = BITS // 2
+    at = F.explode(F.array(F.pmod(F.col(column), F.lit(half)),
+                           F.pmod(F.shiftright(F.col(column), 32), F.lit(half)) + half))
+    rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("b")).agg(
+        F.bitmap_construct_agg(F.pmod("at", F.lit(_BUCKET))).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows:
         piece = np.frombuffer(bytes(r.bits), np.uint8)
@@ -54,7 +57,14 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the int64 ``keys`` the bitmap may hold."""
-    at = keys.astype(np.int64) & np.int64(BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    half = BITS // 2
+    out = _bit(bits, keys & np.int64(half - 1))
+    some = np.flatnonzero(out)
+    out[some] = _bit(bits, ((keys[some] >> np.int64(32)) & np.int64(half - 1)) + half)
+    return out
