@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, html, jaccard, oracle, quality, secrets, sharding, substrings, urls
+from quire.llm import bpe, decontaminate, html, jaccard, oracle, quality, secrets, sharding, substrings, toxicity, urls
 from quire.llm.common import table
 
 QUERIES = {}
@@ -20,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
