@@ -7,11 +7,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from quire.plans.catalog import QUERIES
 from quire.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +39,7 @@ def norm(df: pd.DataFrame):
 
 
 def test_every_query_has_an_oracle():
-    missing = set(queries()) - set(oracle_sql())
+    missing = set(QUERIES) - set(oracle_sql())
     assert not missing
 
 
@@ -50,7 +51,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    got = queries()[name](spark, SF_SMALL).toPandas()
+    got = QUERIES[name](spark, SF_SMALL).toPandas()
     want = con.execute(oracle_sql()[name]).df()
     gc, gr = norm(got)
     wc, wr = norm(want)
