@@ -44,7 +44,7 @@ def pg_initcap(c) -> Column:
     character of each run.
     """
     pieces = F.regexp_extract_all(F.lower(col(c)), F.lit(WORD_PIECES), 1)
-    caps = F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))
+    caps = F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
     return F.array_join(caps, "")
 
 

@@ -9,21 +9,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from quire.functions import nested as N
 from quire.functions.text import blank_label
+from quire.operators.ordering import ordered_rank
 from quire.sources.documents import DocumentSet
 
 
 # ------------------------------------------------------------ P1 - P3, P6, P7
 def flatten_entities(ds: DocumentSet, kind: str) -> DataFrame:
-    """P1 (flat form): one row per element, fields as text (``->>``)."""
-    df = ds.kind(kind)
-    keys = [c for c in ("doc_id", "deal_id", "pos") if c in df.columns]
-    return df.select(*keys, *[F.col(c).cast("string").alias(c) for c in df.columns if c not in keys])
+    """P1 (flat form): one row per element of the documents that exist, ``pos``
+    counted from 0 within its array."""
+    df = ds.kind(kind).join(ds.header.select("doc_id"), "doc_id", "left_semi")
+    if "deal_id" in df.columns:
+        at = F.row_number().over(Window.partitionBy("doc_id", "deal_id").orderBy("pos")) - 1
+        return df.withColumn("pos", at.cast("bigint"))
+    ranked = ordered_rank(df, "doc_id", "pos", "_at")
+    return ranked.withColumn("pos", F.col("_at") - 1).drop("_at")
 
 
 def element_lookup(ds: DocumentSet, kind: str, keys: DataFrame) -> DataFrame:
@@ -99,10 +104,11 @@ def blocking_items(ds: DocumentSet) -> DataFrame:
 
 
 def blocking_items_nested(nested: DataFrame) -> DataFrame:
-    """A3 (nested): ``size`` and a correlated count via higher-order filter."""
+    """A3 (nested): ``size`` (NULL for a missing array) and a correlated count via
+    higher-order filter."""
     d = nested.select("doc_id", F.explode(F.col("doc.deals")).alias("d"))
     return d.select("doc_id", F.col("d.id").alias("deal_id"),
-                    F.coalesce(F.size("d.pendencias"), F.lit(0)).cast("bigint").alias("items"),
+                    N.array_len("d.pendencias").alias("items"),
                     N.count_where("d.pendencias", lambda p: F.coalesce(p["bloqueante"], F.lit(False))).alias("blocking"))
 
 
@@ -147,16 +153,31 @@ def append_if_absent(ds: DocumentSet, new_customers: DataFrame, new_deals: DataF
     return out, report
 
 
+def merged_patches(patches: DataFrame) -> DataFrame:
+    """One patch per (doc_id, id): later keys win over earlier ones."""
+    order = F.col("seq") if "seq" in patches.columns else F.to_json("patch")
+    one = patches.groupBy("doc_id", "id").agg(F.sort_array(F.collect_list(F.struct(
+        order.alias("o"), F.map_entries("patch").alias("e")))).alias("_all"))
+    empty = F.create_map().cast("map<string,string>")
+
+    def later(acc, x):
+        p = F.map_from_entries(x["e"])
+        return F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(p, k)), p)
+    return one.select("doc_id", "id", F.aggregate("_all", empty, later).alias("patch"))
+
+
 def patch_elements(ds: DocumentSet, kind: str, patches: DataFrame) -> DocumentSet:
     """M2: shallow right-wins merge ``e || patch`` for the element with the
     patch's (doc_id, id); ``patch`` is a map<string,string> column - a key
-    present with a NULL value sets the field to NULL. Other elements and
+    present with a NULL value sets the field to NULL, a key ``id`` renames the
+    element. Several patches of one element are merged first, in the order of
+    a column ``seq`` if there is one (else by their text). Other elements and
     fields are unchanged."""
     cur = ds.kind(kind)
-    p = patches.select("doc_id", "id", F.col("patch").alias("_patch"))
+    p = merged_patches(patches).withColumnRenamed("patch", "_patch")
     j = cur.join(p, ["doc_id", "id"], "left")
-    fields = [c for c in cur.columns if c not in ("doc_id", "id", "pos", "deal_id")]
-    keys = [c for c in ("doc_id", "deal_id", "pos", "id") if c in cur.columns]
+    fields = [c for c in cur.columns if c not in ("doc_id", "pos", "deal_id")]
+    keys = [c for c in ("doc_id", "deal_id", "pos") if c in cur.columns]
 
     def value(f):
         typ = cur.schema[f].dataType

@@ -37,6 +37,21 @@ def with_chunk(df: DataFrame, order: str, chunk_width: int) -> DataFrame:
     return df.withColumn(CHUNK, chunk.cast("bigint"))
 
 
+def spread_chunks(df: DataFrame, order: str, rows: int) -> tuple[DataFrame, int | None]:
+    """Adds the chunk number, counted from 0, with chunks as wide as hold ``rows``
+    rows on average; returns the largest number too (None for no rows). Three
+    scalars are read from ``df``, so it should be a written table."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    if not n:
+        return df.withColumn(CHUNK, F.lit(0).cast("bigint")), None
+    width = max(1, -(-(high - low + 1) * int(rows) // n))
+    # exact beyond 64 bits: the distance from the least value may be that large
+    wide = "decimal(38,0)"
+    chunk = F.floor((F.col(order).cast(wide) - F.lit(low).cast(wide)) / F.lit(width).cast(wide)) if high - low >= 1 << 62 \
+        else F.expr(f"(`{order}` - ({low}L)) div {width}L")
+    return df.withColumn(CHUNK, chunk.cast("bigint")), (high - low) // width
+
+
 def _join_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 

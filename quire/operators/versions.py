@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import UNKNOWN_AUTHOR
-from quire.operators.ordering import CHUNK, DEFAULT_CHUNK, ordered_lag, ordered_rank, with_chunk
+from quire.operators.ordering import CHUNK, DEFAULT_CHUNK, ordered_lag, ordered_rank, spread_chunks
 from quire.session import cut_lineage, ship_package
 
 APPLIED, CONFLICT, FORBIDDEN = "applied", "conflict", "forbidden"
@@ -32,7 +32,9 @@ def claims_overridden(w: DataFrame, stamped: DataFrame) -> DataFrame:
                        F.col("updated_by").alias("stamped_author"))
     c = w.where(F.col("claimed_version").isNotNull() | F.col("claimed_author").isNotNull()) \
         .select("doc_id", "seq", "claimed_version", "claimed_author")
-    return c.join(s, ["doc_id", "seq"], "inner")
+    differs = (F.col("claimed_version").isNotNull() & (F.col("claimed_version") != F.col("stamped_version"))) | (
+        F.col("claimed_author").isNotNull() & (F.col("claimed_author") != F.col("stamped_author")))
+    return c.join(s, ["doc_id", "seq"], "inner").where(differs)
 
 
 def with_actor_profile(w: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -186,9 +188,10 @@ def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_
     ship_package(w.sparkSession)
     # The eligible log (3 narrow columns) is read several times below:
     # materialise it once in the shared folder.
-    elig = cut_lineage(with_chunk(w.where(F.col("eligible")).select("doc_id", "seq", "expected_version"),
-                                  "seq", chunk_width), "eligible-log")
-    top = elig.agg(F.max(CHUNK)).first()[0]
+    elig = cut_lineage(w.where(F.col("eligible")).select("doc_id", "seq", "expected_version"), "eligible-log")
+    # chunks count from 0 and there are about rows / chunk_width of them, whatever
+    # the values of seq are (negative, sparse, microseconds)
+    elig, top = spread_chunks(elig, "seq", chunk_width)
     levels = int(top).bit_length() if top is not None else 0
     maps = []
     if levels:

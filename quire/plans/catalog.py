@@ -153,16 +153,16 @@ def _docs(spark, sf_dir) -> D.DocumentSet:
 
 @query("p1_flatten_deals")
 def p1_flatten_deals(spark, sf_dir):
-    f = D.flatten(D.nest(_docs(spark, sf_dir)), "deals")
-    return f.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "id", "etapa", "valor",
+    f = DO.flatten_entities(_docs(spark, sf_dir), "deals")
+    return f.select("doc_id", "pos", "id", "etapa", "valor",
                     F.col("clienteId").alias("cliente_id"), F.col("parceiroId").alias("parceiro_id"),
                     "prazo", F.col("fechadoEm").alias("fechado_em"))
 
 
 @query("p1_flatten_items")
 def p1_flatten_items(spark, sf_dir):
-    f = D.flatten_deal_elements(D.nest(_docs(spark, sf_dir)), "pendencias")
-    return f.select("doc_id", "deal_id", F.col("pos").cast("bigint").alias("pos"), "id", "texto", "responsavel",
+    f = DO.flatten_entities(_docs(spark, sf_dir), "items")
+    return f.select("doc_id", "deal_id", "pos", "id", "texto", "responsavel",
                     "prazo", "bloqueante", "resolvida")
 
 
@@ -191,6 +191,12 @@ def p6_blank_label(spark, sf_dir):
 
 @query("p7_first_transition_author")
 def p7_first_transition_author(spark, sf_dir):
+    ds = _docs(spark, sf_dir)
+    return DO.first_transition_author_flat(ds).join(ds.header.select("doc_id"), "doc_id", "left_semi")
+
+
+@query("p7_first_transition_author_nested")
+def p7_first_transition_author_nested(spark, sf_dir):
     return DO.first_transition_author(D.nest(_docs(spark, sf_dir)))
 
 
@@ -280,14 +286,14 @@ def m2_patch_elements(spark, sf_dir):
     t = Tables(spark, sf_dir)
     patches = _deal_patches(t)
     ds = DO.patch_elements(D.from_tables(t), "deals", patches)
-    return ds.deals.join(patches.select("doc_id"), "doc_id", "left_semi").select("doc_id", "id", "responsavel", "notas")
+    return ds.deals.select("doc_id", "id", "responsavel", "notas")
 
 
 @query("m2_patch_elements_nested")
 def m2_patch_elements_nested(spark, sf_dir):
     t = Tables(spark, sf_dir)
     patches = _deal_patches(t)
-    nested = D.nest(D.from_tables(t)).join(patches.select("doc_id"), "doc_id", "left_semi")
+    nested = D.nest(D.from_tables(t))
     out = DO.patch_elements_nested(nested, "deals", patches)
     return D.flatten(out, "deals").select("doc_id", "id", "responsavel", "notas")
 
@@ -323,13 +329,14 @@ def m5_full_replace(spark, sf_dir):
 @query("q2_expected_counts")
 def q2_expected_counts(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    actual = DO.entity_counts_nested(D.nest(D.from_tables(t)))
-    o = t.orders.select("o_orderkey", "o_custkey")
+    # expectations leave lost deals out, so documents that hold some don't match
+    actual = DO.entity_counts(D.from_tables(t))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     li = t.lineitem.select("l_orderkey", "l_suppkey")
     sup = t.supplier.select("s_suppkey")
     parts = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(sup, li["l_suppkey"] == sup["s_suppkey"]) \
         .groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count_distinct("l_suppkey").alias("partners"))
-    deals = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("deals"))
+    deals = o.where(F.col("o_orderstatus") != "P").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("deals"))
     exp = t.customer.select(F.col("c_custkey").alias("doc_id")).join(parts, "doc_id", "left").join(deals, "doc_id", "left") \
         .select("doc_id", F.coalesce("partners", F.lit(0)).alias("partners"), F.lit(1).alias("customers"),
                 F.coalesce("deals", F.lit(0)).alias("deals"))
@@ -588,12 +595,12 @@ STREAM_PARTS = 4
 
 @query("t1_stream_versioned_writes")
 def t1_stream_versioned_writes(spark, sf_dir):
-    """The write log replayed as 4 micro-batches through per-document
-    state; must equal the batch fold (v5)."""
-    from quire.streaming.writes import run_versioned_writes, stage_log
+    """The write log replayed as 4 commits through per-document state; must
+    equal the batch fold (v5)."""
+    from quire.streaming.writes import replay_commits
     t = Tables(spark, sf_dir)
     w = roles.writes(t).select("doc_id", "seq", "actor", "expected_version")
-    return run_versioned_writes(spark, stage_log(w, STREAM_PARTS), roles.profiles(t))
+    return replay_commits(spark, w, STREAM_PARTS, roles.profiles(t))
 
 
 @query("t2_stream_profiles")

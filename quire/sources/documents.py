@@ -17,15 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quire.functions.text import LOAD_LABEL, date_text, iso_text
-from quire.session import ship_package, shared_path
+from quire.session import shared_path
 from quire.sources.tables import Tables
 
-# Largest array a nested document may hold. Documents are bounded objects
-# (the studied system keeps each under 100 KB); building one row per document
-# above this would funnel an unbounded group through one task, so nesting
-# refuses instead of running out of memory. Flat operators have no bound.
-MAX_ELEMENTS = 1_000_000
-
 PARTNER_FIELDS = ["id", "nome", "responsavel", "tier", "status"]
 CUSTOMER_FIELDS = ["id", "nome", "tipo", "setor", "uf", "receitaRecorrente", "publico"]
 DEAL_FIELDS = ["id", "titulo", "frente", "clienteId", "parceiroId", "responsavel", "valor",
@@ -88,7 +82,7 @@ def from_tables(t: Tables) -> DocumentSet:
         F.col("o_orderpriority").alias("frente"),
         F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("clienteId"),
         F.concat(F.lit("P-"), F.col("_sup").cast("string")).alias("parceiroId"),
-        F.substring("o_orderpriority", 3, 1 << 20).alias("responsavel"),
+        F.expr("substring(o_orderpriority, 3)").alias("responsavel"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit(""))
          .otherwise(F.floor("o_totalprice").cast("bigint").cast("string")).alias("valor"),
         stage.alias("etapa"),
@@ -118,21 +112,6 @@ def from_tables(t: Tables) -> DocumentSet:
 
 
 # ------------------------------------------------------------ nesting (M4)
-def check_bounded(ds: DocumentSet, limit: int = MAX_ELEMENTS) -> None:
-    """Refuse to nest when some array would exceed ``limit`` elements.
-
-    One partial aggregate over all element tables; only a scalar reaches the
-    driver."""
-    sizes = [ds.partners.groupBy("doc_id").count(), ds.customers.groupBy("doc_id").count(),
-             ds.deals.groupBy("doc_id").count(), ds.items.groupBy("doc_id", "deal_id").count()]
-    top = sizes[0].select("count")
-    for s in sizes[1:]:
-        top = top.unionByName(s.select("count"))
-    biggest = top.agg(F.max("count")).first()[0]
-    if biggest is not None and biggest > limit:
-        raise ValueError(f"a document array holds {biggest} elements (> {limit}); use the flat operators")
-
-
 def _sorted_array(df: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
     """M4 for one kind: collect elements per key and order them by ``pos``."""
     packed = F.struct(F.col("pos").alias("p"), F.struct(*fields).alias("e"))
@@ -150,10 +129,10 @@ def _empty(fields_df: DataFrame, fields: list[str]):
     return F.array().cast(ArrayType(fields_df.select(F.struct(*fields).alias("s")).schema["s"].dataType))
 
 
-def nest(ds: DocumentSet, limit: int | None = MAX_ELEMENTS) -> DataFrame:
-    """Flat -> nested: doc_id, version, updated_at, updated_by, doc."""
-    if limit is not None:
-        check_bounded(ds, limit)
+def nest(ds: DocumentSet) -> DataFrame:
+    """Flat -> nested: doc_id, version, updated_at, updated_by, doc. One row per
+    document is the result here (export, nested twins); queries that need no
+    nesting use the flat form."""
     items = _sorted_array(ds.items, ["doc_id", "deal_id"], ITEM_FIELDS, "pendencias")
     trans = _sorted_array(ds.transitions, ["doc_id", "deal_id"], TRANSITION_FIELDS, "historico")
     d = ds.deals.join(items.withColumnRenamed("deal_id", "id"), ["doc_id", "id"], "left") \
@@ -206,49 +185,20 @@ def load_documents(spark: SparkSession, path: str, key: str = "doc_id", arrays_a
 
 # Spark's JSON parser stops after the first complete value and ignores what
 # follows ("123 abc" parses as 123); a document must be one whole value. The
-# text is therefore parsed inside a wrapper  [ text , END ]  that only yields
-# a two-element array ending in END when the text is exactly one value. The
-# wrapper can only be fooled by a text that itself contains END; those rare
-# rows are re-checked by Python's strict parser.
-_END = "\\u0000quire-end"          # JSON escape sequence, as it appears in text
-_END_VALUE = "\u0000quire-end"        # the decoded string
-
-
-def _strict_json_valid(texts):
-    """Python's strict parser (no trailing data, no NaN/Infinity)."""
-    import json
-
-    def reject(_):
-        raise ValueError("not a JSON constant")
-
-    def ok(t):
-        if t is None:
-            return None
-        try:
-            json.loads(t, parse_constant=reject)
-            return True
-        except (ValueError, TypeError):
-            return False
-    return texts.map(ok)
-
-
+# text is therefore parsed inside a wrapper  [ text , MARK ]  that only yields
+# a two-element array ending in MARK when the text is exactly one value. MARK
+# is the text's own SHA-256: no text holds its own hash, so none can close the
+# wrapper itself.
 def parse_json_strict(df: DataFrame, text_col: str, out: str = "doc") -> DataFrame:
     """Adds ``out``: the text as VARIANT when it is exactly one JSON value,
-    else NULL. One pass: the wrapped parse is a column below the Python
-    step, and only suspect texts (containing the end marker) are sent to it -
-    the others reach Python as NULLs."""
-    ship_package(df.sparkSession)
+    else NULL. Of equal keys in one object the last wins."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     t = F.col(text_col)
-    d = df.withColumn("_q_w", F.try_parse_json(F.concat(F.lit("["), t, F.lit(f'\n,"{_END}"]'))))
+    mark = F.sha2(t.cast("binary"), 256)
+    d = df.withColumn("_q_w", F.try_parse_json(F.concat(F.lit("["), t, F.lit('\n,"'), mark, F.lit('"]'))))
     whole = (F.size(F.try_variant_get("_q_w", "$", "array<variant>")) == 2) & \
-            (F.try_variant_get("_q_w", "$[1]", "string") == F.lit(_END_VALUE))
-    d = d.withColumn("_q_whole", F.coalesce(whole, F.lit(False))) \
-         .withColumn("_q_suspect", F.col("_q_whole") & (F.instr(t, _END) > 0))
-    strict = F.pandas_udf(_strict_json_valid, "boolean")
-    d = d.withColumn("_q_strict", strict(F.when(F.col("_q_suspect"), t)))
-    ok = F.col("_q_whole") & (~F.col("_q_suspect") | F.coalesce(F.col("_q_strict"), F.lit(False)))
-    return d.withColumn(out, F.when(ok, F.try_variant_get("_q_w", "$[0]", "variant"))) \
-            .drop("_q_w", "_q_whole", "_q_suspect", "_q_strict")
+            (F.try_variant_get("_q_w", "$[1]", "string") == mark)
+    return d.withColumn(out, F.when(whole, F.try_variant_get("_q_w", "$[0]", "variant"))).drop("_q_w")
 
 
 def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id",

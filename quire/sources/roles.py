@@ -128,12 +128,13 @@ def requests(t: Tables) -> DataFrame:
 
 
 def create_commands(t: Tables) -> DataFrame:
-    """People commands: documents that mention an address ask to create a
-    person; e-mail is the first token holding '@' of the whole text."""
-    d = t.documents.select("doc_id", "text", "lang", "source")
+    """People commands: a document asks to create a person for every address
+    (token holding '@') of its whole text; one without any asks with ''."""
+    d = t.documents.select("doc_id", "lang", "source",
+                           F.regexp_extract_all("text", F.lit(r"\S+@\S+"), 0).alias("found"))
+    d = d.withColumn("email", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit("")))))
     return d.select(
-        F.col("doc_id").alias("id"),
-        F.regexp_extract("text", r"\S+@\S+", 0).alias("email"),
+        F.col("doc_id").alias("id"), "email",
         F.when(F.col("lang") == "en", F.concat(F.lit("  "), F.col("source"), F.lit(" ")))
          .otherwise(F.lit("   ")).alias("nome"),
         F.when(F.col("lang") == "en", "editor").when(F.col("lang") == "fr", "leitor")

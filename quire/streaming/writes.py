@@ -30,11 +30,13 @@ def _replay(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     version = state.get[0] if state.exists else 1
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq")
     outcome, new_version = [], []
-    for elig, exp in zip(pdf["eligible"].to_numpy(), pdf["expected_version"].to_numpy(dtype=np.int64)):
+    expected = pdf["expected_version"]
+    free = expected.isna().to_numpy()          # no version predicate: always applies
+    for elig, any_version, exp in zip(pdf["eligible"].to_numpy(), free, expected.fillna(-1).to_numpy(dtype=np.int64)):
         if not elig:
             outcome.append(FORBIDDEN)
             new_version.append(None)
-        elif exp == version:
+        elif any_version or exp == version:
             version += 1
             outcome.append(APPLIED)
             new_version.append(version)
@@ -77,17 +79,40 @@ def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
     return path
 
 
-def run_versioned_writes(spark: SparkSession, log_path: str, profiles: DataFrame,
-                         files_per_trigger: int = 1, state_partitions: int | None = None) -> DataFrame:
-    """Drive T1 over a staged log to completion (``availableNow``) into a
-    parquet sink in the shared folder; returns the sink as a batch frame.
-    ``state_partitions`` is fixed into the checkpoint at the first start."""
-    out = shared_path(spark, "t1-out")
-    ckpt = shared_path(spark, "t1-ckpt")
-    log = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(log_path)
+def _drive(spark: SparkSession, log_path: str, profiles: DataFrame, out: str, ckpt: str, state_partitions: int | None) -> None:
+    """Process all files that are there in one micro-batch (no file limit: a
+    batch must hold whole commits, however many files a commit has)."""
+    log = spark.readStream.schema(LOG_SCHEMA).parquet(log_path)
     n = state_partitions or default_state_partitions(spark)
     with conf_override(spark, {"spark.sql.shuffle.partitions": n}):
         q = versioned_writes_stream(log, profiles).writeStream.format("parquet").option("path", out) \
             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_versioned_writes(spark: SparkSession, log_path: str, profiles: DataFrame,
+                         state_partitions: int | None = None) -> DataFrame:
+    """Drive T1 over a staged log to completion (``availableNow``) into a
+    parquet sink in the shared folder; returns the sink as a batch frame.
+    ``state_partitions`` is fixed into the checkpoint at the first start."""
+    out, ckpt = shared_path(spark, "t1-out"), shared_path(spark, "t1-ckpt")
+    _drive(spark, log_path, profiles, out, ckpt, state_partitions)
+    return spark.read.schema(OUT_SCHEMA).parquet(out)
+
+
+def replay_commits(spark: SparkSession, w: DataFrame, parts: int, profiles: DataFrame,
+                   state_partitions: int | None = None) -> DataFrame:
+    """T1 over a log that arrives as ``parts`` commits in seq order: each commit,
+    of any number of files, is written to the inbox and processed as one
+    micro-batch before the next one arrives; state carries over between them."""
+    inbox, out, ckpt = (shared_path(spark, n) for n in ("t1-inbox", "t1-out", "t1-ckpt"))
+    w = cut_lineage(w, "t1-log")
+    lo, hi = w.agg(F.min("seq"), F.max("seq")).first()
+    if lo is None:
+        return spark.createDataFrame([], OUT_SCHEMA)
+    step = (hi - lo) // parts + 1
+    for i in range(parts):
+        a, b = lo + i * step, lo + (i + 1) * step
+        w.where((F.col("seq") >= a) & (F.col("seq") < b)).write.mode("append").parquet(inbox)
+        _drive(spark, inbox, profiles, out, ckpt, state_partitions)
     return spark.read.schema(OUT_SCHEMA).parquet(out)

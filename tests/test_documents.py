@@ -124,9 +124,20 @@ def test_nested_append_guard(spark):
     assert r["appended"] is False and len(r["doc"]["customers"]) == 2 and len(r["doc"]["deals"]) == 2
 
 
-def test_nest_refuses_oversized(ds):
-    with pytest.raises(ValueError):
-        D.check_bounded(ds, limit=1)
+def test_several_patches_of_one_element_and_a_patched_id(spark):
+    ds = flat_set(spark)
+    p = spark.createDataFrame([(1, "N-1", 2, {"responsavel": "z"}), (1, "N-1", 1, {"responsavel": "a", "notas": "n"}),
+                               (1, "N-2", 1, {"id": "N-9"})], "doc_id long, id string, seq int, patch map<string,string>")
+    out = DO.patch_elements(ds, "deals", p).deals
+    assert rows(out.where("doc_id = 1"), "id", "responsavel", "notas")[0] == ("N-1", "z", "n")
+    assert {r[0] for r in rows(out.where("doc_id = 1"), "id")} == {"N-1", "N-9"}
+    assert out.count() == ds.deals.count()
+
+
+def test_last_of_equal_keys_wins(spark):
+    df = spark.createDataFrame([("a", '{"x": 1, "x": 2}')], "k string, t string")
+    d = D.parse_documents(df, "t", key=None)
+    assert d.select(D.F.try_variant_get("doc", "$.x", "int").alias("x"), "reason").first()[:] == (2, None)
 
 
 def test_missing_array_is_quarantined(spark):

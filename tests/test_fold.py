@@ -84,3 +84,14 @@ def test_versions_gap_free_and_history_size(spark):
     # each archived image is the previous version
     j = hist.join(stamped.select(F.col("seq").alias("hist_id"), F.col("version").alias("v")), "hist_id")
     assert j.where(F.col("version") != F.col("v") - 1).count() == 0
+
+
+def test_negative_and_microsecond_seq(spark):
+    """Chunks follow the number of rows, not the values of seq."""
+    base = spark.createDataFrame([], "doc_id long, version int")
+    for first, step in ((-40, 10), (1_700_000_000_000_000, 977_777_777)):
+        log = [(1, first + i * step, 1 + i if i % 3 else None, True) for i in range(8)]
+        w = spark.createDataFrame(log, "doc_id long, seq long, expected_version int, eligible boolean")
+        for width in (1, 2, 1 << 20):
+            got = V.resolve_conflicts(w, base, chunk_width=width).orderBy("seq").collect()
+            assert [r["outcome"] for r in got] == ["applied"] * 8 and [r["version"] for r in got] == list(range(2, 10))

@@ -44,3 +44,19 @@ def test_empty_log_stages_and_streams(spark):
     empty = spark.createDataFrame([], LOG_SCHEMA)
     profiles = spark.createDataFrame([], "id long, nome string, papel string")
     assert run_versioned_writes(spark, stage_log(empty, 3, "t-empty"), profiles).count() == 0
+
+
+def test_commits_of_several_files_and_free_versions(spark):
+    from quire.streaming.writes import replay_commits
+    rnd = random.Random(8)
+    log, nxt = [], {}
+    for seq in range(400):
+        d = rnd.choice([0, 0, 0, 1, 2])
+        nxt[d] = nxt.get(d, 0) + 1
+        log.append((d, seq, rnd.choice([1, 1, 2, 3]), None if rnd.random() < 0.2 else 1 + nxt[d] // 2))
+    profiles = spark.createDataFrame([(1, "E", "editor"), (2, "R", "leitor")], "id long, nome string, papel string")
+    df = spark.createDataFrame(log, LOG_SCHEMA).repartition(6)
+    got = {r["seq"]: (r["outcome"], r["version"]) for r in replay_commits(spark, df, 3, profiles).collect()}
+    want = {r["seq"]: (r["outcome"], r["version"]) for r in V.resolve_conflicts(
+        V.write_gate(df, profiles), spark.createDataFrame([], "doc_id long, version int")).collect()}
+    assert len(got) == 400 and got == want
