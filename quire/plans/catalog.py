@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import access as X
@@ -14,7 +14,7 @@ from quire.operators import checks as Q
 from quire.operators import documents as DO
 from quire.operators import people as U
 from quire.operators import versions as V
-from quire.operators.ordering import last_wins_by_key
+from quire.operators.ordering import DEFAULT_CHUNK, last_wins_by_key
 from quire.sources import documents as D
 from quire.sources import roles
 from quire.sources.tables import Tables
@@ -31,10 +31,15 @@ def query(name: str):
 
 
 # ============================================================ write log (V*)
-def _e1(spark, sf_dir, materialize=False):
+#: Chunk width of the twins that take the fold and the ordered helpers through
+#: several chunks on small tables.
+SMALL_CHUNK = 512
+
+
+def _e1(spark, sf_dir, materialize=False, chunk_width=DEFAULT_CHUNK):
     t = Tables(spark, sf_dir)
-    w = roles.writes(t)
-    return V.apply_writes(w, roles.profiles(t), roles.base_documents(w), materialize=materialize)
+    w = roles.writes(t, chunk_width)
+    return V.apply_writes(w, roles.profiles(t), roles.base_documents(w), chunk_width, materialize=materialize)
 
 
 def _stamped(resolved: DataFrame) -> DataFrame:
@@ -55,10 +60,24 @@ def v5_resolve_conflicts(spark, sf_dir):
     return resolved.select("doc_id", "seq", "actor", "expected_version", "eligible", "outcome", "version")
 
 
+@query("v5_resolve_conflicts_chunked")
+def v5_resolve_conflicts_chunked(spark, sf_dir):
+    resolved, _, _ = _e1(spark, sf_dir, chunk_width=SMALL_CHUNK)
+    return resolved.select("doc_id", "seq", "actor", "expected_version", "eligible", "outcome", "version")
+
+
+def _images(history: DataFrame) -> DataFrame:
+    return history.select("hist_id", "doc_id", "version", "doc", F.col("n_deals").alias("deals"), "updated_at", "updated_by")
+
+
 @query("v2_before_images")
 def v2_before_images(spark, sf_dir):
-    _, history, _ = _e1(spark, sf_dir)
-    return history.select("hist_id", "doc_id", "version", F.col("n_deals").alias("deals"), "updated_at", "updated_by")
+    return _images(_e1(spark, sf_dir)[1])
+
+
+@query("v2_before_images_chunked")
+def v2_before_images_chunked(spark, sf_dir):
+    return _images(_e1(spark, sf_dir, chunk_width=SMALL_CHUNK)[1])
 
 
 @query("v3_stamp_author_time")
@@ -99,6 +118,14 @@ def v1_stamp_versions(spark, sf_dir):
     return V.stamp_versions(accepted, roles.base_documents(w)).select("doc_id", "seq", "version")
 
 
+@query("v1_stamp_versions_chunked")
+def v1_stamp_versions_chunked(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    w = roles.writes(t, SMALL_CHUNK)
+    accepted = V.write_gate(V.ignore_claimed_fields(w), roles.profiles(t)).where(F.col("eligible"))
+    return V.stamp_versions(accepted, roles.base_documents(w), SMALL_CHUNK).select("doc_id", "seq", "version")
+
+
 @query("j2_author_name")
 def j2_author_name(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -298,11 +325,17 @@ def m2_patch_elements_nested(spark, sf_dir):
     return D.flatten(out, "deals").select("doc_id", "id", "responsavel", "notas")
 
 
+def _listed(deals) -> Column:
+    """Content of an array of deals as text, in array order."""
+    return F.array_join(F.transform(deals, lambda d: F.concat_ws(":", d["id"], d["etapa"], d["valor"], d["clienteId"])),
+                        ",").alias("listed")
+
+
 @query("m3_set_path")
 def m3_set_path(spark, sf_dir):
     nested = D.nest(_docs(spark, sf_dir))
     out = DO.set_path_nested(nested, "deals", F.filter("doc.deals", lambda d: d["etapa"] != "perdido"))
-    return out.select("doc_id", F.size("doc.deals").cast("bigint").alias("deals"))
+    return out.select("doc_id", F.size("doc.deals").cast("bigint").alias("deals"), _listed("doc.deals"))
 
 
 @query("m4_rebuild_arrays")
@@ -310,7 +343,8 @@ def m4_rebuild_arrays(spark, sf_dir):
     ds = _docs(spark, sf_dir)
     arr = D.rebuild_arrays(ds.deals, ["doc_id"], D.DEAL_FIELDS, "deals")
     return arr.select("doc_id", F.size("deals").cast("bigint").alias("n"),
-                      F.get("deals", 0)["id"].alias("first_id"), F.element_at("deals", -1)["id"].alias("last_id"))
+                      F.get("deals", 0)["id"].alias("first_id"), F.element_at("deals", -1)["id"].alias("last_id"),
+                      _listed("deals"))
 
 
 def _doc_rows(spark, sf_dir) -> DataFrame:
@@ -398,7 +432,8 @@ def s4_export_roundtrip(spark, sf_dir):
     back = D.load_documents(spark, path)
     return back.select("doc_id", F.try_variant_get("doc", "$.version", "int").alias("version"),
                        F.try_variant_get("doc", "$.updated_by", "string").alias("updated_by"),
-                       *[D.variant_array_len(F.col("doc"), f"$.doc.{k}").alias(k) for k in DO.KINDS])
+                       *[D.variant_array_len(F.col("doc"), f"$.doc.{k}").alias(k) for k in DO.KINDS],
+                       _listed(F.try_variant_get("doc", "$.doc.deals", "array<struct<id:string,etapa:string,valor:string,clienteId:string>>")))
 
 
 @query("s5_read_envelope")
@@ -533,6 +568,18 @@ def u4_update_by_name(spark, sf_dir):
     return U.update_by_name(derived, cmds).select("id", "nome", "papel")
 
 
+@query("u4_rename_by_name")
+def u4_rename_by_name(spark, sf_dir):
+    """Names set by name: good documents rename their person, toxic ones set the role."""
+    t = Tables(spark, sf_dir)
+    derived = U.derive_profiles(roles.users(t))
+    lab = t.labels.select("doc_id", "quality", "toxic")
+    cmds = lab.join(derived.select(F.col("id").alias("doc_id"), "nome"), "doc_id").select(
+        F.col("doc_id").alias("seq"), "nome", F.when(F.col("toxic") == 1, "leitor").alias("papel"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("Nome "), F.col("doc_id").cast("string"))).alias("novo_nome"))
+    return U.update_by_name(derived, cmds).select("id", "nome", "papel")
+
+
 @query("u5_normalise_email")
 def u5_normalise_email(spark, sf_dir):
     return U.normalise_emails(roles.users(Tables(spark, sf_dir)).select("id", "email"))
@@ -633,3 +680,10 @@ def x3_scenario_report(spark, sf_dir):
     t = Tables(spark, sf_dir)
     w = roles.writes(t)
     return X.scenario_report(roles.scenario_steps(t, w), roles.profiles(t), roles.base_documents(w))
+
+
+@query("x3_scenario_report_chunked")
+def x3_scenario_report_chunked(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    w = roles.writes(t, SMALL_CHUNK)
+    return X.scenario_report(roles.scenario_steps(t, w), roles.profiles(t), roles.base_documents(w), SMALL_CHUNK)

@@ -115,8 +115,16 @@ cur AS (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rk FROM stamped) WHERE rk = 1
   ) s ON d.doc_id = s.doc_id)"""
 
+# The document a write sends, as text, from the kind of its event.
+DOC_TEXT = """CASE WHEN kind IS NULL THEN '{"partners":[],"customers":[],"deals":[]}'
+       ELSE '{"partners":[],"customers":[],"deals":[' || array_to_string(list_transform(range(1, length(kind) + 1),
+            lambda i: '{"id":"' || kind || '-' || CAST(i AS VARCHAR) || '"}'), ',') || ']}' END"""
+
 ORACLE["v2_before_images"] = with_ctes(RESOLVED, """
-SELECT hist_id, doc_id, version, n_deals AS deals, updated_at, updated_by FROM history""", recursive=True)
+SELECT hist_id, doc_id, version, """ + DOC_TEXT + """ AS doc, n_deals AS deals, updated_at, updated_by FROM history""",
+                                       recursive=True)
+ORACLE["v2_before_images_chunked"] = ORACLE["v2_before_images"]
+ORACLE["v5_resolve_conflicts_chunked"] = ORACLE["v5_resolve_conflicts"]
 
 ORACLE["v3_stamp_author_time"] = with_ctes(RESOLVED, """
 SELECT doc_id, seq, version, updated_at, updated_by FROM stamped""", recursive=True)
@@ -138,6 +146,8 @@ ORACLE["v1_stamp_versions"] = with_ctes(GATED, """
 SELECT doc_id, seq, CAST(1 + row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INTEGER) AS version
 FROM gated WHERE eligible""")
 
+ORACLE["v1_stamp_versions_chunked"] = ORACLE["v1_stamp_versions"]
+
 ORACLE["j2_author_name"] = with_ctes(GATED, """
 SELECT doc_id, seq, actor, author FROM gated""")
 
@@ -283,15 +293,17 @@ SELECT d.doc_id, d.id,
        CASE WHEN d.pk = lp.first_order AND lp.toxic = 1 THEN NULL ELSE '' END AS notas
 FROM deals d LEFT JOIN lp ON d.doc_id = lp.doc_id AND lp.first_order IS NOT NULL""")
 
-ORACLE["m3_set_path"] = """
-SELECT c.c_custkey AS doc_id, CAST(count(o.o_orderkey) AS BIGINT) AS deals
-FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus <> 'P'
-GROUP BY c.c_custkey"""
+LISTED = """coalesce(string_agg(d.id || ':' || d.etapa || ':' || d.valor || ':' || d.cliente_id, ',' ORDER BY d.pk), '')"""
+
+ORACLE["m3_set_path"] = with_ctes(DOC_DEALS, """
+SELECT c.c_custkey AS doc_id, CAST(count(d.pk) AS BIGINT) AS deals, """ + LISTED + """ AS listed
+FROM customer c LEFT JOIN deals d ON d.doc_id = c.c_custkey AND d.etapa <> 'perdido'
+GROUP BY c.c_custkey""")
 
-ORACLE["m4_rebuild_arrays"] = """
-SELECT o_custkey AS doc_id, CAST(count(*) AS BIGINT) AS n, 'N-' || CAST(min(o_orderkey) AS VARCHAR) AS first_id,
-       'N-' || CAST(max(o_orderkey) AS VARCHAR) AS last_id
-FROM orders GROUP BY o_custkey"""
+ORACLE["m4_rebuild_arrays"] = with_ctes(DOC_DEALS, """
+SELECT d.doc_id, CAST(count(*) AS BIGINT) AS n, 'N-' || CAST(min(d.pk) AS VARCHAR) AS first_id,
+       'N-' || CAST(max(d.pk) AS VARCHAR) AS last_id, """ + LISTED + """ AS listed
+FROM deals d GROUP BY d.doc_id""")
 
 ORACLE["m5_full_replace"] = with_ctes(RESOLVED + CURRENT + ",\n" + DOC_DEALS, """
 SELECT c.c_custkey AS doc_id, 'kept' AS source, coalesce(dc.deals, 0) AS deals
@@ -346,8 +358,9 @@ WHERE c_custkey NOT IN (SELECT doc_id FROM cur)""", recursive=True)
 
 ORACLE["s4_export_roundtrip"] = with_ctes(DOC_DEALS, """,
 ec AS (""" + ENTITY_COUNTS + """)
-SELECT doc_id, version, updated_by, CAST(partners AS BIGINT) AS partners, customers, CAST(deals AS BIGINT) AS deals
-FROM ec""")
+SELECT ec.doc_id, version, updated_by, CAST(partners AS BIGINT) AS partners, customers, CAST(deals AS BIGINT) AS deals,
+       coalesce(l.listed, '') AS listed
+FROM ec LEFT JOIN (SELECT d.doc_id, """ + LISTED + """ AS listed FROM deals d GROUP BY d.doc_id) l ON ec.doc_id = l.doc_id""")
 
 ORACLE["s5_read_envelope"] = with_ctes(USERS, """
 SELECT CAST(floor(id / 200) AS BIGINT) AS page, CASE WHEN email IS NULL THEN 'object' ELSE 'array' END AS form,
@@ -508,6 +521,16 @@ lastcmd AS (
 SELECT d.id, d.nome, coalesce(c.papel, d.papel) AS papel
 FROM derived d LEFT JOIN lastcmd c ON d.nome IS NOT DISTINCT FROM c.nome""")
 
+ORACLE["u4_rename_by_name"] = with_ctes(DERIVED, """,
+cmd AS (
+  SELECT d.nome, l.doc_id AS seq, CASE WHEN l.toxic = 1 THEN 'leitor' END AS papel,
+         CASE WHEN l.quality = 1 THEN 'Nome ' || CAST(l.doc_id AS VARCHAR) END AS novo
+  FROM labels l JOIN derived d ON l.doc_id = d.id),
+lastcmd AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nome ORDER BY seq DESC) AS rk FROM cmd) WHERE rk = 1)
+SELECT d.id, coalesce(c.novo, d.nome) AS nome, coalesce(c.papel, d.papel) AS papel
+FROM derived d LEFT JOIN lastcmd c ON d.nome IS NOT DISTINCT FROM c.nome""")
+
 ORACLE["u5_normalise_email"] = with_ctes(USERS, """
 SELECT id, lower(""" + js_trim("email") + """) AS email FROM users""")
 
@@ -609,3 +632,5 @@ WINDOW w AS (PARTITION BY doc_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING
 ORACLE["m2_patch_elements_nested"] = ORACLE["m2_patch_elements"] + " WHERE d.doc_id IN (SELECT c_custkey FROM customer)"
 
 ORACLE["p1_flatten_loaded_deals"] = ORACLE["p1_flatten_deals"]
+
+ORACLE["x3_scenario_report_chunked"] = ORACLE["x3_scenario_report"]
