@@ -34,3 +34,15 @@ def constraint_report(profiles: DataFrame, users: DataFrame) -> DataFrame:
     names = ["id_not_null", "nome_not_null", "papel_not_null", "papel_in_list", "senha_not_null"]
     return _unpivot(checks, "perfil", names).unionByName(_unpivot(dup, "perfil", ["id_unique"])) \
         .unionByName(_unpivot(orphans, "perfil", ["id_in_users"]))
+
+
+def document_constraints(df: DataFrame, tbl: str, key: str) -> DataFrame:
+    """Q1 for the document and history tables: key and document not null, a
+    version of 1 or more, key unique."""
+    checks = df.agg(
+        F.count_if(F.col(key).isNull()).alias("id_not_null"),
+        F.count_if(F.col("doc").isNull()).alias("dados_not_null"),
+        F.count_if(F.col("version").isNull()).alias("versao_not_null"),
+        F.count_if(F.col("version") < 1).alias("versao_positive"))
+    return _unpivot(checks, tbl, ["id_not_null", "dados_not_null", "versao_not_null", "versao_positive"]).unionByName(
+        _unpivot(duplicate_keys(df, key), tbl, ["id_unique"]))

@@ -448,6 +448,23 @@ def s5_read_envelope(spark, sf_dir):
     return D.read_envelope(pages.select("page", "form", body.alias("body")))
 
 
+@query("e2_people_listing")
+def e2_people_listing(spark, sf_dir):
+    """S5 -> L3 -> J5 -> L2: users read from response bodies (ids as text), the
+    first page of 200, joined with their profiles and sorted for display."""
+    t = Tables(spark, sf_dir)
+    u = roles.users(t)
+    u = u.withColumn("page", F.floor(F.col("id") / 200).cast("bigint")).withColumn("id", F.col("id").cast("string"))
+    stamps = ("last_sign_in_at", "created_at", "email_confirmed_at", "confirmed_at")
+    pages = u.groupBy("page").agg(F.collect_list(F.struct("id", "email", "raw_user_meta_data", *stamps)).alias("users"))
+    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    body = F.when(F.col("page") % 2 == 0, F.to_json(F.struct("users"), micros)).otherwise(F.to_json("users", micros))
+    users = D.read_envelope(pages.select("page", body.alias("body")), fields={
+        "email": "string", "raw_user_meta_data": "string", **{s: "timestamp_ntz" for s in stamps}}).drop("page")
+    profiles = roles.profiles(t).withColumn("id", F.col("id").cast("string"))
+    return U.locale_sort(U.people_listing(U.first_page(users, 200), profiles))
+
+
 @query("s6_scan_columns")
 def s6_scan_columns(spark, sf_dir):
     path = D.stage_parquet(roles.profiles(Tables(spark, sf_dir)), "profiles")
@@ -539,6 +556,18 @@ def q1_constraint_report(spark, sf_dir):
     return Q.constraint_report(roles.profiles(t), users_after)
 
 
+@query("q1_document_constraints")
+def q1_document_constraints(spark, sf_dir):
+    """Q1 on the document and history tables. Documents of toxic labels are
+    delivered twice, without content where quality is low, so rules do trip."""
+    t = Tables(spark, sf_dir)
+    _, history, current = _e1(spark, sf_dir)
+    again = current.join(t.labels.where(F.col("toxic") == 1).select("doc_id", "quality"), "doc_id").withColumn(
+        "doc", F.when(F.col("quality") == 1, F.col("doc"))).drop("quality")
+    return Q.document_constraints(current.unionByName(again), "pipeline", "doc_id").unionByName(
+        Q.document_constraints(history, "pipeline_historico", "hist_id"))
+
+
 @query("u2_validate_people_commands")
 def u2_validate_people_commands(spark, sf_dir):
     return U.validate_people_commands(roles.create_commands(Tables(spark, sf_dir)))

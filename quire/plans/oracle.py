@@ -364,7 +364,7 @@ FROM ec LEFT JOIN (SELECT d.doc_id, """ + LISTED + """ AS listed FROM deals d GR
 
 ORACLE["s5_read_envelope"] = with_ctes(USERS, """
 SELECT CAST(floor(id / 200) AS BIGINT) AS page, CASE WHEN email IS NULL THEN 'object' ELSE 'array' END AS form,
-       id, email
+       CAST(id AS VARCHAR) AS id, email
 FROM users""")
 
 ORACLE["s6_scan_columns"] = with_ctes(PROFILES, """
@@ -634,3 +634,24 @@ ORACLE["m2_patch_elements_nested"] = ORACLE["m2_patch_elements"] + " WHERE d.doc
 ORACLE["p1_flatten_loaded_deals"] = ORACLE["p1_flatten_deals"]
 
 ORACLE["x3_scenario_report_chunked"] = ORACLE["x3_scenario_report"]
+
+ORACLE["e2_people_listing"] = with_ctes(USERS_PROFILES, LISTING.replace("SELECT u.id,", "SELECT CAST(u.id AS VARCHAR) AS id,", 1) + """
+WHERE u.id IN (SELECT id FROM users ORDER BY CAST(id AS VARCHAR) LIMIT 200)""")
+
+ORACLE["q1_document_constraints"] = with_ctes(RESOLVED + CURRENT, """,
+twice AS (
+  SELECT doc_id, version, true AS has_doc FROM cur
+  UNION ALL SELECT cur.doc_id, cur.version, l.quality = 1 FROM cur JOIN labels l ON cur.doc_id = l.doc_id WHERE l.toxic = 1)
+SELECT 'pipeline' AS tbl, rule, violations FROM (
+  SELECT 'id_not_null' AS rule, CAST(count_if(doc_id IS NULL) AS BIGINT) AS violations FROM twice
+  UNION ALL SELECT 'dados_not_null', CAST(count_if(NOT has_doc) AS BIGINT) FROM twice
+  UNION ALL SELECT 'versao_not_null', CAST(count_if(version IS NULL) AS BIGINT) FROM twice
+  UNION ALL SELECT 'versao_positive', CAST(count_if(version < 1) AS BIGINT) FROM twice
+  UNION ALL SELECT 'id_unique', CAST(count(*) - count(DISTINCT doc_id) AS BIGINT) FROM twice)
+UNION ALL
+SELECT 'pipeline_historico', rule, violations FROM (
+  SELECT 'id_not_null' AS rule, CAST(count_if(hist_id IS NULL) AS BIGINT) AS violations FROM history
+  UNION ALL SELECT 'dados_not_null', CAST(0 AS BIGINT)
+  UNION ALL SELECT 'versao_not_null', CAST(count_if(version IS NULL) AS BIGINT) FROM history
+  UNION ALL SELECT 'versao_positive', CAST(count_if(version < 1) AS BIGINT) FROM history
+  UNION ALL SELECT 'id_unique', CAST(count(*) - count(DISTINCT hist_id) AS BIGINT) FROM history)""", recursive=True)

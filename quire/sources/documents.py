@@ -272,17 +272,18 @@ def ensure_documents(current: DataFrame, keys: DataFrame, default_doc, default_d
 
 
 # ------------------------------------------------------------ S5 / S6
-def read_envelope(raw: DataFrame, text_col: str = "body") -> DataFrame:
+def read_envelope(raw: DataFrame, text_col: str = "body", fields: dict[str, str] | None = None) -> DataFrame:
     """A response body is either an array of users or ``{users: [...]}``;
-    anything else yields no users. One output row per user (id, email)."""
+    anything else yields no users. One output row per user: id (text, whatever
+    its form) and ``fields`` (name -> type; the e-mail unless given)."""
     keep = [c for c in raw.columns if c != text_col]
     parsed = parse_json_strict(raw, text_col, "_q_v")
     v = F.col("_q_v")
     users = F.coalesce(F.try_variant_get(v, "$.users", "array<variant>"),
                        F.try_variant_get(v, "$", "array<variant>"))
     return parsed.select(*keep, F.explode(users).alias("u")).select(
-        *keep, F.try_variant_get("u", "$.id", "bigint").alias("id"),
-        F.try_variant_get("u", "$.email", "string").alias("email"))
+        *keep, F.try_variant_get("u", "$.id", "string").alias("id"),
+        *[F.try_variant_get("u", f"$.{f}", kind).alias(f) for f, kind in (fields or {"email": "string"}).items()])
 
 
 def scan_columns(spark: SparkSession, path: str, cols: list[str], schema: str) -> DataFrame:
