@@ -155,6 +155,19 @@ def _slices(texts: list[str]):
         a = b
 
 
+#: How much less than the word itself each of its disguises counts in training.
+DISGUISE = 4
+
+
+def _disguised(word: str) -> list[str]:
+    """The word with one character more (at a few inner places) or one less."""
+    n = len(word)
+    if n < 5:
+        return []
+    at = sorted({2, n // 2, n - 2})
+    return [word[:k] + "x" + word[k:] for k in at] + [word[:k] + word[k + 1:] for k in sorted({n // 2, n - 2})]
+
+
 def _sparse(words: list[str]):
     """(word, code, value) of the normalised descriptions."""
     x = Symbols(words)
@@ -284,7 +297,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model | None:
     def nystrom(chosen):
         out = np.zeros((len(chosen), root.shape[1]), np.float32)
         for a in range(0, len(chosen), 256):
-            part = list(vocabulary[chosen[a:a + 256]])
+            part = list(chosen[a:a + 256])
             r, c, v = _sparse(part)
             at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
             hit = codes[at] == c
@@ -293,7 +306,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model | None:
             out[a:a + 256] = dense @ basis.T @ root.astype(np.float32)
         return out
 
-    features = nystrom(train)
+    features = nystrom(vocabulary[train])
     bad = found[y[found.d.to_numpy()] == 1].drop_duplicates(["w", "s"])
     clean_count = (seen["count"] - seen["sum"]).to_numpy(np.float64)
     f = score0
@@ -306,15 +319,19 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model | None:
         # clean words that look toxic so far join the training words
         hard = np.argsort(-np.where(clean_count > 0, f, -np.inf), kind="stable")[:TRAIN_WORDS // 2]
         extra = np.setdiff1d(np.concatenate([hard[clean_count[hard] > 0], np.flatnonzero(evidence > 1)]), train)
-        train, features = np.concatenate([train, extra]), np.concatenate([features, nystrom(extra)])
+        train, features = np.concatenate([train, extra]), np.concatenate([features, nystrom(vocabulary[extra])])
         pos_weight, neg_weight = evidence[train], clean_count[train]
         share = pos_weight / np.maximum(pos_weight + neg_weight * (n1 / n0), 1e-9)
         pos, neg = np.flatnonzero((pos_weight > 0) & (share > 0.5)), np.flatnonzero(neg_weight > 0)
         if not len(pos) or not len(neg):
             return None
-        z = np.concatenate([features[pos], features[neg]])
-        t = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         wp, wn = np.sqrt(pos_weight[pos]), np.sqrt(neg_weight[neg])
+        # telling words also stand for themselves with a character more or less
+        spelled = [(x, wp[k] / DISGUISE) for k, w in enumerate(vocabulary[train[pos]]) if pos_weight[pos[k]] > 1
+                   for x in _disguised(w) if x not in ids]
+        z = np.concatenate([features[pos], nystrom([x for x, _ in spelled]), features[neg]])
+        t = np.concatenate([np.ones(len(pos) + len(spelled)), -np.ones(len(neg))])
+        wp = np.concatenate([wp, [x for _, x in spelled]])
         v = _machine(z, t, np.concatenate([wp / wp.sum(), wn / wn.sum()]) * 200)
         weights[codes] = basis.T.astype(np.float64) @ (root @ v[:-1])
         bias = float(v[-1])

@@ -160,7 +160,7 @@ PARTS = st.sampled_from(["password", "Token", "API_KEY", "secret=", ": ", "=", "
                          "0123456789abcdef", "é🙂", "\n", "user=bob", "https://h.example.com/x", "ſecret", "x" * 150])
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(texts=st.lists(st.lists(PARTS, max_size=14).map("".join), min_size=20, max_size=40))
 def test_secrets_base_spans(spark, texts):
     from quire.llm import secrets
