@@ -4,12 +4,16 @@ Texts are split by the tokenizer's pattern on the JVM side. Blocks of documents
 (``BLOCK_PIECES`` pieces, or one document if that has more) become one row each:
 the block's distinct pieces, and for each document the numbers of its pieces.
 Spark higher-order functions then fold the ranked merges over the bytes of each
-distinct piece: the state is the list of byte strings and the ranks of
-neighbouring pairs; each step joins the leftmost pair of the lowest rank, as the
-reference implementation of this encoding does. Ranks are looked up in a literal
-array of small maps (a map lookup in Spark scans the map, so one large map would
-be read whole for every pair). A piece that is itself a token needs no fold.
-Decoding concatenates the tokens' binary pieces.
+distinct piece: the state is the list of tokens so far and the rank that each
+neighbouring pair would merge to; each step merges the leftmost pair of the
+lowest rank, as the reference implementation of this encoding does. The rank
+map is a literal: a hash table in one array (a map lookup in Spark scans the
+map). Every piece has its single bytes as first tokens; a piece that is a token
+itself needs no fold. Decoding concatenates the tokens' binary pieces.
+
+Words are very unevenly frequent, so the distinct pieces of a bounded sample of
+documents (about ``CACHE_ROWS`` rows, ``CACHE_PIECES`` pieces) are folded first and sent
+to all tasks: a cache that spares folds and changes no result.
 
 A fold over n bytes takes n steps of n, so pieces of more than ``LONG`` bytes
 (unbroken runs, which no vocabulary holds whole) are merged by a heap in the
@@ -20,7 +24,6 @@ lost executor costs its partitions only.
 
 Defined results: a null or empty text has no ids; repeated rows, null ids and
 empty tables work; the vocabulary must hold all 256 single bytes (checked).
-Each character of a byte string stands for one byte (ISO-8859-1) on the JVM side.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +42,18 @@ from pyspark.sql import functions as F
 from quire.llm.common import let, text_or_empty
 
 #: Pieces of the documents that share one block.
-BLOCK_PIECES = 3_000_000
+BLOCK_PIECES = 1_500_000
 #: Bytes up to which a piece is merged by the fold.
 LONG = 96
-#: Small maps that hold the ranks.
-SLOTS = 1 << 14
+#: Rows that the cache is taken from (about), and pieces that it holds at most.
+CACHE_ROWS = 40_000
+CACHE_PIECES = 400_000
 #: Rank of a pair that is no token.
 NONE = 1 << 30
+#: Sizes of the two halves of the rank table (primes).
+HALVES = (524_287, 131_071)
+#: Factors of a pair's two ids for its place in each half.
+FACTORS = ((92_821, 31_337), (68_917, 48_611))
 
 #: White space as the tokenizer's pattern means it (the Unicode property).
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -67,47 +74,81 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: token -> rank, in the slot its crc32 names."""
-    slots: list[dict] = [{} for _ in range(SLOTS)]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """(first << 17 | second) -> rank, for all pairs of tokens that join to one."""
+    if max(ranks.values()) >= 1 << 17:
+        raise ValueError("ranks of 17 bits at most")
+    found = {}
     for token, rank in ranks.items():
-        slots[zlib.crc32(token.decode("latin-1").encode()) % SLOTS][token.decode("latin-1")] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                found[a << 17 | b] = rank
+    return found
+
+
+def rank_table(ranks: dict[bytes, int]) -> list[int]:
+    """Cuckoo hash table of (pair << 17 | rank) + 1: a pair stands at its place in
+    the first half or in the second; 0 is free."""
+    table = [0] * sum(HALVES)
+
+    def places(pair):
+        a, b = pair >> 17, pair & 131_071
+        return [(a * f + b * g) % n + before for (f, g), n, before in zip(FACTORS, HALVES, (0, HALVES[0]))]
+
+    for pair, rank in pair_ranks(ranks).items():
+        entry = (pair << 17 | rank) + 1
+        at = places(pair)[0]
+        for _ in range(500):
+            entry, table[at] = table[at], entry
+            if not entry:
+                break
+            one, two = places(entry - 1 >> 17)
+            at = two if at == one else one
+        else:
+            raise ValueError("the rank table is too small for this vocabulary")
+    return table
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank table as a literal column."""
+    return F.from_json(F.lit(json.dumps(rank_table(ranks), separators=(",", ":"))), "array<bigint>")
 
 
-def _rank(ranks: Column, token: Column) -> Column:
-    found = F.element_at(F.get(ranks, F.pmod(F.crc32(token), F.lit(SLOTS)).cast("int")), token)
-    return F.coalesce(found, F.lit(NONE))
+def _rank(table: Column, a: Column, b: Column) -> Column:
+    """Rank of the token that ``a`` and ``b`` join to, or NONE."""
+    none = F.lit(NONE).cast("long")
 
+    def entry(half, otherwise):
+        f, g = FACTORS[half]
+        at = (a * f + b * g) % HALVES[half] + (HALVES[0] if half else 0)
+        # a place that is free was never taken, so its pairs are nowhere
+        return let(F.get(table, at.cast("int")) - 1, lambda x: F.when(x < 0, none).when(
+            F.shiftright(x, 17) == a * 131_072 + b, x.bitwiseAND(131_071)).otherwise(otherwise))
+    return entry(0, entry(1, none))
 
-def merge(word: Column, ranks: Column) -> Column:
-    """Ids of one piece given as a byte string: fold over its merges."""
-    n = F.length(word)
-    letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(word, i, F.lit(1)))
 
+def merge(tokens: Column, table: Column) -> Column:
+    """Ids of one piece given as the tokens of its bytes: fold over its merges.
+    The rank of a merge is the id of the token it makes."""
     def start(s):
-        pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1),
-                           lambda a, b: _rank(ranks, F.concat(a, b)))
-        return F.struct(s.alias("s"), pairs.alias("r"), F.array_min(pairs).alias("m"))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: _rank(table, F.get(s, i), F.get(s, i + 1)))
+        return let(pairs, lambda r: F.struct(s.alias("s"), r.alias("r"), F.array_min(r).alias("m")))
 
     def step(acc, _):
         s, r, m = acc["s"], acc["r"], acc["m"]
-        p = F.array_position(r, m).cast("int")
 
-        def joined(token):
-            left = F.when(p > 1, F.array(_rank(ranks, F.concat(F.get(s, p - 2), token)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p < F.size(r), F.array(_rank(ranks, F.concat(token, F.get(s, p + 1))))).otherwise(
-                F.array().cast("array<int>"))
-            new_r = F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(r)))
-            new_s = F.concat(F.slice(s, F.lit(1), p - 1), F.array(token), F.slice(s, p + 2, F.size(s)))
-            return let(new_r, lambda x: F.struct(new_s.alias("s"), x.alias("r"), F.array_min(x).alias("m")))
+        def joined(p):
+            # places count from 0: token p takes the merge, token p + 1 goes
+            new_s = F.transform(F.filter(s, lambda x, i: i != p + 1), lambda x, i: F.when(i == p, m).otherwise(x))
+            new_r = F.transform(F.filter(r, lambda x, i: i != p), lambda x, i: F.when(
+                i == p - 1, _rank(table, F.get(s, p - 1), m)).when(i == p, _rank(table, m, F.get(s, p + 2))).otherwise(x))
+            return let(new_r, lambda x: F.struct(new_s.alias("s"), x.alias("r"), F.coalesce(
+                F.array_min(x), F.lit(NONE).cast("long")).alias("m")))
 
-        return F.when((m >= NONE) | m.isNull(), acc).otherwise(let(F.concat(F.get(s, p - 1), F.get(s, p)), joined))
+        return F.when(m < NONE, let(F.array_position(r, m).cast("int") - 1, joined)).otherwise(acc)
 
-    folded = F.aggregate(F.sequence(F.lit(2), n), let(letters, start), step)
-    whole = _rank(ranks, word)
-    return let(whole, lambda w: F.when(w < NONE, F.array(w)).otherwise(
-        F.transform(folded["s"], lambda t: _rank(ranks, t))))
+    return F.aggregate(F.sequence(F.lit(2), F.size(tokens)), start(tokens), step, lambda acc: acc["s"])
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -135,70 +176,118 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-BLOCK_SCHEMA = "keys array<bigint>, counts array<int>, places binary, words array<string>"
+BLOCK_SCHEMA = ("keys array<bigint>, counts array<int>, places binary, words array<binary>, known array<array<int>>, "
+                "open array<int>, bytes array<array<bigint>>")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, flats, held = [], [], [], 0
+class Cache:
+    """Ids of pieces, in one array; a piece names its run there."""
 
-    def row():
+    def __init__(self, found: dict[bytes, tuple]):
+        self.at = {w: i for i, w in enumerate(found)}
+        self.ends = np.cumsum([0] + [len(x) for x in found.values()]).astype(np.int64)
+        self.ids = np.array([t for x in found.values() for t in x], np.int32)
+
+    def get(self, word: bytes) -> list[int] | None:
+        i = self.at.get(word)
+        return None if i is None else self.ids[self.ends[i]:self.ends[i + 1]].tolist()
+
+
+def _blocks(ranks: dict[bytes, int], cached):
+    """key, pieces -> blocks. ``known`` has the ids of the pieces that are tokens,
+    long, or in the cache; ``open`` are the pieces to fold, ``bytes`` the tokens
+    of their bytes."""
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def block(keys, counts, flats):
         words = pa.concat_arrays(flats).dictionary_encode()
-        return pa.RecordBatch.from_pydict({
-            "keys": pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(pa.int64())),
-            "counts": pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int32())),
-            "places": pa.array([words.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
-            "words": pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)})
-
-    for batch in batches:
-        at = 0
-        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-        while at < len(sizes):
-            total = held + np.cumsum(sizes[at:])
-            n = max(1, int(np.searchsorted(total, BLOCK_PIECES, "right")))
-            if held and total[0] > BLOCK_PIECES:
-                n = 0
-            if n:
-                part = batch.slice(at, n)
-                keys.append(part.column(0))
-                counts.append(sizes[at:at + n])
-                flats.append(part.column(1).flatten())
-                held += int(sizes[at:at + n].sum())
-                at += n
-            if held >= BLOCK_PIECES or not n or at < len(sizes):
-                yield row()
-                keys, counts, flats, held = [], [], [], 0
-    if keys:
-        yield row()
+        names = words.dictionary.cast(pa.binary())
+        found = cached.value if cached is not None else Cache({})
+        known = [[own] if (own := ranks.get(w)) is not None else found.get(w) or (heap_merge(w, ranks) if len(w) > LONG else None)
+                 for w in names.to_pylist()]
+        to_fold = np.array([i for i, x in enumerate(known) if x is None], np.int32)
+        chosen = names.take(pa.array(to_fold)).cast(pa.large_binary())
+        ends = np.frombuffer(chosen.buffers()[1], np.int64)[chosen.offset:chosen.offset + len(chosen) + 1] if len(chosen) else np.zeros(1, np.int64)
+        raw = np.frombuffer(chosen.buffers()[2], np.uint8)[ends[0]:ends[-1]] if len(chosen) else np.zeros(0, np.uint8)
+        tokens = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(of_byte[raw]))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([
+            one(pa.concat_arrays(keys)), one(pa.array(np.concatenate(counts).astype(np.int32))),
+            pa.array([words.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
+            one(names), one(pa.array(known, pa.list_(pa.int32()))), one(pa.array(to_fold)), one(tokens)],
+            names=["keys", "counts", "places", "words", "known", "open", "bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, flats, held = [], [], [], 0
+        for batch in batches:
+            at, sizes = 0, batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            while at < len(sizes):
+                n = int(np.searchsorted(held + np.cumsum(sizes[at:]), BLOCK_PIECES, "right"))
+                n = max(n, 0 if held else 1)
+                if n:
+                    part = batch.slice(at, n)
+                    keys.append(part.column(0))
+                    counts.append(sizes[at:at + n])
+                    flats.append(part.column(1).flatten())
+                    held += int(sizes[at:at + n].sum())
+                    at += n
+                if at < len(sizes):
+                    yield block(keys, counts, flats)
+                    keys, counts, flats, held = [], [], [], 0
+        if keys:
+            yield block(keys, counts, flats)
+    return run
+
+
+def _pieces(docs: DataFrame, pattern: str, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), F.regexp_extract_all(
+        text_or_empty(text), F.lit(java_pattern(pattern)), 0).alias("pieces"))
+
+
+def _folded(blocks: DataFrame, table: Column) -> DataFrame:
+    return blocks.select("keys", "counts", "places", "words", "known", "open", let(table, lambda r: F.transform(
+        "bytes", lambda b: merge(b, r))).alias("ids"))
+
+
+def fill_cache(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> Cache:
+    """Ids of the pieces that occur twice or more in a bounded sample, most
+    frequent first, ``CACHE_PIECES`` at most."""
+    # rows are drawn where they lie: a limit would move every text
+    n = docs.count()
+    drawn = docs.sample(min(1.0, CACHE_ROWS / max(n, 1)), seed=7)
+    sample = _pieces(drawn, pattern, text, key).select(F.explode("pieces").alias("piece"))
+    often = sample.groupBy("piece").count().where("count > 1").orderBy(F.desc("count"), "piece").limit(CACHE_PIECES)
+    often = often.select(F.lit(0).cast("long").alias("key"), F.array("piece").alias("pieces"))
+    found = _folded(often.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, None), BLOCK_SCHEMA),
+                    rank_literal(ranks))
+    cache = {}
+    for row in found.select("words", "open", "ids").toLocalIterator():
+        for i, ids in zip(row.open, row.ids):
+            cache[bytes(row.words[i])] = tuple(ids)
+    return Cache(cache)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id",
            digests: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) of every row; with ``digests`` instead n_tokens
     and the SHA-256 of the comma-joined ids and of the decoded bytes."""
-    pieces = F.regexp_extract_all(text_or_empty(text), F.lit(java_pattern(pattern)), 0)
-    blocks = docs.select(F.col(key).cast("long").alias("key"), pieces.alias("pieces")).mapInArrow(_blocks, BLOCK_SCHEMA)
-    none = F.lit(None).cast("array<int>")
-    table = rank_literal(ranks)
-    as_bytes = lambda w: F.decode(w.cast("binary"), "ISO-8859-1")
-    merged = blocks.select("keys", "counts", "places", "words", let(table, lambda r: F.transform(
-        "words", lambda w: F.when(F.octet_length(w) > LONG, none).otherwise(let(as_bytes(w), lambda b: merge(b, r))))).alias("ids"))
+    cached = docs.sparkSession.sparkContext.broadcast(fill_cache(docs, ranks, pattern, text, key))
+    blocks = _pieces(docs, pattern, text, key).mapInArrow(_blocks(ranks, cached), BLOCK_SCHEMA)
     tokens = {v: k for k, v in ranks.items()}
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                words, ids = row.column(3).flatten(), row.column(4).flatten().to_pylist()
-                for j, found in enumerate(ids):
-                    if found is None:
-                        ids[j] = heap_merge(words[j].as_py().encode(), ranks)
+                ids = row.column(4).flatten().to_pylist()
+                for j, found in zip(row.column(5).flatten().to_pylist(), row.column(6).flatten().to_pylist()):
+                    ids[j] = found
                 places = np.frombuffer(row.column(2)[0].as_py(), "<i4")
                 ends = np.concatenate([[0], np.cumsum(row.column(1).flatten().to_numpy())]).astype(np.int64)
-                keys = row.column(0).flatten()
-                yield from _put_together(keys, ends, places, ids, tokens, digests)
+                yield from _put_together(row.column(0).flatten(), ends, places, ids, tokens, digests)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>"
-    return merged.mapInArrow(documents, schema)
+    return _folded(blocks, rank_literal(ranks)).mapInArrow(documents, schema)
 
 
 #: Documents in one batch that leaves the last step.

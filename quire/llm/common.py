@@ -18,8 +18,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
     A column that is referenced inside a lambda is otherwise computed anew for
-    every element the lambda sees."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    every element the lambda sees. (An aggregate over no elements that starts
+    with the value and finishes with the body.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def text_or_empty(c: str | Column = "text") -> Column:
