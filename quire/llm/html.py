@@ -7,9 +7,13 @@ notices, adverts, forms, scripts, styles, reader comments) are left out. Every
 block of running text earns points: one for itself, one for each comma, up to
 three for its length; it passes them to its ancestors, halved at each step
 after the parent. A container's points are discounted by its link density (the
-share of its text inside links). The container with most points wins; siblings
-of it are kept too when their own points reach a fifth of the winner's or they
-are unlinked paragraphs. All blocks of what is kept are returned in page order.
+share of its text inside links). From the container with most points one climbs
+to the whole it is part of: the nearest article or main; where there is none,
+the highest element below the body, on a way up of few links, that has headings
+or sections beside it. Siblings of that are kept too when their own points reach
+a fifth of its points or, if it is not an article or main, they are unlinked
+paragraphs, headings or sections. All blocks of what is kept are returned in
+page order.
 
 White space inside a block becomes one space; blocks are joined by one \\n.
 The walk is iterative, so depth of nesting is no limit; memory is one page.
@@ -54,6 +58,10 @@ DROP_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising spo
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Points that an element which marks the article by its name starts with.
 ARTICLE_POINTS = 25.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that an article is made of, and the share of linked text that makes them lists of links.
+PARTS = HEADINGS | {"section", "hgroup"}
+LINKED = 0.25
 
 
 class _Node:
@@ -174,6 +182,24 @@ def _blocks(top: _Node) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _whole(best: _Node) -> _Node:
+    """The element whose part the best container is: the nearest article or main,
+    else the highest one below the body that has headings or sections beside it."""
+    x = best
+    while x is not None:
+        if x.tag in ("article", "main"):
+            return x
+        x = x.parent
+    top, x = best, best
+    while x.parent is not None and x.parent.tag not in ("body", "html", "#root"):
+        below, x = x, x.parent
+        if x.linked >= LINKED * x.chars:
+            break
+        if any(isinstance(y, _Node) and y is not below and not y.drop and y.chars and y.tag in PARTS for y in x.items):
+            top = x
+    return top
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -185,7 +211,7 @@ def main_text(page: str | None) -> str:
         n, x, share = len(text), node, 1.0
         points = (1.0 + text.count(",") + text.count("、") + min(3.0, n / 100)) * (1 - linked / n)
         # a container is what holds the paragraph; bare text inside one is its own
-        x = node.parent if node.tag in ("p", "pre", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") and node.parent else node
+        x = node.parent if (node.tag in ("p", "pre", "li", "td", "blockquote") or node.tag in HEADINGS) and node.parent else node
         node.chars += n
         node.linked += linked
         while x is not None:
@@ -200,14 +226,15 @@ def main_text(page: str | None) -> str:
     for x in nodes:
         if x.chars and not x.drop and (x.tag in BLOCK or x is root):
             x.points = (x.points + (ARTICLE_POINTS if x.tag in ("article", "main") else 0.0)) * (1 - x.linked / x.chars)
-            if x.points > most and x.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if x.points > most and x.tag != "p" and x.tag != "li" and x.tag not in HEADINGS:
                 best, most = x, x.points
-    keep = {best.order}
-    if best.parent is not None:
-        for x in best.parent.items:
-            if isinstance(x, _Node) and not x.drop and x is not best and x.chars:
-                density = x.linked / x.chars
-                if x.points >= max(10.0, 0.2 * most) or (x.tag == "p" and density < 0.25 and best.tag not in ("article", "main")):
+    top = _whole(best)
+    keep = {top.order}
+    if top.parent is not None:
+        for x in top.parent.items:
+            if isinstance(x, _Node) and not x.drop and x is not top and x.chars:
+                part = (x.tag == "p" or x.tag in PARTS) and x.linked < LINKED * x.chars
+                if x.points >= max(10.0, 0.2 * top.points) or (part and top.tag not in ("article", "main")):
                     keep.add(x.order)
     kept = []
     for node, text, _ in blocks:

@@ -130,6 +130,22 @@ def test_html(article, want):
     assert main_text(PAGE % article) == want
 
 
+@pytest.mark.parametrize("mark,long", [("article", 20), ("article", 200), ("main", 20), ("div id='story'", 20), ("div><div", 20)])
+def test_html_keeps_long_and_short_sections(mark, long):
+    from quire.llm.html import main_text
+    para = "Alpha, beta, gamma. " + "x" * 100
+    page = (f"<{mark}><h1>Head</h1><section><h2>One</h2>" + f"<p>{para}</p>" * long + f"</section><section><h2>Two</h2><p>{para}</p></section>"
+            f"<div><p>Last</p></div></{mark.split()[0].split('>')[0]}>" + "</div>" * (mark == "div><div"))
+    assert main_text(PAGE % page) == "\n".join(["Head", "One"] + [para] * long + ["Two", para, "Last"])
+
+
+def test_html_keeps_parts_below_the_body_but_no_link_lists():
+    from quire.llm.html import main_text
+    links = "<section><h2><a href=/x>More</a></h2>" + "<a href=/y>one, two, three, four</a> " * 9 + "</section>"
+    page = "<h1>Head</h1><section>" + "<p>Alpha, beta, gamma.</p>" * 9 + "</section><section><h2>Two</h2><p>Short</p></section>" + links
+    assert main_text(PAGE % page) == "\n".join(["Head"] + ["Alpha, beta, gamma."] * 9 + ["Two", "Short"])
+
+
 def test_html_edges(spark):
     from quire.llm import html
     deep = "<div>" * 20000 + "<p>deep, text here</p>"
