@@ -3,7 +3,8 @@
 The page is read into a tree of elements (missing end tags are implied as
 browsers do for paragraphs, list items, rows and cells). Subtrees that are never
 article text by their tag, role or class (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are left out. Every
+notices, adverts, forms, scripts, styles, reader comments) are left out; a class
+or id word alone leaves no element out that holds the article. Every
 block of running text earns points: one for itself, one for each comma, up to
 three for its length; it passes them to its ancestors, halved at each step
 after the parent. A container's points are discounted by its link density (the
@@ -25,6 +26,7 @@ texts; other columns pass through unchanged.
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import re
 
@@ -36,7 +38,8 @@ from quire.llm.common import free_name
 
 TOKEN = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?][^>]*>?|</[^>]*>?""",
                    re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Name and value of each attribute; a value without its end quote reaches to the end.
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 
 # Elements of HTML.
@@ -55,6 +58,8 @@ DROP_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising spo
                         "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side widget widgets "
                         "comment comments commentlist disqus reply replies respond "
                         "share sharing social related recommended footer masthead pagination pager").split())
+#: Those of them that name what readers add and other articles.
+READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Points that an element which marks the article by its name starts with.
 ARTICLE_POINTS = 25.0
@@ -65,27 +70,89 @@ LINKED = 0.25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "drop", "points", "chars", "linked", "order")
+    __slots__ = ("tag", "parent", "items", "drop", "word", "points", "chars", "linked", "order")
 
-    def __init__(self, tag, parent, drop, order):
-        self.tag, self.parent, self.items, self.drop, self.order = tag, parent, [], drop, order
+    def __init__(self, tag, parent, drop, order, word=0):
+        self.tag, self.parent, self.items, self.drop, self.order, self.word = tag, parent, [], drop, order, word
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether the element is never article text, and whether its class or id has
+    a word that speaks against it: 1, or 2 for a word of ``READER_WORDS``."""
     if tag in DROP_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, 0
     if "=" not in attributes and "hidden" not in attributes.lower() or tag in ("html", "body", "article", "main"):
-        return False
+        return False, 0
+    word, seen = 0, set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in DROP_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in DROP_WORDS for w in SPLIT.split(value)):
-            return True
-    return False
+        if name in seen:          # the first of equal names counts
+            continue
+        seen.add(name)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True, 0
+        if name == "role" and value.strip().lower() in DROP_ROLES:
+            return True, 0
+        if name in ("class", "id"):
+            for w in SPLIT.split(value):
+                w = w.lower()
+                if w in DROP_WORDS:
+                    word = max(word, 2 if w in READER_WORDS else 1)
+    return False, word
+
+
+def _judge_words(nodes: list[_Node]) -> None:
+    """Drop the elements that have a word against them, unless they hold the
+    article: a main; an article, itself in none, with no less unlinked text than
+    the articles already kept; or most of the page's unlinked text, in an article
+    or main or where none is kept with text. What has a reader word holds the
+    article only where no article or main is kept with text. Elements are judged
+    from the outside, those with more text first."""
+    if not any(x.word and not x.drop for x in nodes):
+        return
+    n = len(nodes)
+    text, linked, heading, marked, inside, holds = [0] * n, [False] * n, [False] * n, [False] * n, [False] * n, [0] * n
+    zone, clean, below = [0] * n, {0: 0}, {}      # zone: the nearest element with a word; clean: text of its articles
+    for x in nodes:
+        if x.drop:
+            continue
+        i, p = x.order, x.parent.order if x.parent else 0
+        linked[i], heading[i] = linked[p] or x.tag == "a", heading[p] or x.tag in HEADINGS
+        marked[i], inside[i] = marked[p] or x.tag in ("article", "main"), inside[p] or x.tag == "article"
+        zone[i] = zone[p]
+        if x.word:
+            zone[i] = i
+            clean[i] = 0
+            below.setdefault(zone[p], []).append(x)
+        if not linked[i]:
+            text[i] = sum(len(t.strip()) for t in x.items if isinstance(t, str))
+            if marked[i] and not heading[i]:
+                clean[zone[i]] += text[i]
+    for x in reversed(nodes):
+        if x.parent is not None and not x.drop:
+            p = x.parent.order
+            text[p] += text[x.order]
+            holds[p] |= holds[x.order] | (2 if x.tag == "main" else 1 if x.tag == "article" else 0)
+    kept = clean[0]
+    waiting = [(x.word, -text[x.order], x.order) for x in below.get(0, ())]
+    heapq.heapify(waiting)
+    while waiting:
+        word, _, i = heapq.heappop(waiting)
+        most, p = 2 * text[i] > text[0], nodes[i].parent.order
+        article = holds[i] & 1 and not inside[p]
+        if word == 2:
+            stays = not kept and (holds[i] or most)
+        else:
+            stays = holds[i] & 2 or (article and text[i] >= kept) or (most and (marked[p] or not kept))
+        if stays:
+            kept += clean[i]
+            for x in below.get(i, ()):
+                heapq.heappush(waiting, (x.word, -text[x.order], x.order))
+        else:
+            nodes[i].drop = True
+    for x in nodes:
+        x.drop = x.drop or (x.parent is not None and x.parent.drop)
 
 
 def _tree(page: str) -> tuple[_Node, list[_Node]]:
@@ -130,7 +197,8 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
                     depth[at.tag] -= 1
                     articles -= at.tag == "article"
                     at = at.parent
-        node = _Node(tag, at, at.drop or _unwanted(tag, m[3], articles > 0), len(nodes))
+        drop, word = (True, 0) if at.drop else _unwanted(tag, m[3], articles > 0)
+        node = _Node(tag, at, drop, len(nodes), word)
         at.items.append(node)
         nodes.append(node)
         if tag in RAW_END:
@@ -142,6 +210,7 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
         at = node
         depth[tag] = depth.get(tag, 0) + 1
         articles += tag == "article"
+    _judge_words(nodes)
     return root, nodes
 
 

@@ -146,6 +146,34 @@ def test_html_keeps_parts_below_the_body_but_no_link_lists():
     assert main_text(PAGE % page) == "\n".join(["Head"] + ["Alpha, beta, gamma."] * 9 + ["Two", "Short"])
 
 
+STORY = "<h1>Head</h1><p>" + "Alpha, beta, gamma. " * 20 + "</p><p>Last</p>"
+STORY_TEXT = "Head\n" + " ".join(["Alpha, beta, gamma."] * 20) + "\nLast"
+
+
+@pytest.mark.parametrize("page", [
+    '<div style="overflow: hidden"><article>%s</article></div>', '<div data-id="ad-1" title="role=menu"><article>%s</article></div>',
+    '<div data-x=hidden-gems aria-labelledby=hidden><article>%s</article></div>', "<div style='a:hidden' class=story id='x'>%s</div>",
+    '<div class="content-sidebar-wrap"><article>%s</article><aside>Side</aside></div>', '<div id="has-sidebar"><main>%s</main></div>',
+    '<div class="has-sidebar"><div class="no-ads"><article>%s<div class="share">Share</div></article><div class="widget">W, w</div></div></div>',
+    '<div class="post share-enabled">%s</div>', '<main><h1></h1><section class="post comments-open">%s</section></main>',
+    '<article><div class="post share-enabled">%s</div><p hidden>no</p><p aria-hidden="true">no</p><p class="ad">no</p></article>',
+    '<article>%s</article><div class="sidebar"><article><p>Other, article, here.</p></article></div>',
+    '<article>%s</article><div id="respond"><article><p>' + "Long, comment. " * 99 + "</p></article></div>",
+    '<article>%s<div class="comments"><article><p>' + "Long, comment. " * 99 + "</p></article></div></article>",
+    '<div class="content-sidebar-wrap"><article>%s</article><div class="comments"><article>' + "Long, comment. " * 99 + "</article></div></div>",
+    '<div class="related"><article><p>Other.</p></article></div><div class="has-sidebar"><article>%s</article></div>',
+])
+def test_html_drops_no_article_by_accident(page):
+    from quire.llm.html import main_text
+    assert main_text(PAGE % (page % STORY)) == STORY_TEXT
+
+
+def test_html_links_keep_their_words():
+    from quire.llm.html import main_text
+    page = "<article><p>See <a href=\"/x/hidden-gems\">these gems</a>, <a href='/x?id=comment'>this one</a> or <a href=/a?role=menu&class=ad>that</a>.</article>"
+    assert main_text(PAGE % page) == "See these gems, this one or that."
+
+
 def test_html_edges(spark):
     from quire.llm import html
     deep = "<div>" * 20000 + "<p>deep, text here</p>"
