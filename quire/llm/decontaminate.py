@@ -10,7 +10,10 @@ a passage as long as an item lies whole in one window. With sets of like size
 the containment bound turns into a Jaccard bound: at least
 0.8 q / (q + 2u - 0.8 q) >= 0.19 for an item of q in (u/2, u] shingles. With
 ``FUNCTIONS`` MinHash values, of which one must agree, a contained item is missed
-with probability below 0.81**64 = 1.4e-6.
+with probability below 0.81**64 = 1.4e-6. That needs more than u/2 distinct
+shingles. Items that repeat themselves more are looked for by shingles of their
+own instead: a document that holds 0.8 of q distinct ones holds at least one of
+any q - ceil(0.8 q) + 1 of them, so none is missed.
 
 Minima are computed once for blocks of the smallest size in use; larger blocks
 and windows take minima of those. A window's values are tried against a bitmap
@@ -44,6 +47,9 @@ THRESHOLD = 0.8
 FUNCTIONS = 64
 #: Shingles of the runs that long texts are cut into; runs overlap by a window.
 RUN = 1 << 18
+#: Size class of items whose shingles are looked for themselves, and what tells their keys from MinHash keys.
+EXACT = -1
+SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def _keys(values: np.ndarray, size_class: int) -> np.ndarray:
@@ -52,6 +58,11 @@ def _keys(values: np.ndarray, size_class: int) -> np.ndarray:
     return mix((values.astype(np.uint64) | j) + (np.uint64(size_class) << np.uint64(48))).view(np.int64)
 
 
+def _own_keys(shingles: np.ndarray) -> np.ndarray:
+    """int64 keys of shingles that are looked for themselves."""
+    return mix(shingles ^ SALT).view(np.int64)
+
+
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = multipliers(FUNCTIONS)
     for whole in batches:
@@ -62,10 +73,14 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = minhash(hashes, starts[take], factors)
             classes = [int(n - 1).bit_length() for n in sizes[take]]
             sets = [np.unique(hashes[starts[i]:starts[i + 1]]).view(np.int64) for i in take]
+            keys = [_keys(values[i:i + 1], c)[0] for i, c in enumerate(classes)]
+            for i, x in enumerate(sets):
+                if 2 * len(x) <= 1 << classes[i]:
+                    classes[i], keys[i] = EXACT, _own_keys(x[:len(x) - -(-len(x) * 8 // 10) + 1].view(np.uint64))
             yield pa.RecordBatch.from_pydict({
                 "item_id": batch.column(0).take(pa.array(take)), "size_class": pa.array(classes, pa.int32()),
                 "shingles": pa.array([x.tolist() for x in sets], pa.list_(pa.int64())),
-                "keys": pa.array([_keys(values[i:i + 1], c)[0].tolist() for i, c in enumerate(classes)], pa.list_(pa.int64()))})
+                "keys": pa.array([x.tolist() for x in keys], pa.list_(pa.int64()))})
 
 
 def _grouped(starts: np.ndarray, lengths: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +128,8 @@ def _search(classes: list[int], items, shingles):
     items may hold), for documents with a hit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, bits, known = multipliers(FUNCTIONS), items.value, shingles.value
-        overlap = 2 << classes[-1]
+        by_size = [c for c in classes if c != EXACT]
+        overlap = 2 << by_size[-1] if by_size else 0
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
                 hashes, starts = Words(batch.column(1)).shingles(WIDTH)
@@ -122,16 +138,22 @@ def _search(classes: list[int], items, shingles):
                 at, run_doc = _grouped(starts[:-1], np.maximum(sizes - overlap, np.minimum(sizes, 1)), RUN)
                 lengths = np.minimum(starts[1:][run_doc] - at, RUN + overlap)
                 docs, keys = [], []
+                if EXACT in classes:
+                    whole_keys = _own_keys(hashes)
+                    hit = np.flatnonzero(has(bits, whole_keys))
+                    docs.append(np.searchsorted(starts, hit, "right") - 1)
+                    keys.append(whole_keys[hit])
                 a = 0
-                while a < len(at):
-                    b = max(a + 1, int(np.searchsorted(np.cumsum(lengths[a:]), RUN << min(classes[0], 2), "right")) + a)
+                while by_size and a < len(at):
+                    b = max(a + 1, int(np.searchsorted(np.cumsum(lengths[a:]), RUN << min(by_size[0], 2), "right")) + a)
                     lo, hi = int(at[a]), int((at + lengths)[a:b].max())
-                    for r, k in _hits(hashes[lo:hi], at[a:b] - lo, lengths[a:b], classes, factors, bits):
+                    for r, k in _hits(hashes[lo:hi], at[a:b] - lo, lengths[a:b], by_size, factors, bits):
                         docs.append(run_doc[a:b][r])
                         keys.append(k)
                     a = b
                 docs, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, keys))
-                found = np.unique(docs)
+                order = np.argsort(docs, kind="stable")
+                found, first = np.unique(docs[order], return_index=True)
                 if not len(found):
                     continue
                 own = []
@@ -140,7 +162,7 @@ def _search(classes: list[int], items, shingles):
                     own.append(np.unique(s[has(known, s)]).tolist())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).take(pa.array(found)), "text_hash": batch.column(2).take(pa.array(found)),
-                    "hits": pa.array([np.unique(keys[docs == d]).tolist() for d in found], pa.list_(pa.int64())),
+                    "hits": pa.array([np.unique(x).tolist() for x in np.split(keys[order], first[1:])], pa.list_(pa.int64())),
                     "own": pa.array(own, pa.list_(pa.int64()))})
     return run
 

@@ -324,6 +324,21 @@ def test_decontamination(spark):
     assert decontaminate.search(docs_of(spark, cases), bank.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("plain", [[], [(900, prose(900, 40)), (901, prose(901, 9))]])
+def test_decontamination_of_items_that_repeat_themselves(spark, plain):
+    from quire.llm import decontaminate
+    def loop(seed, distinct, n):
+        return " ".join((prose(seed, distinct).split() * n)[:n + 4])
+    items = [(i, loop(600 + i, d, n)) for i, (d, n) in enumerate([(1, 100), (1, 2), (2, 90), (3, 60), (3, 100), (6, 60), (6, 100), (12, 40)] * 4)] + plain
+    # the passage stands whole, or with a fifth of its distinct shingles missing at most, in other text
+    cases = [(1000 + i, prose(700 + i, 300) + " " + t + " " + prose(800 + i, 200)) for i, t in items]
+    cases += [(2000 + i, prose(720 + i, 150) + " " + " ".join(t.split()[:len(set(t.split())) + 3]) + " " + prose(820 + i, 150)) for i, t in items]
+    cases += [(3000, " ".join(prose(3, 4000).split())), (3001, None), (None, items[3][1])]
+    got = decontaminate.search(docs_of(spark, cases), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(d, i) for d, t in cases for i, q in items if shingles(q) and len(shingles(q) & shingles(t)) * 10 >= 8 * len(shingles(q))}
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter(want)
+
+
 # -- substring dedup -----------------------------------------------------------
 
 def brute_substrings(cases):
