@@ -1,10 +1,15 @@
 """Versioned writes as they arrive.
 
-Per document the state is its current version; each micro-batch's writes of
-that document are replayed in seq order against it (V5 semantics: applied
-only when the expected version equals the current one, access first). The
-group handed to the function is one document's writes of one micro-batch,
-so its size is bounded by the trigger's batch size, not by the log.
+Per document the state is its current version. Each micro-batch's writes are
+resolved against it by the batch fold (V5: chunk summaries, composed, then
+replayed from each chunk's entering version), so a frame in Python holds one
+chunk of a document's writes, however many of them a batch has. The versions
+after each batch are a table of their own; a batch that is run again overwrites
+its own folders, so nothing is written twice.
+
+``versioned_writes_stream`` is the same as one streaming DataFrame with keyed
+state, for sinks that need one: there a frame holds all writes of a document in
+a batch, so batches must be small.
 """
 
 from __future__ import annotations
@@ -17,12 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quire.operators.versions import APPLIED, CONFLICT, FORBIDDEN, with_actor_profile
-from quire.session import conf_override, cut_lineage, default_state_partitions, ship_package, shared_path
+from quire.operators.ordering import DEFAULT_CHUNK
+from quire.operators.versions import APPLIED, CONFLICT, FORBIDDEN, resolve_conflicts, with_actor_profile
+from quire.session import conf_override, cut_lineage, ship_package, shared_path
 
 OUT_SCHEMA = ("doc_id long, seq long, actor long, expected_version int, eligible boolean, "
               "outcome string, version int")
 STATE_SCHEMA = "version int"
+VERSIONS_SCHEMA = "doc_id long, version int"
+#: Rows of a commit (about; a commit is a range of seq).
+COMMIT_ROWS = 1_000_000
 LOG_SCHEMA = "doc_id long, seq long, actor long, expected_version int"
 
 
@@ -79,40 +88,60 @@ def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
     return path
 
 
-def _drive(spark: SparkSession, log_path: str, profiles: DataFrame, out: str, ckpt: str, state_partitions: int | None) -> None:
+def _drive(spark: SparkSession, log_path: str, profiles: DataFrame, folder: str, state_partitions: int | None,
+           chunk_width: int) -> None:
     """Process all files that are there in one micro-batch (no file limit: a
     batch must hold whole commits, however many files a commit has)."""
     log = spark.readStream.schema(LOG_SCHEMA).parquet(log_path)
-    n = state_partitions or default_state_partitions(spark)
-    with conf_override(spark, {"spark.sql.shuffle.partitions": n}):
-        q = versioned_writes_stream(log, profiles).writeStream.format("parquet").option("path", out) \
-            .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    spark.createDataFrame([], OUT_SCHEMA).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
+    spark.createDataFrame([], VERSIONS_SCHEMA).write.mode("overwrite").parquet(f"{folder}/versions/-1")
+
+    def resolve(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/{n}")
+        gated = with_actor_profile(spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/log/{n}"), profiles)
+        gated = gated.select("doc_id", "seq", "actor", "expected_version", "eligible")
+        before = spark.read.schema(VERSIONS_SCHEMA).parquet(f"{folder}/versions/{n - 1}")
+        out = resolve_conflicts(gated, before, chunk_width).select("doc_id", "seq", "actor", "expected_version", "eligible", "outcome", "version")
+        out.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        done = spark.read.schema(OUT_SCHEMA).parquet(f"{folder}/out/batch={n}").where(F.col("outcome") == APPLIED)
+        # versions only grow
+        before.unionByName(done.select("doc_id", "version")).groupBy("doc_id").agg(F.max("version").alias("version")) \
+            .write.mode("overwrite").parquet(f"{folder}/versions/{n}")
+
+    with conf_override(spark, {"spark.sql.shuffle.partitions": state_partitions} if state_partitions else {}):
+        q = log.writeStream.foreachBatch(resolve).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(OUT_SCHEMA + ", batch long").parquet(f"{folder}/out").drop("batch")
 
 
 def run_versioned_writes(spark: SparkSession, log_path: str, profiles: DataFrame,
-                         state_partitions: int | None = None) -> DataFrame:
+                         state_partitions: int | None = None, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     """Drive T1 over a staged log to completion (``availableNow``) into a
     parquet sink in the shared folder; returns the sink as a batch frame.
-    ``state_partitions`` is fixed into the checkpoint at the first start."""
-    out, ckpt = shared_path(spark, "t1-out"), shared_path(spark, "t1-ckpt")
-    _drive(spark, log_path, profiles, out, ckpt, state_partitions)
-    return spark.read.schema(OUT_SCHEMA).parquet(out)
+    ``state_partitions`` sets the shuffle partitions of the batches."""
+    folder = shared_path(spark, "t1")
+    _drive(spark, log_path, profiles, folder, state_partitions, chunk_width)
+    return _outcomes(spark, folder)
 
 
 def replay_commits(spark: SparkSession, w: DataFrame, parts: int, profiles: DataFrame,
-                   state_partitions: int | None = None) -> DataFrame:
-    """T1 over a log that arrives as ``parts`` commits in seq order: each commit,
-    of any number of files, is written to the inbox and processed as one
-    micro-batch before the next one arrives; state carries over between them."""
-    inbox, out, ckpt = (shared_path(spark, n) for n in ("t1-inbox", "t1-out", "t1-ckpt"))
+                   state_partitions: int | None = None, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
+    """T1 over a log that arrives as commits in seq order, ``parts`` of them or as
+    many more as ``COMMIT_ROWS`` needs: each commit, of any number of files, is
+    written to the inbox and processed as one micro-batch before the next one
+    arrives; versions carry over between them."""
+    inbox, folder = shared_path(spark, "t1-inbox"), shared_path(spark, "t1")
     w = cut_lineage(w, "t1-log")
-    lo, hi = w.agg(F.min("seq"), F.max("seq")).first()
-    if lo is None:
-        return spark.createDataFrame([], OUT_SCHEMA)
-    step = (hi - lo) // parts + 1
-    for i in range(parts):
-        a, b = lo + i * step, lo + (i + 1) * step
-        w.where((F.col("seq") >= a) & (F.col("seq") < b)).write.mode("append").parquet(inbox)
-        _drive(spark, inbox, profiles, out, ckpt, state_partitions)
-    return spark.read.schema(OUT_SCHEMA).parquet(out)
+    parts = max(parts, -(-w.count() // COMMIT_ROWS))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = w.agg(F.percentile_approx("seq", shares, max(10_000, 10 * parts))).first()[0] if shares else []
+    cuts = [None, *sorted(set(cuts or [])), None]
+    for a, b in zip(cuts, cuts[1:]):
+        after = F.lit(True) if a is None else F.col("seq") > a
+        upto = F.lit(True) if b is None else F.col("seq") <= b
+        w.where(after & upto).write.mode("append").parquet(inbox)
+        _drive(spark, inbox, profiles, folder, state_partitions, chunk_width)
+    return _outcomes(spark, folder)

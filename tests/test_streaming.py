@@ -60,3 +60,31 @@ def test_commits_of_several_files_and_free_versions(spark):
     want = {r["seq"]: (r["outcome"], r["version"]) for r in V.resolve_conflicts(
         V.write_gate(df, profiles), spark.createDataFrame([], "doc_id long, version int")).collect()}
     assert len(got) == 400 and got == want
+
+
+def test_hot_document_in_chunks_and_commits_of_bounded_size(spark, monkeypatch):
+    from quire.streaming import writes
+
+    def whole_document(key, batches, state):
+        raise AssertionError("all writes of a document in one frame")
+    monkeypatch.setattr(writes, "_replay", whole_document)
+    monkeypatch.setattr(writes, "COMMIT_ROWS", 100)
+    batches, drive = [], writes._drive
+    monkeypatch.setattr(writes, "_drive", lambda spark, path, *rest: (batches.append(spark.read.parquet(path).count()), drive(spark, path, *rest)))
+    rnd = random.Random(9)
+    log, nxt = [], {}
+    for k in range(600):
+        d = rnd.choice([0, 0, 0, 1, 2])
+        nxt[d] = nxt.get(d, 0) + 1
+        log.append((d, k if k < 300 else 1_000_000 + 7 * k, rnd.choice([1, 1, 2, 3]), None if rnd.random() < 0.2 else 1 + nxt[d] // 2))
+    profiles = spark.createDataFrame([(1, "E", "editor"), (2, "R", "leitor")], "id long, nome string, papel string")
+    df = spark.createDataFrame(log, LOG_SCHEMA).repartition(4)
+    want = {r["seq"]: (r["outcome"], r["version"]) for r in V.resolve_conflicts(
+        V.write_gate(df, profiles), spark.createDataFrame([], "doc_id long, version int")).collect()}
+    got = writes.replay_commits(spark, df, 2, profiles, chunk_width=16)
+    assert [f"{c} {t}" for c, t in got.dtypes] == [f"{c} {t}" for c, t in spark.createDataFrame([], OUT_SCHEMA).dtypes]
+    rows = got.collect()
+    assert len(rows) == 600 and {r["seq"]: (r["outcome"], r["version"]) for r in rows} == want
+    assert len(batches) == 6 and max(b - a for a, b in zip([0] + batches, batches)) <= 110
+    rows = writes.run_versioned_writes(spark, writes.stage_log(df, 2, "t-hot"), profiles, chunk_width=16).collect()
+    assert len(rows) == 600 and {r["seq"]: (r["outcome"], r["version"]) for r in rows} == want
