@@ -58,3 +58,13 @@ def test_pipeline_stages(spark):
     assert not any(token.search(r.text) for r in rows[4].values())
     assert all(r.n_tokens == len(r.ids) for r in rows[5].values())
     assert cp.run(spark, SF_SMALL).count() == len(rows[5])
+
+
+def test_pipeline_decodes_its_ids(spark):
+    import hashlib
+    import corpus_pipeline as cp
+    texts = [(1, "One, two  three\n"), (2, "àéî 漢字 🙂 x" * 40), (3, ""), (4, None), (4, None), (5, "a" * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = cp.STAGES[-1][1](spark, docs, SF_SMALL).collect()
+    assert sorted((r.doc_id, r.decoded_sha256) for r in got) == sorted(
+        (i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts)
