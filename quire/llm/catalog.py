@@ -4,8 +4,10 @@ its whole table. Imports are by query, so one operator can be used alone."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, html, jaccard, oracle, quality, secrets, sharding, substrings, toxicity, urls
+from quire.llm import (bpe, collocations, decontaminate, hard_negatives, html, jaccard, oracle, quality, secrets, sharding,
+                       substrings, toxicity, urls)
 from quire.llm.common import table
 
 QUERIES = {}
@@ -77,4 +79,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 ORACLE = oracle.ORACLE

@@ -48,4 +48,57 @@ SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.rv, 'allow') AS verdict
 FROM q LEFT JOIN f ON q.rid = f.rid AND f.k = 1
 """
 
-ORACLE = {"op2_quality_rules": _QUALITY, "op3_url_filters": _URLS}
+_NEGATIVES = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND len(a.q) = len(b.q)),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same AND id <> anchor_id)
+  WHERE k <= 5),
+w AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM w WHERE k <= 5
+"""
+
+_PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, list_slice(w, i, i + k - 1) AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+cover AS (
+  SELECT DISTINCT lang, part FROM (
+    SELECT c.lang, c.f, list_slice(c.g, i, i + k - 1) AS part
+    FROM f c, range(2, 5) AS t(k), range(1, 5) AS u(i) WHERE k < len(c.g) AND i + k - 1 <= len(c.g)) x
+  JOIN f ON f.lang = x.lang AND f.g = x.part WHERE 100 * x.f >= 100 * f.f),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, n.n,
+         CAST(1000 * CAST(c.f AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS BIGINT) AS score
+  FROM f c JOIN range(1, 5) AS t(k) ON k < len(c.g)
+  JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, k)
+  JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, k + 1, len(c.g))
+  JOIN n ON n.lang = c.lang
+  WHERE NOT EXISTS (SELECT 1 FROM cover WHERE cover.lang = c.lang AND cover.part = c.g)),
+best AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS q FROM cuts) WHERE q = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE = {"op2_quality_rules": _QUALITY, "op3_url_filters": _URLS, "op12_hard_negatives": _NEGATIVES, "op13_collocations": _PHRASES}
