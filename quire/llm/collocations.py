@@ -44,7 +44,11 @@ from quire.llm.graph import bitmap, has
 LONGEST = 5
 #: Bytes of text that are counted at a time (one text, if that has more).
 BLOCK_BYTES = 6_000_000
-COUNTS = "lang string, words array<string>, f bigint"
+#: Parts of a language whose best phrases are found apart.
+SHARES = 64
+#: A key is the language, a tab, and the words with a blank between them (words
+#: hold neither): one short string in the shuffles of all phrases.
+COUNTS = "key string, f bigint"
 
 # Class of each byte: 0 in a word, 1 blank, 2 end of a piece; lower case of A-Z.
 _CLASS = np.zeros(256, np.uint8)
@@ -121,10 +125,11 @@ class _Block:
         key = key * size + self.word[at + n - 1]
         _, first, f = np.unique(key, return_index=True, return_counts=True)
         first = at[first]
-        words = self.names.take(pa.array(self.word[(first[:, None] + np.arange(n)).ravel()]))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(first) + 1, n, dtype=np.int32)), words.cast(pa.binary()).cast(pa.string()))
-        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[first])).cast(pa.string()), lists, pa.array(f.astype(np.int64))],
-                                          names=["lang", "words", "f"])
+        parts = [self.names.take(pa.array(self.word[first + i])) for i in range(n)]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
+        lang = self.langs.cast(pa.large_binary()).take(pa.array(self.lang[first]))
+        keys = pc.binary_join_element_wise(lang, phrase, pa.scalar(b"\t", pa.large_binary()))
+        return pa.RecordBatch.from_arrays([keys.cast(pa.binary()).cast(pa.string()), pa.array(f.astype(np.int64))], names=["key", "f"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
@@ -169,12 +174,14 @@ def phrase_counts(docs: DataFrame, min_count: int, text: str = "text", lang: str
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
     found, bits, totals = [], None, None
+    # a language may hold a tab, a phrase does not
+    of_lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
     for n in range(1, longest + 1):
-        counts = rows.mapInArrow(_counter(n, bits), COUNTS).groupBy("lang", "words").agg(F.sum("f").alias("f"))
+        counts = rows.mapInArrow(_counter(n, bits), COUNTS).groupBy("key").agg(F.sum("f").alias("f"))
         if n == 1:
             counts = cut_lineage(counts, "word-counts")
-            totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-        often = counts.where(F.col("f") >= min_count)
+            totals = counts.groupBy(of_lang.alias("lang")).agg(F.sum("f").alias("n"))
+        often = counts.where(F.col("f") >= min_count).select(of_lang.alias("lang"), F.split(F.substring_index("key", "\t", -1), " ").alias("words"), "f")
         found.append(often if n == 1 else cut_lineage(often, "phrase-counts"))
         if n < longest:
             keys = found[-1].select("lang", "words").mapInArrow(_hashes, "h bigint")
@@ -232,6 +239,10 @@ def _in_order(rows: DataFrame, more: str) -> DataFrame:
     return sorted_rows.mapInArrow(_scan, "lang string, path array<string>, f bigint, " + more + "starts array<bigint>, extension bigint")
 
 
+def _best_first(*keys):
+    return Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+
+
 def mine(docs: DataFrame, min_count: int = 100, top: int | None = 2_000, cover: int = 100, text: str = "text", lang: str = "lang",
          longest: int = LONGEST) -> DataFrame:
     """The best ``top`` phrases of 2 to ``longest`` words of each language (all of
@@ -264,8 +275,11 @@ def mine(docs: DataFrame, min_count: int = 100, top: int | None = 2_000, cover:
     best = kept.withColumn("best", F.array_min(scored)).select(
         "lang", F.array_join("words", " ").alias("phrase"), "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n",
         F.col("best.score").cast("long").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = best.withColumn("rank", F.row_number().over(order))
+    if top is not None:
+        # the first ones of each share of a language before its shares meet
+        share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+        best = best.withColumn("rank", F.row_number().over(_best_first("lang", share))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(_best_first("lang")))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

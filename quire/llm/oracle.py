@@ -82,7 +82,7 @@ g AS (
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k) WHERE len(w) >= k)),
 f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
 cover AS (
-  SELECT DISTINCT lang, part FROM (
+  SELECT DISTINCT x.lang, x.part FROM (
     SELECT c.lang, c.f, list_slice(c.g, i, i + k - 1) AS part
     FROM f c, range(2, 5) AS t(k), range(1, 5) AS u(i) WHERE k < len(c.g) AND i + k - 1 <= len(c.g)) x
   JOIN f ON f.lang = x.lang AND f.g = x.part WHERE 100 * x.f >= 100 * f.f),
