@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import (bpe, collocations, decontaminate, hard_negatives, html, jaccard, oracle, quality, secrets, sharding,
-                       substrings, toxicity, urls)
+from quire.llm import (bpe, collocations, decontaminate, hard_negatives, html, jaccard, oracle, pii, quality, secrets,
+                       sharding, substrings, toxicity, urls)
 from quire.llm.common import table
 
 QUERIES = {}
@@ -79,6 +79,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
