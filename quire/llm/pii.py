@@ -396,7 +396,10 @@ def _joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """The report of ``scan``: counts and digest of the base spans, all spans."""
     base = F.filter("spans", lambda s: s["base"])
-    return found.select("doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias("n_" + k) for k in KINDS],
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias("n_" + kind)
+    return found.select("doc_id", *[count(k) for k in KINDS],
                         hex_digest(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
