@@ -13,11 +13,11 @@ itself needs no fold. Decoding concatenates the tokens' binary pieces.
 
 Words are very unevenly frequent, so the distinct pieces of a bounded sample of
 documents (about ``CACHE_ROWS`` rows, ``CACHE_PIECES`` pieces) are folded first and sent
-to all tasks: a cache that spares folds and changes no result.
+to all tasks, with the tokens: a cache that spares folds and changes no result.
 
 A fold over n bytes takes n steps of n, so pieces of more than ``LONG`` bytes
-(unbroken runs, which no vocabulary holds whole) are merged by a heap in the
-step that puts documents together again: the same merges, in n log n.
+(unbroken runs, which no vocabulary holds whole) are merged by a heap where
+blocks are built: the same merges, in n log n.
 
 Nothing is shuffled; a block is a bounded piece of one input partition, so a
 lost executor costs its partitions only.
@@ -36,22 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import let, text_or_empty
 
 #: Pieces of the documents that share one block.
-BLOCK_PIECES = 1_500_000
+BLOCK_PIECES = 4_000_000
 #: Bytes up to which a piece is merged by the fold.
-LONG = 96
+LONG = 2_048
 #: Rows that the cache is taken from (about), and pieces that it holds at most.
-CACHE_ROWS = 40_000
+CACHE_ROWS = 20_000
 CACHE_PIECES = 400_000
 #: Rank of a pair that is no token.
 NONE = 1 << 30
 #: Sizes of the two halves of the rank table (primes).
-HALVES = (524_287, 131_071)
+HALVES = (131_071, 32_749)
 #: Factors of a pair's two ids for its place in each half.
 FACTORS = ((92_821, 31_337), (68_917, 48_611))
 
@@ -75,15 +76,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """(first << 17 | second) -> rank, for all pairs of tokens that join to one."""
+    """(first << 17 | second) -> rank, for the pairs of tokens that merging can
+    meet. Until a span of bytes is one token, no merge crosses its ends, so its
+    merges are those of its bytes alone: only their last pair ever joins to it."""
     if max(ranks.values()) >= 1 << 17:
         raise ValueError("ranks of 17 bits at most")
     found = {}
     for token, rank in ranks.items():
-        for k in range(1, len(token)):
-            a, b = ranks.get(token[:k]), ranks.get(token[k:])
-            if a is not None and b is not None:
-                found[a << 17 | b] = rank
+        parts = [token[i:i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            joined = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+            best = min(joined)
+            if best == NONE:
+                break
+            i = joined.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) == 2:
+            found[ranks[parts[0]] << 17 | ranks[parts[1]]] = rank
     return found
 
 
@@ -139,10 +148,12 @@ def merge(tokens: Column, table: Column) -> Column:
         s, r, m = acc["s"], acc["r"], acc["m"]
 
         def joined(p):
-            # places count from 0: token p takes the merge, token p + 1 goes
-            new_s = F.transform(F.filter(s, lambda x, i: i != p + 1), lambda x, i: F.when(i == p, m).otherwise(x))
-            new_r = F.transform(F.filter(r, lambda x, i: i != p), lambda x, i: F.when(
-                i == p - 1, _rank(table, F.get(s, p - 1), m)).when(i == p, _rank(table, m, F.get(s, p + 2))).otherwise(x))
+            # places count from 0: tokens p and p + 1 become one
+            new_s = F.concat(F.slice(s, F.lit(1), p), F.array(m), F.slice(s, p + 3, F.size(s)))
+            new_r = F.concat(F.slice(r, F.lit(1), F.greatest(p - 1, F.lit(0))),
+                             F.when(p > 0, F.array(_rank(table, F.get(s, p - 1), m))).otherwise(F.array().cast("array<bigint>")),
+                             F.when(p + 2 < F.size(s), F.array(_rank(table, m, F.get(s, p + 2)))).otherwise(F.array().cast("array<bigint>")),
+                             F.slice(r, p + 3, F.size(r)))
             return let(new_r, lambda x: F.struct(new_s.alias("s"), x.alias("r"), F.coalesce(
                 F.array_min(x), F.lit(NONE).cast("long")).alias("m")))
 
@@ -180,20 +191,31 @@ BLOCK_SCHEMA = ("keys array<bigint>, counts array<int>, places binary, words arr
                 "open array<int>, bytes array<array<bigint>>")
 
 
-class Cache:
-    """Ids of pieces, in one array; a piece names its run there."""
+def known_pieces(ranks: dict[bytes, int], more: pa.Table | None = None) -> tuple:
+    """Pieces whose ids are known (tokens, and the pieces and ids of ``more``): the
+    pieces as an Arrow buffer, where each one's ids end, and all ids. Plain values:
+    what is broadcast needs no package on the executors."""
+    words = pa.array(list(ranks), pa.binary())
+    ids, sizes = np.fromiter(ranks.values(), np.int32, len(ranks)), np.ones(len(ranks), np.int64)
+    if more is not None and more.num_rows:
+        more = more.combine_chunks()
+        found, lists = more.column("piece").chunk(0).cast(pa.binary()), more.column("ids").chunk(0)
+        words = pa.concat_arrays([words, found])
+        ids = np.concatenate([ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+        sizes = np.concatenate([sizes, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)])
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([words], names=["piece"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes(), np.concatenate([[0], np.cumsum(sizes)]), ids
 
-    def __init__(self, found: dict[bytes, tuple]):
-        self.at = {w: i for i, w in enumerate(found)}
-        self.ends = np.cumsum([0] + [len(x) for x in found.values()]).astype(np.int64)
-        self.ids = np.array([t for x in found.values() for t in x], np.int32)
 
-    def get(self, word: bytes) -> list[int] | None:
-        i = self.at.get(word)
-        return None if i is None else self.ids[self.ends[i]:self.ends[i + 1]].tolist()
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run, one run after the other."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _blocks(ranks: dict[bytes, int], cached):
+def _blocks(ranks: dict[bytes, int], have):
     """key, pieces -> blocks. ``known`` has the ids of the pieces that are tokens,
     long, or in the cache; ``open`` are the pieces to fold, ``bytes`` the tokens
     of their bytes."""
@@ -202,10 +224,21 @@ def _blocks(ranks: dict[bytes, int], cached):
     def block(keys, counts, flats):
         words = pa.concat_arrays(flats).dictionary_encode()
         names = words.dictionary.cast(pa.binary())
-        found = cached.value if cached is not None else Cache({})
-        known = [[own] if (own := ranks.get(w)) is not None else found.get(w) or (heap_merge(w, ranks) if len(w) > LONG else None)
-                 for w in names.to_pylist()]
-        to_fold = np.array([i for i, x in enumerate(known) if x is None], np.int32)
+        pieces, stops, all_ids = have.value
+        pieces = pa.ipc.open_stream(pieces).read_next_batch().column(0)
+        at = pc.index_in(names, value_set=pieces)
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy(zero_copy_only=False)
+        begin, sizes = stops[at], stops[at + 1] - stops[at]
+        sizes[missing] = 0
+        # the very long ones are merged here and follow the known ids
+        long = missing[pc.binary_length(names.take(pa.array(missing))).to_numpy(zero_copy_only=False) > LONG]
+        extra = [heap_merge(w, ranks) for w in names.take(pa.array(long)).to_pylist()]
+        begin[long] = len(all_ids) + np.cumsum([0] + [len(x) for x in extra])[:-1]
+        sizes[long] = [len(x) for x in extra]
+        ids = np.concatenate([all_ids, *[np.array(x, np.int32) for x in extra]])[_runs(begin, sizes)]
+        known = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
+        to_fold = np.setdiff1d(missing, long).astype(np.int32)
         chosen = names.take(pa.array(to_fold)).cast(pa.large_binary())
         ends = np.frombuffer(chosen.buffers()[1], np.int64)[chosen.offset:chosen.offset + len(chosen) + 1] if len(chosen) else np.zeros(1, np.int64)
         raw = np.frombuffer(chosen.buffers()[2], np.uint8)[ends[0]:ends[-1]] if len(chosen) else np.zeros(0, np.uint8)
@@ -214,7 +247,7 @@ def _blocks(ranks: dict[bytes, int], cached):
         return pa.RecordBatch.from_arrays([
             one(pa.concat_arrays(keys)), one(pa.array(np.concatenate(counts).astype(np.int32))),
             pa.array([words.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
-            one(names), one(pa.array(known, pa.list_(pa.int32()))), one(pa.array(to_fold)), one(tokens)],
+            one(names), one(known), one(pa.array(to_fold)), one(tokens)],
             names=["keys", "counts", "places", "words", "known", "open", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,30 +282,29 @@ def _folded(blocks: DataFrame, table: Column) -> DataFrame:
         "bytes", lambda b: merge(b, r))).alias("ids"))
 
 
-def fill_cache(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> Cache:
-    """Ids of the pieces that occur twice or more in a bounded sample, most
-    frequent first, ``CACHE_PIECES`` at most."""
+def fill_cache(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id") -> pa.Table:
+    """piece and ids of the pieces that occur twice or more in a bounded sample,
+    most frequent first, ``CACHE_PIECES`` at most."""
     # rows are drawn where they lie: a limit would move every text
+    spark = docs.sparkSession
     n = docs.count()
     drawn = docs.sample(min(1.0, CACHE_ROWS / max(n, 1)), seed=7)
     sample = _pieces(drawn, pattern, text, key).select(F.explode("pieces").alias("piece"))
     often = sample.groupBy("piece").count().where("count > 1").orderBy(F.desc("count"), "piece").limit(CACHE_PIECES)
     often = often.select(F.lit(0).cast("long").alias("key"), F.array("piece").alias("pieces"))
-    found = _folded(often.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, None), BLOCK_SCHEMA),
+    have = spark.sparkContext.broadcast(known_pieces(ranks))
+    found = _folded(often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, have), BLOCK_SCHEMA),
                     rank_literal(ranks))
-    cache = {}
-    for row in found.select("words", "open", "ids").toLocalIterator():
-        for i, ids in zip(row.open, row.ids):
-            cache[bytes(row.words[i])] = tuple(ids)
-    return Cache(cache)
+    pairs = F.transform("open", lambda j, i: F.struct(F.get("words", j).alias("piece"), F.get("ids", i).cast("array<int>").alias("ids")))
+    return found.select(F.inline(pairs)).toArrow()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id",
            digests: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) of every row; with ``digests`` instead n_tokens
     and the SHA-256 of the comma-joined ids and of the decoded bytes."""
-    cached = docs.sparkSession.sparkContext.broadcast(fill_cache(docs, ranks, pattern, text, key))
-    blocks = _pieces(docs, pattern, text, key).mapInArrow(_blocks(ranks, cached), BLOCK_SCHEMA)
+    have = docs.sparkSession.sparkContext.broadcast(known_pieces(ranks, fill_cache(docs, ranks, pattern, text, key)))
+    blocks = _pieces(docs, pattern, text, key).mapInArrow(_blocks(ranks, have), BLOCK_SCHEMA)
     tokens = {v: k for k, v in ranks.items()}
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +350,7 @@ def _put_together(keys, ends, places, ids, tokens, digests) -> Iterator[pa.Recor
             out["ids"] = []
             for d in span:
                 p = places[ends[d]:ends[d + 1]]
-                n = stop[p] - begin[p]
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out["ids"].append(flat[np.repeat(begin[p], n) + within])
+                out["ids"].append(flat[_runs(begin[p], stop[p] - begin[p])])
             out["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_pydict(out)
 
