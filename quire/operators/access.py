@@ -77,6 +77,33 @@ def row_counts(sizes: DataFrame, kinds: DataFrame) -> DataFrame:
     return kinds.join(g, "actor_class", "inner").select("actor_kind", "tbl", F.col("visible_rows").alias("n"))
 
 
+#: Labels of the report's count lines (fixed values).
+COUNT_LABELS = {"perfil": "perfil    -> ", "pipeline": "pipeline  -> ", "pipeline_historico": "historico -> "}
+
+
+def count_lines(counts: DataFrame) -> DataFrame:
+    """The lines ``table -> n linhas`` of each kind of actor, from A1."""
+    label = F.create_map(*[F.lit(x) for pair in COUNT_LABELS.items() for x in pair])
+    return counts.select("actor_kind", "tbl", F.concat(F.try_element_at(label, F.col("tbl")), F.col("n").cast("string"), F.lit(" linhas")).alias("line"))
+
+
+def document_lines(current: DataFrame, history: DataFrame) -> DataFrame:
+    """Per document the lines of what a reader and an editor read, of the
+    state after a write, of the history's size and of the result."""
+    kept = history.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_h"))
+    j = current.join(kept, "doc_id", "left")
+    version = F.concat(F.lit("versao "), F.col("version").cast("string"))
+    author = F.concat(F.lit(", autor "), F.coalesce("updated_by", F.lit("?")))
+    deals = F.concat(F.lit(", negocios "), F.col("n_deals").cast("string"))
+    lines = [("editor_reads", F.concat(F.lit("le o pipeline -> "), version, deals)),
+             ("after_write", F.concat(F.lit("depois de gravar -> "), version, author, deals)),
+             ("history_kept", F.concat(F.lit("historico guardou -> "), F.coalesce("_h", F.lit(0)).cast("string"), F.lit(" versao(oes)"))),
+             ("result", F.concat(F.lit("resultado -> "), version, author)),
+             ("reader_reads", F.concat(F.lit("le o pipeline -> "), version))]
+    return j.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), x.alias("line")) for k, x in lines])).alias("_l")) \
+            .select("doc_id", "_l.step", "_l.line")
+
+
 def visible_rows(actors: DataFrame, sizes: DataFrame) -> DataFrame:
     """For each actor and table, how many rows the actor can read.
 

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 CHUNK = "_q_chunk"
 # Rows of one key per chunk at most (order values per chunk, the order being
 # unique per key): large enough that few keys need more than one chunk,
@@ -37,19 +39,27 @@ def with_chunk(df: DataFrame, order: str, chunk_width: int) -> DataFrame:
     return df.withColumn(CHUNK, chunk.cast("bigint"))
 
 
-def spread_chunks(df: DataFrame, order: str, rows: int) -> tuple[DataFrame, int | None]:
-    """Adds the chunk number, counted from 0, with chunks as wide as hold ``rows``
-    rows on average; returns the largest number too (None for no rows). Three
-    scalars are read from ``df``, so it should be a written table."""
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if not n:
-        return df.withColumn(CHUNK, F.lit(0).cast("bigint")), None
-    width = max(1, -(-(high - low + 1) * int(rows) // n))
-    # exact beyond 64 bits: the distance from the least value may be that large
-    wide = "decimal(38,0)"
-    chunk = F.floor((F.col(order).cast(wide) - F.lit(low).cast(wide)) / F.lit(width).cast(wide)) if high - low >= 1 << 62 \
-        else F.expr(f"(`{order}` - ({low}L)) div {width}L")
-    return df.withColumn(CHUNK, chunk.cast("bigint")), (high - low) // width
+def even_chunks(df: DataFrame, key: str, order: str, rows: int) -> tuple[DataFrame, int | None]:
+    """Adds a chunk number per key, counted from 0 in ``order``, with ``rows`` rows
+    of a key in a chunk at most, whatever the values of ``order`` are; returns the
+    largest number too (None for no rows). Rows are sorted by (key, order) across
+    partitions and numbered where they lie; the numbers are written, so a
+    recomputed task reads the same ones. ``df`` should be a written table."""
+    n = df.count()
+    if n <= rows:
+        return df.withColumn(CHUNK, F.lit(0).cast("bigint")), 0 if n else None
+    # a partition's number is above 2^33 times its index, plus the row's place
+    at = F.monotonically_increasing_id()
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn(
+        "_q_raw", F.shiftright(at, 33) * F.lit((1 << 33) // rows + 1) + F.floor(place / F.lit(rows)))
+    dealt = cut_lineage(dealt, "chunks")
+    # a chunk ends where its place range, its partition or its key ends
+    numbers = dealt.select(key, "_q_raw").distinct().withColumn(
+        CHUNK, (F.row_number().over(Window.partitionBy(key).orderBy("_q_raw")) - 1).cast("bigint"))
+    numbers = cut_lineage(numbers, "chunk-numbers")
+    top = numbers.agg(F.max(CHUNK)).first()[0]
+    return dealt.join(numbers, [key, "_q_raw"]).drop("_q_raw"), int(top)
 
 
 def _join_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:

@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import UNKNOWN_AUTHOR
-from quire.operators.ordering import CHUNK, DEFAULT_CHUNK, ordered_lag, ordered_rank, spread_chunks
+from quire.functions.text import LOAD_LABEL, UNKNOWN_AUTHOR
+from quire.operators.ordering import CHUNK, DEFAULT_CHUNK, even_chunks, ordered_lag, ordered_last, ordered_rank
 from quire.session import cut_lineage, ship_package
 
-APPLIED, CONFLICT, FORBIDDEN = "applied", "conflict", "forbidden"
+APPLIED, CONFLICT, FORBIDDEN, LOADED = "applied", "conflict", "forbidden", "loaded"
 IMAGE_COLS = ["version", "doc", "n_deals", "updated_at", "updated_by"]
 
 
@@ -74,8 +74,11 @@ def write_gate(w: DataFrame, profiles: DataFrame) -> DataFrame:
 # levels of equi-joins on (doc, block, version)), the entering version of
 # every chunk follows by binary lifting, and each chunk is finally replayed
 # from its known entering version. Every group handed to Python is one chunk.
+#
+# A load (S2) sets the version to 1, whatever it was: the function of a chunk
+# that holds one is a constant ``c``, and so is every composition with it.
 
-_SUMMARY_SCHEMA = "doc_id long, blk long, s_in int, s_out int, u int"
+_SUMMARY_SCHEMA = "doc_id long, blk long, s_in int, s_out int, u int, c int"
 _FOLD_SCHEMA = "doc_id long, seq long, applied boolean, version int"
 
 
@@ -121,24 +124,41 @@ def _expected_list(pdf: pd.DataFrame) -> list:
     return [None if pd.isna(x) else int(x) for x in pdf["expected_version"].tolist()]
 
 
+def _after_load(pdf: pd.DataFrame) -> int | None:
+    """Version that a chunk (in order) leaves if it holds a load, else None."""
+    loads = np.flatnonzero(pdf["load"].to_numpy(dtype=bool))
+    if not len(loads):
+        return None
+    state = 1
+    for e in _expected_list(pdf.iloc[loads[-1] + 1:]):
+        state += e is None or e == state
+    return state
+
+
 def _chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq")
-    m, u = _summarise(_expected_list(pdf))
+    constant = _after_load(pdf)
+    m, u = _summarise(_expected_list(pdf)) if constant is None else ({}, 0)
     n = len(m) + 1
     return pd.DataFrame({
         "doc_id": np.full(n, np.int64(pdf["doc_id"].iloc[0])),
         "blk": np.full(n, np.int64(pdf[CHUNK].iloc[0])),
         "s_in": pd.array(list(m.keys()) + [None], dtype="Int32"),
         "s_out": pd.array(list(m.values()) + [None], dtype="Int32"),
-        "u": np.full(n, np.int32(u))})
+        "u": np.full(n, np.int32(u)),
+        "c": pd.array([constant] * n, dtype="Int32")})
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq")
     state = int(pdf["_s0"].iloc[0])
     applied, version = [], []
-    for e in _expected_list(pdf):
-        if e is None or e == state:
+    for e, load in zip(_expected_list(pdf), pdf["load"].tolist()):
+        if load:
+            state = 1
+            applied.append(True)
+            version.append(state)
+        elif e is None or e == state:
             state += 1
             applied.append(True)
             version.append(state)
@@ -158,23 +178,26 @@ def _compose(m: DataFrame) -> DataFrame:
     dflt = m.where(F.col("s_in").isNull())
     ls = spec.where(~F.col("_odd")).select("doc_id", "_p", F.col("s_in").alias("a"), F.col("s_out").alias("b"))
     rs = spec.where(F.col("_odd")).select("doc_id", "_p", F.col("s_in").alias("c"), F.col("s_out").alias("d"))
-    lu = dflt.where(~F.col("_odd")).select("doc_id", "_p", F.col("u").alias("ul"))
-    ru = dflt.where(F.col("_odd")).select("doc_id", "_p", F.col("u").alias("ur"))
-    # left specials: a -> b, then through the right block
+    lu = dflt.where(~F.col("_odd")).select("doc_id", "_p", F.col("u").alias("ul"), F.col("c").alias("cl"))
+    ru = dflt.where(F.col("_odd")).select("doc_id", "_p", F.col("u").alias("ur"), F.col("c").alias("cr"))
+    # left specials: a -> b, then through the right block (a constant one leaves none)
     through = ls.join(rs.withColumnRenamed("c", "b"), ["doc_id", "_p", "b"], "left") \
-                .join(ru, ["doc_id", "_p"], "left") \
+                .join(ru, ["doc_id", "_p"], "left").where(F.col("cr").isNull()) \
                 .select("doc_id", "_p", F.col("a").alias("s_in"),
                         F.coalesce(F.col("d"), F.col("b") + F.coalesce(F.col("ur"), F.lit(0))).alias("s_out"))
     # right specials reached by versions the left block only shifts
-    shifted = rs.join(lu, ["doc_id", "_p"], "left") \
+    shifted = rs.join(lu, ["doc_id", "_p"], "left").where(F.col("cl").isNull()) \
                 .select("doc_id", "_p", (F.col("c") - F.coalesce(F.col("ul"), F.lit(0))).alias("s_in"),
                         F.col("d").alias("s_out"))
     shifted = shifted.join(ls.withColumnRenamed("a", "s_in"), ["doc_id", "_p", "s_in"], "left_anti")
     specials = through.unionByName(shifted).select("doc_id", F.col("_p").alias("blk"), "s_in", "s_out",
-                                                   F.lit(None).cast("int").alias("u"))
-    defaults = lu.join(ru, ["doc_id", "_p"], "full").select(
+                                                   F.lit(None).cast("int").alias("u"), F.lit(None).cast("int").alias("c"))
+    # a constant left block leaves what the right block makes of its constant
+    after = rs.select("doc_id", "_p", F.col("c").alias("cl"), "d")
+    defaults = lu.join(ru, ["doc_id", "_p"], "full").join(after, ["doc_id", "_p", "cl"], "left").select(
         "doc_id", F.col("_p").alias("blk"), F.lit(None).cast("int").alias("s_in"), F.lit(None).cast("int").alias("s_out"),
-        (F.coalesce(F.col("ul"), F.lit(0)) + F.coalesce(F.col("ur"), F.lit(0))).cast("int").alias("u"))
+        (F.coalesce(F.col("ul"), F.lit(0)) + F.coalesce(F.col("ur"), F.lit(0))).cast("int").alias("u"),
+        F.coalesce("cr", "d", F.col("cl") + F.coalesce(F.col("ur"), F.lit(0))).cast("int").alias("c"))
     return specials.unionByName(defaults)
 
 
@@ -184,14 +207,14 @@ def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_
     (NULL = no version predicate) and ``eligible`` (J3); ``base`` holds each
     document's starting version (absent documents start at 1). Access is
     decided first: a write that is not eligible is 'forbidden' whatever its
-    version."""
+    version. A true ``load`` (a column that ``w`` may have) marks a full reload
+    (S2): outcome 'loaded', version 1, whatever came before."""
     ship_package(w.sparkSession)
-    # The eligible log (3 narrow columns) is read several times below:
-    # materialise it once in the shared folder.
-    elig = cut_lineage(w.where(F.col("eligible")).select("doc_id", "seq", "expected_version"), "eligible-log")
-    # chunks count from 0 and there are about rows / chunk_width of them, whatever
-    # the values of seq are (negative, sparse, microseconds)
-    elig, top = spread_chunks(elig, "seq", chunk_width)
+    # The eligible log (narrow columns) is read several times below: materialise
+    # it once in the shared folder. Loads are no client's writes: no gate.
+    load = F.col("load") if "load" in w.columns else F.lit(False)
+    elig = cut_lineage(w.where(F.col("eligible") | load).select("doc_id", "seq", "expected_version", load.alias("load")), "eligible-log")
+    elig, top = even_chunks(elig, "doc_id", "seq", chunk_width)
     levels = int(top).bit_length() if top is not None else 0
     maps = []
     if levels:
@@ -204,18 +227,18 @@ def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_
     for j in reversed(range(levels)):
         spec = maps[j].where(F.col("s_in").isNotNull()).select("doc_id", F.col("blk").alias("_blk"),
                                                                F.col("s_in").alias("_s"), "s_out")
-        dflt = maps[j].where(F.col("s_in").isNull()).select("doc_id", F.col("blk").alias("_blk"), "u")
+        dflt = maps[j].where(F.col("s_in").isNull()).select("doc_id", F.col("blk").alias("_blk"), "u", "c")
         bit = F.shiftright(F.col(CHUNK), j).bitwiseAND(F.lit(1)) == 1
         q = q.withColumn("_blk", F.when(bit, F.shiftright(F.col(CHUNK), j) - 1))
         q = q.join(spec, ["doc_id", "_blk", "_s"], "left").join(dflt, ["doc_id", "_blk"], "left") \
-             .select("doc_id", CHUNK, F.coalesce(F.col("s_out"), F.col("_s") + F.coalesce(F.col("u"), F.lit(0)))
+             .select("doc_id", CHUNK, F.coalesce(F.col("c"), F.col("s_out"), F.col("_s") + F.coalesce(F.col("u"), F.lit(0)))
                      .cast("int").alias("_s"))
     if levels > 2:
         q = cut_lineage(q, "fold-entering")
     entering = elig.join(q.withColumnRenamed("_s", "_s0"), ["doc_id", CHUNK], "inner")
     folded = entering.groupBy("doc_id", CHUNK).applyInPandas(_replay, _FOLD_SCHEMA)
     out = w.join(folded, ["doc_id", "seq"], "left")
-    outcome = F.when(~F.col("eligible"), F.lit(FORBIDDEN)) \
+    outcome = F.when(load, F.lit(LOADED)).when(~F.col("eligible"), F.lit(FORBIDDEN)) \
                .when(F.col("applied"), F.lit(APPLIED)).otherwise(F.lit(CONFLICT))
     return out.withColumn("outcome", outcome).drop("applied")
 
@@ -303,6 +326,52 @@ def apply_writes(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width
     return resolved, history, current
 
 
+# ---------------------------------------------------------------- reloads
+def apply_log(w: DataFrame, profiles: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_CHUNK,
+              label: str = LOAD_LABEL, materialize: bool = True):
+    """E1 on a log of writes and reloads (S2; ``load`` true). A reload replaces
+    the document, sets its version to 1 and its author to ``label``, and archives
+    nothing; so versions repeat, and every image carries its load ``epoch``: the
+    number of reloads of its document up to it, counted on from ``base`` (doc_id,
+    version, doc, n_deals, updated_at, updated_by and, if there is one, epoch).
+
+    Returns (outcomes, history, current); history is the before-images (hist_id =
+    seq of the write that replaced them), listed by epoch, then version."""
+    gated = with_actor_profile(ignore_claimed_fields(w), profiles)
+    load = F.coalesce(F.col("load"), F.lit(False))
+    resolved = resolve_conflicts(gated.withColumn("load", load), base, chunk_width)
+    if materialize:
+        resolved = cut_lineage(resolved, "outcomes")
+    stamped = resolved.where(F.col("outcome").isin(APPLIED, LOADED)) \
+        .withColumn("updated_at", F.col("ts")) \
+        .withColumn("updated_by", F.when(F.col("load"), F.lit(label)).otherwise(F.col("author")))
+    if "epoch" not in base.columns:
+        base = base.withColumn("epoch", F.lit(0).cast("bigint"))
+    counted = ordered_last(stamped, "doc_id", "seq", ["seq"], "load", "_q_", chunk_width).drop("_q_seq")
+    start = base.select("doc_id", F.col("epoch").alias("_q_epoch"))
+    images = counted.join(start, "doc_id", "left").withColumn(
+        "epoch", (F.coalesce("_q_epoch", F.lit(0)) + F.col("_q_count")).cast("bigint"))
+    cols = ["epoch", *IMAGE_COLS]
+    images = images.select("doc_id", "seq", "load", *cols)
+    if materialize:          # read by the history, its carries and the current rows
+        images = cut_lineage(images, "images")
+    lagged = ordered_lag(images, "doc_id", "seq", cols, "prev_", chunk_width)
+    old = base.select("doc_id", *[F.col(c).alias("base_" + c) for c in cols])
+    first = F.col("prev_version").isNull()
+    history = lagged.where(~F.col("load")).join(old, "doc_id", "left").select(
+        F.col("seq").alias("hist_id"), "doc_id",
+        *[F.when(first, F.col("base_" + c)).otherwise(F.col("prev_" + c)).alias(c) for c in cols])
+    rows = images.select("doc_id", "seq", *cols).unionByName(base.select("doc_id", F.lit(-(1 << 62)).cast("bigint").alias("seq"), *cols))
+    current = rows.groupBy("doc_id").agg(F.max_by(F.struct(*cols), "seq").alias("_r")).select("doc_id", "_r.*")
+    return resolved, history, current
+
+
+def reload_listing(history: DataFrame) -> DataFrame:
+    """V6 over a log with reloads: by epoch, then version, newest first."""
+    return history.select("doc_id", "epoch", "version", "updated_at", "updated_by", F.col("n_deals").alias("deals"), "doc") \
+                  .orderBy("doc_id", F.col("epoch").desc(), F.col("version").desc())
+
+
 def provisional_flag(flag_events: DataFrame, profiles: DataFrame) -> DataFrame:
     """V9: the latest flag event per person wins; people without events keep
     their stored flag (false by default)."""

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from quire.operators import access as X
 from quire.operators import checks as Q
 from quire.operators import documents as DO
+from quire.operators import open_documents as OD
 from quire.operators import people as U
 from quire.operators import versions as V
 from quire.operators.ordering import DEFAULT_CHUNK, last_wins_by_key
 from quire.sources import documents as D
 from quire.sources import roles
 from quire.sources.tables import Tables
-from quire.session import shared_path
+from quire.session import cut_lineage, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -147,6 +148,17 @@ def p8_status_lines(spark, sf_dir):
     return current.select("doc_id", line.alias("line"))
 
 
+@query("p8_document_lines")
+def p8_document_lines(spark, sf_dir):
+    _, history, current = _e1(spark, sf_dir, materialize=True)
+    return X.document_lines(current, history)
+
+
+@query("p8_count_lines")
+def p8_count_lines(spark, sf_dir):
+    return X.count_lines(X.row_counts(_sizes(spark, sf_dir), _actor_kinds(Tables(spark, sf_dir))))
+
+
 @query("l1_sort_by_version")
 def l1_sort_by_version(spark, sf_dir):
     h = roles.history_log(Tables(spark, sf_dir))
@@ -173,6 +185,40 @@ def a4_last_wins_by_key(spark, sf_dir):
     return last_wins_by_key(e, "user_id", "event_id")
 
 
+def _reloads(spark, sf_dir, chunk_width=DEFAULT_CHUNK):
+    t = Tables(spark, sf_dir)
+    w = cut_lineage(roles.mixed_log(t, chunk_width), "mixed-log")
+    return V.apply_log(w, roles.profiles(t), roles.given_base(w), chunk_width)
+
+
+@query("s2_reload_outcomes")
+def s2_reload_outcomes(spark, sf_dir):
+    """S2 within the write log: reloads set the version back to 1."""
+    return _reloads(spark, sf_dir)[0].select("doc_id", "seq", "expected_version", "load", "outcome", "version")
+
+
+@query("s2_reload_outcomes_chunked")
+def s2_reload_outcomes_chunked(spark, sf_dir):
+    return _reloads(spark, sf_dir, SMALL_CHUNK)[0].select("doc_id", "seq", "expected_version", "load", "outcome", "version")
+
+
+@query("s2_reload_history")
+def s2_reload_history(spark, sf_dir):
+    """V6 across reloads: listed by epoch, then version; documents compared."""
+    return V.reload_listing(_reloads(spark, sf_dir)[1])
+
+
+@query("s2_reload_history_chunked")
+def s2_reload_history_chunked(spark, sf_dir):
+    return V.reload_listing(_reloads(spark, sf_dir, SMALL_CHUNK)[1])
+
+
+@query("s2_reload_current")
+def s2_reload_current(spark, sf_dir):
+    current = _reloads(spark, sf_dir)[2]
+    return current.select("doc_id", "epoch", "version", F.col("n_deals").alias("deals"), "updated_at", "updated_by", "doc")
+
+
 # ============================================================ documents
 def _docs(spark, sf_dir) -> D.DocumentSet:
     return D.from_tables(Tables(spark, sf_dir))
@@ -247,6 +293,25 @@ def a3_blocking_items_nested(spark, sf_dir):
     return DO.blocking_items_nested(D.nest(_docs(spark, sf_dir)))
 
 
+@query("e3_change_script")
+def e3_change_script(spark, sf_dir):
+    """Guarded append, patch by id, check of the counts, check of a deal and a
+    customer by two ids (the new customer, which the first deal does not name)."""
+    t = Tables(spark, sf_dir)
+    cust, deal = _new_elements(t)
+    ds, _ = DO.append_if_absent(D.from_tables(t), cust, deal)
+    ds = DO.patch_elements(ds, "deals", _deal_patches(t))
+    p = roles.label_patches(t)
+    pairs = p.select("doc_id", F.col("deal_id"), F.concat(F.lit("C-L"), F.col("doc_id").cast("string")).alias("customer_id")).unionByName(
+        p.where(F.col("first_order").isNotNull()).select(
+            "doc_id", F.concat(F.lit("N-"), F.col("first_order").cast("string")).alias("deal_id"),
+            F.explode(F.array(F.concat(F.lit("C-"), F.col("doc_id").cast("string")),
+                              F.concat(F.lit("C-L"), F.col("doc_id").cast("string")))).alias("customer_id")))
+    check = DO.deal_customer_check(ds, pairs)
+    counts = DO.entity_counts(ds).select("doc_id", "partners", "customers", "deals")
+    return check.join(counts, "doc_id")
+
+
 @query("j4_deal_customers")
 def j4_deal_customers(spark, sf_dir):
     return DO.deal_customers(_docs(spark, sf_dir))
@@ -325,6 +390,66 @@ def m2_patch_elements_nested(spark, sf_dir):
     return D.flatten(out, "deals").select("doc_id", "id", "responsavel", "notas")
 
 
+def _loaded(spark, sf_dir) -> DataFrame:
+    """The documents as a load of their JSON export reads them (VARIANT)."""
+    path = D.export_documents(D.nest(_docs(spark, sf_dir)), shared_path(spark, "export"))
+    return D.load_documents(spark, path)
+
+
+def _open_patches(t: Tables) -> DataFrame:
+    """Change scripts as JSON, with keys that no schema has: the first deal of
+    each labelled document gets a registration number, a list and a score, in two
+    patches; toxic ones lose their notes (JSON null)."""
+    p = roles.label_patches(t).where(F.col("first_order").isNotNull())
+    key = F.concat(F.lit("N-"), F.col("first_order").cast("string"))
+    first = F.concat(F.lit('{"cnpj":"00-'), F.col("doc_id").cast("string"), F.lit('","score":'), F.col("doc_id").cast("string"),
+                     F.lit(',"tags":["a",1],"responsavel":"first"}'))
+    second = F.when(F.col("toxic") == 1, F.lit('{"responsavel":"revisar","notas":null}')).otherwise(
+        F.concat(F.lit('{"responsavel":"owner-'), F.col("doc_id").cast("string"), F.lit('"}')))
+    return p.select("doc_id", key.alias("id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("seq"), first.alias("patch")), F.struct(F.lit(2).alias("seq"), second.alias("patch")))).alias("p")) \
+        .select("doc_id", "id", "p.seq", "p.patch")
+
+
+@query("m2_patch_open")
+def m2_patch_open(spark, sf_dir):
+    """M2 on loaded documents: unknown keys and the types of values survive."""
+    out = OD.patch_elements(_loaded(spark, sf_dir), ["doc", "deals"], _open_patches(Tables(spark, sf_dir)))
+    e = out.select("doc_id", F.posexplode(F.try_variant_get("doc", "$.doc.deals", "array<variant>")).alias("pos", "e"))
+
+    def text(f):
+        return F.try_variant_get("e", f"$.{f}", "string")
+    return e.select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), text("id").alias("id"), text("responsavel").alias("responsavel"),
+        text("notas").alias("notas"), text("cnpj").alias("cnpj"), F.try_variant_get("e", "$.score", "bigint").alias("score"),
+        F.schema_of_variant(F.try_variant_get("e", "$.score", "variant")).alias("score_type"),
+        F.to_json(F.try_variant_get("e", "$.tags", "variant")).alias("tags"),
+        F.size(OD.as_object(F.col("e"))).cast("bigint").alias("n_keys"))
+
+
+@query("m3_set_at_path")
+def m3_set_at_path(spark, sf_dir):
+    """M3 at paths of loaded documents: a field of the first deal, a new key of the
+    last one, a new top-level key, and a path whose parent is missing; documents of
+    toxic labels send a NULL, which is rejected."""
+    t = Tables(spark, sf_dir)
+    sent = t.labels.select("doc_id", F.when(F.col("toxic") == 0, F.try_parse_json(F.concat(
+        F.lit('{"by":"label","n":'), F.col("doc_id").cast("string"), F.lit("}")))).alias("value"))
+    docs = _loaded(spark, sf_dir).drop("reason")
+    for path in (["doc", "deals", 0, "prazo"], ["doc", "deals", -1, "review"], ["doc", "review"], ["doc", "absent", "review"]):
+        docs = OD.set_path(docs.drop("reason"), path, sent)
+
+    def at(path, kind="string"):
+        return F.try_variant_get("doc", path, kind)
+    deals = at("$.doc.deals", "array<variant>")
+    last = F.try_element_at(deals, F.lit(-1))
+    return docs.select(
+        "doc_id", "reason", at("$.doc.deals[0].prazo.n", "bigint").alias("first_n"), at("$.doc.deals[0].id").alias("first_id"),
+        F.try_variant_get(last, "$.review.by", "string").alias("last_by"), F.try_variant_get(last, "$.id", "string").alias("last_id"),
+        F.to_json(at("$.doc.review", "variant")).alias("review"), at("$.doc.absent", "variant").isNull().alias("absent"),
+        F.size(deals).cast("bigint").alias("deals"))
+
+
 def _listed(deals) -> Column:
     """Content of an array of deals as text, in array order."""
     return F.array_join(F.transform(deals, lambda d: F.concat_ws(":", d["id"], d["etapa"], d["valor"], d["clienteId"])),
@@ -609,6 +734,29 @@ def u4_rename_by_name(spark, sf_dir):
     return U.update_by_name(derived, cmds).select("id", "nome", "papel")
 
 
+@query("u4_update_in_order")
+def u4_update_in_order(spark, sf_dir):
+    """Commands by name whose renames decide what the next ones match."""
+    t = Tables(spark, sf_dir)
+    return U.update_by_name_in_order(roles.profiles(t), roles.name_commands(t)).select("id", "nome", "papel")
+
+
+@query("u3_update_in_order")
+def u3_update_in_order(spark, sf_dir):
+    """Several partial updates per person, in order, by field."""
+    t = Tables(spark, sf_dir)
+    updated, _ = U.partial_profile_update(roles.profiles(t), roles.repeated_changes(t))
+    return updated
+
+
+@query("j9_remove_in_order")
+def j9_remove_in_order(spark, sf_dir):
+    """Several removal requests per person: the first that may, removes."""
+    t = Tables(spark, sf_dir)
+    _, _, outcomes = U.remove_people(roles.users(t), roles.profiles(t), roles.repeated_removals(t))
+    return outcomes
+
+
 @query("u5_normalise_email")
 def u5_normalise_email(spark, sf_dir):
     return U.normalise_emails(roles.users(Tables(spark, sf_dir)).select("id", "email"))
@@ -679,6 +827,26 @@ def t1_stream_versioned_writes(spark, sf_dir):
     return replay_commits(spark, w, STREAM_PARTS, roles.profiles(t))
 
 
+@query("t1_stream_trigger")
+def t1_stream_trigger(spark, sf_dir):
+    """T1 in full: the log with reloads arrives in commits over given documents;
+    outcomes, before-images and current rows of the whole stream in one table."""
+    from quire.streaming.trigger import replay
+    t = Tables(spark, sf_dir)
+    w = cut_lineage(roles.mixed_log(t), "mixed-log")
+    # merged after every second commit, so that both ways of reading state occur
+    done = replay(spark, w, roles.profiles(t), roles.given_base(w), STREAM_PARTS, merge_every=2)
+    none = F.lit(None)
+    writes = done.outcomes().select(
+        F.lit("write").alias("kind"), "doc_id", "seq", "outcome", none.cast("bigint").alias("epoch"), "version",
+        none.cast("timestamp_ntz").alias("updated_at"), none.cast("string").alias("updated_by"), none.cast("string").alias("doc"))
+    image = ["epoch", "version", "updated_at", "updated_by", "doc"]
+    old = done.history().select(F.lit("before").alias("kind"), "doc_id", F.col("hist_id").alias("seq"), none.cast("string").alias("outcome"), *image)
+    now = done.current(done.commits).select(
+        F.lit("now").alias("kind"), "doc_id", none.cast("bigint").alias("seq"), none.cast("string").alias("outcome"), *image)
+    return writes.unionByName(old).unionByName(now)
+
+
 @query("t2_stream_profiles")
 def t2_stream_profiles(spark, sf_dir):
     """Users arrive in 4 batches; profiles are derived and inserted when

@@ -159,6 +159,18 @@ SELECT doc_id, 'versao ' || CAST(version AS VARCHAR) || ', autor ' || coalesce(u
        || ', negocios ' || CAST(n_deals AS VARCHAR) AS line
 FROM cur""", recursive=True)
 
+ORACLE["p8_document_lines"] = with_ctes(RESOLVED + CURRENT, """,
+h AS (SELECT doc_id, count(*) AS n FROM history GROUP BY doc_id),
+x AS (
+  SELECT cur.doc_id, 'versao ' || CAST(version AS VARCHAR) AS v, ', autor ' || coalesce(updated_by, '?') AS a,
+         ', negocios ' || CAST(n_deals AS VARCHAR) AS d, CAST(coalesce(h.n, 0) AS VARCHAR) AS n
+  FROM cur LEFT JOIN h ON cur.doc_id = h.doc_id)
+SELECT doc_id, 'editor_reads' AS step, 'le o pipeline -> ' || v || d AS line FROM x
+UNION ALL SELECT doc_id, 'after_write', 'depois de gravar -> ' || v || a || d FROM x
+UNION ALL SELECT doc_id, 'history_kept', 'historico guardou -> ' || n || ' versao(oes)' FROM x
+UNION ALL SELECT doc_id, 'result', 'resultado -> ' || v || a FROM x
+UNION ALL SELECT doc_id, 'reader_reads', 'le o pipeline -> ' || v FROM x""", recursive=True)
+
 ORACLE["l1_sort_by_version"] = """
 SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS version, role AS updated_by,
        CAST(length(text) AS BIGINT) AS chars
@@ -184,6 +196,68 @@ SELECT user_id, event_id, event_type FROM (
   SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rk
   FROM events) WHERE rk = 1"""
 
+# ------------------------------------------------------------------ reloads
+# The log with reloads, folded literally: a load sets version 1 and a new epoch.
+RELOADED = PROFILES + """,
+m0 AS (
+  SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id, event_id AS seq, user_id AS actor, ts, event_type AS kind,
+         event_type = 'purchase' AND event_id % 4 = 0 AS load
+  FROM events),
+m1 AS (SELECT *, sum(CAST(load AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY seq) AS part,
+              row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM m0),
+mixed AS (
+  SELECT m.*, CASE WHEN NOT load AND kind <> 'signup'
+                   THEN CAST(1 + (row_number() OVER (PARTITION BY doc_id, part ORDER BY seq) - 1
+                                  - CASE WHEN part > 0 THEN 1 ELSE 0 END) // 4 AS INTEGER) END AS expected_version,
+         coalesce(p.nome, 'desconhecido') AS author, coalesce(p.papel = 'editor', false) AS eligible,
+         CAST(length(kind) AS BIGINT) AS n_deals
+  FROM m1 m LEFT JOIN profiles p ON m.actor = p.id),
+mfold AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST(1 + doc_id % 3 AS INTEGER) AS ver, doc_id % 2 AS epoch,
+         CAST(NULL AS VARCHAR) AS outcome
+  FROM (SELECT DISTINCT doc_id FROM mixed)
+  UNION ALL
+  SELECT s.doc_id, s.rn,
+         CASE WHEN s.load THEN 1 WHEN s.eligible AND coalesce(s.expected_version = f.ver, true) THEN f.ver + 1 ELSE f.ver END,
+         f.epoch + CAST(s.load AS INTEGER),
+         CASE WHEN s.load THEN 'loaded' WHEN NOT s.eligible THEN 'forbidden'
+              WHEN coalesce(s.expected_version = f.ver, true) THEN 'applied' ELSE 'conflict' END
+  FROM mfold f JOIN mixed s ON s.doc_id = f.doc_id AND s.rn = f.rn + 1),
+mresolved AS (
+  SELECT s.doc_id, s.seq, s.expected_version, s.load, f.outcome, CASE WHEN f.outcome IN ('applied', 'loaded') THEN f.ver END AS version,
+         f.epoch, s.n_deals, s.kind, s.ts AS updated_at, CASE WHEN s.load THEN 'carga inicial' ELSE s.author END AS updated_by
+  FROM mixed s JOIN mfold f ON s.doc_id = f.doc_id AND s.rn = f.rn),
+mimages AS (
+  SELECT * FROM mresolved WHERE outcome IN ('applied', 'loaded')
+  UNION ALL
+  SELECT doc_id, -1, NULL, true, 'base', CAST(1 + doc_id % 3 AS INTEGER), doc_id % 2, 0, NULL, NULL, 'carga inicial'
+  FROM (SELECT DISTINCT doc_id FROM mixed)),
+mhistory AS (
+  SELECT * FROM (
+    SELECT doc_id, seq, load, lag(epoch) OVER w AS epoch, lag(version) OVER w AS version, lag(updated_at) OVER w AS updated_at,
+           lag(updated_by) OVER w AS updated_by, lag(n_deals) OVER w AS n_deals, lag(kind) OVER w AS kind
+    FROM mimages WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) WHERE NOT load),
+mcurrent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rk FROM mimages) WHERE rk = 1)"""
+
+ORACLE["s2_reload_outcomes"] = with_ctes(RELOADED, """
+SELECT doc_id, seq, expected_version, load, outcome, version FROM mresolved""", recursive=True)
+ORACLE["s2_reload_outcomes_chunked"] = ORACLE["s2_reload_outcomes"]
+
+ORACLE["s2_reload_history"] = with_ctes(RELOADED, """
+SELECT doc_id, epoch, version, updated_at, updated_by, n_deals AS deals, """ + DOC_TEXT + """ AS doc FROM mhistory""", recursive=True)
+ORACLE["s2_reload_history_chunked"] = ORACLE["s2_reload_history"]
+
+ORACLE["t1_stream_trigger"] = with_ctes(RELOADED, """
+SELECT 'write' AS kind, doc_id, seq, outcome, CAST(NULL AS BIGINT) AS epoch, version, CAST(NULL AS TIMESTAMP) AS updated_at,
+       CAST(NULL AS VARCHAR) AS updated_by, CAST(NULL AS VARCHAR) AS doc FROM mresolved
+UNION ALL
+SELECT 'before', doc_id, seq, NULL, epoch, version, updated_at, updated_by, """ + DOC_TEXT + """ FROM mhistory
+UNION ALL
+SELECT 'now', doc_id, NULL, NULL, epoch, version, updated_at, updated_by, """ + DOC_TEXT + """ FROM mcurrent""", recursive=True)
+
+ORACLE["s2_reload_current"] = with_ctes(RELOADED, """
+SELECT doc_id, epoch, version, n_deals AS deals, updated_at, updated_by, """ + DOC_TEXT + """ AS doc FROM mcurrent""", recursive=True)
+
 # ------------------------------------------------------------------ documents
 DOC_DEALS = """sup AS (SELECT l_orderkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey),
 deals AS (
@@ -293,6 +367,55 @@ SELECT d.doc_id, d.id,
        CASE WHEN d.pk = lp.first_order AND lp.toxic = 1 THEN NULL ELSE '' END AS notas
 FROM deals d LEFT JOIN lp ON d.doc_id = lp.doc_id AND lp.first_order IS NOT NULL""")
 
+ORACLE["m2_patch_open"] = with_ctes(DOC_DEALS + ",\n" + LABEL_PATCHES, f"""
+SELECT d.doc_id, CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY d.pk) - 1 AS BIGINT) AS pos, d.id,
+       CASE WHEN NOT hit THEN d.responsavel WHEN lp.toxic = 1 THEN 'revisar' ELSE 'owner-' || CAST(d.doc_id AS VARCHAR) END AS responsavel,
+       CASE WHEN hit AND lp.toxic = 1 THEN NULL ELSE '' END AS notas, CASE WHEN hit THEN '00-' || CAST(d.doc_id AS VARCHAR) END AS cnpj,
+       CASE WHEN hit THEN d.doc_id END AS score, CASE WHEN hit THEN 'BIGINT' END AS score_type,
+       CASE WHEN hit THEN '["a",1]' END AS tags,
+       CAST(13 + CASE WHEN hit THEN 3 ELSE 0 END - CASE WHEN d.fechado_em IS NULL THEN 1 ELSE 0 END
+            - CASE WHEN d.parceiro_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_keys
+FROM (SELECT d.*, coalesce(d.pk = lp.first_order, false) AS hit FROM deals d LEFT JOIN lp ON d.doc_id = lp.doc_id) d
+LEFT JOIN lp ON d.doc_id = lp.doc_id WHERE d.{KNOWN}""")
+
+ORACLE["m3_set_at_path"] = with_ctes(DOC_DEALS, """
+SELECT c.c_custkey AS doc_id, CASE WHEN l.toxic = 1 THEN 'null_value' END AS reason,
+       CASE WHEN l.toxic = 0 AND g.n > 0 THEN c.c_custkey END AS first_n, 'N-' || CAST(g.a AS VARCHAR) AS first_id,
+       CASE WHEN l.toxic = 0 AND g.n > 0 THEN 'label' END AS last_by, 'N-' || CAST(g.b AS VARCHAR) AS last_id,
+       CASE WHEN l.toxic = 0 THEN '{"by":"label","n":' || CAST(c.c_custkey AS VARCHAR) || '}' END AS review, true AS absent,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS deals
+FROM customer c LEFT JOIN labels l ON c.c_custkey = l.doc_id
+     LEFT JOIN (SELECT doc_id, min(pk) AS a, max(pk) AS b, count(*) AS n FROM deals GROUP BY doc_id) g ON c.c_custkey = g.doc_id""")
+
+ORACLE["e3_change_script"] = with_ctes(DOC_DEALS + ",\n" + LABEL_PATCHES, """,
+after AS (
+  SELECT d.doc_id, d.id, d.frente, d.etapa, CAST(NULL AS VARCHAR) AS publico,
+         CASE WHEN d.pk = lp.first_order THEN (CASE WHEN lp.toxic = 1 THEN 'revisar' ELSE 'owner-' || CAST(lp.doc_id AS VARCHAR) END)
+              ELSE d.responsavel END AS responsavel,
+         d.valor, coalesce(ic.items, 0) AS items, coalesce(ic.blocking, 0) AS blocking, who.who
+  FROM deals d LEFT JOIN lp ON d.doc_id = lp.doc_id
+       LEFT JOIN item_counts ic ON d.doc_id = ic.doc_id AND d.id = ic.deal_id LEFT JOIN who ON d.pk = who.l_orderkey
+  UNION ALL
+  SELECT lp.doc_id, 'N-L' || CAST(lp.doc_id AS VARCHAR), '3-MEDIUM', '2', 'B2B', 'owner', '', 0, 0, NULL
+  FROM lp JOIN customer c ON lp.doc_id = c.c_custkey WHERE lp.appended),
+people AS (
+  SELECT c_custkey AS doc_id, 'C-' || CAST(c_custkey AS VARCHAR) AS id, c_name AS nome, c_mktsegment AS setor FROM customer
+  UNION ALL SELECT lp.doc_id, 'C-L' || CAST(lp.doc_id AS VARCHAR), 'Client L' || CAST(lp.doc_id AS VARCHAR), 'SERVICES'
+  FROM lp JOIN customer c ON lp.doc_id = c.c_custkey WHERE lp.appended),
+pairs AS (
+  SELECT doc_id, CASE WHEN appended THEN 'N-L' || CAST(doc_id AS VARCHAR) ELSE 'N-' || CAST(first_order AS VARCHAR) END AS deal_id,
+         'C-L' || CAST(doc_id AS VARCHAR) AS customer_id FROM lp
+  UNION
+  SELECT doc_id, 'N-' || CAST(first_order AS VARCHAR), 'C-' || CAST(doc_id AS VARCHAR) FROM lp WHERE first_order IS NOT NULL
+  UNION
+  SELECT doc_id, 'N-' || CAST(first_order AS VARCHAR), 'C-L' || CAST(doc_id AS VARCHAR) FROM lp WHERE first_order IS NOT NULL)
+SELECT p.doc_id, c.id AS cliente_id, c.nome AS cliente, c.setor, e.id AS negocio_id, e.frente, e.etapa, e.publico, e.responsavel,
+       coalesce(nullif(e.valor, ''), '(vazio)') AS valor, CAST(e.items AS BIGINT) AS pendencias, CAST(e.blocking AS BIGINT) AS bloqueantes,
+       e.who AS criado_por, coalesce(pc.partners, 0) AS partners, CAST(1 + CAST(lp.appended AS INTEGER) AS BIGINT) AS customers,
+       CAST(coalesce(dc.deals, 0) + CAST(lp.appended AS INTEGER) AS BIGINT) AS deals
+FROM pairs p JOIN after e ON p.doc_id = e.doc_id AND p.deal_id = e.id JOIN people c ON p.doc_id = c.doc_id AND p.customer_id = c.id
+     JOIN lp ON p.doc_id = lp.doc_id LEFT JOIN partner_counts pc ON p.doc_id = pc.doc_id LEFT JOIN deal_counts dc ON p.doc_id = dc.doc_id""")
+
 LISTED = """coalesce(string_agg(d.id || ':' || d.etapa || ':' || d.valor || ':' || d.cliente_id, ',' ORDER BY d.pk), '')"""
 
 ORACLE["m3_set_path"] = with_ctes(DOC_DEALS, """
@@ -521,15 +644,53 @@ lastcmd AS (
 SELECT d.id, d.nome, coalesce(c.papel, d.papel) AS papel
 FROM derived d LEFT JOIN lastcmd c ON d.nome IS NOT DISTINCT FROM c.nome""")
 
+# Commands by name replayed one by one over all profiles.
+REPLAY = """,
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM cmd),
+turn AS (
+  SELECT id, nome, papel, CAST(0 AS BIGINT) AS k FROM people
+  UNION ALL
+  SELECT t.id, CASE WHEN coalesce(t.nome = c.nome, false) THEN coalesce(c.novo, t.nome) ELSE t.nome END,
+         CASE WHEN coalesce(t.nome = c.nome, false) THEN coalesce(c.papel, t.papel) ELSE t.papel END, t.k + 1
+  FROM turn t JOIN numbered c ON c.k = t.k + 1)
+SELECT id, nome, papel FROM turn WHERE k = (SELECT count(*) FROM numbered)"""
+
 ORACLE["u4_rename_by_name"] = with_ctes(DERIVED, """,
 cmd AS (
   SELECT d.nome, l.doc_id AS seq, CASE WHEN l.toxic = 1 THEN 'leitor' END AS papel,
          CASE WHEN l.quality = 1 THEN 'Nome ' || CAST(l.doc_id AS VARCHAR) END AS novo
   FROM labels l JOIN derived d ON l.doc_id = d.id),
-lastcmd AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nome ORDER BY seq DESC) AS rk FROM cmd) WHERE rk = 1)
-SELECT d.id, coalesce(c.novo, d.nome) AS nome, coalesce(c.papel, d.papel) AS papel
-FROM derived d LEFT JOIN lastcmd c ON d.nome IS NOT DISTINCT FROM c.nome""")
+people AS (SELECT id, nome, papel FROM derived)""" + REPLAY, recursive=True)
+
+ORACLE["u4_update_in_order"] = with_ctes(PROFILES, """,
+cmd AS (
+  SELECT doc_id AS seq, 'Customer#' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS nome,
+         CASE WHEN toxic = 1 THEN 'leitor' WHEN doc_id % 5 = 0 THEN 'editor' END AS papel,
+         CASE WHEN quality = 1 THEN 'Customer#' || lpad(CAST(doc_id + 3 AS VARCHAR), 9, '0') END AS novo
+  FROM labels),
+people AS (SELECT id, nome, papel FROM profiles)""" + REPLAY, recursive=True)
+
+ORACLE["u3_update_in_order"] = with_ctes(PROFILES, """,
+c AS (
+  SELECT doc_id AS cmd_id, doc_id % 40 AS id,
+         CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'Pessoa ' || CAST(doc_id AS VARCHAR) END AS nome,
+         CASE WHEN toxic = 1 THEN 'leitor' WHEN doc_id % 7 = 0 THEN 'editor' END AS papel
+  FROM labels),
+f AS (SELECT id, max_by(nome, cmd_id) FILTER (nome IS NOT NULL) AS nome, max_by(papel, cmd_id) FILTER (papel IS NOT NULL) AS papel
+      FROM c GROUP BY id)
+SELECT p.id, coalesce(f.nome, p.nome) AS nome, coalesce(f.papel, p.papel) AS papel, p.email, p.senha_provisoria
+FROM profiles p LEFT JOIN f ON p.id = f.id""")
+
+ORACLE["j9_remove_in_order"] = """
+WITH rq AS (
+  SELECT doc_id AS request_id, doc_id % 40 AS target, CASE WHEN quality = 0 THEN doc_id % 40 ELSE -1 END AS actor FROM labels),
+o AS (
+  SELECT *, target <> actor AND target IN (SELECT c_custkey FROM customer) AS may FROM rq)
+SELECT request_id, target, CAST(actor AS BIGINT) AS actor,
+       CASE WHEN target = actor THEN 'nao-remove-a-si'
+            WHEN may AND sum(CAST(may AS INTEGER)) OVER (PARTITION BY target ORDER BY request_id) = 1 THEN 'removido'
+            ELSE 'remover-falhou' END AS outcome
+FROM o"""
 
 ORACLE["u5_normalise_email"] = with_ctes(USERS, """
 SELECT id, lower(""" + js_trim("email") + """) AS email FROM users""")
@@ -588,6 +749,9 @@ kinds AS (
 SELECT k.actor_kind, s.tbl, CASE WHEN k.actor_kind = 'anon' THEN CAST(0 AS BIGINT) ELSE s.n END AS n
 FROM kinds k, sizes s""", recursive=True)
 
+ORACLE["p8_count_lines"] = "SELECT actor_kind, tbl, CASE tbl WHEN 'perfil' THEN 'perfil    -> ' WHEN 'pipeline' THEN 'pipeline  -> ' " \
+    "ELSE 'historico -> ' END || CAST(n AS VARCHAR) || ' linhas' AS line FROM (" + ORACLE["a1_row_counts"] + ")"
+
 # Streaming forms must equal their batch twins.
 ORACLE["t1_stream_versioned_writes"] = ORACLE["v5_resolve_conflicts"]
 ORACLE["t2_stream_profiles"] = ORACLE["j6_insert_if_absent"]

@@ -207,7 +207,8 @@ def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id",
     ``key`` names a top-level field copied out as ``doc_id``.
 
     ``reason`` is NULL for a loaded document, else 'not_json' (not exactly
-    one JSON value), 'not_object', or - when ``arrays_at`` is given -
+    one JSON value), 'not_object', 'bad_key' (``key`` absent or no whole number)
+    or - when ``arrays_at`` is given -
     'missing_array' if one of ``arrays`` is absent, null or not an array
     there (an empty array is fine)."""
     others = [c for c in df.columns if c != text_col]
@@ -217,13 +218,15 @@ def parse_documents(df: DataFrame, text_col: str, key: str | None = "doc_id",
     is_object = F.col("raw").rlike(r"^[ \t\n\r]*\{")
     reason = F.when(F.col("doc").isNull(), F.lit("not_json")) \
               .when(~is_object, F.lit("not_object"))
+    keyed = [F.try_variant_get("doc", f"$.{key}", "bigint").alias("doc_id")] if key else []
+    if key:
+        reason = reason.when(F.try_variant_get("doc", f"$.{key}", "bigint").isNull(), F.lit("bad_key"))
     if arrays_at is not None:
         missing = None
         for a in arrays:
             m = F.try_variant_get("doc", f"{arrays_at}.{a}", "array<variant>").isNull()
             missing = m if missing is None else (missing | m)
         reason = reason.when(missing, F.lit("missing_array"))
-    keyed = [F.try_variant_get("doc", f"$.{key}", "bigint").alias("doc_id")] if key else []
     return d.select(*others, *keyed, "doc", "raw", reason.alias("reason"))
 
 

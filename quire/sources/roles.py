@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import LOAD_LABEL
-from quire.operators.ordering import DEFAULT_CHUNK, ordered_rank
+from quire.operators.ordering import DEFAULT_CHUNK, ordered_last, ordered_rank
 from quire.sources.tables import Tables
 
 # Fixed values of the derivation (restated in the oracle SQL).
@@ -20,6 +20,7 @@ NO_EMAIL_NATION = 0              # users of this nation have no e-mail
 BACKFILL_SEGMENT = "BUILDING"    # their profiles predate the e-mail column
 WRITES_PER_VERSION = 4           # clients re-read the version every 4 writes
 FORGED_KIND = "error"            # these writes claim version 999 / an author
+RELOAD_KIND = "purchase"         # some of these reload their document
 FORGED_VERSION = 999
 FORGED_AUTHOR = "forjado"
 EMPTY_DOCUMENT = '{"partners":[],"customers":[],"deals":[]}'
@@ -101,6 +102,26 @@ def writes(t: Tables, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
         document_payload(F.col("kind")).alias("doc"))
 
 
+def mixed_log(t: Tables, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
+    """The write log with reloads in it: every fourth purchase (by event_id) loads
+    its document anew. Clients count from the last load: the n-th write after it
+    expects version 1 + (n-1) div 4; sign-ups send no expected version."""
+    w = writes(t, chunk_width).drop("expected_version")
+    w = w.withColumn("load", (F.col("kind") == RELOAD_KIND) & (F.col("seq") % 4 == 0))
+    w = ordered_rank(w, "doc_id", "seq", "_rn", chunk_width)
+    w = ordered_last(w, "doc_id", "seq", ["_rn"], "load", "_last", chunk_width)
+    n = F.col("_rn") - F.coalesce("_last_rn", F.lit(0))
+    expected = F.when(~F.col("load") & (F.col("kind") != "signup"), F.lit(1) + F.floor((n - 1) / WRITES_PER_VERSION))
+    return w.withColumn("expected_version", expected.cast("int")).drop("_rn", "_last_rn", "_lastcount")
+
+
+def given_base(w: DataFrame) -> DataFrame:
+    """Current rows that a stream takes over: documents at versions 1 to 3."""
+    b = base_documents(w)
+    return b.withColumn("version", (F.lit(1) + F.col("doc_id") % 3).cast("int")) \
+            .withColumn("epoch", (F.col("doc_id") % 2).cast("bigint"))
+
+
 def base_documents(w: DataFrame) -> DataFrame:
     """Current rows before the log: every written key holds the empty default
     document at version 1, stamped by the initial load."""
@@ -154,6 +175,41 @@ def profile_changes(t: Tables) -> DataFrame:
         F.when(F.col("toxic") == 1, "leitor").otherwise("gestor").alias("papel"))
 
 
+#: People that the commands of repeated targets are about.
+FEW_PEOPLE = 40
+
+
+def repeated_changes(t: Tables) -> DataFrame:
+    """Several partial updates per person: label n is about person n mod 40. Good
+    rows set the name, toxic ones the role, the others send what is not valid."""
+    l = t.labels.select("doc_id", "quality", "toxic")
+    return l.select(
+        F.col("doc_id").alias("cmd_id"), (F.col("doc_id") % FEW_PEOPLE).alias("id"),
+        F.when((F.col("quality") == 1) & (F.col("doc_id") % 3 == 0), F.concat(F.lit(" Pessoa "), F.col("doc_id").cast("string")))
+         .otherwise(F.lit(" ")).alias("nome"),
+        F.when(F.col("toxic") == 1, "leitor").when(F.col("doc_id") % 7 == 0, "editor").otherwise("gestor").alias("papel"))
+
+
+def repeated_removals(t: Tables) -> DataFrame:
+    """Removal requests that name the same people again and again, some their own."""
+    l = t.labels.select("doc_id", "quality")
+    return l.select(F.col("doc_id").alias("request_id"), (F.col("doc_id") % FEW_PEOPLE).alias("target"),
+                    F.when(F.col("quality") == 0, F.col("doc_id") % FEW_PEOPLE).otherwise(F.lit(-1)).cast("bigint").alias("actor"))
+
+
+def name_commands(t: Tables) -> DataFrame:
+    """Commands by name whose renames chain: label n renames the bearer of
+    customer n's name to that of customer n + 3 (good rows), or sets a role."""
+    l = t.labels.select("doc_id", "quality", "toxic")
+
+    def name(k):
+        return F.concat(F.lit("Customer#"), F.lpad((k).cast("string"), 9, "0"))
+    return l.select(
+        F.col("doc_id").alias("seq"), name(F.col("doc_id")).alias("nome"),
+        F.when(F.col("toxic") == 1, "leitor").when(F.col("doc_id") % 5 == 0, "editor").alias("papel"),
+        F.when(F.col("quality") == 1, name(F.col("doc_id") + 3)).alias("novo_nome"))
+
+
 def history_log(t: Tables) -> DataFrame:
     """Version history of conversation documents: turn n is version n+1,
     authored by the turn's role; the whole text is the document."""

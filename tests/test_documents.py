@@ -59,10 +59,10 @@ def test_missing_vs_empty_array(spark):
 
 def test_parse_reasons(spark):
     df = spark.createDataFrame([("a", '{"doc_id": 1, "deals": []}'), ("b", "[1,2]"), ("c", "5"), ("d", "nope"),
-                                ("e", '{"doc_id": 2}')], "k string, t string")
+                                ("e", '{"doc_id": 2}'), ("f", '{"doc_id": "x7"}'), ("g", '{"deals": []}')], "k string, t string")
     got = {r["k"]: (r["doc_id"], r["reason"]) for r in D.parse_documents(df, "t").collect()}
     assert got == {"a": (1, None), "b": (None, "not_object"), "c": (None, "not_object"),
-                   "d": (None, "not_json"), "e": (2, None)}
+                   "d": (None, "not_json"), "e": (2, None), "f": (None, "bad_key"), "g": (None, "bad_key")}
     # array present vs missing
     v = D.parse_documents(df, "t").select("k", D.variant_array_len(F.col("doc"), "$.deals").alias("n"))
     assert {r["k"]: r["n"] for r in v.collect()}["a"] == 0
@@ -72,7 +72,7 @@ def test_parse_reasons(spark):
 def test_read_envelope_forms(spark):
     bodies = spark.createDataFrame([(1, '[{"id": 1, "email": "a"}]'), (2, '{"users": [{"id": 2}]}'), (6, '[{"id": 6}] x'),
                                     (3, '{"other": 1}'), (4, '7'), (5, 'garbage')], "page long, body string")
-    assert rows(D.read_envelope(bodies)) == [(1, 1, "a"), (2, 2, None)]
+    assert rows(D.read_envelope(bodies)) == [(1, "1", "a"), (2, "2", None)]
 
 
 def test_scan_columns_missing_path(spark):
