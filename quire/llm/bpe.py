@@ -4,8 +4,8 @@ Texts are split by the tokenizer's pattern on the JVM side. Blocks of documents
 (``BLOCK_PIECES`` pieces, or one document if that has more) become one row each:
 the block's distinct pieces, and for each document the numbers of its pieces.
 Spark higher-order functions then fold the ranked merges over the bytes of each
-distinct piece: the state is the list of tokens so far and the rank that each
-neighbouring pair would merge to; each step merges the leftmost pair of the
+distinct piece: the state is the list of tokens so far, each with the rank that
+it and the next one would merge to; each step merges the leftmost pair of the
 lowest rank, as the reference implementation of this encoding does. The rank
 map is a literal: a hash table in one array (a map lookup in Spark scans the
 map). Every piece has its single bytes as first tokens; a piece that is a token
@@ -43,12 +43,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import let, text_or_empty
 
 #: Pieces of the documents that share one block.
-BLOCK_PIECES = 4_000_000
+BLOCK_PIECES = 3_000_000
 #: Bytes up to which a piece is merged by the fold.
 LONG = 2_048
 #: Rows that the cache is taken from (about), and pieces that it holds at most.
-CACHE_ROWS = 20_000
-CACHE_PIECES = 400_000
+CACHE_ROWS = 30_000
+CACHE_PIECES = 500_000
 #: Rank of a pair that is no token.
 NONE = 1 << 30
 #: Sizes of the two halves of the rank table (primes).
@@ -139,27 +139,33 @@ def _rank(table: Column, a: Column, b: Column) -> Column:
 
 def merge(tokens: Column, table: Column) -> Column:
     """Ids of one piece given as the tokens of its bytes: fold over its merges.
-    The rank of a merge is the id of the token it makes."""
-    def start(s):
-        pairs = F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: _rank(table, F.get(s, i), F.get(s, i + 1)))
-        return let(pairs, lambda r: F.struct(s.alias("s"), r.alias("r"), F.array_min(r).alias("m")))
+    The state is one array: each token with, in the bits above it, the rank that
+    it and the next one merge to (the rank of a merge is the id of the token it
+    makes, and only one pair makes it). So the least element, at its first place,
+    is the next merge."""
+    def paired(rank, token):
+        return F.shiftleft(rank, 17).bitwiseOR(token)
 
-    def step(acc, _):
-        s, r, m = acc["s"], acc["r"], acc["m"]
-
-        def joined(p):
-            # places count from 0: tokens p and p + 1 become one
-            new_s = F.concat(F.slice(s, F.lit(1), p), F.array(m), F.slice(s, p + 3, F.size(s)))
-            new_r = F.concat(F.slice(r, F.lit(1), F.greatest(p - 1, F.lit(0))),
-                             F.when(p > 0, F.array(_rank(table, F.get(s, p - 1), m))).otherwise(F.array().cast("array<bigint>")),
-                             F.when(p + 2 < F.size(s), F.array(_rank(table, m, F.get(s, p + 2)))).otherwise(F.array().cast("array<bigint>")),
-                             F.slice(r, p + 3, F.size(r)))
-            return let(new_r, lambda x: F.struct(new_s.alias("s"), x.alias("r"), F.coalesce(
-                F.array_min(x), F.lit(NONE).cast("long")).alias("m")))
+    def token(x):
+        return x.bitwiseAND(131_071)
 
-        return F.when(m < NONE, let(F.array_position(r, m).cast("int") - 1, joined)).otherwise(acc)
+    none = F.lit(NONE << 17).cast("long")
+    start = F.transform(tokens, lambda x, i: F.when(
+        i + 1 < F.size(tokens), paired(_rank(table, x, F.get(tokens, i + 1)), x)).otherwise(none.bitwiseOR(x)))
 
-    return F.aggregate(F.sequence(F.lit(2), F.size(tokens)), start(tokens), step, lambda acc: acc["s"])
+    def step(acc, _):
+        def joined(least, q):
+            # the q-th element (from 1) and the one after it become one token
+            new, before, after = F.shiftright(least, 17), F.get(acc, q - 2), F.get(acc, q + 1)
+            own = F.when(after.isNull(), none.bitwiseOR(new)).otherwise(paired(_rank(table, new, token(after)), new))
+            rest = F.slice(acc, q + 2, F.size(acc))
+            return F.when(q == 1, F.concat(F.array(own), rest)).otherwise(F.concat(
+                F.slice(acc, F.lit(1), q - 2), F.array(paired(_rank(table, token(before), new), token(before)), own), rest))
+
+        return let(F.array_min(acc), lambda least: F.when(least < none, let(
+            F.array_position(acc, least).cast("int"), lambda q: joined(least, q))).otherwise(acc))
+
+    return F.aggregate(F.sequence(F.lit(2), F.size(tokens)), start, step, lambda acc: F.transform(acc, token))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
