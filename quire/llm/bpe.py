@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import let, text_or_empty
 
 #: Pieces of the documents that share one block.
-BLOCK_PIECES = 3_000_000
+BLOCK_PIECES = 2_500_000
 #: Bytes up to which a piece is merged by the fold.
 LONG = 2_048
 #: Rows that the cache is taken from (about), and pieces that it holds at most.
@@ -311,53 +311,65 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     and the SHA-256 of the comma-joined ids and of the decoded bytes."""
     have = docs.sparkSession.sparkContext.broadcast(known_pieces(ranks, fill_cache(docs, ranks, pattern, text, key)))
     blocks = _pieces(docs, pattern, text, key).mapInArrow(_blocks(ranks, have), BLOCK_SCHEMA)
-    tokens = {v: k for k, v in ranks.items()}
+    byte_strings = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        byte_strings[rank] = token
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = pa.array(byte_strings, pa.binary())
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                ids = row.column(4).flatten().to_pylist()
-                for j, found in zip(row.column(5).flatten().to_pylist(), row.column(6).flatten().to_pylist()):
-                    ids[j] = found
-                places = np.frombuffer(row.column(2)[0].as_py(), "<i4")
-                ends = np.concatenate([[0], np.cumsum(row.column(1).flatten().to_numpy())]).astype(np.int64)
-                yield from _put_together(row.column(0).flatten(), ends, places, ids, tokens, digests)
+                keys, counts, places, _, known, opened, folded = (c.slice(i, 1) for c in batch.columns)
+                words = _all_ids(known.flatten(), opened.flatten(), folded.flatten())
+                places = np.frombuffer(places[0].as_py(), "<i4")
+                ends = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())]).astype(np.int64)
+                yield from _put_together(keys.flatten(), ends, places, words, tokens, digests)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>"
     return _folded(blocks, rank_literal(ranks)).mapInArrow(documents, schema)
 
 
 #: Documents in one batch that leaves the last step.
-BATCH = 2_000
+BATCH = 500
+
 
+def _all_ids(known: pa.ListArray, opened: pa.Array, folded: pa.ListArray) -> pa.ListArray:
+    """Ids of all words of a block: the known ones, and those of the open words."""
+    own, new = known.flatten().to_numpy(zero_copy_only=False), folded.flatten().to_numpy(zero_copy_only=False)
+    sizes = known.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    at = opened.to_numpy(zero_copy_only=False)
+    more = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    begin[at] = len(own) + np.cumsum(more) - more
+    sizes[at] = more
+    flat = np.concatenate([own, new]).astype(np.int32)[_runs(begin, sizes)]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
-def _put_together(keys, ends, places, ids, tokens, digests) -> Iterator[pa.RecordBatch]:
+
+def _put_together(keys, ends, places, words, tokens, digests) -> Iterator[pa.RecordBatch]:
+    flat, stops = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(stops)
     if digests:
-        joined = [",".join(map(str, x)) for x in ids]
-        binary = [b"".join([tokens[t] for t in x]) for x in ids]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        # comma-joined ids, and decoded bytes, of each word
+        texts = pc.binary_join(pa.ListArray.from_arrays(words.offsets, flat.cast(pa.string())), ",")
+        binary = pc.binary_join(pa.ListArray.from_arrays(words.offsets, tokens.take(flat)), b"")
     else:
-        flat = np.array([t for x in ids for t in x], np.int32)
-        stop = np.cumsum([len(x) for x in ids]).astype(np.int64)
-        begin = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+        flat = flat.to_numpy()
     for a in range(0, len(keys), BATCH):
-        span = range(a, min(a + BATCH, len(keys)))
-        out = {"doc_id": keys.slice(a, len(span))}
+        n = min(BATCH, len(keys) - a)
+        p = places[ends[a]:ends[a + n]]
+        offsets = ends[a:a + n + 1] - ends[a]
+        out = {"doc_id": keys.slice(a, n)}
+        before = np.concatenate([[0], np.cumsum(sizes[p])])[offsets]
         if digests:
-            out |= {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for d in span:
-                p = places[ends[d]:ends[d + 1]]
-                own = p.tolist()
-                out["n_tokens"].append(int(sizes[p].sum()))
-                out["ids_sha256"].append(hashlib.sha256(",".join([joined[x] for x in own]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join([binary[x] for x in own])).hexdigest())
+            out["n_tokens"] = np.diff(before)
+
+            def digest(parts, between):
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), parts.take(pa.array(p))), between)
+                return [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
+            out["ids_sha256"], out["decoded_sha256"] = digest(texts, ","), digest(binary, b"")
         else:
-            out["ids"] = []
-            for d in span:
-                p = places[ends[d]:ends[d + 1]]
-                out["ids"].append(flat[_runs(begin[p], stop[p] - begin[p])])
-            out["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
+            out["ids"] = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(flat[_runs(stops[p], sizes[p])]))
         yield pa.RecordBatch.from_pydict(out)
 
 
