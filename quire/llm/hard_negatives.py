@@ -194,7 +194,7 @@ def _mine_block(rows: DataFrame, block: pa.Table, scale: int, n_positives: int,
     names = spark.createDataFrame(pa.table({"anchor": pa.array(np.arange(len(anchors["id"]), dtype=np.int32)), "anchor_id": pa.array(anchors["id"])}))
     own = positives.where("score >= 0").withColumn("j", F.dense_rank().over(Window.partitionBy("anchor").orderBy(F.desc("score"))) - 1)
     chosen = own.withColumnsRenamed({"id": "positive_id", "score": "positive_score"}).drop("rank").join(lists, "anchor").join(names, "anchor")
-    within = F.filter(F.get("merged", F.col("j")), lambda x: F.lit(low) * F.col("positive_score") <= F.lit(high) * x["score"])
+    within = F.filter(F.get("merged", F.col("j")), lambda x: low * F.col("positive_score").cast("decimal(20,0)") <= high * x["score"].cast("decimal(20,0)"))
     return chosen.select("anchor_id", "positive_id", "positive_score", F.posexplode(within).alias("at", "row")).select(
         "anchor_id", "positive_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("row.id").alias("negative_id"),
         "positive_score", F.col("row.score").alias("negative_score"))
