@@ -78,7 +78,7 @@ def test_partial_update_reasons(spark):
     upd, out = U.partial_profile_update(p, c)
     assert {r["cmd_id"]: r["reason"] for r in out.collect()} == {10: "sem-id", 11: "nada-para-salvar", 12: None,
                                                                  13: None, 14: None}
-    assert rows(upd, "id", "nome", "papel") == [(1, "Ana", "editor"), (2, "Bea", "editor")]
+    assert rows(upd, "id", "nome", "papel") == [(1, "Ana", "editor"), (2, "Bea", "leitor")]
 
 
 def test_update_by_name_hits_every_namesake(spark):
