@@ -63,7 +63,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     best = fits.groupBy("host", "path").agg(F.max(F.struct(
         F.length("r_rule").alias("n"), F.length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"),
         F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-    out = named.join(best, (F.col(host) == F.col("b_host")) & (F.col(path) == F.col("b_path")), "left")
-    return out.select(*pages.columns, host, path, F.col("best.rule").alias(free_name(pages, "rule")),
-                      F.coalesce("best.verdict", F.lit(default)).alias(free_name(pages, "verdict")))
+    b_host, b_path, won = (free_name(named, c) for c in ("b_host", "b_path", "best"))
+    best = best.select(F.col("host").alias(b_host), F.col("path").alias(b_path), F.col("best").alias(won))
+    out = named.join(best, (F.col(host) == F.col(b_host)) & (F.col(path) == F.col(b_path)), "left")
+    return out.select(*pages.columns, host, path, F.col(won)["rule"].alias(free_name(pages, "rule")),
+                      F.coalesce(F.col(won)["verdict"], F.lit(default)).alias(free_name(pages, "verdict")))
