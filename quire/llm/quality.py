@@ -2,8 +2,9 @@
 
 A rule is a boolean column that rejects a document, built from measures of its
 text. ``plan_cascade`` runs every rule on a sample of bounded size, takes the
-share it rejects and the seconds it needs, and orders the rules by rejection
-per second: cheap rules that reject much come first. ``apply_cascade`` nests
+share it rejects and the seconds it adds to splitting the texts into words, and
+orders the rules by rejection per second: cheap rules that reject much come
+first. ``apply_cascade`` nests
 the rules in that order in one CASE expression, of which Spark evaluates only
 the branches it reaches, so a rejected document never pays for the rules that
 follow. The order changes the cost, never the verdict.
@@ -24,13 +25,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage, let, text_or_empty, words_of
+from quire.llm.common import cut_lineage, free_name, let, text_or_empty, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
 
-#: Rows of the sample that costs and selectivities are estimated on.
-SAMPLE_ROWS = 400
+#: Rows of the sample that costs and selectivities are estimated on (about).
+SAMPLE_ROWS = 200
+#: Seconds that the words of the repeated sample should take, so that a job's own
+#: start does not count; timed runs of a rule, of which the fastest counts; cost
+#: differences below this share of the words' cost are noise.
+WORK_SECONDS, RUNS, NOISE = 0.15, 2, 0.1
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -136,24 +141,52 @@ RULES = BASE_RULES + (
     Rule("word_runs", _word_runs))
 
 
+def _timed(sample: DataFrame, check: Column, times: int, runs: int) -> tuple[int, float]:
+    """Rows that fail ``check``, and the seconds of the fastest of ``runs`` jobs
+    that evaluate it on the sample ``times`` times over."""
+    again = sample.select("text", F.explode(F.array_repeat(F.lit(0), times)).alias("again"))
+    bad, seconds = 0, float("inf")
+    for _ in range(runs):
+        began = time.perf_counter()
+        bad = again.agg(F.count_if(check == False)).first()[0]  # noqa: E712
+        seconds = min(seconds, time.perf_counter() - began)
+    return bad // times, seconds
+
+
+def hash_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """From ``rows`` to twice as many rows of ``docs`` on average (all, if there are
+    fewer), taken by a hash of their place, so from every part of the table."""
+    step = max(1, docs.count() // rows)
+    at = free_name(docs, "at")
+    return docs.withColumn(at, F.monotonically_increasing_id()).where(F.pmod(F.xxhash64(at), F.lit(step)) == 0).drop(at)
+
+
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
                  sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """``(rule, share rejected, seconds)`` in cascade order.
 
-    The sample holds ``sample_rows`` rows at most (the only use of a limit: it
-    feeds the estimate, not the result) and is written once; each rule is one
-    aggregate over it. Selectivity is smoothed, so a rule without a rejection
-    is ranked by its cost. An empty table keeps the given order."""
-    sample = cut_lineage(docs.select(F.col(text).alias("text")).limit(sample_rows), "quality-sample")
+    The sample is written once (it feeds the estimate, not the result) and
+    repeated until splitting it into words, which every rule needs and the cascade
+    does once, outweighs the start of a job; a rule's cost is what its job takes
+    beyond the same job without a rule. Each job runs twice, as the first run
+    compiles its code. Selectivity is smoothed, so a
+    rule without a rejection is ranked by its cost. An empty table keeps the
+    given order."""
+    sample = cut_lineage(hash_sample(docs.select(F.col(text).alias("text")), sample_rows).repartition(1), "quality-sample")
     n = sample.count()
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
+    t = F.col("text")
+    only_words = let(words_of(t), lambda w: F.size(w) >= 0)
+    start = _timed(sample, F.lit(True), 1, RUNS)[1]
+    work = max(_timed(sample, only_words, 1, RUNS)[1] - start, WORK_SECONDS / 100)
+    times = max(1, round(WORK_SECONDS / work))
+    words = _timed(sample, only_words, times, RUNS)[1]
     found = []
     for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        bad = sample.agg(F.count_if(cascade([rule], F.col("text")) == False)).first()[0]  # noqa: E712
-        found.append((rule, bad / n, time.perf_counter() - began, i))
-    found.sort(key=lambda x: (-((x[1] * n + 0.5) / (n + 1)) / max(x[2], 1e-6), x[3]))
+        bad, seconds = _timed(sample, cascade([rule], t), times, RUNS)
+        found.append((rule, bad / n, max(seconds - words, NOISE * words) / times, i))
+    found.sort(key=lambda x: (-((x[1] * n + 0.5) / (n + 1)) / x[2], x[3]))
     return [x[:3] for x in found]
 
 

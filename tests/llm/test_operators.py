@@ -83,6 +83,23 @@ def test_cascade_order_changes_no_verdict(spark):
     assert {r.name for r, _, _ in order} == {r.name for r in quality.RULES}
 
 
+def test_cascade_order_follows_cost_and_selectivity(spark):
+    """A rule that costs much and one that never rejects come after a cheap one that
+    rejects; the order is the same each time."""
+    from pyspark.sql import functions as F
+    from quire.llm import quality
+    df = docs_of(spark, [(i, "wort " * 60 + str(i)) for i in range(300)])
+    heavy = quality.Rule("heavy", lambda m: F.exists(F.sequence(F.lit(1), F.lit(8)), lambda k: F.size(F.filter(
+        m.words, lambda w: F.sha2(F.concat(w, k.cast("string")), 256) == "")) > 0) | m.text.endswith("3"))
+    never, cheap = quality.Rule("never", lambda m: m.n_words < 0), quality.Rule("cheap", lambda m: m.text.endswith("3"))
+    for given in [(heavy, never, cheap), (never, cheap, heavy)]:
+        order = quality.plan_cascade(df, given, sample_rows=20)
+        print([(r.name, share, seconds) for r, share, seconds in order])
+        assert order[0][0].name == "cheap" and order[0][1] > 0
+        assert {r.name: share for r, share, _ in order}["heavy"] == order[0][1]
+    assert quality.hash_sample(df, 1000).count() == 300 and 0 < quality.hash_sample(df, 20).count() < 60
+
+
 # -- URL filters ---------------------------------------------------------------
 
 def test_urls(spark):
@@ -106,6 +123,9 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule, r.verdict_) == (host, path, fit and fit[3], fit[4] if fit else "allow"), u
         assert r.verdict == "v"
     assert urls.judge(pages.limit(0), rules).count() == 0
+    clash = pages.selectExpr("url", "page_id as best", "'b' as b_host", "'p' as B_PATH", "'h' as host")
+    assert {(r.best, r.b_host, r.B_PATH, r.host, r.host_, r.verdict) for r in urls.judge(clash, rules).collect()} == {
+        (i, "b", "p", "h", r.host, r.verdict_) for i, r in got.items()}
     assert {r.verdict_ for r in urls.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
