@@ -757,6 +757,22 @@ def j9_remove_in_order(spark, sf_dir):
     return outcomes
 
 
+@query("u2_command_log_people")
+def u2_command_log_people(spark, sf_dir):
+    """People after a log that creates, updates and removes them repeatedly."""
+    t = Tables(spark, sf_dir)
+    after, _ = U.apply_commands(roles.profiles(t), roles.people_log(t))
+    return after
+
+
+@query("u2_command_log_outcomes")
+def u2_command_log_outcomes(spark, sf_dir):
+    """What became of each command of that log."""
+    t = Tables(spark, sf_dir)
+    _, outcomes = U.apply_commands(roles.profiles(t), roles.people_log(t))
+    return outcomes
+
+
 @query("u5_normalise_email")
 def u5_normalise_email(spark, sf_dir):
     return U.normalise_emails(roles.users(Tables(spark, sf_dir)).select("id", "email"))

@@ -692,6 +692,56 @@ SELECT request_id, target, CAST(actor AS BIGINT) AS actor,
             ELSE 'remover-falhou' END AS outcome
 FROM o"""
 
+COMMAND_LOG = PROFILES + """,
+cl AS (
+  SELECT doc_id AS cmd_id,
+         CASE WHEN doc_id % 47 = 0 THEN 'outra'
+              ELSE (['criar', 'perfil', 'perfil', 'senha', 'remover'])[((doc_id // 40 + doc_id) % 5) + 1] END AS acao,
+         CASE WHEN doc_id % 23 <> 1 THEN doc_id % 40 END AS id,
+         CASE WHEN quality = 0 THEN doc_id % 40 END AS actor,
+         CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'Pessoa ' || CAST(doc_id AS VARCHAR) END AS nome,
+         CASE WHEN toxic = 1 THEN 'leitor' WHEN doc_id % 7 = 0 THEN 'editor' END AS papel,
+         CASE WHEN doc_id % 11 <> 0 THEN 'p' || CAST(doc_id AS VARCHAR) || '@example.com' END AS email
+  FROM labels),
+cv AS (
+  SELECT *, CASE WHEN acao = 'outra' THEN 'acao-desconhecida'
+                 WHEN acao = 'criar' AND email IS NULL THEN 'email-invalido'
+                 WHEN acao = 'criar' AND id IS NULL THEN 'criar-falhou'
+                 WHEN id IS NULL THEN 'sem-id'
+                 WHEN acao = 'perfil' AND nome IS NULL AND papel IS NULL THEN 'nada-para-salvar'
+                 WHEN acao = 'remover' AND id = actor THEN 'nao-remove-a-si' END AS early
+  FROM cl),
+ch AS (
+  SELECT *, coalesce(last_value(CASE acao WHEN 'criar' THEN true WHEN 'remover' THEN false END IGNORE NULLS) OVER (
+                       PARTITION BY id ORDER BY cmd_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                     id IN (SELECT id FROM profiles)) AS had
+  FROM cv WHERE early IS NULL),
+co AS (
+  SELECT *, CASE WHEN acao = 'criar' AND had THEN 'criar-falhou' WHEN acao = 'senha' AND NOT had THEN 'senha-falhou'
+                 WHEN acao = 'remover' AND NOT had THEN 'remover-falhou' END AS late,
+         (acao = 'criar') <> had AS applied
+  FROM ch)"""
+
+ORACLE["u2_command_log_outcomes"] = with_ctes(COMMAND_LOG, """,
+o AS (
+  SELECT cmd_id, acao, id, late AS reason, applied FROM co
+  UNION ALL SELECT cmd_id, acao, id, early, false FROM cv WHERE early IS NOT NULL)
+SELECT cmd_id, acao, id, reason, applied,
+       CASE WHEN reason IS NULL THEN 200 WHEN reason LIKE '%-falhou' THEN 502 ELSE 400 END AS status
+FROM o""")
+
+ORACLE["u2_command_log_people"] = with_ctes(COMMAND_LOG, """,
+f AS (
+  SELECT id, max_by(acao = 'criar', cmd_id) FILTER (acao IN ('criar', 'remover')) AS there,
+         max_by(coalesce(nome, split_part(email, '@', 1)), cmd_id) FILTER (acao = 'criar' OR acao = 'perfil' AND nome IS NOT NULL) AS nome,
+         max_by(coalesce(papel, 'editor'), cmd_id) FILTER (acao = 'criar' OR acao = 'perfil' AND papel IS NOT NULL) AS papel,
+         max_by(email, cmd_id) FILTER (acao = 'criar') AS email, bool_or(acao IN ('criar', 'senha')) AS flag
+  FROM co WHERE applied GROUP BY id)
+SELECT coalesce(f.id, p.id) AS id, coalesce(f.nome, p.nome) AS nome, coalesce(f.papel, p.papel) AS papel,
+       coalesce(f.email, p.email) AS email, coalesce(nullif(f.flag, false), p.senha_provisoria) AS senha_provisoria
+FROM profiles p FULL JOIN f ON p.id = f.id
+WHERE coalesce(f.there, p.id IS NOT NULL)""")
+
 ORACLE["u5_normalise_email"] = with_ctes(USERS, """
 SELECT id, lower(""" + js_trim("email") + """) AS email FROM users""")
 

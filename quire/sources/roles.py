@@ -190,6 +190,19 @@ def repeated_changes(t: Tables) -> DataFrame:
         F.when(F.col("toxic") == 1, "leitor").when(F.col("doc_id") % 7 == 0, "editor").otherwise("gestor").alias("papel"))
 
 
+def people_log(t: Tables) -> DataFrame:
+    """Commands that create, update and remove the same few people again and again,
+    some without an id, with a bad address, on themselves or of no known kind."""
+    n = F.col("doc_id")
+    l = repeated_changes(t).withColumnRenamed("cmd_id", "doc_id").join(t.labels.select("doc_id", "quality"), "doc_id")
+    kind = F.element_at(F.array(*[F.lit(a) for a in ("criar", "perfil", "perfil", "senha", "remover")]),
+                        (F.expr("(doc_id div 40 + doc_id) % 5") + 1).cast("int"))
+    return l.select(
+        n.alias("cmd_id"), F.when(n % 47 == 0, "outra").otherwise(kind).alias("acao"),
+        F.when(n % 23 != 1, F.col("id")).alias("id"), F.when(F.col("quality") == 0, F.col("id")).alias("actor"), "nome", "papel",
+        F.when(n % 11 == 0, "sem endereco").otherwise(F.concat(F.lit(" p"), n.cast("string"), F.lit("@example.com"))).alias("email"))
+
+
 def repeated_removals(t: Tables) -> DataFrame:
     """Removal requests that name the same people again and again, some their own."""
     l = t.labels.select("doc_id", "quality")

@@ -147,3 +147,48 @@ def test_pg_initcap_property(spark):
     df = spark.createDataFrame([(s,) for s in seen], "x string")
     got = [r["y"] for r in df.select(T.pg_initcap("x").alias("y")).collect()]
     assert got == [_pg_initcap_reference(s) for s in seen]
+
+
+def test_command_log_equals_replay(spark):
+    import random
+    rng = random.Random(5)
+    start = [(i, f"N{i}", "editor", f"n{i}@x.com", False) for i in range(1, 5)]
+    log = []
+    for k in range(1, 301):
+        who = rng.choice([1, 1, 1, 2, 3, 6, 7, None])
+        log.append((k, rng.choice(["criar", "perfil", "perfil", "senha", "remover", "outra", None]), who,
+                    rng.choice([who, 9, None]), rng.choice([None, "  ", f" M{k} "]), rng.choice([None, "leitor", "editor", "gestor"]),
+                    rng.choice([f" e{k}@x.com ", "bad", None])))
+    people, outcomes = {p[0]: list(p) for p in start}, []
+    for k, acao, who, actor, nome, papel, email in log:
+        nome, papel = (nome or "").strip() or None, papel if papel in ("leitor", "editor") else None
+        reason, applied, there = None, False, who in people
+        if acao not in ("criar", "perfil", "senha", "remover"):
+            reason = "acao-desconhecida"
+        elif acao == "criar":
+            mail = (email or "").strip()
+            reason = "email-invalido" if "@" not in mail else "criar-falhou" if who is None or there else None
+            if reason is None:
+                people[who], applied = [who, nome or mail.split("@")[0], papel or "editor", mail, True], True
+        elif who is None:
+            reason = "sem-id"
+        elif acao == "perfil":
+            reason = None if nome or papel else "nada-para-salvar"
+            if reason is None and there:
+                people[who][1], people[who][2], applied = nome or people[who][1], papel or people[who][2], True
+        elif acao == "senha":
+            reason = None if there else "senha-falhou"
+            if there:
+                people[who][4], applied = True, True
+        else:
+            reason = "nao-remove-a-si" if who == actor else None if there else "remover-falhou"
+            if reason is None:
+                applied = bool(people.pop(who))
+        outcomes.append((k, reason, applied))
+    cmds = spark.createDataFrame(log, "cmd_id long, acao string, id long, actor long, nome string, papel string, email string")
+    for width in (7, 1 << 20):
+        after, said = U.apply_commands(prof(spark, start), cmds, width)
+        assert rows(said, "cmd_id", "reason", "applied") == outcomes
+        assert rows(after) == sorted(map(tuple, people.values()))
+    after, said = U.apply_commands(prof(spark, start), cmds.limit(0))
+    assert rows(after) == start and said.count() == 0
