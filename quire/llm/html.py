@@ -13,8 +13,13 @@ to the whole it is part of: the nearest article or main; where there is none,
 the highest element below the body, on a way up of few links, that has headings
 or sections beside it. Siblings of that are kept too when their own points reach
 a fifth of its points or, if it is not an article or main, they are unlinked
-paragraphs, headings or sections. All blocks of what is kept are returned in
-page order.
+paragraphs, headings or sections. Paragraphs and headings that stand beside an
+article inside its main are parts of it; a heading is so only where what follows
+it is kept. All blocks of what is kept are returned in page order.
+
+Inside an article, and on paragraphs and headings, a class word speaks against an
+element only as a whole class (``related``, ``sidebar``) or in one made of such
+words and words of layout (``related-posts``), not in ``related-work``.
 
 White space inside a block becomes one space; blocks are joined by one \\n.
 The walk is iterative, so depth of nesting is no limit; memory is one page.
@@ -60,12 +65,17 @@ DROP_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising spo
                         "share sharing social related recommended footer masthead pagination pager").split())
 #: Those of them that name what readers add and other articles.
 READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
+#: Words that say where or in what form something stands, not what it is.
+LAYOUT_WORDS = frozenset(("area bar block body bottom box btn button buttons card cards col column container content form "
+                          "group icons inner item items left link links list main outer page panel post posts article articles "
+                          "primary right row secondary section site slot story stories thread title top unit wrap wrapper").split())
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Points that an element which marks the article by its name starts with.
 ARTICLE_POINTS = 25.0
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an article is made of, and the share of linked text that makes them lists of links.
 PARTS = HEADINGS | {"section", "hgroup"}
+LINES = HEADINGS | {"p", "hgroup"}
 LINKED = 0.25
 
 
@@ -84,7 +94,7 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
         return True, 0
     if "=" not in attributes and "hidden" not in attributes.lower() or tag in ("html", "body", "article", "main"):
         return False, 0
-    word, seen = 0, set()
+    word, seen, strict = 0, set(), in_article or tag in LINES
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in seen:          # the first of equal names counts
@@ -95,10 +105,13 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
         if name == "role" and value.strip().lower() in DROP_ROLES:
             return True, 0
         if name in ("class", "id"):
-            for w in SPLIT.split(value):
-                w = w.lower()
-                if w in DROP_WORDS:
-                    word = max(word, 2 if w in READER_WORDS else 1)
+            for one in value.split():
+                words = [w.lower() for w in SPLIT.split(one) if w]
+                if strict and any(w not in DROP_WORDS and w not in LAYOUT_WORDS for w in words):
+                    continue
+                for w in words:
+                    if w in DROP_WORDS:
+                        word = max(word, 2 if w in READER_WORDS else 1)
     return False, word
 
 
@@ -269,6 +282,32 @@ def _whole(best: _Node) -> _Node:
     return top
 
 
+def _beside(top: _Node) -> set[int]:
+    """Numbers of the paragraphs and headings beside an article, or beside what
+    holds it, inside its main: unlinked ones, headings only where the next thing
+    with text or dropped, other than headings, is kept."""
+    main, found = top, set()
+    while main is not None and main.tag != "main":
+        main = main.parent
+    x = top
+    while main is not None and x is not main:
+        follows = False
+        for y in reversed(x.parent.items):
+            if not isinstance(y, _Node):
+                follows = follows and not y.strip()
+            elif y is x:
+                follows = True
+            elif y.drop or (y.chars and y.tag not in LINES):
+                follows = False
+            elif y.chars:
+                stays = y.linked < LINKED * y.chars and (y.tag == "p" or follows)
+                follows = stays if y.tag == "p" else follows
+                if stays:
+                    found.add(y.order)
+        x = x.parent
+    return found
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -305,6 +344,8 @@ def main_text(page: str | None) -> str:
                 part = (x.tag == "p" or x.tag in PARTS) and x.linked < LINKED * x.chars
                 if x.points >= max(10.0, 0.2 * top.points) or (part and top.tag not in ("article", "main")):
                     keep.add(x.order)
+    if top.tag == "article":
+        keep |= _beside(top)
     kept = []
     for node, text, _ in blocks:
         x = node

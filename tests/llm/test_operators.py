@@ -194,6 +194,53 @@ def test_html_links_keep_their_words():
     assert main_text(PAGE % page) == "See these gems, this one or that."
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<main><h1>Title</h1><article>%s</article></main>", "Title\n" + STORY_TEXT),
+    ("<main><div><h1>Title</h1><p>Lead.</p><article>%s</article></div><p>Tail.</p></main>", "Title\nLead.\n" + STORY_TEXT + "\nTail."),
+    ("<main><article>%s</article><h2>Comments</h2><div class='comments'><p>Reader.</p></div><p><a href=/>All linked</a></p></main>", STORY_TEXT),
+    ("<main><article>%s</article><h2>Off</h2><h3>Off</h3><ul><li><a href=/>More</a></li></ul><h2>On</h2><p>Tail.</p></main>", STORY_TEXT + "\nOn\nTail."),
+    ("<article>%s<section class='related-work'><h2>Related work</h2><p>Earlier.</p></section></article>", STORY_TEXT + "\nRelated work\nEarlier."),
+    ("<article>%s<p class='side-note'>Note.</p><div class='related-posts'><p>Other.</p></div><p class='ad-slot-3'>Buy</p></article>", STORY_TEXT + "\nNote."),
+])
+def test_html_parts_beside_the_article_and_whole_class_words(page, want):
+    from quire.llm.html import main_text
+    assert main_text(PAGE % (page % STORY)) == want
+
+
+def test_html_against_pages_built_from_known_blocks(spark):
+    """Pages are built from article blocks and clutter at random places, so the
+    text is known without reading them; operator and builder share no code."""
+    import random
+    from quire.llm import html
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    clutter = ["<nav><ul><li><a href=/a>Home, sweet, home</a></li></ul></nav>", "<div class='cookie-banner'>We use, well, cookies.</div>",
+               "<aside><p>Side, by, side.</p></aside>", "<div class='share-buttons'><a href=#>Share</a></div>", "<form><p>Join, us</p><input></form>",
+               "<script>var p = '<p>no, no</p>';</script>", "<style>p{color:red}</style>", "<!-- <p>no</p> -->", "<div class='ad-slot-1'>Buy, now</div>",
+               "<div id=comments><p>First, reader, here.</p><p>Second, reader.</p></div>", "<footer>Imprint, and so on</footer>", "<p hidden>no</p>"]
+    pages, want = [], []
+    for _ in range(300):
+        body, blocks = [], []
+        for _ in range(rnd.choice([3, 8, 60])):
+            text = [word() for _ in range(rnd.choice([6, 20, 200]))]
+            said = " ".join(t + rnd.choice(["", "", ",", " &", " <"]) for t in text)
+            code = said.replace("&", "&amp;").replace("<", rnd.choice(["&lt;", "&#60;", "&#x3C;"])).replace(" ", rnd.choice([" ", "\n  ", " \t"]))
+            at = rnd.choice(text[1:-1])
+            if rnd.random() < 0.3 and said.split().count(at) == 1:
+                code = code.replace(at, rnd.choice(["<b>%s</b>", "<a href='/x?id=ad'>%s</a>", "<em>%s<!-- c --></em>"]) % at)
+            tag = rnd.choice(["p", "p", "p", "h2", "li", "blockquote"])
+            body.append((f"<ul><li>{code}</ul>" if tag == "li" else f"<p>{code}" if tag == "p" else f"<{tag}>{code}</{tag}>"))
+            blocks.append(" ".join(said.split()))
+            if rnd.random() < 0.2:
+                body.append(rnd.choice(clutter))
+        around = rnd.choice(["<article>%s</article>", "<main>%s</main>", "<div><article>%s</article></div>", "<main><article><div>%s</div></article></main>"])
+        before, after = "".join(rnd.sample(clutter, 3)), "".join(rnd.sample(clutter, 4))
+        pages.append((len(pages), f"<html><body>{before}{around % ''.join(body)}{after}</body></html>"))
+        want.append("\n".join(blocks))
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_html_edges(spark):
     from quire.llm import html
     deep = "<div>" * 20000 + "<p>deep, text here</p>"
