@@ -4,9 +4,13 @@ one key holds a large share of the rows.
 A plain ``row_number() over (partition by key order by seq)`` sends every row
 of a key to one task. Here the order column is cut into fixed-width chunks;
 the window runs per (key, chunk), whose size is bounded by the chunk width,
-and a small per-(key, chunk) summary carries counts / last rows across chunk
-borders. Chunks come from the value of the order column (not from partition
-ids), so a recomputed task yields the same numbers.
+and a per-(key, chunk) summary carries counts / last rows across chunk borders.
+The carry is cut in the same way: chunks belong to blocks of ``FAN`` chunks, and
+summaries are carried within a block, then from block to block. So no window has
+more rows than the chunk width or ``FAN``, also where the order values of a key
+are far apart (microseconds, ids of a whole cluster) and a chunk holds few rows.
+Chunks come from the value of the order column (not from partition ids), so a
+recomputed task yields the same numbers.
 """
 
 from __future__ import annotations
@@ -24,19 +28,45 @@ CHUNK = "_q_chunk"
 # small enough that one chunk is an ordinary task (and, in V5, an ordinary
 # pandas group).
 DEFAULT_CHUNK = 1 << 20
+# Chunks of a block. Order values are below 2^63, so a key has 2^43 chunks of the
+# default width at most and 2^21 blocks.
+FAN = 1 << 22
 
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _floor_div(name: str, width: int) -> Column:
+    """floor(name / width) in exact integer arithmetic (``div`` truncates toward
+    zero, so negatives are shifted)."""
+    w = int(width)
+    return F.when(F.col(name) >= 0, F.expr(f"`{name}` div {w}")) \
+            .otherwise(F.expr(f"-((-`{name}` - 1) div {w}) - 1")).cast("bigint")
+
+
 def with_chunk(df: DataFrame, order: str, chunk_width: int) -> DataFrame:
-    """Adds the chunk number floor(order / chunk_width), in exact integer
-    arithmetic (``div`` truncates toward zero, so negatives are shifted)."""
-    w = int(chunk_width)
-    chunk = F.when(F.col(order) >= 0, F.expr(f"`{order}` div {w}")) \
-             .otherwise(F.expr(f"-((-`{order}` - 1) div {w}) - 1"))
-    return df.withColumn(CHUNK, chunk.cast("bigint"))
+    """Adds the chunk number floor(order / chunk_width)."""
+    return df.withColumn(CHUNK, _floor_div(order, chunk_width))
+
+
+def _carry(per: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """From one row per (key, chunk) with ``_q_n`` (a count) and ``_q_last`` (a row
+    or NULL): ``_q_off``, the sum of the counts of the key's earlier chunks, and
+    ``_q_prev``, their last row that is not NULL."""
+    def earlier(df, part, at):
+        before = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last("_q_last", ignorenulls=True).over(before), F.coalesce(F.sum("_q_n").over(before), F.lit(0))
+    per = per.withColumn("_q_block", _floor_div(CHUNK, fan))
+    prev, off = earlier(per, [*keys, "_q_block"], CHUNK)
+    inside = per.select(*keys, CHUNK, "_q_block", prev.alias("_q_prev"), off.alias("_q_off")).alias("_i")
+    blocks = per.groupBy(*keys, "_q_block").agg(
+        F.max_by("_q_last", F.when(F.col("_q_last").isNotNull(), F.col(CHUNK))).alias("_q_last"), F.sum("_q_n").alias("_q_n"))
+    prev, off = earlier(blocks, keys, "_q_block")
+    blocks = blocks.select(*keys, "_q_block", prev.alias("_q_bprev"), off.alias("_q_boff")).alias("_b")
+    j = inside.join(blocks, _join_on(inside, blocks, [*keys, "_q_block"]), "inner")
+    return j.select(*[F.col(f"_i.{k}").alias(k) for k in keys], F.col(f"_i.{CHUNK}").alias(CHUNK),
+                    F.coalesce("_i._q_prev", "_b._q_bprev").alias("_q_prev"), (F.col("_i._q_off") + F.col("_b._q_boff")).alias("_q_off"))
 
 
 def even_chunks(df: DataFrame, key: str, order: str, rows: int) -> tuple[DataFrame, int | None]:
@@ -66,17 +96,15 @@ def _join_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-def ordered_rank(df: DataFrame, key, order: str, out: str, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
+def ordered_rank(df: DataFrame, key, order: str, out: str, chunk_width: int = DEFAULT_CHUNK, fan: int = FAN) -> DataFrame:
     """Adds ``out`` = row_number() over (partition by key order by order).
 
     ``order`` must be unique within a key (ties would make numbers arbitrary).
     """
     keys = _keys(key)
     d = with_chunk(df, order, chunk_width)
-    counts = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_q_n"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*keys, CHUNK, F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_off"))
-    o = offs.alias("_o")
+    counts = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_q_n")).withColumn("_q_last", F.lit(None).cast("boolean"))
+    o = _carry(counts, keys, fan).alias("_o")
     d = d.alias("_d")
     joined = d.join(o, _join_on(d, o, keys + [CHUNK]), "inner").select("_d.*", "_o._q_off")
     w = Window.partitionBy(*keys, CHUNK).orderBy(order)
@@ -84,17 +112,15 @@ def ordered_rank(df: DataFrame, key, order: str, out: str, chunk_width: int = DE
 
 
 def ordered_lag(df: DataFrame, key, order: str, cols: list[str], prefix: str = "prev_",
-                chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
+                chunk_width: int = DEFAULT_CHUNK, fan: int = FAN) -> DataFrame:
     """Adds ``prefix+c`` = lag(c) over (partition by key order by order) for each c."""
     keys = _keys(key)
     d = with_chunk(df, order, chunk_width)
     packed = F.struct(*[F.col(c) for c in cols])
     w = Window.partitionBy(*keys, CHUNK).orderBy(order)
     d = d.withColumn("_q_in", F.lag(packed).over(w))
-    last = d.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.col(order)).alias("_q_last"))
-    wc = Window.partitionBy(*keys).orderBy(CHUNK)
-    prev = last.select(*keys, CHUNK, F.lag("_q_last").over(wc).alias("_q_prev"))
-    p = prev.alias("_p")
+    last = d.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.col(order)).alias("_q_last")).withColumn("_q_n", F.lit(0).cast("bigint"))
+    p = _carry(last, keys, fan).alias("_p")
     d = d.alias("_d")
     joined = d.join(p, _join_on(d, p, keys + [CHUNK]), "inner").select("_d.*", "_p._q_prev")
     joined = joined.withColumn("_q_lag", F.coalesce(F.col("_q_in"), F.col("_q_prev")))
@@ -117,7 +143,7 @@ def last_wins_by_key(df: DataFrame, key, seq: str) -> DataFrame:
 
 
 def ordered_last(df: DataFrame, key, order: str, cols: list[str], flag: str, prefix: str = "last_",
-                 chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
+                 chunk_width: int = DEFAULT_CHUNK, fan: int = FAN) -> DataFrame:
     """Adds ``prefix+c``: value of ``c`` on the latest row at or before this
     one (same key, by ``order``) whose ``flag`` is true, plus
     ``prefix+'count'``: how many flagged rows that is (an as-of lookup and a
@@ -133,9 +159,7 @@ def ordered_last(df: DataFrame, key, order: str, cols: list[str], flag: str, pre
     per = d.groupBy(*keys, CHUNK).agg(
         F.max_by(packed, F.when(F.col(flag), F.col(order))).alias("_q_last"),
         F.count_if(F.col(flag)).alias("_q_n"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*keys, CHUNK, F.last("_q_last", ignorenulls=True).over(before).alias("_q_prev"),
-                       F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_off"))
+    carry = _carry(per, keys, fan)
     c = carry.alias("_c")
     d = d.alias("_d")
     j = d.join(c, _join_on(d, c, keys + [CHUNK]), "inner").select("_d.*", "_c._q_prev", "_c._q_off")

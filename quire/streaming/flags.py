@@ -3,10 +3,19 @@
 
 The streaming aggregate keeps one (flag, ts, event_id) per person in state and
 emits, per micro-batch, only the people it changed (update mode). Each
-batch's changes are appended as one delta folder; the current flags are the
-latest delta row per person (a partial ``max_by`` over the deltas), so no
-batch rewrites the whole table and a replayed batch writes the same rows
-again, which the ``max_by`` absorbs."""
+batch's changes are one delta folder, named by the batch's number and
+overwritten when the batch runs again; the current flags are the latest delta
+row per person (a partial ``max_by`` over the deltas).
+
+Deltas are merged by levels: the folder ``level=k/upto=e`` holds the latest row
+per person of ``FAN`` to the power k batches up to batch e, made of ``FAN``
+folders of the level below when that batch is done. So a person's row is written
+once a level, not once a batch, and a reader opens at most ``FAN`` folders of
+each level. Which folders are merged depends on the batch number alone, and a
+merge only reads numbers up to its own: after a failure the same merge runs
+again. A folder counts once its job's ``_SUCCESS`` is there, until then readers
+take the folders below it. Folders that a merge replaced stay for readers that
+opened them, and for the retention policy of the cluster."""
 
 from __future__ import annotations
 
@@ -16,7 +25,9 @@ from pyspark.sql import functions as F
 from quire.session import conf_override, default_state_partitions, shared_path
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, flag boolean"
-DELTA_SCHEMA = "user_id long, flag boolean, ts timestamp_ntz, event_id long, epoch long"
+DELTA_SCHEMA = "user_id long, flag boolean, ts timestamp_ntz, event_id long"
+#: Folders of a level that are merged into one of the next.
+FAN = 4
 
 
 def latest_flags(events: DataFrame) -> DataFrame:
@@ -25,18 +36,59 @@ def latest_flags(events: DataFrame) -> DataFrame:
         F.max_by(F.struct("flag", "ts", "event_id"), F.struct("ts", "event_id")).alias("last"))
 
 
-def delta_sink(root: str):
+def _folder(root: str, level: int, upto: int) -> str:
+    return f"{root}/level={level}/upto={upto}"
+
+
+def _done(spark: SparkSession, folder: str) -> bool:
+    """Whether the job that wrote the folder was committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _latest(deltas: DataFrame) -> DataFrame:
+    packed = F.struct("flag", "ts", "event_id")
+    return deltas.groupBy("user_id").agg(F.max_by(packed, F.struct("ts", "event_id")).alias("last")).select("user_id", "last.*")
+
+
+def merge_levels(spark: SparkSession, root: str, epoch: int, fan: int = FAN) -> None:
+    """The merges that are due once batch ``epoch`` is written."""
+    level, width = 1, fan
+    while (epoch + 1) % width == 0:
+        step = width // fan
+        below = [_folder(root, level - 1, epoch - i * step) for i in range(fan)]
+        _latest(spark.read.schema(DELTA_SCHEMA).parquet(*below)).write.mode("overwrite").parquet(_folder(root, level, epoch))
+        level, width = level + 1, width * fan
+
+
+def delta_sink(root: str, fan: int = FAN):
     def write(batch: DataFrame, epoch_id: int) -> None:
         batch.select("user_id", F.col("last.flag").alias("flag"), F.col("last.ts").alias("ts"),
-                     F.col("last.event_id").alias("event_id"), F.lit(epoch_id).cast("bigint").alias("epoch")) \
-             .write.mode("append").parquet(root)
+                     F.col("last.event_id").alias("event_id")).write.mode("overwrite").parquet(_folder(root, 0, epoch_id))
+        merge_levels(batch.sparkSession, root, epoch_id, fan)
     return write
 
 
-def current_flags(spark: SparkSession, root: str) -> DataFrame:
+def delta_folders(spark: SparkSession, root: str, fan: int = FAN) -> list[str]:
+    """The folders that hold the current flags: from the first batch on, each time
+    the largest finished merge that begins there."""
+    out, at = [], 0
+    while True:
+        level, width = 0, 1
+        while at % (width * fan) == 0 and _done(spark, _folder(root, level + 1, at + width * fan - 1)):
+            level, width = level + 1, width * fan
+        folder = _folder(root, level, at + width - 1)
+        if level == 0 and not _done(spark, folder):
+            return out
+        out.append(folder)
+        at += width
+
+
+def current_flags(spark: SparkSession, root: str, fan: int = FAN) -> DataFrame:
     """Latest flag per person over all deltas."""
-    d = spark.read.schema(DELTA_SCHEMA).parquet(root)
-    return d.groupBy("user_id").agg(F.max_by("flag", F.struct("ts", "event_id")).alias("flag"))
+    folders = delta_folders(spark, root, fan)
+    deltas = spark.read.schema(DELTA_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], DELTA_SCHEMA)
+    return _latest(deltas).select("user_id", "flag")
 
 
 def run_flags(spark: SparkSession, events_path: str, profiles: DataFrame, files_per_trigger: int = 1,
@@ -49,8 +101,6 @@ def run_flags(spark: SparkSession, events_path: str, profiles: DataFrame, files_
         q = latest_flags(ev).writeStream.outputMode("update").foreachBatch(delta_sink(root)) \
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    # an empty stream leaves no delta folder: start from an empty one
-    spark.createDataFrame([], DELTA_SCHEMA).write.mode("append").parquet(root)
     f = current_flags(spark, root).select(F.col("user_id").alias("id"), "flag")
     p = profiles.select("id", "senha_provisoria")
     return p.join(f, "id", "left").select("id", F.coalesce("flag", "senha_provisoria", F.lit(False)).alias("provisional"))

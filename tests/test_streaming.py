@@ -88,3 +88,33 @@ def test_hot_document_in_chunks_and_commits_of_bounded_size(spark, monkeypatch):
     assert len(batches) == 6 and max(b - a for a, b in zip([0] + batches, batches)) <= 110
     rows = writes.run_versioned_writes(spark, writes.stage_log(df, 2, "t-hot"), profiles, chunk_width=16).collect()
     assert len(rows) == 600 and {r["seq"]: (r["outcome"], r["version"]) for r in rows} == want
+
+
+def test_flag_deltas_merge_by_levels_and_survive_a_lost_merge_and_a_replay(spark):
+    from quire.streaming import flags as FL
+    rnd = random.Random(4)
+    root, last = shared_path(spark, "t-flags"), {}
+    sink = FL.delta_sink(root, 2)
+
+    def flags():
+        return {r.user_id: r.flag for r in FL.current_flags(spark, root, 2).collect()}
+    assert flags() == {}
+    batches = []
+    for n in range(7):
+        events = [(100 * n + i, rnd.randint(0, 9), rnd.random() < 0.5) for i in range(6)]
+        df = FL.latest_flags(spark.createDataFrame(events, "event_id long, user_id long, flag boolean").withColumn(
+            "ts", F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,0,event_id)")))
+        batches.append(df)
+        sink(df, n)
+        last.update({u: f for _, u, f in events})
+        assert flags() == last
+    names = [f.split("/", f.count("/") - 1)[-1] for f in FL.delta_folders(spark, root, 2)]
+    assert names == ["level=2/upto=3", "level=1/upto=5", "level=0/upto=6"]
+    sink(batches[3], 3)                       # batch 3 runs again, with its two merges
+    assert flags() == last
+    # a merge that was not committed does not count; its batch makes it again
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/level=2/upto=3/_SUCCESS")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).rename(path, spark._jvm.org.apache.hadoop.fs.Path(f"{root}/level=2/upto=3/_lost"))
+    assert len(FL.delta_folders(spark, root, 2)) == 4 and flags() == last
+    sink(batches[3], 3)
+    assert len(FL.delta_folders(spark, root, 2)) == 3 and flags() == last
