@@ -13,6 +13,7 @@ from quire.operators import access as X
 from quire.operators import checks as Q
 from quire.operators import documents as DO
 from quire.operators import open_documents as OD
+from quire.operators import operations as OP
 from quire.operators import people as U
 from quire.operators import versions as V
 from quire.operators.ordering import DEFAULT_CHUNK, last_wins_by_key
@@ -411,6 +412,29 @@ def _open_patches(t: Tables) -> DataFrame:
         .select("doc_id", "id", "p.seq", "p.patch")
 
 
+def _operations(spark, sf_dir):
+    """(log with scopes, wanted versions): the applied writes of the log as operations."""
+    t = Tables(spark, sf_dir)
+    w = roles.writes(t)
+    base = roles.base_documents(w)
+    resolved, _, _ = V.apply_writes(w, roles.profiles(t), base, materialize=False)
+    applied = cut_lineage(resolved.where(F.col("outcome") == V.APPLIED).select("doc_id", "seq", "version", "kind"), "applied")
+    return OP.scoped_log(roles.operations(applied), base), roles.three_versions(applied)
+
+
+@query("m5_operation_elements")
+def m5_operation_elements(spark, sf_dir):
+    """M1, M2, M3 and M5 as operations in the write log: every document at three
+    versions, in flat form."""
+    return OP.elements_at(*_operations(spark, sf_dir))
+
+
+@query("m5_operation_documents")
+def m5_operation_documents(spark, sf_dir):
+    """The same versions as whole documents."""
+    return OP.documents_at(*_operations(spark, sf_dir))
+
+
 @query("m2_patch_open")
 def m2_patch_open(spark, sf_dir):
     """M2 on loaded documents: unknown keys and the types of values survive."""

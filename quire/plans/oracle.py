@@ -807,6 +807,84 @@ ORACLE["t1_stream_versioned_writes"] = ORACLE["v5_resolve_conflicts"]
 ORACLE["t2_stream_profiles"] = ORACLE["j6_insert_if_absent"]
 ORACLE["t3_stream_provisional_flag"] = ORACLE["v9_provisional_flag"]
 
+# Writes that carry operations: the applied writes in order, and their fold by scopes.
+OPERATIONS = RESOLVED + """,
+docs0 AS (SELECT DISTINCT doc_id FROM writes),
+ops AS (
+  SELECT doc_id, seq, version, kind, CAST(seq AS VARCHAR) AS t, 'd' || (seq % 9) AS deal, 'c' || (seq % 13) AS cust,
+         CASE WHEN kind = 'purchase' AND seq % 4 = 0 THEN 'set' WHEN kind = 'error' AND seq % 6 = 0 THEN 'replace'
+              WHEN kind IN ('signup', 'click') THEN 'append' ELSE 'patch' END AS op
+  FROM stamped
+  UNION ALL SELECT doc_id, -4611686018427387904, 1, NULL, NULL, NULL, NULL, 'base' FROM docs0),
+f AS (
+  SELECT *, CASE WHEN op IN ('base', 'replace') THEN NULL
+                 WHEN op <> 'set' AND kind IN ('click', 'purchase') THEN 'customers' ELSE 'deals' END AS field,
+         max(CASE WHEN op IN ('base', 'replace') THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq) AS rep
+  FROM ops),
+s AS (
+  SELECT *, CASE WHEN field = 'deals' THEN deal ELSE cust END AS id,
+         greatest(rep, coalesce(max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY doc_id, field ORDER BY seq), rep)) AS scope
+  FROM f),
+tops AS (
+  SELECT doc_id, unnest(['partners', 'customers', 'deals']) AS field, seq, 'array' AS kind, '[]' AS json FROM s WHERE op = 'base'
+  UNION ALL SELECT doc_id, 'deals', seq, 'array', '[]' FROM s WHERE op = 'replace'
+  UNION ALL SELECT doc_id, 'flag', seq, 'value', t FROM s WHERE op = 'replace'
+  UNION ALL SELECT doc_id, 'deals', seq, 'array', '[{"id":"d1","x":' || t || '},{"id":"d2"},' || t || ']' FROM s WHERE op = 'set'),
+items AS (
+  SELECT doc_id, 'deals' AS field, seq AS scope, seq, CAST(0 AS BIGINT) AS pos, 'd1' AS id, t FROM s WHERE op = 'set'
+  UNION ALL SELECT doc_id, 'deals', seq, seq, 1, 'd2', NULL FROM s WHERE op = 'set'
+  UNION ALL SELECT doc_id, 'deals', seq, seq, 2, NULL, t FROM s WHERE op = 'set'
+  UNION ALL SELECT doc_id, field, scope, seq, 0, id, t FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, field, scope, id ORDER BY seq) AS rk FROM s WHERE op = 'append') a
+  WHERE rk = 1 AND NOT (scope > rep AND field = 'deals' AND id IN ('d1', 'd2'))),
+cells AS (
+  SELECT e.doc_id, e.field, e.scope, e.seq AS born, e.pos, e.seq, x.key, x.v
+  FROM items e, unnest([
+    {'key': 'id', 'v': '"' || e.id || '"'},
+    {'key': CASE WHEN e.field = 'customers' THEN 's' WHEN e.seq = e.scope THEN 'x' ELSE 'n' END,
+     'v': CASE WHEN e.field = 'customers' THEN '"s' || e.t || '"' ELSE e.t END}]) AS u(x)
+  WHERE e.id IS NOT NULL AND x.v IS NOT NULL
+  UNION ALL
+  SELECT e.doc_id, e.field, e.scope, e.seq, e.pos, p.seq, x.key, x.v
+  FROM items e JOIN s p ON p.op = 'patch' AND p.doc_id = e.doc_id AND p.field = e.field AND p.scope = e.scope
+                       AND p.id = e.id AND p.seq > e.seq,
+       unnest(CASE WHEN p.field = 'customers' THEN [{'key': 'z', 'v': 'null'}]
+              ELSE [{'key': 'k' || (p.seq % 4), 'v': p.t}, {'key': 'last', 'v': '"' || p.kind || '"'}] END) AS u(x)),
+ask AS (
+  SELECT DISTINCT doc_id, CAST(floor((top - 1) * i / 3) + 1 AS INTEGER) AS version
+  FROM (SELECT doc_id, max(version) AS top FROM stamped GROUP BY doc_id), (SELECT unnest([1, 2, 3]) AS i)),
+targets AS (SELECT s.doc_id, s.version, s.seq AS upto, s.rep FROM s JOIN ask USING (doc_id, version)),
+fields AS (
+  SELECT t.doc_id, t.version, t.upto, x.field, greatest(t.rep, coalesce(max(s.seq), t.rep)) AS scope
+  FROM targets t CROSS JOIN (SELECT unnest(['partners', 'customers', 'deals', 'flag']) AS field) x
+  LEFT JOIN s ON s.doc_id = t.doc_id AND s.op = 'set' AND s.field = x.field AND s.seq <= t.upto
+  GROUP BY t.doc_id, t.version, t.upto, t.rep, x.field),
+latest AS (
+  SELECT f.doc_id, f.version, f.field, c.born, c.pos, c.key, max_by(c.v, c.seq) AS v
+  FROM fields f JOIN cells c ON c.doc_id = f.doc_id AND c.field = f.field AND c.scope = f.scope AND c.seq <= f.upto
+  GROUP BY ALL),
+objects AS (
+  SELECT doc_id, version, field, born, pos, '{' || string_agg('"' || key || '":' || v, ',' ORDER BY key) || '}' AS json
+  FROM latest GROUP BY ALL),
+flat AS (
+  SELECT f.doc_id, f.version, f.field, t.kind, t.seq AS born, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS id, t.json
+  FROM fields f JOIN tops t ON t.doc_id = f.doc_id AND t.field = f.field AND t.seq = f.scope
+  UNION ALL
+  SELECT f.doc_id, f.version, f.field, 'element', e.seq, e.pos, e.id, coalesce(o.json, e.t)
+  FROM fields f JOIN items e ON e.doc_id = f.doc_id AND e.field = f.field AND e.scope = f.scope AND e.seq <= f.upto
+  LEFT JOIN objects o ON o.doc_id = f.doc_id AND o.version = f.version AND o.field = f.field AND o.born = e.seq AND o.pos = e.pos)"""
+
+ORACLE["m5_operation_elements"] = with_ctes(OPERATIONS, """
+SELECT doc_id, version, field, kind, born, pos, id, json FROM flat""", recursive=True)
+
+ORACLE["m5_operation_documents"] = with_ctes(OPERATIONS, """,
+parts AS (
+  SELECT doc_id, version, field, coalesce(max(CASE WHEN kind = 'value' THEN json END),
+         '[' || coalesce(string_agg(json, ',' ORDER BY born, pos) FILTER (WHERE kind = 'element'), '') || ']') AS json
+  FROM flat GROUP BY doc_id, version, field)
+SELECT doc_id, version, '{' || string_agg('"' || field || '":' || json, ',' ORDER BY field) || '}' AS doc
+FROM parts GROUP BY doc_id, version""", recursive=True)
+
 ORACLE["x3_scenario_report"] = with_ctes(PROFILES + ",\n" + WRITES + REQUESTS, """,
 steps AS (
   SELECT ao.request_id AS step, w.doc_id, ao.actor, ao.verb, ao.tbl, ao.outcome AS access,

@@ -115,6 +115,35 @@ def mixed_log(t: Tables, chunk_width: int = DEFAULT_CHUNK) -> DataFrame:
     return w.withColumn("expected_version", expected.cast("int")).drop("_rn", "_last_rn", "_lastcount")
 
 
+def operations(applied: DataFrame) -> DataFrame:
+    """What applied writes (doc_id, seq, version, kind) do when they carry operations
+    instead of documents: views and errors patch deals, sign-ups and clicks append,
+    purchases patch customers or set all deals, some errors replace the document."""
+    n, kind = F.col("seq"), F.col("kind")
+    text = n.cast("string")
+
+    def say(*parts):
+        return F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    deal, customer = (n % 9).cast("string"), (n % 13).cast("string")
+    sets, replaces = (kind == "purchase") & (n % 4 == 0), (kind == "error") & (n % 6 == 0)
+    op = F.when(sets, "set").when(replaces, "replace").when(kind.isin("signup", "click"), "append").otherwise("patch")
+    field = F.when(kind.isin("click", "purchase") & ~sets, "customers").when(~replaces, "deals")
+    payload = F.when(sets, say('[{"x":', text, ',"id":"d1"},{"id":"d2"},', text, ']')) \
+        .when(replaces, say('{"flag":', text, ',"deals":[]}')) \
+        .when(kind == "signup", say('{"id":"d', deal, '","n":', text, "}")) \
+        .when(kind == "click", say('{"s":"s', text, '","id":"c', customer, '"}')) \
+        .when(kind == "purchase", say('{"id":"c', customer, '","z":null}')) \
+        .otherwise(say('{"id":"d', deal, '","k', (n % 4).cast("string"), '":', text, ',"last":"', kind, '"}'))
+    return applied.select("doc_id", "seq", "version", op.alias("op"), field.alias("field"), payload.alias("payload"))
+
+
+def three_versions(applied: DataFrame) -> DataFrame:
+    """Of each document the versions a third, two thirds and all of its writes on."""
+    top = applied.groupBy("doc_id").agg(F.max("version").alias("top"))
+    thirds = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: (F.floor((F.col("top") - 1) * i / 3) + 1).cast("int"))
+    return top.select("doc_id", F.explode(thirds).alias("version")).distinct()
+
+
 def given_base(w: DataFrame) -> DataFrame:
     """Current rows that a stream takes over: documents at versions 1 to 3."""
     b = base_documents(w)
