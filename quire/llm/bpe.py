@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import let, text_or_empty
 
 #: Pieces of the documents that share one block.
-BLOCK_PIECES = 2_500_000
+BLOCK_PIECES = 1_500_000
 #: Bytes up to which a piece is merged by the fold.
 LONG = 2_048
 #: Rows that the cache is taken from (about), and pieces that it holds at most.
@@ -257,7 +257,7 @@ def _blocks(ranks: dict[bytes, int], have):
             names=["keys", "counts", "places", "words", "known", "open", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, flats, held = [], [], [], 0
+        keys, counts, flats, held, batch = [], [], [], 0, None
         for batch in batches:
             at, sizes = 0, batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             while at < len(sizes):
@@ -273,11 +273,20 @@ def _blocks(ranks: dict[bytes, int], have):
                 if at < len(sizes):
                     yield block(keys, counts, flats)
                     keys, counts, flats, held = [], [], [], 0
+                    _give_back()
         if keys:
             yield block(keys, counts, flats)
+        keys = flats = batch = None
+        _give_back()
     return run
 
 
+def _give_back() -> None:
+    """Return freed Arrow memory to the system: workers stay after their task, beside
+    those of the next stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def _pieces(docs: DataFrame, pattern: str, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.regexp_extract_all(
         text_or_empty(text), F.lit(java_pattern(pattern)), 0).alias("pieces"))
@@ -302,7 +311,9 @@ def fill_cache(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     found = _folded(often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, have), BLOCK_SCHEMA),
                     rank_literal(ranks))
     pairs = F.transform("open", lambda j, i: F.struct(F.get("words", j).alias("piece"), F.get("ids", i).cast("array<int>").alias("ids")))
-    return found.select(F.inline(pairs)).toArrow()
+    out = found.select(F.inline(pairs)).toArrow()
+    have.destroy()
+    return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id",
@@ -317,6 +328,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(byte_strings, pa.binary())
+        batch = None
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, counts, places, _, known, opened, folded = (c.slice(i, 1) for c in batch.columns)
@@ -324,6 +336,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 places = np.frombuffer(places[0].as_py(), "<i4")
                 ends = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())]).astype(np.int64)
                 yield from _put_together(keys.flatten(), ends, places, words, tokens, digests)
+                del keys, counts, places, known, opened, folded, words, ends
+                _give_back()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>"
     return _folded(blocks, rank_literal(ranks)).mapInArrow(documents, schema)
