@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import let, text_or_empty
 
 #: Pieces of the documents that share one block.
-BLOCK_PIECES = 1_500_000
+BLOCK_PIECES = 1_000_000
 #: Bytes up to which a piece is merged by the fold.
 LONG = 2_048
 #: Rows that the cache is taken from (about), and pieces that it holds at most.
@@ -193,7 +193,9 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-BLOCK_SCHEMA = ("keys array<bigint>, counts array<int>, places binary, words array<binary>, known array<array<int>>, "
+#: ``sizes`` and ``known``: how many ids each distinct piece has so far, and these ids
+#: (little-endian 32 bits, as the places are). ``words`` are the pieces to fold.
+BLOCK_SCHEMA = ("keys array<bigint>, counts array<int>, places binary, sizes binary, known binary, words array<binary>, "
                 "open array<int>, bytes array<array<bigint>>")
 
 
@@ -221,10 +223,10 @@ def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _blocks(ranks: dict[bytes, int], have):
+def _blocks(ranks: dict[bytes, int], have, words_too: bool = False):
     """key, pieces -> blocks. ``known`` has the ids of the pieces that are tokens,
     long, or in the cache; ``open`` are the pieces to fold, ``bytes`` the tokens
-    of their bytes."""
+    of their bytes, ``words`` (if asked for) the pieces themselves."""
     of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def block(keys, counts, flats):
@@ -243,18 +245,18 @@ def _blocks(ranks: dict[bytes, int], have):
         begin[long] = len(all_ids) + np.cumsum([0] + [len(x) for x in extra])[:-1]
         sizes[long] = [len(x) for x in extra]
         ids = np.concatenate([all_ids, *[np.array(x, np.int32) for x in extra]])[_runs(begin, sizes)]
-        known = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
         to_fold = np.setdiff1d(missing, long).astype(np.int32)
         chosen = names.take(pa.array(to_fold)).cast(pa.large_binary())
         ends = np.frombuffer(chosen.buffers()[1], np.int64)[chosen.offset:chosen.offset + len(chosen) + 1] if len(chosen) else np.zeros(1, np.int64)
         raw = np.frombuffer(chosen.buffers()[2], np.uint8)[ends[0]:ends[-1]] if len(chosen) else np.zeros(0, np.uint8)
         tokens = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(of_byte[raw]))
+        raw_ints = lambda x: pa.array([x.astype("<i4").tobytes()], pa.binary())
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays([
             one(pa.concat_arrays(keys)), one(pa.array(np.concatenate(counts).astype(np.int32))),
-            pa.array([words.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
-            one(names), one(known), one(pa.array(to_fold)), one(tokens)],
-            names=["keys", "counts", "places", "words", "known", "open", "bytes"])
+            raw_ints(words.indices.to_numpy(zero_copy_only=False)), raw_ints(sizes), raw_ints(ids),
+            one(names.take(pa.array(to_fold)) if words_too else names.slice(0, 0)), one(pa.array(to_fold)), one(tokens)],
+            names=["keys", "counts", "places", "sizes", "known", "words", "open", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, flats, held, batch = [], [], [], 0, None
@@ -293,7 +295,7 @@ def _pieces(docs: DataFrame, pattern: str, text: str, key: str) -> DataFrame:
 
 
 def _folded(blocks: DataFrame, table: Column) -> DataFrame:
-    return blocks.select("keys", "counts", "places", "words", "known", "open", let(table, lambda r: F.transform(
+    return blocks.select("keys", "counts", "places", "sizes", "known", "words", "open", let(table, lambda r: F.transform(
         "bytes", lambda b: merge(b, r))).alias("ids"))
 
 
@@ -308,9 +310,9 @@ def fill_cache(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     often = sample.groupBy("piece").count().where("count > 1").orderBy(F.desc("count"), "piece").limit(CACHE_PIECES)
     often = often.select(F.lit(0).cast("long").alias("key"), F.array("piece").alias("pieces"))
     have = spark.sparkContext.broadcast(known_pieces(ranks))
-    found = _folded(often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, have), BLOCK_SCHEMA),
+    found = _folded(often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, have, True), BLOCK_SCHEMA),
                     rank_literal(ranks))
-    pairs = F.transform("open", lambda j, i: F.struct(F.get("words", j).alias("piece"), F.get("ids", i).cast("array<int>").alias("ids")))
+    pairs = F.transform("words", lambda w, i: F.struct(w.alias("piece"), F.get("ids", i).cast("array<int>").alias("ids")))
     out = found.select(F.inline(pairs)).toArrow()
     have.destroy()
     return out
@@ -331,12 +333,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         batch = None
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, places, _, known, opened, folded = (c.slice(i, 1) for c in batch.columns)
-                words = _all_ids(known.flatten(), opened.flatten(), folded.flatten())
-                places = np.frombuffer(places[0].as_py(), "<i4")
+                keys, counts, places, sizes, known, _, opened, folded = (c.slice(i, 1) for c in batch.columns)
+                places, sizes, known = (np.frombuffer(x[0].as_buffer(), "<i4") for x in (places, sizes, known))
+                words = _all_ids(known, sizes.astype(np.int64), opened.flatten(), folded.flatten())
                 ends = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())]).astype(np.int64)
                 yield from _put_together(keys.flatten(), ends, places, words, tokens, digests)
-                del keys, counts, places, known, opened, folded, words, ends
+                del keys, counts, places, sizes, known, opened, folded, words, ends
                 _give_back()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>"
@@ -347,10 +349,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 BATCH = 500
 
 
-def _all_ids(known: pa.ListArray, opened: pa.Array, folded: pa.ListArray) -> pa.ListArray:
+def _all_ids(own: np.ndarray, sizes: np.ndarray, opened: pa.Array, folded: pa.ListArray) -> pa.ListArray:
     """Ids of all words of a block: the known ones, and those of the open words."""
-    own, new = known.flatten().to_numpy(zero_copy_only=False), folded.flatten().to_numpy(zero_copy_only=False)
-    sizes = known.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    new = folded.flatten().to_numpy(zero_copy_only=False)
     begin = np.cumsum(sizes) - sizes
     at = opened.to_numpy(zero_copy_only=False)
     more = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
