@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import let, text_or_empty
+from quire.llm.common import give_back, let, text_or_empty
 
 #: Pieces of the documents that share one block.
 BLOCK_PIECES = 1_000_000
@@ -275,20 +275,14 @@ def _blocks(ranks: dict[bytes, int], have, words_too: bool = False):
                 if at < len(sizes):
                     yield block(keys, counts, flats)
                     keys, counts, flats, held = [], [], [], 0
-                    _give_back()
+                    give_back()
         if keys:
             yield block(keys, counts, flats)
         keys = flats = batch = None
-        _give_back()
+        give_back()
     return run
 
 
-def _give_back() -> None:
-    """Return freed Arrow memory to the system: workers stay after their task, beside
-    those of the next stage."""
-    pa.default_memory_pool().release_unused()
-
-
 def _pieces(docs: DataFrame, pattern: str, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.regexp_extract_all(
         text_or_empty(text), F.lit(java_pattern(pattern)), 0).alias("pieces"))
@@ -339,7 +333,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 ends = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())]).astype(np.int64)
                 yield from _put_together(keys.flatten(), ends, places, words, tokens, digests)
                 del keys, counts, places, sizes, known, opened, folded, words, ends
-                _give_back()
+                give_back()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>"
     return _folded(blocks, rank_literal(ranks)).mapInArrow(documents, schema)

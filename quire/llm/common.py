@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +44,9 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def give_back() -> None:
+    """Return freed Arrow memory to the system: Python workers stay after their task,
+    beside those of the next stage."""
+    pa.default_memory_pool().release_unused()

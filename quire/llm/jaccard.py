@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage, free_name, text_or_empty
+from quire.llm.common import cut_lineage, free_name, give_back, text_or_empty
 from quire.llm.graph import bitmap, components, has
 from quire.llm.shingles import Words, minhash, multipliers, slices
 
@@ -91,6 +91,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "text_hash": batch.column(2), "digest": pa.array([digest_of(x) for x in batch.column(1).to_pylist()], pa.binary()),
                 "bands": pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))})
+        give_back()
 
 
 def _short(digests: pa.Array) -> np.ndarray:
@@ -111,6 +112,7 @@ def _shingles(bits):
                 hashes, starts = Words(texts).shingles(WIDTH)
                 sets = [np.unique(hashes[starts[i]:starts[i + 1]]).astype("<u8").tobytes() for i in range(len(take))]
                 yield pa.RecordBatch.from_pydict({"digest": digests.take(pa.array(take)), "shingles": pa.array(sets, pa.binary())})
+            give_back()
     return run
 
 
