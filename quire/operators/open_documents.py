@@ -24,9 +24,16 @@ def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", _LIST)
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often ``then`` uses
+    it: a lambda's argument is a value, a column named twice is two expressions,
+    and one inside another lambda runs for each of its elements."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def merged(old: Column, patch: Column) -> Column:
     """``old || patch`` of two maps: shallow, the right side wins."""
-    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(patch, k)), patch)
+    return bound(patch, lambda p: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(p, k)), p))
 
 
 def set_at(v: Column, path: list, value: Column, create: bool = True) -> Column:
@@ -36,30 +43,36 @@ def set_at(v: Column, path: list, value: Column, create: bool = True) -> Column:
     start prepends, if ``create``. Where a parent is missing or of another kind
     nothing changes. A NULL ``value`` (not a JSON null) gives NULL, as the
     studied function does: callers reject such a write."""
+    return bound(value, lambda x: F.when(x.isNotNull(), _set_at(v, path, x, create)))
+
+
+def _set_at(v: Column, path: list, value: Column, create: bool) -> Column:
+    """``set_at`` of a value that is not NULL. Each level reads its object or array
+    once; ``v`` and ``value`` should be cheap (columns, arguments of lambdas)."""
     if not path:
         return value
     head, rest = path[0], path[1:]
-    if isinstance(head, int):
-        items = as_array(v)
+
+    def in_array(items):
         n = F.size(items)
         at = F.lit(head) if head >= 0 else n + head
         inside = (at >= 0) & (at < n)
-        replaced = F.transform(items, lambda x, i: F.when(i == at, set_at(x, rest, value, create)).otherwise(x))
+        replaced = F.transform(items, lambda x, i: F.when(i == at, _set_at(x, rest, value, create)).otherwise(x))
         new = F.when(inside, replaced)
         if create and not rest:
             new = new.otherwise(F.concat(items, F.array(value)) if head >= 0 else F.concat(F.array(value), items))
         else:
             new = new.otherwise(items)
-        out = F.when(items.isNull(), v).otherwise(F.to_variant_object(new))
-    else:
-        fields = as_object(v)
+        return F.when(items.isNull(), v).otherwise(F.to_variant_object(new))
+
+    def in_object(fields):
         have = F.map_contains_key(fields, F.lit(head))
         # a key that holds JSON null is there
         old = F.try_element_at(fields, F.lit(head))
-        new = merged(fields, F.create_map(F.lit(head), set_at(old, rest, value, create)))
+        new = merged(fields, F.create_map(F.lit(head), _set_at(old, rest, value, create)))
         go = have | F.lit(create and not rest)
-        out = F.when(fields.isNull() | ~go, v).otherwise(F.to_variant_object(new))
-    return F.when(value.isNotNull(), out)
+        return F.when(fields.isNull() | ~go, v).otherwise(F.to_variant_object(new))
+    return bound(as_array(v), in_array) if isinstance(head, int) else bound(as_object(v), in_object)
 
 
 def _at(path: list[str]) -> str:
@@ -88,12 +101,16 @@ def patch_elements(loaded: DataFrame, path: list[str], patches: DataFrame) -> Da
     j = loaded.join(by_doc, "doc_id", "left")
 
     def one(e):
-        p = F.try_element_at("_patches", F.try_variant_get(e, "$.id", "string"))
-        fields = as_object(e)
-        return F.when(p.isNull() | fields.isNull(), e).otherwise(F.to_variant_object(merged(fields, p)))
-    items = F.try_variant_get("doc", _at(path), _LIST)
-    new = set_at(F.col("doc"), path, F.to_variant_object(F.transform(items, one)), create=False)
-    return j.withColumn("doc", F.when(F.col("_patches").isNull() | items.isNull(), F.col("doc")).otherwise(new)).drop("_patches")
+        def patched(p):
+            return bound(as_object(e), lambda fields: F.when(fields.isNull(), e).otherwise(F.to_variant_object(merged(fields, p))))
+        return bound(F.try_element_at("_patches", F.try_variant_get(e, "$.id", "string")),
+                     lambda p: F.when(p.isNull(), e).otherwise(patched(p)))
+
+    def in_doc(items):
+        new = set_at(F.col("doc"), path, F.to_variant_object(F.transform(items, one)), create=False)
+        return F.when(items.isNull(), F.col("doc")).otherwise(new)
+    doc = F.when(F.col("_patches").isNull(), F.col("doc")).otherwise(bound(F.try_variant_get("doc", _at(path), _LIST), in_doc))
+    return j.withColumn("doc", doc).drop("_patches")
 
 
 def set_path(loaded: DataFrame, path: list, values: DataFrame, create: bool = True) -> DataFrame:

@@ -170,3 +170,16 @@ def test_open_patches_keep_unknown_keys_and_types(spark):
     got = {r.doc_id: json.loads(r.j) for r in OD.patch_elements(df, ["deals"], patches).select("doc_id", F.to_json("doc").alias("j")).collect()}
     want = {"deals": [{"id": "N-1", "x": 1, "y": {"w": 2}, "cnpj": "00", "list": [1, "a"]}, {"id": "N-9", "k": None}, 7, {"no": "id"}], "other": [1]}
     assert got == {1: want, 2: doc, 3: {"deals": 5}}
+
+
+def test_set_at_works_out_each_part_once(spark):
+    """A value or document that stands in an expression several times is worked out
+    as often, and once more for each key of the objects around it."""
+    for path in (["a"], ["a", "b", 0, "c"], ["a", -1, "b", "c", "d", "e"]):
+        text = str(OD.set_at(F.col("the_doc"), path, F.parse_json(F.col("the_value"))))
+        assert text.count("the_value") == 1 and text.count("the_doc") <= 2
+
+
+def test_merge_works_out_a_patch_once(spark):
+    text = str(OD.merged(F.col("old"), F.try_variant_get(F.try_parse_json("the_patch"), "$", "map<string,variant>")))
+    assert text.count("the_patch") == 1
