@@ -891,13 +891,11 @@ def t1_stream_trigger(spark, sf_dir):
 def t2_stream_profiles(spark, sf_dir):
     """Users arrive in 4 batches; profiles are derived and inserted when
     absent - the table afterwards equals j6."""
-    from quire.streaming.profiles import run_profiles
-    from quire.streaming.writes import stage_log
+    from quire.streaming.profiles import replay_profiles
     t = Tables(spark, sf_dir)
     table = D.stage_parquet(roles.profiles(t), "t2-profiles")
     users = roles.users(t).withColumn("seq", F.col("id"))
-    path = stage_log(users, STREAM_PARTS, "t2-users")
-    return run_profiles(spark, path, table)
+    return replay_profiles(spark, users, STREAM_PARTS, table)
 
 
 @query("t3_stream_provisional_flag")

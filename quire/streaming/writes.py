@@ -70,21 +70,24 @@ def versioned_writes_stream(log: DataFrame, profiles: DataFrame) -> DataFrame:
         _replay, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
-    """Write the log as ``parts`` successive commits in seq order, so a file
-    stream replays it as ``parts`` micro-batches in commit order."""
-    spark = w.sparkSession
-    path = shared_path(spark, name)
+def commits(w: DataFrame, parts: int, name: str) -> list[DataFrame]:
+    """The log as ``parts`` successive ranges of seq; an empty log is one commit."""
     w = cut_lineage(w, name + "-src")        # derive once, then cut by seq range
     bounds = w.agg(F.min("seq"), F.max("seq")).first()
-    if bounds[0] is None:                    # empty log: one empty commit
-        w.write.mode("append").parquet(path)
-        return path
+    if bounds[0] is None:
+        return [w]
     lo, hi = int(bounds[0]), int(bounds[1])
     step = (hi - lo) // parts + 1
-    for i in range(parts):
-        a, b = lo + i * step, lo + (i + 1) * step
-        w.where((F.col("seq") >= a) & (F.col("seq") < b)).write.mode("append").parquet(path)
+    return [w.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step)) for i in range(parts)]
+
+
+def stage_log(w: DataFrame, parts: int, name: str = "write-log") -> str:
+    """Write the log as ``parts`` successive commits in seq order, so a file
+    stream replays it as ``parts`` micro-batches in commit order (or as more, where
+    a commit has several files and the stream takes one at a time)."""
+    path = shared_path(w.sparkSession, name)
+    for commit in commits(w, parts, name):
+        commit.write.mode("append").parquet(path)
     return path
 
 

@@ -118,3 +118,28 @@ def test_flag_deltas_merge_by_levels_and_survive_a_lost_merge_and_a_replay(spark
     assert len(FL.delta_folders(spark, root, 2)) == 4 and flags() == last
     sink(batches[3], 3)
     assert len(FL.delta_folders(spark, root, 2)) == 3 and flags() == last
+
+
+def test_profiles_arrive_in_commits_of_several_files(spark, monkeypatch):
+    """A commit is one batch however many files it has, and the table's ids are not
+    broadcast to meet it."""
+    from quire.session import shared_path
+    from quire.streaming import profiles as P
+    users = spark.range(40).selectExpr(
+        "id", "concat('u', id, '@example.com') as email", "'{}' as raw_user_meta_data",
+        *[f"cast(null as timestamp_ntz) as {c}" for c in ("last_sign_in_at", "created_at", "email_confirmed_at", "confirmed_at")], "id as seq")
+    table = shared_path(spark, "t-profiles")
+    spark.createDataFrame([(3, "kept", "editor", None, False)], P.PROFILE_SCHEMA).write.parquet(table)
+    batches, sink = [], P.profile_sink
+
+    def counting(path):
+        write = sink(path)
+
+        def one(batch, n):
+            batches.append(batch.count())
+            write(batch, n)
+        return one
+    monkeypatch.setattr(P, "profile_sink", counting)
+    got = P.replay_profiles(spark, users.repartition(4), 2, table).collect()
+    assert sorted(r.id for r in got) == list(range(40)) and {r.id: r.nome for r in got}[3] == "kept"
+    assert batches == [20, 20]
