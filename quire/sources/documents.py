@@ -9,10 +9,11 @@ elements of an array. Nested form: one row per document with
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -26,6 +27,22 @@ DEAL_FIELDS = ["id", "titulo", "frente", "clienteId", "parceiroId", "responsavel
                "etapa", "prazo", "fechadoEm", "notas", "publico"]
 ITEM_FIELDS = ["id", "texto", "responsavel", "prazo", "bloqueante", "resolvida"]
 TRANSITION_FIELDS = ["para", "quem", "quando"]
+#: Documents of one exported file at most: a compressed file is read by one task.
+FILE_DOCUMENTS = 10_000
+
+
+@dataclass(frozen=True)
+class Compact:
+    """The rows that elements are made of, before their fields are written out as
+    text: nesting moves these and writes the fields inside the finished array.
+
+    ``rows`` has doc_id, ``deal`` (equal for the deal and for the elements inside
+    it, NULL where the id is NULL) and ``row``, a struct; ``pos`` and ``fields`` make
+    an element's position and fields of ``row``. Kinds with the same ``rows`` move
+    together."""
+    rows: DataFrame
+    pos: Callable[[Column], list[Column]]
+    fields: Callable[[Column], list[Column]]
 
 
 @dataclass(frozen=True)
@@ -36,12 +53,23 @@ class DocumentSet:
     deals: DataFrame         # doc_id, pos, DEAL_FIELDS
     items: DataFrame         # doc_id, deal_id, pos, ITEM_FIELDS   (deal.pendencias)
     transitions: DataFrame   # doc_id, deal_id, pos, TRANSITION_FIELDS (deal.historico)
+    #: of some kinds, by name, the rows that the elements above are made of
+    compact: dict[str, Compact] = field(default_factory=dict)
 
     def kind(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     def with_kind(self, name: str, df: DataFrame) -> "DocumentSet":
-        return replace(self, **{name: df})
+        return replace(self, compact={k: c for k, c in self.compact.items() if k != name}, **{name: df})
+
+    def compact_rows(self, name: str, fields: list[str]) -> Compact:
+        """How ``nest`` takes a kind: its compact rows, or its elements as they are."""
+        if name in self.compact:
+            return self.compact[name]
+        df = self.kind(name)
+        deal = "deal_id" if "deal_id" in df.columns else "id"
+        return Compact(df.select("doc_id", F.col(deal).alias("deal"), F.struct("pos", *fields).alias("row")),
+                       lambda r: [r["pos"]], lambda r: [r[f].alias(f) for f in fields])
 
 
 # ------------------------------------------------------------ from the tables
@@ -55,48 +83,67 @@ def from_tables(t: Tables) -> DocumentSet:
                            "l_linestatus", "l_shipdate")
     lo = li.join(o.select("o_orderkey", "o_custkey"), li["l_orderkey"] == o["o_orderkey"], "inner")
     deal_id = F.concat(F.lit("N-"), F.col("l_orderkey").cast("string"))
-    items = lo.select(
-        F.col("o_custkey").alias("doc_id"), deal_id.alias("deal_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag",
-                 "l_linestatus").alias("pos"),
-        F.col("l_linenumber").cast("string").alias("id"),
-        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("texto"),
-        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("responsavel"),
-        date_text("l_shipdate").alias("prazo"),
-        (F.col("l_returnflag") == "R").alias("bloqueante"),
-        (F.col("l_linestatus") == "F").alias("resolvida"))
+    # a line's place within its order decides all fields of its item and transition
+    line = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus"]
+
+    def item_pos(r):
+        return [r[c].alias(c) for c in line]
+
+    def item(r):
+        return [r["l_linenumber"].cast("string").alias("id"),
+                F.concat(F.lit("part "), r["l_partkey"].cast("string")).alias("texto"),
+                F.concat(F.lit("supplier-"), r["l_suppkey"].cast("string")).alias("responsavel"),
+                date_text(r["l_shipdate"]).alias("prazo"),
+                (r["l_returnflag"] == "R").alias("bloqueante"),
+                (r["l_linestatus"] == "F").alias("resolvida")]
+
+    def transition_pos(r):
+        return [r[c].alias(c) for c in ("l_shipdate", "l_suppkey", "l_linestatus")]
+
+    def transition(r):
+        return [r["l_linestatus"].alias("para"),
+                F.concat(F.lit("supplier-"), r["l_suppkey"].cast("string")).alias("quem"),
+                iso_text(r["l_shipdate"]).alias("quando")]
+    cols = {c: F.col(c) for c in line}
+    items = lo.select(F.col("o_custkey").alias("doc_id"), deal_id.alias("deal_id"), F.struct(*item_pos(cols)).alias("pos"), *item(cols))
     transitions = lo.select(
-        F.col("o_custkey").alias("doc_id"), deal_id.alias("deal_id"),
-        F.struct("l_shipdate", "l_suppkey", "l_linestatus").alias("pos"),
-        F.col("l_linestatus").alias("para"),
-        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("quem"),
-        iso_text("l_shipdate").alias("quando"))
+        F.col("o_custkey").alias("doc_id"), deal_id.alias("deal_id"), F.struct(*transition_pos(cols)).alias("pos"), *transition(cols))
+    lines = lo.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("deal"), F.struct(*line).alias("row"))
     first_supplier = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("_sup"))
     od = o.join(first_supplier, o["o_orderkey"] == first_supplier["l_orderkey"], "left")
-    stage = (F.when(F.col("o_orderstatus") == "F", "9").when(F.col("o_orderstatus") == "O", "2")
-             .otherwise("perdido"))
-    deals = od.select(
-        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"),
-        F.concat(F.lit("N-"), F.col("o_orderkey").cast("string")).alias("id"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("titulo"),
-        F.col("o_orderpriority").alias("frente"),
-        F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("clienteId"),
-        F.concat(F.lit("P-"), F.col("_sup").cast("string")).alias("parceiroId"),
-        F.expr("substring(o_orderpriority, 3)").alias("responsavel"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(""))
-         .otherwise(F.floor("o_totalprice").cast("bigint").cast("string")).alias("valor"),
-        stage.alias("etapa"),
-        date_text("o_orderdate").alias("prazo"),
-        F.when(F.col("o_orderstatus") == "F", date_text("o_orderdate")).alias("fechadoEm"),
-        F.lit("").alias("notas"),
-        F.lit(None).cast("string").alias("publico"))
+    def deal(r):
+        key, customer, status, priority = (r[f"o_{c}"] for c in ("orderkey", "custkey", "orderstatus", "orderpriority"))
+        stage = F.when(status == "F", "9").when(status == "O", "2").otherwise("perdido")
+        return [F.concat(F.lit("N-"), key.cast("string")).alias("id"),
+                F.concat(F.lit("Order "), key.cast("string")).alias("titulo"),
+                priority.alias("frente"),
+                F.concat(F.lit("C-"), customer.cast("string")).alias("clienteId"),
+                F.concat(F.lit("P-"), r["_sup"].cast("string")).alias("parceiroId"),
+                F.substr(priority, F.lit(3)).alias("responsavel"),
+                F.when(priority == "5-LOW", F.lit(""))
+                 .otherwise(F.floor(r["o_totalprice"]).cast("bigint").cast("string")).alias("valor"),
+                stage.alias("etapa"),
+                date_text(r["o_orderdate"]).alias("prazo"),
+                F.when(status == "F", date_text(r["o_orderdate"])).alias("fechadoEm"),
+                F.lit("").alias("notas"),
+                F.lit(None).cast("string").alias("publico")]
+    order = [*o.columns, "_sup"]
+    deals = od.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), *deal({c: F.col(c) for c in order}))
+    orders = od.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("deal"), F.struct(*order).alias("row"))
     sup = t.supplier.select("s_suppkey", "s_name")
-    pairs = lo.select(F.col("o_custkey").alias("doc_id"), F.col("l_suppkey")).distinct()
-    partners = pairs.join(sup, pairs["l_suppkey"] == sup["s_suppkey"], "inner").select(
-        "doc_id", F.col("s_suppkey").alias("pos"),
-        F.concat(F.lit("P-"), F.col("s_suppkey").cast("string")).alias("id"),
-        F.col("s_name").alias("nome"), F.lit("").alias("responsavel"), F.lit("").alias("tier"),
-        F.lit("Ativo").alias("status"))
+
+    def partner(r):
+        return [F.concat(F.lit("P-"), r["s_suppkey"].cast("string")).alias("id"),
+                r["s_name"].alias("nome"), F.lit("").alias("responsavel"), F.lit("").alias("tier"),
+                F.lit("Ativo").alias("status")]
+    pairs = lo.select(F.col("o_custkey").alias("doc_id"), F.col("l_suppkey"))
+
+    def named(p):
+        return p.join(sup, p["l_suppkey"] == sup["s_suppkey"], "inner")
+    partners = named(pairs.distinct()).select("doc_id", F.col("s_suppkey").alias("pos"), *partner({c: F.col(c) for c in sup.columns}))
+    # a nested document is one row: its pairs meet where it is put together
+    suppliers = named(pairs.repartition("doc_id").distinct()).select(
+        "doc_id", F.lit(None).cast("bigint").alias("deal"), F.struct(*sup.columns).alias("row"))
     c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = t.nation.select("n_nationkey", "n_name")
     customers = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").select(
@@ -108,7 +155,10 @@ def from_tables(t: Tables) -> DocumentSet:
     header = c.select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("version"),
                       F.lit(None).cast("timestamp_ntz").alias("updated_at"),
                       F.lit(LOAD_LABEL).alias("updated_by"))
-    return DocumentSet(header, partners, customers, deals, items, transitions)
+    return DocumentSet(header, partners, customers, deals, items, transitions, {
+        "partners": Compact(suppliers, lambda r: [r["s_suppkey"]], partner),
+        "deals": Compact(orders, lambda r: [r["o_orderkey"]], deal),
+        "items": Compact(lines, item_pos, item), "transitions": Compact(lines, transition_pos, transition)})
 
 
 # ------------------------------------------------------------ nesting (M4)
@@ -129,27 +179,66 @@ def _empty(fields_df: DataFrame, fields: list[str]):
     return F.array().cast(ArrayType(fields_df.select(F.struct(*fields).alias("s")).schema["s"].dataType))
 
 
+def _packed(pos: list[Column], element: Column) -> Column:
+    """An element behind its position, whose columns stand side by side: a struct
+    within the struct would have its order worked out anew at every comparison."""
+    return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(pos)], element.alias("e"))
+
+
+def _ordered(rows: Column, pos, element) -> Column:
+    """M4 inside a row: the elements made of an array's rows, in order of ``pos``."""
+    packed = F.transform(rows, lambda r: _packed(pos(r), element(r)))
+    return F.transform(F.sort_array(packed), lambda x: x["e"])
+
+
+def _deal_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several frames (doc_id, deal, row) as arrays per document and deal,
+    one per frame. They are dealt out by document alone, so that what is grouped
+    by document next to them needs no further shuffle."""
+    out = None
+    for name, df in parts.items():
+        cols = [F.col("row").alias(n) if n == name else F.lit(None).cast(other.schema["row"].dataType).alias(n) for n, other in parts.items()]
+        one = df.where(F.col("doc_id").isNotNull()).select("doc_id", "deal", *cols)
+        out = one if out is None else out.unionByName(one)
+    return out.repartition("doc_id").groupBy("doc_id", "deal").agg(*[F.collect_list(n).alias(n) for n in parts])
+
+
 def nest(ds: DocumentSet) -> DataFrame:
     """Flat -> nested: doc_id, version, updated_at, updated_by, doc. One row per
     document is the result here (export, nested twins); queries that need no
-    nesting use the flat form."""
-    items = _sorted_array(ds.items, ["doc_id", "deal_id"], ITEM_FIELDS, "pendencias")
-    trans = _sorted_array(ds.transitions, ["doc_id", "deal_id"], TRANSITION_FIELDS, "historico")
-    d = ds.deals.join(items.withColumnRenamed("deal_id", "id"), ["doc_id", "id"], "left") \
-                .join(trans.withColumnRenamed("deal_id", "id"), ["doc_id", "id"], "left")
-    d = d.withColumn("pendencias", F.coalesce("pendencias", _empty(ds.items, ITEM_FIELDS))) \
-         .withColumn("historico", F.coalesce("historico", _empty(ds.transitions, TRANSITION_FIELDS)))
-    deal_fields = DEAL_FIELDS + ["pendencias", "historico"]
-    deals = _sorted_array(d, ["doc_id"], deal_fields, "deals")
-    partners = _sorted_array(ds.partners, ["doc_id"], PARTNER_FIELDS, "partners")
-    customers = _sorted_array(ds.customers, ["doc_id"], CUSTOMER_FIELDS, "customers")
-    h = ds.header.join(partners, "doc_id", "left").join(customers, "doc_id", "left") \
-                 .join(deals, "doc_id", "left")
-    doc = F.struct(
-        F.coalesce("partners", _empty(ds.partners, PARTNER_FIELDS)).alias("partners"),
-        F.coalesce("customers", _empty(ds.customers, CUSTOMER_FIELDS)).alias("customers"),
-        F.coalesce("deals", _empty(d, deal_fields)).alias("deals"))
-    return h.select("doc_id", "version", "updated_at", "updated_by", doc.alias("doc"))
+    nesting use the flat form. Compact rows move where there are any; a deal and
+    its items move together, and the texts of fields are written last."""
+    inside = {"pendencias": ds.compact_rows("items", ITEM_FIELDS), "historico": ds.compact_rows("transitions", TRANSITION_FIELDS)}
+    of = ds.compact_rows("deals", DEAL_FIELDS)
+    # the deals and the rows inside them must name their deal alike
+    if len({k in ds.compact for k in ("deals", "items", "transitions")}) > 1:
+        return nest(replace(ds, compact={k: c for k, c in ds.compact.items() if k == "partners"}))
+    parts, names = {"_deals": of.rows}, {}
+    for name, c in inside.items():
+        names[name] = next((n for n, df in parts.items() if df is c.rows), f"_{name}")
+        parts[names[name]] = c.rows
+    # a deal without an id holds nothing
+    known = {n: F.when(F.col("deal").isNotNull(), F.col(n)).otherwise(F.slice(n, 1, 0)).alias(n) for n in parts if n != "_deals"}
+    deals = _deal_rows(parts).where(F.size("_deals") > 0).select("doc_id", "_deals", *known.values()).groupBy("doc_id").agg(
+        F.collect_list(F.struct(*parts)).alias("_all"))
+
+    def deal_element(r, group):
+        return F.struct(*of.fields(r), *[
+            _ordered(group[names[n]], c.pos, lambda x, c=c: F.struct(*c.fields(x))).alias(n) for n, c in inside.items()])
+
+    def packed(group):
+        return F.transform(group["_deals"], lambda r: _packed(of.pos(r), deal_element(r, group)))
+    h = ds.header
+    arrays = {}
+    for name, fields in (("partners", PARTNER_FIELDS), ("customers", CUSTOMER_FIELDS)):
+        c = ds.compact_rows(name, fields)
+        h = h.join(c.rows.groupBy("doc_id").agg(F.collect_list("row").alias(f"_{name}")), "doc_id", "left")
+        arrays[name] = _ordered(F.coalesce(f"_{name}", F.array().cast(ArrayType(c.rows.schema["row"].dataType))), c.pos,
+                                lambda r, c=c: F.struct(*c.fields(r)))
+    none = F.array().cast(deals.schema["_all"].dataType)
+    h = h.join(deals, "doc_id", "left")
+    arrays["deals"] = F.transform(F.sort_array(F.flatten(F.transform(F.coalesce("_all", none), packed))), lambda x: x["e"])
+    return h.select("doc_id", "version", "updated_at", "updated_by", F.struct(*[a.alias(n) for n, a in arrays.items()]).alias("doc"))
 
 
 def flatten(nested: DataFrame, kind: str) -> DataFrame:
@@ -168,9 +257,10 @@ def flatten_deal_elements(nested: DataFrame, kind: str) -> DataFrame:
 
 # ------------------------------------------------------------ S1 / S4
 def export_documents(nested: DataFrame, path: str) -> str:
-    """One JSON document per line (doc_id + stamps + document)."""
+    """One JSON document per line (doc_id + stamps + document), in gzip files
+    (the keys of every element make most of the text)."""
     out = nested.select(F.to_json(F.struct("doc_id", "version", "updated_at", "updated_by", "doc")).alias("value"))
-    out.write.mode("error").text(path)
+    out.write.mode("error").option("compression", "gzip").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
     return path
 
 

@@ -158,3 +158,48 @@ def test_whole_text_must_be_one_json_value(spark):
     got = {r["k"]: r["reason"] for r in D.parse_documents(df, "t", key=None).collect()}
     want = {k: {None: "not_json", "o": None, "s": "not_object"}[v[1]] for k, v in cases.items()}
     assert got == want
+
+
+def test_nest_moves_an_order_and_its_lines_once(spark, ds):
+    """Rows of a document are dealt out once, by document, and as the tables have
+    them: no text of an element's fields crosses a shuffle."""
+    plan = D.nest(ds)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("REPARTITION_BY_COL"):]
+    assert "o_orderpriority" in below and "l_partkey" in below
+    assert "part " not in below and "supplier-" not in below and "date_format" not in below and "Order " not in below
+
+
+def test_nest_of_flat_and_compact_rows_is_the_same(spark, ds):
+    flat = D.DocumentSet(ds.header, ds.partners, ds.customers, ds.deals, ds.items, ds.transitions)
+    some = D.nest(ds.with_kind("items", ds.items))
+    want = rows(D.nest(ds).select("doc_id", F.to_json("doc").alias("j")))
+    assert rows(D.nest(flat).select("doc_id", F.to_json("doc").alias("j"))) == want
+    assert rows(some.select("doc_id", F.to_json("doc").alias("j"))) == want
+
+
+def test_nest_of_repeated_and_missing_keys(spark):
+    """Repeated documents and deals come with all their elements each; elements of
+    missing deals, documents or ids are in no document."""
+    ds = flat_set(spark)
+    none = "cast(null as string) as "
+    ds = D.DocumentSet(
+        ds.header.unionByName(ds.header.where("doc_id = 1")),
+        spark.createDataFrame([], "doc_id long, pos long, id string, nome string, responsavel string, tier string, status string"),
+        ds.customers.selectExpr("*", *[none + f for f in ("tipo", "setor", "uf", "publico")], "0L as receitaRecorrente"),
+        spark.createDataFrame([(1, 2, "N-1"), (1, 1, "N-1"), (1, 0, None), (None, 0, "N-1"), (9, 0, "N-1")], "doc_id long, pos long, id string").selectExpr(
+            "*", *[none + f for f in D.DEAL_FIELDS if f != "id"]),
+        spark.createDataFrame([(1, "N-1", 1, "b"), (1, "N-1", 0, "a"), (1, None, 0, "c"), (None, "N-1", 0, "d"), (2, "N-1", 0, "e")],
+                              "doc_id long, deal_id string, pos long, id string").selectExpr(
+            "*", none + "texto", none + "responsavel", none + "prazo", "true as bloqueante", "false as resolvida"),
+        spark.createDataFrame([(1, "N-1", 0, "2")], "doc_id long, deal_id string, pos long, para string").selectExpr("*", none + "quem", none + "quando"))
+    got = [(r.doc_id, [c.id for c in r.doc.customers], [(d.id, [i.id for i in d.pendencias], [x.para for x in d.historico]) for d in r.doc.deals])
+           for r in D.nest(ds).collect()]
+    one = (1, ["C-1"], [(None, [], []), ("N-1", ["a", "b"], ["2"]), ("N-1", ["a", "b"], ["2"])])
+    assert sorted(got, key=lambda r: r[0]) == [one, one, (2, [], [])]
+
+
+def test_export_is_compressed(spark, nested):
+    from quire.session import shared_path
+    path = D.export_documents(nested, shared_path(spark, "test-export"))
+    files = spark.read.text(path).inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
