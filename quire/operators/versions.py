@@ -233,8 +233,8 @@ def resolve_conflicts(w: DataFrame, base: DataFrame, chunk_width: int = DEFAULT_
         q = q.join(spec, ["doc_id", "_blk", "_s"], "left").join(dflt, ["doc_id", "_blk"], "left") \
              .select("doc_id", CHUNK, F.coalesce(F.col("c"), F.col("s_out"), F.col("_s") + F.coalesce(F.col("u"), F.lit(0)))
                      .cast("int").alias("_s"))
-    if levels > 2:
-        q = cut_lineage(q, "fold-entering")
+        if levels > 2:       # a task holds the joins of one level, however many there are
+            q = cut_lineage(q, "fold-entering")
     entering = elig.join(q.withColumnRenamed("_s", "_s0"), ["doc_id", CHUNK], "inner")
     folded = entering.groupBy("doc_id", CHUNK).applyInPandas(_replay, _FOLD_SCHEMA)
     out = w.join(folded, ["doc_id", "seq"], "left")

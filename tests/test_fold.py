@@ -95,3 +95,20 @@ def test_negative_and_microsecond_seq(spark):
         for width in (1, 2, 1 << 20):
             got = V.resolve_conflicts(w, base, chunk_width=width).orderBy("seq").collect()
             assert [r["outcome"] for r in got] == ["applied"] * 8 and [r["version"] for r in got] == list(range(2, 10))
+
+
+def test_entering_versions_are_found_level_by_level(spark, monkeypatch):
+    """A written step holds the two joins of one level, not those of all levels."""
+    seen, cut = [], V.cut_lineage
+
+    def watched(df, name="stage"):
+        if name == "fold-entering":
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df, name)
+    monkeypatch.setattr(V, "cut_lineage", watched)
+    w = spark.range(200).selectExpr("id % 2 AS doc_id", "id AS seq", "CAST(1 + id div 8 AS int) AS expected_version", "true AS eligible")
+    base = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, version int")
+    out = V.resolve_conflicts(w, base, chunk_width=8)
+    want = brute([(r["doc_id"], r["seq"], r["expected_version"], True) for r in w.collect()], {0: 1, 1: 1})
+    assert {r["seq"]: (r["outcome"], r["version"]) for r in out.collect()} == want
+    assert len(seen) > 3 and max(seen) <= 4      # the first step joins the chunk numbers and the base rows too
