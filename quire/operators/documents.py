@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from quire.functions import nested as N
 from quire.functions.text import blank_label
 from quire.operators.ordering import ordered_rank
+from quire.session import dealt
 from quire.sources.documents import DocumentSet
 
 
@@ -278,13 +279,16 @@ def expected_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
 def reference_check(ds: DocumentSet) -> DataFrame:
     """Q3: per document, how many deal references (customer, partner) there
     are and how many do not resolve to an element of the same document."""
-    d = ds.deals
-    refs = d.select("doc_id", F.lit("customer").alias("ref_kind"), F.col("clienteId").alias("ref")) \
-            .unionByName(d.select("doc_id", F.lit("partner").alias("ref_kind"), F.col("parceiroId").alias("ref"))) \
-            .where(F.col("ref").isNotNull())
-    targets = ds.customers.select("doc_id", F.lit("customer").alias("ref_kind"), F.col("id").alias("ref")) \
-        .unionByName(ds.partners.select("doc_id", F.lit("partner").alias("ref_kind"), F.col("id").alias("ref"))) \
-        .distinct().withColumn("_hit", F.lit(1))
-    j = refs.join(targets, ["doc_id", "ref_kind", "ref"], "left")
-    return j.groupBy("doc_id", "ref_kind").agg(
-        F.count(F.lit(1)).alias("refs"), F.count_if(F.col("_hit").isNull()).alias("missing"))
+    def part(df, id_col, customer, asks):
+        return df.where(F.col(id_col).isNotNull()).select(
+            "doc_id", F.lit(customer).alias("_customer"), F.col(id_col).alias("ref"), F.lit(asks).alias("_asks"))
+    rows = part(ds.deals, "clienteId", True, True).unionByName(part(ds.deals, "parceiroId", False, True))
+    for df, customer in ((ds.customers, True), (ds.partners, False)):     # nothing is found in a document without an id
+        rows = rows.unionByName(part(df.where(F.col("doc_id").isNotNull()), "id", customer, False))
+    # references and elements meet in one table of distinct ids, which needs neither a sorted copy of the rows nor the
+    # elements without repeats first; ids hardly repeat within a task, so nothing is counted before the shuffle
+    keys = ["doc_id", "_customer", "ref"]
+    ids = dealt(rows, *keys).groupBy(*keys).agg(F.count_if("_asks").alias("_n"), F.count_if(~F.col("_asks")).alias("_found"))
+    kinds = ids.where(F.col("_n") > 0).groupBy("doc_id", "_customer").agg(
+        F.sum("_n").alias("refs"), F.sum(F.when(F.col("_found") == 0, F.col("_n")).otherwise(0)).alias("missing"))
+    return kinds.select("doc_id", F.when(F.col("_customer"), "customer").otherwise("partner").alias("ref_kind"), "refs", "missing")

@@ -110,6 +110,14 @@ def default_state_partitions(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def dealt(df, *cols: str):
+    """``df`` dealt out by ``cols`` into as many partitions as a shuffle has. AQE
+    puts partitions together by their compressed size, and a number in the plan
+    keeps it from that: short keys are a small part of the memory that the table
+    of them takes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quire.functions.text import LOAD_LABEL, date_text, iso_text
-from quire.session import shared_path
+from quire.session import dealt, shared_path
 from quire.sources.tables import Tables
 
 PARTNER_FIELDS = ["id", "nome", "responsavel", "tier", "status"]
@@ -140,7 +140,8 @@ def from_tables(t: Tables) -> DocumentSet:
 
     def named(p):
         return p.join(sup, p["l_suppkey"] == sup["s_suppkey"], "inner")
-    partners = named(pairs.distinct()).select("doc_id", F.col("s_suppkey").alias("pos"), *partner({c: F.col(c) for c in sup.columns}))
+    # a task's lines hardly repeat a pair, so none are looked for before the shuffle; counts per document follow without another
+    partners = named(dealt(pairs, "doc_id").distinct()).select("doc_id", F.col("s_suppkey").alias("pos"), *partner({c: F.col(c) for c in sup.columns}))
     # a nested document is one row: its pairs meet where it is put together
     suppliers = named(pairs.repartition("doc_id").distinct()).select(
         "doc_id", F.lit(None).cast("bigint").alias("deal"), F.struct(*sup.columns).alias("row"))

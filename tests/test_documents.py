@@ -203,3 +203,18 @@ def test_export_is_compressed(spark, nested):
     path = D.export_documents(nested, shared_path(spark, "test-export"))
     files = spark.read.text(path).inputFiles()
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def test_reference_check_of_repeated_and_missing_ids(spark):
+    """References and elements meet in one grouping, without a join of sorted rows."""
+    deals = spark.createDataFrame(
+        [(1, "C-1", "P-1"), (1, "C-1", "P-9"), (1, None, "P-1"), (None, "C-1", None), (2, "C-2", None)],
+        "doc_id long, clienteId string, parceiroId string")
+    ids = "doc_id long, id string"
+    customers = spark.createDataFrame([(1, "C-1"), (1, "C-1"), (None, "C-1"), (1, "P-9"), (3, "C-3")], ids)
+    partners = spark.createDataFrame([(1, "P-1"), (1, None), (2, "C-2")], ids)
+    out = DO.reference_check(D.DocumentSet(None, partners, customers, deals, None, None))
+    assert rows(out, "doc_id", "ref_kind", "refs", "missing") == rows(spark.createDataFrame(
+        [(1, "customer", 2, 0), (1, "partner", 3, 1), (None, "customer", 1, 1), (2, "customer", 1, 1)],
+        "doc_id long, ref_kind string, refs long, missing long"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
