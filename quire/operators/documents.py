@@ -135,19 +135,30 @@ def deal_customers(ds: DocumentSet) -> DataFrame:
 def deal_customer_check(ds: DocumentSet, pairs: DataFrame) -> DataFrame:
     """J4 as the change script asks it: for each (doc_id, deal_id, customer_id) of
     ``pairs``, the deal and the customer with these two ids - the deal's own
-    customer reference is not used - in the 12 columns of the check. Both sides
-    are filtered by the pairs before they meet, so nothing is crossed."""
+    customer reference is not used - in the 12 columns of the check. What lies
+    inside deals is filtered by the pairs first, so nothing is crossed."""
     p = pairs.select("doc_id", F.col("deal_id").alias("negocio_id"), F.col("customer_id").alias("cliente_id")).distinct()
     c = ds.customers.select("doc_id", F.col("id").alias("cliente_id"), F.col("nome").alias("cliente"), "setor")
     d = ds.deals.select("doc_id", F.col("id").alias("negocio_id"), "frente", "etapa", "publico", "responsavel",
                         blank_label("valor").alias("valor"))
     keys = ["doc_id", "negocio_id"]
     asked = p.select(*keys).distinct()
-    items = ds.items.withColumnRenamed("deal_id", "negocio_id").join(asked, keys, "left_semi").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pendencias"), F.count_if(F.col("bloqueante")).alias("bloqueantes"))
-    who = ds.transitions.withColumnRenamed("deal_id", "negocio_id").join(asked, keys, "left_semi").groupBy(*keys).agg(
-        F.min_by("quem", "pos").alias("criado_por"))
-    j = p.join(d, keys).join(c, ["doc_id", "cliente_id"]).join(items, keys, "left").join(who, keys, "left")
+    items, who = F.count(F.lit(1)).alias("pendencias"), F.min_by("quem", "pos").alias("criado_por")
+    blocking = F.count_if(F.col("bloqueante")).alias("bloqueantes")
+
+
+    def per_deal(df, *aggs):
+        return df.withColumnRenamed("deal_id", "negocio_id").groupBy(*keys).agg(*aggs)
+    named = asked.withColumnRenamed("negocio_id", "deal_id")
+    both = ds.items_with_transitions(named, ["bloqueante"], ["pos", "quem"])
+    if both is not None:
+        inside = [per_deal(both, items, blocking, who)]
+    else:
+        of = ["doc_id", "deal_id"]
+        inside = [per_deal(ds.items.join(named, of, "left_semi"), items, blocking), per_deal(ds.transitions.join(named, of, "left_semi"), who)]
+    j = p.join(d, keys).join(c, ["doc_id", "cliente_id"])
+    for one in inside:
+        j = j.join(one, keys, "left")
     return j.select("doc_id", "cliente_id", "cliente", "setor", "negocio_id", "frente", "etapa", "publico", "responsavel", "valor",
                     *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("pendencias", "bloqueantes")], "criado_por")
 

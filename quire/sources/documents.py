@@ -43,6 +43,9 @@ class Compact:
     rows: DataFrame
     pos: Callable[[Column], list[Column]]
     fields: Callable[[Column], list[Column]]
+    #: of elements inside a deal: doc_id, deal_id and ``row`` of the deals in a frame
+    #: (doc_id, deal_id), which are picked before the rows inside them move
+    of_deals: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -71,6 +74,18 @@ class DocumentSet:
         return Compact(df.select("doc_id", F.col(deal).alias("deal"), F.struct("pos", *fields).alias("row")),
                        lambda r: [r["pos"]], lambda r: [r[f].alias(f) for f in fields])
 
+    def items_with_transitions(self, asked: DataFrame, of_item: list[str], of_transition: list[str]) -> DataFrame | None:
+        """Where every item has its transition in the same compact row: doc_id,
+        deal_id and the named fields of both (``pos`` is the transition's) inside
+        the deals of ``asked`` (doc_id, deal_id), in one pass; else None."""
+        i, t = self.compact.get("items"), self.compact.get("transitions")
+        if i is None or t is None or i.rows is not t.rows or i.of_deals is None:
+            return None
+        r = F.col("row")
+        item, transition = F.struct(*i.fields(r)), F.struct(F.struct(*t.pos(r)).alias("pos"), *t.fields(r))
+        return i.of_deals(asked).select("doc_id", "deal_id", *[item[f].alias(f) for f in of_item],
+                                        *[transition[f].alias(f) for f in of_transition])
+
 
 # ------------------------------------------------------------ from the tables
 def from_tables(t: Tables) -> DocumentSet:
@@ -82,7 +97,10 @@ def from_tables(t: Tables) -> DocumentSet:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
                            "l_linestatus", "l_shipdate")
     lo = li.join(o.select("o_orderkey", "o_custkey"), li["l_orderkey"] == o["o_orderkey"], "inner")
-    deal_id = F.concat(F.lit("N-"), F.col("l_orderkey").cast("string"))
+
+    def deal_text(key):
+        return F.concat(F.lit("N-"), key.cast("string"))
+    deal_id = deal_text(F.col("l_orderkey"))
     # a line's place within its order decides all fields of its item and transition
     line = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus"]
 
@@ -109,12 +127,19 @@ def from_tables(t: Tables) -> DocumentSet:
     transitions = lo.select(
         F.col("o_custkey").alias("doc_id"), deal_id.alias("deal_id"), F.struct(*transition_pos(cols)).alias("pos"), *transition(cols))
     lines = lo.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("deal"), F.struct(*line).alias("row"))
+
+    def lines_of(asked):
+        a = asked.select(F.col("doc_id").alias("_doc"), F.col("deal_id").alias("_deal"))
+        picked = o.select("o_orderkey", "o_custkey").join(
+            a, (F.col("o_custkey") == F.col("_doc")) & (deal_text(F.col("o_orderkey")) == F.col("_deal")), "left_semi")
+        return li.join(picked, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            F.col("o_custkey").alias("doc_id"), deal_id.alias("deal_id"), F.struct(*line).alias("row"))
     first_supplier = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("_sup"))
     od = o.join(first_supplier, o["o_orderkey"] == first_supplier["l_orderkey"], "left")
     def deal(r):
         key, customer, status, priority = (r[f"o_{c}"] for c in ("orderkey", "custkey", "orderstatus", "orderpriority"))
         stage = F.when(status == "F", "9").when(status == "O", "2").otherwise("perdido")
-        return [F.concat(F.lit("N-"), key.cast("string")).alias("id"),
+        return [deal_text(key).alias("id"),
                 F.concat(F.lit("Order "), key.cast("string")).alias("titulo"),
                 priority.alias("frente"),
                 F.concat(F.lit("C-"), customer.cast("string")).alias("clienteId"),
@@ -159,7 +184,7 @@ def from_tables(t: Tables) -> DocumentSet:
     return DocumentSet(header, partners, customers, deals, items, transitions, {
         "partners": Compact(suppliers, lambda r: [r["s_suppkey"]], partner),
         "deals": Compact(orders, lambda r: [r["o_orderkey"]], deal),
-        "items": Compact(lines, item_pos, item), "transitions": Compact(lines, transition_pos, transition)})
+        "items": Compact(lines, item_pos, item, lines_of), "transitions": Compact(lines, transition_pos, transition, lines_of)})
 
 
 # ------------------------------------------------------------ nesting (M4)

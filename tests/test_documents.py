@@ -218,3 +218,12 @@ def test_reference_check_of_repeated_and_missing_ids(spark):
         [(1, "customer", 2, 0), (1, "partner", 3, 1), (None, "customer", 1, 1), (2, "customer", 1, 1)],
         "doc_id long, ref_kind string, refs long, missing long"))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deal_check_reads_the_lines_of_asked_deals_once(spark, ds):
+    pairs = ds.deals.where(F.col("pos") % 3 == 0).select("doc_id", F.col("id").alias("deal_id"), F.col("clienteId").alias("customer_id"))
+    pairs = spark.createDataFrame(pairs.collect(), pairs.schema)
+    one = DO.deal_customer_check(ds, pairs)
+    plain = D.DocumentSet(ds.header, ds.partners, ds.customers, ds.deals, ds.items, ds.transitions)
+    assert rows(one) == rows(DO.deal_customer_check(plain, pairs)) and one.count() > 50
+    assert sum("Relation" in line and "l_orderkey" in line for line in one._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
