@@ -7,8 +7,9 @@ Spark higher-order functions then fold the ranked merges over the bytes of each
 distinct piece: the state is the list of tokens so far, each with the rank that
 it and the next one would merge to; each step merges the leftmost pair of the
 lowest rank, as the reference implementation of this encoding does. The rank
-map is a literal: a hash table in one array (a map lookup in Spark scans the
-map). Every piece has its single bytes as first tokens; a piece that is a token
+map is a hash table in one array (a map lookup in Spark scans the map), the value
+of a table of one row: a literal of its length would be written out in every text
+of a plan, and the driver makes and keeps many. Every piece has its single bytes as first tokens; a piece that is a token
 itself needs no fold. Decoding concatenates the tokens' binary pieces.
 
 Words are very unevenly frequent, so the distinct pieces of a bounded sample of
@@ -31,7 +32,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import give_back, let, text_or_empty
+from quire.llm.common import free_name, give_back, let, text_or_empty
 
 #: Pieces of the documents that share one block.
 BLOCK_PIECES = 1_000_000
@@ -119,9 +119,11 @@ def rank_table(ranks: dict[bytes, int]) -> list[int]:
     return table
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank table as a literal column."""
-    return F.from_json(F.lit(json.dumps(rank_table(ranks), separators=(",", ":"))), "array<bigint>")
+def with_array(df: DataFrame, name: str, values: pa.Array) -> DataFrame:
+    """``df`` with ``values`` as an array in each row: the value of a table of one row.
+    Plans name that table; a literal's elements would stand in each of them."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return df.withColumn(name, df.sparkSession.createDataFrame(pa.table({"held": one})).scalar())
 
 
 def _rank(table: Column, a: Column, b: Column) -> Column:
@@ -288,8 +290,9 @@ def _pieces(docs: DataFrame, pattern: str, text: str, key: str) -> DataFrame:
         text_or_empty(text), F.lit(java_pattern(pattern)), 0).alias("pieces"))
 
 
-def _folded(blocks: DataFrame, table: Column) -> DataFrame:
-    return blocks.select("keys", "counts", "places", "sizes", "known", "words", "open", let(table, lambda r: F.transform(
+def _folded(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    ranked = with_array(blocks, "ranks", pa.array(rank_table(ranks), pa.int64()))
+    return ranked.select("keys", "counts", "places", "sizes", "known", "words", "open", let(F.col("ranks"), lambda r: F.transform(
         "bytes", lambda b: merge(b, r))).alias("ids"))
 
 
@@ -304,8 +307,7 @@ def fill_cache(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     often = sample.groupBy("piece").count().where("count > 1").orderBy(F.desc("count"), "piece").limit(CACHE_PIECES)
     often = often.select(F.lit(0).cast("long").alias("key"), F.array("piece").alias("pieces"))
     have = spark.sparkContext.broadcast(known_pieces(ranks))
-    found = _folded(often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, have, True), BLOCK_SCHEMA),
-                    rank_literal(ranks))
+    found = _folded(often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_blocks(ranks, have, True), BLOCK_SCHEMA), ranks)
     pairs = F.transform("words", lambda w, i: F.struct(w.alias("piece"), F.get("ids", i).cast("array<int>").alias("ids")))
     out = found.select(F.inline(pairs)).toArrow()
     have.destroy()
@@ -336,7 +338,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 give_back()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>"
-    return _folded(blocks, rank_literal(ranks)).mapInArrow(documents, schema)
+    return _folded(blocks, ranks).mapInArrow(documents, schema)
 
 
 #: Documents in one batch that leaves the last step.
@@ -387,6 +389,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
     hexes = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         hexes[rank] = token.hex()
-    pieces = F.split(F.lit(",".join(hexes)), ",")
-    return encoded.withColumn("decoded", let(pieces, lambda p: F.unhex(
-        F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))))
+    pieces = free_name(encoded, "pieces")
+    return with_array(encoded, pieces, pa.array(hexes, pa.string())).withColumn("decoded", let(F.col(pieces), lambda p: F.unhex(
+        F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))).drop(pieces)

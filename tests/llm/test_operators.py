@@ -532,6 +532,24 @@ def test_bpe(spark, tokens, monkeypatch):
     assert bpe.encode(docs_of(spark, []), ranks, pattern).count() == 0
 
 
+def test_bpe_plans_do_not_spell_out_tables(spark, tokens):
+    """The driver keeps the text of many plans; tables of ranks and tokens have no place in them."""
+    from quire.llm import bpe
+    ranks, pattern, _ = tokens
+    docs = docs_of(spark, [(1, "lorem ipsum thandering")])
+    for df in (bpe.encode(docs, ranks, pattern, digests=True), bpe.decode(bpe.encode(docs, ranks, pattern), ranks)):
+        assert df.count() == 1
+        assert len(df._jdf.queryExecution().toString()) < 200_000
+
+
+def test_components_of_chains_cycles_and_stars(spark):
+    from quire.llm.graph import components
+    links = [(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (100, 101)] + [(200, x) for x in range(201, 230)] + [(300, 300)]
+    got = components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert Counter(map(tuple, got)) == Counter([(x, 1) for x in range(1, 41)] + [(x, 100) for x in (100, 101, 102)] + [(x, 200) for x in range(200, 230)])
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_bpe_heap_equals_library(tokens):
     from quire.llm import bpe
     ranks, _, library = tokens
